@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import secrets
+from quire.llm import packing, secrets
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (secrets,):
+for _module in (secrets, packing):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(getattr(_module, "ORACLE_SQL", {}))
