@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import packing, secrets
+from quire.llm import packing, secrets, simhash
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (secrets, packing):
+for _module in (secrets, packing, simhash):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(getattr(_module, "ORACLE_SQL", {}))
