@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -40,16 +41,29 @@ def held_out(id_column: str | Column) -> Column:
     return id_remainder(id_column) == 0
 
 
-def slices(rows: int, sizes, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Consecutive index ranges whose sizes add up to about ``limit`` at most."""
-    begin = total = 0
-    for k in range(rows):
-        total += sizes[k]
-        if total > limit and k > begin:
-            yield begin, k
-            begin, total = k, sizes[k]
-    if begin < rows:
-        yield begin, rows
+_BLANK = {str: re.compile(r"\s"), bytes: re.compile(rb"\s")}
+
+
+def word_windows(text, width: int, window: int = WINDOW_CHARS) -> Iterator[list]:
+    """Words of a text or byte string, a window at a time, for its runs of ``width`` words.
+
+    Windows end between words and begin with the last width - 1 words of the one
+    before, so each run is in exactly one of them. A text of fewer words gives
+    them all in one window, one without words gives none.
+    """
+    kept, at, given = [], 0, False
+    while at < len(text):
+        end = at + window
+        if end < len(text):
+            stop = _BLANK[type(text)].search(text, end)
+            end = stop.start() if stop else len(text)
+        words = kept + text[at:end].split()
+        at = end
+        if len(words) >= width or at >= len(text) and words and not given:
+            yield words
+            given, kept = True, words[len(words) - width + 1 :]
+        else:
+            kept = words
 
 
 def partitions(df: DataFrame) -> int:

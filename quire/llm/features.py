@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,18 +106,16 @@ def bounded_sample(keys: DataFrame, label: str, per_label: int) -> DataFrame:
     return keys.join(sizes, label).where(spot < share).drop("__rows")
 
 
-def sample_vectors(rows: DataFrame, orders: tuple[int, ...], bits: int, fold: bool, idf: np.ndarray) -> list[tuple]:
+def sample_vectors(rows: DataFrame, vector: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
     """[(id, label, features, weights)] of a bounded sample (columns id, label, text), by id.
 
-    Each vector has at most 2**bits entries, however long its text is.
+    ``vector`` makes sparse vectors of a bounded size, however long a text is.
     """
-    given = rows.sparkSession.sparkContext.broadcast(idf)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             where, values = [], []
             for text in batch.column(2):
-                a, b = weighted(text.as_py() or "", orders, bits, fold, given.value)
+                a, b = vector(text.as_py() or "")
                 where.append(a.astype("<u4").tobytes())
                 values.append(b.astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays(

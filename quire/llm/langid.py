@@ -120,7 +120,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     ).where(F.col("label").isNotNull() & F.col("text").isNotNull())
     counts, total = document_frequencies(rows, ORDERS, BITS, True)
     idf = inverse_frequencies(counts, total)
-    sample = sample_vectors(bounded_sample(rows, "label", SAMPLE_PER_LANGUAGE), ORDERS, BITS, True, idf)
+    sample = sample_vectors(bounded_sample(rows, "label", SAMPLE_PER_LANGUAGE), lambda text: weighted(text, ORDERS, BITS, True, idf))
     languages = sorted({label for _, label, _, _ in sample})
     number = {label: k for k, label in enumerate(languages)}
     order = np.random.default_rng(11).permutation(len(sample))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import partitions, reliable, table
+from quire.llm.common import partitions, reliable, table, word_windows
 from quire.llm.graph import components
 
 SHINGLE_WORDS = 3
@@ -38,25 +38,6 @@ MAX_BITS = 3
 SEED = 42
 #: Members of a bucket that one task compares; larger buckets go block by block.
 BUCKET_ROWS = 8192
-#: Words that are hashed at once inside a long text.
-WINDOW_WORDS = 1 << 18
-
-
-def _bit_counts(words: list[bytes], width: int) -> tuple[np.ndarray, int]:
-    """How often each bit is set in the hashes of all shingles, and their number."""
-    counts, shingles = np.zeros(64, np.int64), 0
-    digest = xxhash.xxh64_intdigest
-    for begin in range(0, max(1, len(words) - width + 1), WINDOW_WORDS):
-        some = words[begin : begin + WINDOW_WORDS + width - 1]
-        line = b" ".join(some)
-        ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        reach = min(width, len(some))
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts[: len(some) - reach + 1].tolist(), ends[reach - 1 :].tolist(), strict=True)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-        shingles += len(hashes)
-    return counts, shingles
 
 
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -64,12 +45,18 @@ _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
     """The 64-bit fingerprint of a text, unsigned."""
+    counts, shingles, digest = np.zeros(64, np.int64), 0, xxhash.xxh64_intdigest
     # bytes.lower() folds A-Z, and bytes.split() cuts at 0x20 and 0x09-0x0D
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    counts, shingles = _bit_counts(words, width)
-    return int(_POWERS[counts * 2 > shingles].sum(dtype=np.uint64))
+    for words in word_windows((text or "").encode("utf-8", "surrogatepass").lower(), width):
+        line = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        reach = min(width, len(words))
+        spots = zip(starts[: len(words) - reach + 1].tolist(), ends[reach - 1 :].tolist(), strict=True)
+        hashes = np.array([digest(line[a:b], SEED) for a, b in spots], "<u8")
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        shingles += hashes.size
+    return int(_POWERS[counts * 2 > shingles].sum(dtype=np.uint64)) if shingles else 0
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

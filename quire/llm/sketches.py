@@ -31,12 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import partitions, table
+from quire.llm.common import partitions, table, word_windows
 
 SHINGLE_WORDS = 5
 K = 128
-#: Words hashed at once inside a long text.
-WINDOW_WORDS = 1 << 19
 #: Text that one range of ids should hold, in code points.
 RANGE_CHARS = 32 << 20
 MOST_RANGES = 20_000
@@ -75,19 +73,14 @@ def _smallest(values: np.ndarray, k: int) -> np.ndarray:
 
 def sketch(text: str | None, hashes: _WordHashes, k: int = K, width: int = SHINGLE_WORDS) -> np.ndarray:
     """The k smallest distinct shingle hashes of a text (uint64, sorted)."""
-    words = (text or "").lower().split()
     kept = np.empty(0, np.uint64)
-    for begin in range(0, max(1, len(words) - width + 1), WINDOW_WORDS):
-        some = words[begin : begin + WINDOW_WORDS + width - 1]
-        if not some:
-            break
-        values = np.fromiter(map(hashes.__getitem__, some), np.uint64, len(some))
-        reach = min(width, len(some))
-        total = np.zeros(len(some) - reach + 1, np.uint64)
+    for words in word_windows((text or "").lower(), width):
+        values = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+        reach = min(width, len(words))
+        total = np.zeros(len(words) - reach + 1, np.uint64)
         for step in range(reach):
-            total = total * _MULTIPLIER + values[step : len(some) - reach + 1 + step]
-        total = _mix(total + np.uint64(reach))
-        kept = _smallest(np.concatenate([kept, total]), k)
+            total = total * _MULTIPLIER + values[step : len(words) - reach + 1 + step]
+        kept = _smallest(np.concatenate([kept, _mix(total + np.uint64(reach))]), k)
     return kept
 
 
