@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import langid, packing, quality, secrets, simhash, sketches
+from quire.llm import ann, langid, packing, quality, secrets, simhash, sketches
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (langid, quality, secrets, packing, simhash, sketches):
+for _module in (ann, langid, quality, secrets, packing, simhash, sketches):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(getattr(_module, "ORACLE_SQL", {}))

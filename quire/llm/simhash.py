@@ -167,7 +167,10 @@ def cluster(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         .join(reach, "root")
         .select("fp", "least_id")
     )
-    named = distinct.join(least, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    # computed anew, fp no longer carries the layout of its table: both sides are then
+    # dealt out by the join itself, which can split a fingerprint that very many rows share
+    anew = F.coalesce("fp", F.lit(0).cast("long")).alias("fp")
+    named = distinct.join(least, "fp", "left").select(anew, F.coalesce("least_id", "first_id").alias("component_id"))
     return prints.join(named, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
 
 
