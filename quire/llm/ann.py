@@ -5,7 +5,8 @@ codewords, four bits. Codewords and codes minimise the residual with its part
 parallel to the vector weighted ``eta`` times, since that part is what changes
 large inner products. A query is scanned against four-bit tables (two codes a
 byte, so one table of 256 sums for each byte), and the ``RERANK`` best of each
-block are ranked again by exact inner products in double precision.
+block are ranked again by exact inner products in double precision; where more
+lie within the error seen among these of the k-th best, all of them are.
 
 Codewords are learnt on a bounded sample (``SAMPLE_ROWS``); every vector is
 indexed. Queries and vectors meet block by block: a group holds at most one block
@@ -198,6 +199,13 @@ def search(rows: DataFrame, is_query: Column, id_column: str = "vec_id", vector_
                 near = _best(scores, rerank)
                 near = near[ids[near] != query_id]
                 products = exact(vectors_[near], query)
+                if near.size > k:
+                    # many vectors as near as the k-th: rank all that the error seen so far leaves in doubt
+                    doubt = np.partition(products, -k)[-k] - np.abs(scores[near] - products).max()
+                    wide = np.flatnonzero(scores >= doubt)
+                    if wide.size > near.size:
+                        near = np.union1d(near, wide)
+                        products = exact(vectors_[near], query)
                 first = np.lexsort((ids[near], -products))[:k]
                 out.append(pd.DataFrame({"query_id": query_id, "id": ids[near[first]], "score": products[first]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
