@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import ann, langid, mixing, packing, quality, secrets, simhash, sketches
+from quire.llm import ann, chat, langid, mixing, packing, quality, secrets, sharding, simhash, sketches
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (ann, langid, mixing, quality, secrets, packing, simhash, sketches):
+for _module in (langid, simhash, quality, sketches, ann, packing, chat, sharding, secrets, mixing):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(getattr(_module, "ORACLE_SQL", {}))
