@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from quire.operators import search
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+for _module in (search,):
+    QUERIES.update(_module.QUERIES)
+    ORACLE_SQL.update(getattr(_module, "ORACLE_SQL", {}))
