@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quire.operators import search
+from quire.operators import screens, search
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (search,):
+for _module in (search, screens):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(getattr(_module, "ORACLE_SQL", {}))
