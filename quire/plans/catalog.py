@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quire.operators import screens, search
+from quire.operators import relations, screens, search
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (search, screens):
+for _module in (search, screens, relations):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(getattr(_module, "ORACLE_SQL", {}))
