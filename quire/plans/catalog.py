@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quire.operators import matching, relations, screens, search
+from quire.operators import events, hierarchy, matching, relations, screens, search
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (search, screens, relations, matching):
+for _module in (search, screens, relations, matching, hierarchy, events):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(getattr(_module, "ORACLE_SQL", {}))
