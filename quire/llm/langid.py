@@ -132,7 +132,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
             _, label, where, values = sample[i]
             learner.learn(where, values, number[label])
     weights = learner.weights().astype(np.float32)
-    scores = np.array([sample[i][3] @ weights[sample[i][2]] for i in rest]).reshape(len(rest), -1)
+    scores = np.array([sample[i][3] @ weights[sample[i][2]] for i in rest]).reshape(len(rest), max(1, len(languages)))
     return LanguageModel(languages, idf, weights, fit_temperature(scores, np.array([number[sample[i][1]] for i in rest], int)))
 
 

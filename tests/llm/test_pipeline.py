@@ -1,0 +1,71 @@
+"""The pipeline, stage by stage, against what each stage promises."""
+
+import os
+from collections import Counter
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from quire.llm import registry, secrets
+
+SF = "/root/testdata/sf0.001"
+TABLES = "documents embeddings conversations labels".split()
+
+
+@pytest.fixture(scope="module")
+def results(spark, tmp_path_factory):
+    docs, out = spark.read.parquet(f"{SF}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path_factory.mktemp("stages") / name)
+        stage(spark, docs, SF).write.parquet(path)
+        docs = out[name] = spark.read.parquet(path)
+    return out
+
+
+def test_columns_stay(spark, results):
+    columns = spark.read.parquet(f"{SF}/documents.parquet").columns
+    for name, _ in corpus_pipeline.STAGES[:-1]:
+        assert results[name].columns == columns
+
+
+def test_each_stage(spark, results):
+    raw = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    known = {r["doc_id"] for r in results["language_id"].collect()}
+    assert known <= raw and len(known) > 0.98 * len(raw)
+    from quire.llm import simhash
+
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.cluster(results["language_id"]).collect()}
+    single = [r["doc_id"] for r in results["near_dedup"].collect()]
+    assert sorted(single) == sorted(set(groups.values()))
+    clean = results["secrets"].collect()
+    assert len(clean) == len(single)
+    assert not [r for r in clean if [s for s in secrets.spans(r["text"]) if s[0] != "assign"]]
+    assert all(r["n_chars"] == len(r["text"]) for r in clean)
+    copies = Counter(r["doc_id"] for r in results["mixing"].collect())
+    assert set(copies) == set(single) and 1 <= min(copies.values()) <= max(copies.values()) <= 2
+    packed = results["packing"].groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("each")).collect()
+    assert {r["doc_id"]: r["n"] // r["each"] for r in packed} == dict(copies)
+
+
+def test_run_gives_the_stages_rows(spark, results):
+    rows = corpus_pipeline.run(spark, SF)
+    assert rows.columns == results["packing"].columns
+    total = lambda df: df.agg(F.sum("length")).first()[0]
+    assert total(rows) == total(results["packing"])
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_oracle(spark, name):
+    duck = duckdb.connect()
+    for table in TABLES:
+        if os.path.exists(f"{SF}/{table}.parquet"):
+            duck.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
+    df = registry.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    result = duck.execute(registry.ORACLE_SQL[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == columns
+    expected = sorted(repr([row[names.index(c)] for c in columns]) for row in result.fetchall())
+    assert sorted(repr([r[c] for c in columns]) for r in df.collect()) == expected
