@@ -35,7 +35,7 @@ ORDERS, BITS = (1, 2, 3), 13
 #: Bound of the labelled sample: about so many rows of each label.
 SAMPLE_PER_LABEL = 1500
 LATENT, OVERSAMPLE, POWER_STEPS = 64, 16, 2
-NEIGHBOURS, SHARPNESS = 25, 8.0
+NEIGHBOURS, SHARPNESS = 25, 32.0
 PRIOR_POWER = 0.5
 THRESHOLD = 0.3
 #: Length of the shape terms against the n-gram terms, and where their steps lie.
