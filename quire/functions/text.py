@@ -84,11 +84,17 @@ def identifiers(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda r: r != ""))
 
 
+LITRES = r"(?:^|[^\p{L}\p{N}_.,])([0-9]{1,2}(?:\.[0-9]+)?|\.[0-9]+)\s*(?:l\b|liter\b|litre\b)"
+OIL_RATE = (
+    r"\boil consumption(?: rate)?\s+(?:is\s+)?(?:not\s+)?(?:higher|greater|more|less|lower)\s+than\s+"
+    r"[0-9.]+\s*(?:l|liter|litre)\s*\(\s*[0-9]+(?:\.[0-9]+)?\s+(?:quarts?|qt)\s*\)"
+)
+
+
 def litre_quantities(text: Column) -> Column:
-    """Distinct engine displacements in litres; oil quantities with a quart equivalent are left out."""
-    bare = F.regexp_replace(text, r"(?i)\d{1,2}\.\d\s*(?:L|liters?|litres?)\s*\(\s*\d+(?:\.\d+)?\s*(?:qt|quarts?)", " ")
-    found = F.regexp_extract_all(F.lower(bare), F.lit(r"(?:^|[^0-9.])(\d{1,2}\.\d)\s*(?:l\b|liter|litre)"), F.lit(1))
-    return F.array_distinct(found)
+    """Distinct quantities in litres; a rate of oil consumption with its quarts is left out."""
+    bare = F.regexp_replace(F.lower(text), OIL_RATE, " ")
+    return F.array_distinct(F.regexp_extract_all(bare, F.lit(LITRES), F.lit(1)))
 
 
 def model_years(text: Column) -> Column:

@@ -9,6 +9,8 @@ from quire.functions import ids
 from quire.functions import text as T
 
 LOW_TEXT = 400
+OWNER = r"\bowner(?:'s|s)?\s+(?:manual|guide)\b"
+_KIND_LINES = ["Generic OBD notes", "Owners  guide", "Wiring Diagram", "Trouble code list", "Plain"]
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
@@ -35,16 +37,19 @@ def triage(docs: DataFrame, has_image, text_column: str = "text", done=None, low
     return docs.withColumn("action", action)
 
 
-def title_kind(lines):
-    """The kind of a publication by the first thirty lines of its first page."""
+def title_kind(first_page):
+    """struct(title, kind) of a publication by the lines of its first page."""
+    lines = F.filter(F.transform(F.split(first_page, "\n"), lambda line: F.trim(line)), lambda line: line != "")
+    title = F.coalesce(F.nullif(F.substring(F.array_join(F.slice(lines, 1, 4), " / "), 1, 500), F.lit("")), F.lit("Untitled PDF publication"))
     head = F.lower(F.array_join(F.slice(lines, 1, 30), "\n"))
-    return (
-        F.when(head.rlike(r"owner'?s? (manual|guide)"), "owner")
-        .when(head.rlike(r"reference|quick guide"), "reference")
-        .when(head.rlike(r"wiring|schematic"), "wiring")
-        .when(head.rlike(r"diagnos|trouble"), "diagnostics")
+    kind = (
+        F.when(head.rlike(OWNER), "owner")
+        .when(head.contains("generic") & (head.contains("code") | head.contains("obd")), "reference")
+        .when(head.contains("wiring diagram"), "wiring")
+        .when(head.contains("trouble code") | head.contains("diagnostic"), "diagnostics")
         .otherwise("unknown")
     )
+    return F.struct(title.alias("title"), kind.alias("kind"))
 
 
 def part_mentions(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -112,8 +117,13 @@ def q_evidence_lines(spark, sf_dir):
     return found.select("doc_id", F.col("line").cast("long").alias("line"), F.md5("statement").alias("statement"))
 
 
+def _litres():
+    rate = F.when(F.col("doc_id") % 3 == 0, F.lit(" oil consumption rate is not more than 0.95 liter (1 qt)")).otherwise(" or 0.95 liter")
+    return F.concat("text", F.lit(" 5.0L"), F.when(F.col("doc_id") % 2 == 0, rate).otherwise(""))
+
+
 def q_mixed_text(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", (F.size(T.litre_quantities(F.concat("text", F.lit(" 5.0L or "), F.col("doc_id") % 7, F.lit(".3 liter")))) > 1).alias("mixed"))
+    return documents(spark, sf_dir).select("doc_id", (F.size(T.litre_quantities(_litres())) > 1).alias("mixed"))
 
 
 def q_low_text_triage(spark, sf_dir):
@@ -121,7 +131,8 @@ def q_low_text_triage(spark, sf_dir):
 
 
 def q_title_kind(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", title_kind(F.split("text", "\n")).alias("kind"))
+    line = F.element_at(F.array(*[F.lit(x) for x in _KIND_LINES]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return documents(spark, sf_dir).select("doc_id", title_kind(F.concat(F.lit(" \n"), line, F.lit("\n"), "text")).alias("t")).select("doc_id", F.md5("t.title").alias("title"), "t.kind")
 
 
 def q_model_years(spark, sf_dir):
@@ -207,7 +218,6 @@ _LINES = "(SELECT doc_id, unnest(string_split({}, chr(10))) AS statement, genera
 _IDS = "list_distinct(list_filter(list_transform(regexp_extract_all(upper({}), '[A-Z0-9-]+'), lambda r: regexp_extract(r, '(?:^|-)([A-Z0-9]{{4,}}-[A-Z0-9-]{{3,}})$', 1)), lambda r: r <> ''))"
 _MENTION = "'AB12-900' || chr(10) || text || chr(10) || 'AB12-' || (doc_id % 9 + 900)"
 _TORQUE = "text || chr(10) || 'Torque: ' || (doc_id % 90) || ' Nm'"
-_LITRE = "regexp_replace(text || ' 5.0L or ' || (doc_id % 7) || '.3 liter', '(?i)\\d{1,2}\\.\\d\\s*(?:L|liters?|litres?)\\s*\\(\\s*\\d+(?:\\.\\d+)?\\s*(?:qt|quarts?)', ' ', 'g')"
 _YEARS = "'models ' || (1990 + doc_id % 30) || CASE WHEN doc_id % 2 = 0 THEN ' through ' || (1995 + doc_id % 20) ELSE '' END"
 
 ORACLE_SQL = {
@@ -216,13 +226,15 @@ ORACLE_SQL = {
     "whitespace_compact": r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r\x0b\x0c]+', ' ', 'g'))) AS compacted FROM documents",
     "exclusion_flag": f"SELECT doc_id, regexp_matches(text, '{T.EXCLUSION}') AS excludes FROM documents",
     "evidence_lines": f"SELECT doc_id, line, md5(statement) AS statement FROM {_LINES.format('text', 'text')} WHERE regexp_matches(statement, '{T.EVIDENCE}')",
-    "mixed_text": f"SELECT doc_id, len(list_distinct(regexp_extract_all(lower({_LITRE}), '(?:^|[^0-9.])(\\d{{1,2}}\\.\\d)\\s*(?:l\\b|liter|litre)', 1))) > 1 AS mixed FROM documents",
+    "mixed_text": f"""SELECT doc_id, len(list_distinct(regexp_extract_all(regexp_replace(lower(text || ' 5.0L' || CASE WHEN doc_id % 6 = 0 THEN ' oil consumption rate is not more than 0.95 liter (1 qt)'
+        WHEN doc_id % 2 = 0 THEN ' or 0.95 liter' ELSE '' END), '{T.OIL_RATE}', ' ', 'g'), '{T.LITRES}', 1))) > 1 AS mixed FROM documents""",
     "low_text_triage": f"""SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'already_ocr' WHEN n = 0 AND i THEN 'auto_image_only' WHEN n = 0 THEN 'review_empty_without_image'
         WHEN n < {LOW_TEXT} AND i THEN 'review_low_text_with_image' WHEN n < {LOW_TEXT} THEN 'review_low_text' ELSE 'native_readable' END AS action
         FROM (SELECT doc_id, doc_id % 3 = 0 AS i, length(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) AS n FROM documents)""",
-    "title_kind": """SELECT doc_id, CASE WHEN regexp_matches(h, 'owner''?s? (manual|guide)') THEN 'owner' WHEN regexp_matches(h, 'reference|quick guide') THEN 'reference'
-        WHEN regexp_matches(h, 'wiring|schematic') THEN 'wiring' WHEN regexp_matches(h, 'diagnos|trouble') THEN 'diagnostics' ELSE 'unknown' END AS kind
-        FROM (SELECT doc_id, lower(array_to_string(string_split(text, chr(10))[1:30], chr(10))) AS h FROM documents)""",
+    "title_kind": f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(' ' || chr(10) || {_KIND_LINES}[doc_id % 5 + 1] || chr(10) || text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
+        h AS (SELECT doc_id, md5(substr(array_to_string(l[1:4], ' / '), 1, 500)) AS title, lower(array_to_string(l[1:30], chr(10))) AS h FROM l)
+        SELECT doc_id, title, CASE WHEN regexp_matches(h, '{OWNER.replace("'", "''")}') THEN 'owner' WHEN contains(h, 'generic') AND (contains(h, 'code') OR contains(h, 'obd')) THEN 'reference'
+        WHEN contains(h, 'wiring diagram') THEN 'wiring' WHEN contains(h, 'trouble code') OR contains(h, 'diagnostic') THEN 'diagnostics' ELSE 'unknown' END AS kind FROM h""",
     "model_year_parse": rf"""WITH s AS (SELECT doc_id, {_YEARS} AS t FROM documents), p AS (SELECT doc_id,
         regexp_extract(t, '\b((?:19|20)[0-9]{{2}})\s*(?:-|to|through)\s*((?:19|20)[0-9]{{2}})\b', 1) AS a,
         regexp_extract(t, '\b((?:19|20)[0-9]{{2}})\s*(?:-|to|through)\s*((?:19|20)[0-9]{{2}})\b', 2) AS b,

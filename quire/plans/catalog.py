@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quire.operators import events, hierarchy, matching, pages, relations, screens, search
+from quire.operators import events, evidence, hierarchy, matching, pages, relations, screens, search
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (search, screens, relations, matching, hierarchy, events, pages):
+for _module in (search, screens, relations, matching, hierarchy, events, evidence, pages):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(getattr(_module, "ORACLE_SQL", {}))
