@@ -135,7 +135,9 @@ def links(distinct: DataFrame) -> DataFrame:
         for segment, part in enumerate((low, high))
         for bit in range(32)
     ]
-    keyed = distinct.select("fp", F.explode(F.array(*variants)).alias("x")).select("fp", "x.key", "x.masked")
+    # each fingerprint becomes 64 rows, so they are dealt to all tasks before
+    spread = distinct.select("fp").repartition(partitions(distinct), "fp")
+    keyed = spread.select("fp", F.explode(F.array(*variants)).alias("x")).select("fp", "x.key", "x.masked")
     bit = F.shiftrightunsigned("key", 32) % 32
     sizes = (
         keyed.groupBy("key")
