@@ -160,6 +160,13 @@ def test_page_projection():
     assert cells == [["Head", "Head"], ["a", "b"]]
 
 
+def test_legacy_encodings_and_fragments():
+    assert html.project("<p>é</p>".encode("utf-16-le").join([b"\xff\xfe", b""]), "p.html", legacy=True)["text"] == "é"
+    assert html.project(b"<p>\xe9</p>", "p.html", legacy=True)["encoding"] == "cp1252-fallback"
+    safe = html.fragment(b'<div onclick="x"><script>no()</script><p>a < b <a href="../q.html#f">q</a><a href="http://e/">e</a><img src="i.png"><blink>c', "m/p.html")
+    assert safe == '<div><p>a &lt; b <a href="#/q.html/f">q</a><a>e</a><img src="#/m/i.png">c</p></div>'
+
+
 @pytest.mark.parametrize(("name", "markup", "role"), [
     ("index.html", b"<p>x", "landing"), ("external-car.html", b"<p>x", "unavailable"), ("a.html", b"<ul><li>x</ul>", "navigation"), ("b.html", b"<ul><li>x</ul><p>y", "procedure"),
 ])
