@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import WINDOW_CHARS
 
 _SHORT = 4096
+#: Labels up to which their counts are broadcast; more are joined by shuffle.
+BROADCAST_LABELS = 10_000
 
 
 def gram_counts(text: str, orders: tuple[int, ...], bits: int, fold: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +103,9 @@ def bounded_sample(keys: DataFrame, label: str, per_label: int) -> DataFrame:
     returned is bounded by the number of labels.
     """
     sizes = keys.groupBy(label).agg(F.count("*").alias("__rows"))
+    if sizes.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+        # else the rows, texts and all, would be dealt out by label
+        sizes = F.broadcast(sizes)
     share = F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("__rows"))
     spot = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 30)) / float(1 << 30)
     return keys.join(sizes, label).where(spot < share).drop("__rows")
