@@ -102,40 +102,42 @@ def _widened(index: DataFrame, terms: list[str]) -> DataFrame:
     return exact.unionByName(longer)
 
 
-def bm25(docs: DataFrame, query: str, id_column: str = "doc_id", text_column: str = "text", title: Column | None = None) -> DataFrame:
+def document_stats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", title: Column | None = None) -> DataFrame:
+    """(id, dl, title, title_tokens) of every document; the title is its first line by default."""
+    title = title if title is not None else F.split(F.col(text_column), "\n")[0]
+    return docs.select(
+        id_column,
+        F.greatest(F.lit(1), F.size(T.indexed_tokens(F.col(text_column)))).alias("dl"),
+        F.lower(title).alias("title"),
+        T.site_tokens(title).alias("title_tokens"),
+    )
+
+
+def rank(index: DataFrame, stats: DataFrame, query: str, id_column: str = "doc_id") -> DataFrame:
     """(id, score, matched) by BM25 with prefix widening, coverage and title boosts; not cut.
 
     The widened terms are bounded, so they are broadcast to the postings; the
     index is never shuffled as a whole.
     """
     terms = site_terms(query)
-    title = title if title is not None else F.split(F.col(text_column), "\n")[0]
-    tokens = T.indexed_tokens(F.col(text_column))
-    lengths = docs.select(
-        id_column,
-        F.greatest(F.lit(1), F.size(tokens)).alias("dl"),
-        F.lower(title).alias("title"),
-        T.site_tokens(title).alias("title_tokens"),
-    )
     if not terms:
-        return docs.select(id_column, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched")).limit(0)
-    index = postings(docs.where(functools.reduce(operator.or_, [F.lower(F.col(text_column)).contains(t) for t in terms])), id_column, text_column)
+        return stats.select(id_column, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched")).limit(0)
     reach = F.broadcast(_widened(index, terms))
     hits = index.join(reach, "term").groupBy("query", id_column).agg(F.sum(F.col("tf") * F.col("weight")).alias("tf"))
     frequency = hits.groupBy("query").agg(F.count("*").alias("df"))
-    sums = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    sums = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = frequency.crossJoin(F.broadcast(sums)).select(
         "query", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl"
     )
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     body = (
         hits.join(F.broadcast(idf), "query")
-        .join(lengths.select(id_column, "dl"), id_column)
+        .join(stats.select(id_column, "dl"), id_column)
         .groupBy(id_column)
         .agg(F.sum(F.col("idf") * norm).alias("s"), F.count("*").alias("m"))
     )
     known = idf.agg(F.map_from_entries(F.collect_list(F.struct("query", "idf"))).alias("idfs"), F.count("*").alias("used"))
-    scored = body.join(lengths, id_column).crossJoin(F.broadcast(known))
+    scored = body.join(stats, id_column).crossJoin(F.broadcast(known))
     in_title = [F.exists("title_tokens", _begins(t)) for t in terms]
     boost = sum((F.when(hit, F.coalesce(F.try_element_at("idfs", F.lit(t)), F.lit(1.0))).otherwise(0.0) for t, hit in zip(terms, in_title, strict=True)), F.lit(0.0))
     count = sum((hit.cast("int") for hit in in_title), F.lit(0))
@@ -147,6 +149,27 @@ def bm25(docs: DataFrame, query: str, id_column: str = "doc_id", text_column: st
     return scored.select(id_column, score.alias("score"), F.col("m").alias("matched"))
 
 
+def bm25(docs: DataFrame, query: str, id_column: str = "doc_id", text_column: str = "text", title: Column | None = None) -> DataFrame:
+    """``rank`` over documents without an index: only those that hold a term are tokenised."""
+    terms = site_terms(query)
+    holding = docs.where(functools.reduce(operator.or_, [F.lower(F.col(text_column)).contains(t) for t in terms], F.lit(not terms)))
+    return rank(postings(holding, id_column, text_column), document_stats(docs, id_column, text_column, title), query, id_column)
+
+
+def save_index(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", title: Column | None = None) -> None:
+    """Postings in a folder for each first letter, sorted by term, and the documents' figures beside them."""
+    index = postings(docs, id_column, text_column).withColumn("initial", F.substring("term", 1, 1))
+    index.repartition("initial", F.pmod(F.xxhash64("term"), F.lit(16))).sortWithinPartitions("initial", "term").write.partitionBy("initial").parquet(f"{path}/postings")
+    document_stats(docs, id_column, text_column, title).write.parquet(f"{path}/documents")
+
+
+def indexed_search(spark, path: str, query: str, id_column: str = "doc_id") -> DataFrame:
+    """``rank`` over a saved index: only the folders of the query's first letters are read."""
+    initials = sorted({t[0] for t in site_terms(query)})
+    index = spark.read.schema(f"term string, {id_column} bigint, tf bigint, initial string").parquet(f"{path}/postings")
+    return rank(index.where(F.col("initial").isin(initials)).drop("initial"), spark.read.parquet(f"{path}/documents"), query, id_column)
+
+
 def top(ranked: DataFrame, k: int = RESULT_CAP, id_column: str = "doc_id") -> DataFrame:
     return ranked.orderBy(F.desc("score"), id_column).limit(k)
 

@@ -48,6 +48,16 @@ def test_shards_hold_only_units_of_one_signature(spark):
         relations.shard_pack(shards, 10)
 
 
+def test_saved_index_ranks_alike(spark, tmp_path):
+    from quire.operators import search
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    search.save_index(docs, str(tmp_path / "index"))
+    plain = lambda df: sorted((r["doc_id"], round(r["score"], 9), r["matched"]) for r in df.collect())
+    assert plain(search.indexed_search(spark, str(tmp_path / "index"), "the thand er")) == plain(search.bm25(docs, "the thand er")) != []
+    assert plain(search.indexed_search(spark, str(tmp_path / "index"), "?")) == []
+
+
 def test_scope_cache():
     cache, made = publish.ScopeCache(2), []
     for key in (1, 2, 1, 3, 1, 2):
