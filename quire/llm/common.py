@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.plans.fixpoint import reliable as reliable
+
 #: Code points handled at once inside one text; longer texts go window by window.
 WINDOW_CHARS = 1 << 20
 
@@ -17,20 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that the cluster shares.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary one is made.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def id_remainder(id_column: str | Column, modulus: int = 5) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     column = F.col(id_column) if isinstance(id_column, str) else id_column

@@ -114,6 +114,8 @@ def bounded_sample(keys: DataFrame, label: str, per_label: int) -> DataFrame:
 def sample_vectors(rows: DataFrame, vector: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
     """[(id, label, features, weights)] of a bounded sample (columns id, label, text), by id.
 
+    Rows that repeat an id and a label are one, so an id that very many rows
+    repeat doesn't break the sample's bound.
     ``vector`` makes sparse vectors of a bounded size, however long a text is.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +131,8 @@ def sample_vectors(rows: DataFrame, vector: Callable[[str], tuple[np.ndarray, np
             )
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    found = rows.select("id", "label", "text").mapInArrow(
+    once = rows.groupBy("id", "label").agg(F.min("text").alias("text"))
+    found = once.mapInArrow(
         run, f"id {kinds['id']}, label {kinds['label']}, features binary, weights binary"
     )
     got = [(r[0], r[1], np.frombuffer(r[2], "<u4"), np.frombuffer(r[3], "<f4")) for r in found.collect()]

@@ -9,7 +9,7 @@ the training left out.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 languages are those seen in the rows learnt from; with none, every row is
-``und``; repeated rows are each scored; texts are read whole; an empty table
+``und``; rows that repeat an id are learnt from once and scored each; texts are read whole; an empty table
 gives an empty table. Other columns are ignored (``predict``) or kept
 (``keep_identified``).
 """

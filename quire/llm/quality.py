@@ -13,7 +13,7 @@ over its share of the sample, to a power (``PRIOR_POWER``).
 
 Defined results: null and empty texts have no feature; they get the share of
 label 1 among the labelled rows (0.5 with none); rows with a null label are not
-learnt from; repeated label rows count each; labels without a document are
+learnt from; repeated label rows count once; labels without a document are
 ignored; an empty table gives an empty table. Other columns are ignored.
 """
 
@@ -124,7 +124,7 @@ class NeighbourModel:
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> NeighbourModel:
     """Learn from the labels of these documents."""
     texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    known = labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("label")).where("id is not null and label in (0, 1)")
+    known = labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("label")).where("id is not null and label in (0, 1)").distinct()
     counts, total = document_frequencies(texts, ORDERS, BITS, False)
     idf = inverse_frequencies(counts, total)
     shares = {r[0]: r[1] for r in known.groupBy("label").agg(F.count("*")).collect()}
