@@ -465,7 +465,7 @@ ORACLE_SQL = {
     "backlinks": f"""WITH {_PATHS} SELECT target, string_agg(source, ',' ORDER BY source) AS sources FROM (SELECT DISTINCT l.page_id AS source, d.page_id AS target FROM links l JOIN docs d ON href = d.path WHERE l.page_id <> d.page_id) GROUP BY 1""",
     "landing_dedupe": "SELECT doc_id, CASE WHEN text = first_value(text) OVER (PARTITION BY source ORDER BY doc_id) THEN 'landing' ELSE 'procedure' END AS role FROM documents",
     "membership_signature": f"WITH {_SCOPES} SELECT unit_id, string_agg(scope, ',' ORDER BY scope) AS signature FROM scopes GROUP BY 1",
-    "running_limit": "SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id) AS total, sum(n_chars) OVER (ORDER BY doc_id) > 1000000 AS over FROM documents",
+    "running_limit": "SELECT doc_id, CAST(sum(n_chars) OVER (ORDER BY doc_id) AS BIGINT) AS total, sum(n_chars) OVER (ORDER BY doc_id) > 1000000 AS over FROM documents",
     "heading_carry": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS heading FROM conversations",
     "section_slices": "SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS until FROM conversations WHERE role = 'user'",
     "next_step": "SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM conversations",
