@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quire.plans.fixpoint import reliable
 
 MOST_ROUNDS = 200
+#: Rounds after which what was reached is written as one table.
+ROUNDS_APART = 8
 
 
 def load(spark, sf_dir: str, name: str) -> DataFrame:
@@ -73,18 +75,22 @@ def best_configuration(selections: DataFrame, configurations: DataFrame, keys: l
 def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node): all nodes that each start reaches over edges (source, target), itself included.
 
-    Rounds of frontier joins; what was reached is a checkpoint after each, so a
-    lost executor repeats one round.
+    Rounds of frontier joins; each frontier is a checkpoint, so a lost executor
+    repeats one round. What was reached is the union of these, written anew every
+    few rounds.
     """
     edges = edges.select("source", "target").distinct()
     reached = reliable(starts.select(F.col("node").alias("start"), "node").distinct())
     frontier = reached
-    for _ in range(MOST_ROUNDS):
+    edges = reliable(edges)
+    for number in range(1, MOST_ROUNDS + 1):
         step = frontier.join(edges, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
         frontier = reliable(step.join(reached, ["start", "node"], "left_anti"))
         if frontier.isEmpty():
             return reached
-        reached = reliable(reached.unionByName(frontier))
+        reached = reached.unionByName(frontier)
+        if number % ROUNDS_APART == 0:
+            reached = reliable(reached)
     raise RuntimeError("closure did not settle")
 
 

@@ -52,8 +52,10 @@ def document_lengths(docs: DataFrame, id_column: str = "doc_id", text_column: st
     return docs.select(id_column, F.greatest(F.lit(1), F.size(T.indexed_tokens(F.col(text_column)))).cast("long").alias("dl"))
 
 
-def _is(term: str):
-    return lambda word: word == term
+def _alone(term: str) -> str:
+    """A pattern for the term as a whole library token."""
+    word = re.escape(term)
+    return rf"{word}(?<![\p{{L}}\p{{N}}_]{word})(?![\p{{L}}\p{{N}}_])"
 
 
 def _begins(term: str):
@@ -74,10 +76,9 @@ def scoped_search(scope: DataFrame, query: str, limit: int = 100, id_column: str
     if not terms:
         return scope.select(id_column, F.lit(0.0).alias("score"), F.lit("").alias("snippet")).limit(0)
     distinct = list(dict.fromkeys(terms))
-    words = T.library_tokens(F.col(text_column))
-    counted = scope.select(id_column, text_column, F.filter(words, lambda w: w.isin(distinct)).alias("__words"))
-    tf = [F.size(F.filter("__words", _is(t))).alias(f"__tf{k}") for k, t in enumerate(distinct)]
-    counted = counted.select(id_column, text_column, *tf)
+    # a term's tokens are counted where they stand, between characters that no token holds
+    tf = [F.regexp_count(F.lower(text_column), F.lit(_alone(t))).alias(f"__tf{k}") for k, t in enumerate(distinct)]
+    counted = scope.select(id_column, text_column, *tf)
     sums = counted.agg(F.count("*").alias("n"), *[F.count_if(F.col(f"__tf{k}") > 0).alias(f"df{k}") for k in range(len(distinct))])
     # one row of counts joins every document
     hits = counted.where(" and ".join(f"__tf{k} > 0" for k in range(len(distinct)))).crossJoin(F.broadcast(sums))
@@ -86,6 +87,8 @@ def scoped_search(scope: DataFrame, query: str, limit: int = 100, id_column: str
     )
     score = F.round(score, digits) if digits is not None else score
     top = hits.select(id_column, score.alias("score"), text_column).orderBy(F.desc("score"), id_column).limit(limit)
+    # the few rows are gathered before snippets are cut: so the limit stays a top-k, not a sort of all hits
+    top = top.repartition(1)
     return top.select(id_column, "score", T.snippet(F.col(text_column), distinct).alias("snippet"))
 
 
