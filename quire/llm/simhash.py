@@ -1,4 +1,7 @@
-"""SimHash near-duplicates by deletion-variant signatures.
+"""Near-duplicates: SimHash by deletion-variant signatures, or verified resemblance.
+
+``op2_simhash`` is what follows; ``cluster`` and ``keep_one`` as such, and so the
+pipeline's stage, take five-word resemblance from ``quire.llm.resemblance``.
 
 A fingerprint of 64 bits is cut into two segments of 32. Two fingerprints that
 differ in three bits or fewer differ in one bit at most in one of the segments,
@@ -13,8 +16,8 @@ blocks is walked in a task of its own, so no link is lost and no task grows.
 Buckets whose members all agree on the masked bit repeat another bucket (the one
 that masks bit 0) and are skipped. Copies are folded into one fingerprint first.
 
-Defined results: a null or blank text has fingerprint zero and is linked like
-any other; a null id keeps its row and doesn't count for the smallest id of its
+Defined results: a null or blank text has fingerprint zero; it is linked
+like any other by bits, with texts of no words only by resemblance; a null id keeps its row and doesn't count for the smallest id of its
 component, unless no other is there; repeated rows stay; an empty table gives an
 empty table. Other columns are ignored (``fingerprints``, ``cluster``) or kept
 (``keep_one``).
@@ -30,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import resemblance
 from quire.llm.common import partitions, reliable, table, word_windows
 from quire.llm.graph import components
 
@@ -155,11 +159,24 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.mapInArrow(_walk, "u bigint, v bigint")
 
 
-def cluster(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, fp, component_id): component_id is the smallest id that near links reach."""
-    prints = reliable(fingerprints(docs, id_column, text_column))
-    distinct = reliable(prints.groupBy("fp").agg(F.min("id").alias("first_id")))
-    roots = components(links(distinct))
+def cluster(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int | None = None) -> DataFrame:
+    """(id, fp, component_id): component_id is the smallest id that near links reach.
+
+    Near are texts whose five-word resemblance is 0.8 or more (``resemblance``;
+    fp names the shingle set) or, given ``bits``, texts whose SimHash
+    fingerprints of three words differ in that many bits, which must be three.
+    """
+    if bits is None:
+        prints = reliable(resemblance.prints(docs, id_column, text_column))
+        sized = prints.select("id", "fp", "bands", (F.length("shingles") / 4).cast("long").alias("size"))
+        distinct = reliable(sized.groupBy("fp").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"), F.first("size").alias("size")))
+        roots = components(resemblance.links(prints, distinct))
+    elif bits == MAX_BITS:
+        prints = reliable(fingerprints(docs, id_column, text_column))
+        distinct = reliable(prints.groupBy("fp").agg(F.min("id").alias("first_id")))
+        roots = components(links(distinct))
+    else:
+        raise ValueError(f"links are cut for {MAX_BITS} bits")
     reach = roots.select(F.col("u").alias("fp"), F.col("v").alias("root"))
     reach = reach.unionByName(reach.select(F.col("root").alias("fp"), "root").distinct())
     least = (
@@ -193,7 +210,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    return cluster(table(spark, sf_dir, "documents")).select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
+    return cluster(table(spark, sf_dir, "documents"), bits=MAX_BITS).select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
 
 
 QUERIES = {"op2_simhash": op2_simhash}

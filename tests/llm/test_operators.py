@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm import ann, chat, langid, mixing, packing, quality, secrets, sharding, simhash, sketches, tokens
+from quire.llm import ann, chat, langid, mixing, packing, quality, resemblance, secrets, sharding, simhash, sketches, tokens
 from quire.llm.common import word_windows
 
 SF = "/root/testdata/sf0.001"
@@ -203,6 +203,34 @@ def test_simhash_edges(odd, empty):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 4, 5, 6]
 
 
+def plain_resemblance(texts):
+    """Label of each text: the first that links of five-word resemblance 0.8 or more reach."""
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("rows", [1024, 3])
+def test_keep_one_by_resemblance(spark, texts, monkeypatch, rows):
+    """All of the tables' pairs, and edited copies in a row whose ends are far apart; also with chunks of few rows."""
+    monkeypatch.setattr(resemblance, "CHUNK_ROWS", rows)
+    random, made = np.random.default_rng(3), dict(texts)
+    for group in range(4):
+        words = [f"w{x}" for x in random.integers(0, 5000, 150)]
+        for step in range(25):
+            words[int(random.integers(0, 150))] = f"new{group}x{step}"
+            made[10_000 + 100 * group + step] = " ".join(words)
+    keys = sorted(made)
+    label = plain_resemblance([made[k] for k in keys])
+    frame = spark.createDataFrame([(k, made[k]) for k in keys], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.cluster(frame).collect()} == {k: keys[c] for k, c in zip(keys, label)}
+    assert sorted(r["doc_id"] for r in simhash.keep_one(frame).collect()) == sorted({keys[c] for c in label})
+
+
 # ---------------------------------------------------------------- 4: sketches
 
 
