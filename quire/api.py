@@ -7,7 +7,7 @@ from quire.operators.hierarchy import closure, graph_problems, qualifier_cube, r
 from quire.operators.interpret import alternatives, mentions
 from quire.operators.matching import decide, scope_counts
 from quire.operators.procedures import audit_links, extract_decisions, extract_tables, ordered_steps
-from quire.operators.relations import backlinks, leads, link_status, membership, shard_pack, shared_text
+from quire.operators.relations import backlinks, lead_members, leads, link_status, membership, shard_pack, shared_text
 from quire.operators.reviewlog import append, event, rebase
 from quire.operators.search import bm25, collapse, facets, postings, scoped_search
 from quire.plans.publish import ScopeCache, open_current, publish, search

@@ -37,10 +37,10 @@ def shared_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def leads(docs: DataFrame, source: str = "source", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(relation, key, source, documents): texts and identifiers that two sources or more share.
+    """(relation, key, source, first, documents, sources): a summary of the texts and identifiers that sources share.
 
-    Each side of a lead is a source with its smallest document, so a text that
-    thousands of documents share gives one row a source.
+    Each side is a source with its smallest document and how many there are;
+    ``lead_members`` names all of them.
     """
     text = docs.where(F.length(text_column) >= SHARED_CHARS).select(F.lit("same_text").alias("relation"), F.sha2(text_column, 256).alias("key"), source, id_column)
     parts = docs.select(F.lit("shared_part").alias("relation"), F.explode(T.identifiers(F.col(text_column))).alias("key"), source, id_column)
@@ -49,6 +49,22 @@ def leads(docs: DataFrame, source: str = "source", id_column: str = "doc_id", te
     return sides.join(shared, ["relation", "key"]).select("relation", "key", source, "first", "documents", "sources")
 
 
+def lead_members(docs: DataFrame, source: str = "source", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(relation, key, side, source, id): every document behind a lead between two sources.
+
+    Relations are same_text and shared_part; the side is 'member'.
+    Rows grow with the documents, not with the pairs.
+    """
+    text = docs.where(F.length(text_column) >= SHARED_CHARS).select(F.lit("same_text").alias("relation"), F.sha2(text_column, 256).alias("key"), F.lit("member").alias("side"), source, id_column)
+    parts = docs.select(F.lit("shared_part").alias("relation"), F.explode(T.identifiers(F.col(text_column))).alias("key"), F.lit("member").alias("side"), source, id_column)
+    rows = text.unionByName(parts)
+    other = F.when(F.col("side") == "mention", "target").when(F.col("side") == "target", "mention").otherwise("member")
+    spans = rows.groupBy("relation", "key", other.alias("side")).agg(F.min(F.struct(source)).alias("__low"), F.max(F.struct(source)).alias("__high"))
+    own = F.struct(source)
+    met = rows.join(spans, ["relation", "key", "side"]).where(~own.eqNullSafe(F.col("__low")) | ~own.eqNullSafe(F.col("__high")))
+    return met.select("relation", "key", "side", source, id_column)
+
+
 PAGE_LINK = r'<a\s+href="([^"]*)"'
 
 
@@ -213,6 +229,13 @@ def q_shared_leads(spark, sf_dir):
     return leads(docs.withColumn("text", F.concat("text", F.lit("\nPART-"), F.col("doc_id") % 40 + 100)))
 
 
+def q_lead_members(spark, sf_dir):
+    odd = F.col("doc_id") % 2 == 1
+    part = F.when(odd, F.concat(F.lit("\nPART-"), F.col("doc_id") % 37 + 100)).otherwise("")
+    docs = load(spark, sf_dir, "documents").withColumn("text", F.concat("text", part))
+    return lead_members(docs)
+
+
 def q_page_titles(spark, sf_dir):
     pages = load(spark, sf_dir, "pages")
     return pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
@@ -412,6 +435,7 @@ QUERIES = {
     "same_text_groups": q_same_text_groups,
     "shared_text": q_shared_text,
     "shared_leads": q_shared_leads,
+    "lead_members": q_lead_members,
     "page_titles": q_page_titles,
     "page_links": q_page_links,
     "page_roles": q_page_roles,
@@ -454,6 +478,10 @@ ORACLE_SQL = {
         UNION ALL SELECT 'shared_part', unnest(list_distinct(list_filter(list_transform(regexp_extract_all(upper(text), '[A-Z0-9-]+'), lambda r: regexp_extract(r, '(?:^|-)([A-Z0-9]{{4,}}-[A-Z0-9-]{{3,}})$', 1)), lambda r: r <> ''))), source, doc_id FROM d),
       s AS (SELECT relation, key, source, min(doc_id) AS first, count(*) AS documents FROM x GROUP BY ALL)
       SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY relation, key) AS sources FROM s) WHERE sources > 1""",
+    "lead_members": f"""WITH d AS (SELECT doc_id, source, text || CASE WHEN doc_id % 2 = 1 THEN chr(10) || 'PART-' || (doc_id % 37 + 100) ELSE '' END AS text FROM documents),
+      x AS (SELECT 'same_text' AS relation, sha256(text) AS key, source, doc_id FROM d WHERE length(text) >= {SHARED_CHARS}
+        UNION ALL SELECT 'shared_part', unnest(list_distinct(list_filter(list_transform(regexp_extract_all(upper(text), '[A-Z0-9-]+'), lambda r: regexp_extract(r, '(?:^|-)([A-Z0-9]{{4,}}-[A-Z0-9-]{{3,}})$', 1)), lambda r: r <> ''))), source, doc_id FROM d)
+      SELECT relation, key, 'member' AS side, source, doc_id FROM x WHERE EXISTS (SELECT 1 FROM x y WHERE y.relation = x.relation AND y.key = x.key AND y.source <> x.source)""",
     "page_titles": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading FROM pages",
     "page_links": f"SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS ord FROM (SELECT page_id, regexp_extract_all(html, '{PAGE_LINK}', 1) AS h FROM pages)",
     "page_roles": rf"""SELECT page_id, CASE WHEN name = 'external-car.html' THEN 'unavailable' WHEN name IN ('index.html', '404.html') THEN 'landing'

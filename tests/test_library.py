@@ -132,3 +132,11 @@ def test_stream_of_events(spark, tmp_path):
     query.stop()
     got = spark.read.parquet(f"{tmp_path}/out").select("key", "action").collect()
     assert sorted(tuple(r) for r in got) == [("k1", "accept"), ("k2", "propose")]
+
+
+def test_lead_members(spark):
+    """Every document behind a lead."""
+    rows = [(1, "a", "Part ABCD-123"), (2, "a", "part abcd-123, EFGH-456"), (3, "b", "ABCD-123"), (4, "a", "EFGH-456"), (5, "c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {tuple(r) for r in relations.lead_members(docs).collect()}
+    assert got == {("shared_part", "ABCD-123", "member", s, k) for k, s, _ in rows[:3]}
