@@ -40,7 +40,7 @@ def leads(docs: DataFrame, source: str = "source", id_column: str = "doc_id", te
     """(relation, key, source, first, documents, sources): a summary of the texts and identifiers that sources share.
 
     Each side is a source with its smallest document and how many there are;
-    ``lead_members`` names all of them.
+    ``lead_members`` names all of them, and has the mentions of titles.
     """
     text = docs.where(F.length(text_column) >= SHARED_CHARS).select(F.lit("same_text").alias("relation"), F.sha2(text_column, 256).alias("key"), source, id_column)
     parts = docs.select(F.lit("shared_part").alias("relation"), F.explode(T.identifiers(F.col(text_column))).alias("key"), source, id_column)
@@ -49,15 +49,50 @@ def leads(docs: DataFrame, source: str = "source", id_column: str = "doc_id", te
     return sides.join(shared, ["relation", "key"]).select("relation", "key", source, "first", "documents", "sources")
 
 
-def lead_members(docs: DataFrame, source: str = "source", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+#: Titles below this length are too common for a mention of them to be a lead.
+TITLE_CHARS = 8
+
+
+def title_mentions(docs: DataFrame, title_column: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(key, id): documents that say 'see' or 'refer to' a title of any document; key is the title, lower-cased.
+
+    What follows the words is cut to each length that titles have and joined by
+    equality, so no text meets a title that isn't there. The lengths are gathered;
+    there are no more of them than the longest title has characters.
+    """
+    titles = docs.select(F.trim(title_column).alias("title")).where(F.length("title") >= TITLE_CHARS)
+    lengths = sorted(row[0] for row in titles.select(F.length("title")).distinct().collect())
+    if not lengths:
+        return docs.select(F.lit("").alias("key"), id_column).limit(0)
+    ahead = rf"(?isU)\b(?:see|refer to)\s+(?=(\S.{{0,{lengths[-1]}}}))"
+    rests = docs.select(id_column, F.explode(F.regexp_extract_all(text_column, F.lit(ahead), F.lit(1))).alias("rest"))
+    cut = rests.select(id_column, "rest", F.explode(F.array(*map(F.lit, lengths))).alias("chars")).where(F.length("rest") >= F.col("chars"))
+    # as \b after the title: of its last character and the next, one is part of a word
+    last, after = F.expr("substring(rest, chars, 1)"), F.expr("substring(rest, chars + 1, 1)")
+    cut = cut.where(last.rlike(r"(?U)\w") != after.rlike(r"(?U)\w")).select(F.lower(F.expr("substring(rest, 1, chars)")).alias("key"), id_column)
+    return cut.join(titles.select(F.lower("title").alias("key")).distinct(), "key", "left_semi").distinct()
+
+
+def lead_members(docs: DataFrame, source: str = "source", id_column: str = "doc_id", text_column: str = "text", title_column: str | None = None) -> DataFrame:
     """(relation, key, side, source, id): every document behind a lead between two sources.
 
-    Relations are same_text and shared_part; the side is 'member'.
+    Relations are same_text and shared_part, whose documents are all of side
+    'member', and section_applies where a title column is given: 'mention' says
+    see or refer to the title that 'target' has. Two documents of one relation and
+    key, of different sources and, for section_applies, sides, are a lead; pairs of
+    several relations count as same_text, then section_applies, then shared_part.
     Rows grow with the documents, not with the pairs.
     """
     text = docs.where(F.length(text_column) >= SHARED_CHARS).select(F.lit("same_text").alias("relation"), F.sha2(text_column, 256).alias("key"), F.lit("member").alias("side"), source, id_column)
     parts = docs.select(F.lit("shared_part").alias("relation"), F.explode(T.identifiers(F.col(text_column))).alias("key"), F.lit("member").alias("side"), source, id_column)
     rows = text.unionByName(parts)
+    if title_column:
+        title = F.trim(title_column)
+        targets = docs.where(F.length(title) >= TITLE_CHARS).select(F.lit("section_applies").alias("relation"), F.lower(title).alias("key"), F.lit("target").alias("side"), source, id_column)
+        found = title_mentions(docs, title_column, id_column, text_column).withColumnRenamed(id_column, "__id")
+        of = docs.select(source, id_column).distinct()
+        mentions = found.join(of, F.col("__id") == F.col(id_column)).select(F.lit("section_applies").alias("relation"), "key", F.lit("mention").alias("side"), source, id_column)
+        rows = rows.unionByName(targets).unionByName(mentions)
     other = F.when(F.col("side") == "mention", "target").when(F.col("side") == "target", "mention").otherwise("member")
     spans = rows.groupBy("relation", "key", other.alias("side")).agg(F.min(F.struct(source)).alias("__low"), F.max(F.struct(source)).alias("__high"))
     own = F.struct(source)
@@ -232,8 +267,9 @@ def q_shared_leads(spark, sf_dir):
 def q_lead_members(spark, sf_dir):
     odd = F.col("doc_id") % 2 == 1
     part = F.when(odd, F.concat(F.lit("\nPART-"), F.col("doc_id") % 37 + 100)).otherwise("")
-    docs = load(spark, sf_dir, "documents").withColumn("text", F.concat("text", part))
-    return lead_members(docs)
+    mention = F.when(F.col("doc_id") % 6 == 3, F.concat(F.lit("\nRefer to  service NOTE "), F.col("doc_id") * 7 % 600, F.lit("."))).otherwise("")
+    docs = load(spark, sf_dir, "documents").withColumn("text", F.concat("text", part, mention))
+    return lead_members(docs.withColumn("title", F.concat(F.lit("Service note "), F.col("doc_id") % 500)), title_column="title")
 
 
 def q_page_titles(spark, sf_dir):
@@ -478,10 +514,14 @@ ORACLE_SQL = {
         UNION ALL SELECT 'shared_part', unnest(list_distinct(list_filter(list_transform(regexp_extract_all(upper(text), '[A-Z0-9-]+'), lambda r: regexp_extract(r, '(?:^|-)([A-Z0-9]{{4,}}-[A-Z0-9-]{{3,}})$', 1)), lambda r: r <> ''))), source, doc_id FROM d),
       s AS (SELECT relation, key, source, min(doc_id) AS first, count(*) AS documents FROM x GROUP BY ALL)
       SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY relation, key) AS sources FROM s) WHERE sources > 1""",
-    "lead_members": f"""WITH d AS (SELECT doc_id, source, text || CASE WHEN doc_id % 2 = 1 THEN chr(10) || 'PART-' || (doc_id % 37 + 100) ELSE '' END AS text FROM documents),
+    "lead_members": f"""WITH d AS (SELECT doc_id, source, 'service note ' || (doc_id % 500) AS title, text || CASE WHEN doc_id % 2 = 1 THEN chr(10) || 'PART-' || (doc_id % 37 + 100) ELSE '' END
+        || CASE WHEN doc_id % 6 = 3 THEN chr(10) || 'Refer to  service NOTE ' || (doc_id * 7 % 600) || '.' ELSE '' END AS text FROM documents),
       x AS (SELECT 'same_text' AS relation, sha256(text) AS key, source, doc_id FROM d WHERE length(text) >= {SHARED_CHARS}
-        UNION ALL SELECT 'shared_part', unnest(list_distinct(list_filter(list_transform(regexp_extract_all(upper(text), '[A-Z0-9-]+'), lambda r: regexp_extract(r, '(?:^|-)([A-Z0-9]{{4,}}-[A-Z0-9-]{{3,}})$', 1)), lambda r: r <> ''))), source, doc_id FROM d)
-      SELECT relation, key, 'member' AS side, source, doc_id FROM x WHERE EXISTS (SELECT 1 FROM x y WHERE y.relation = x.relation AND y.key = x.key AND y.source <> x.source)""",
+        UNION ALL SELECT 'shared_part', unnest(list_distinct(list_filter(list_transform(regexp_extract_all(upper(text), '[A-Z0-9-]+'), lambda r: regexp_extract(r, '(?:^|-)([A-Z0-9]{{4,}}-[A-Z0-9-]{{3,}})$', 1)), lambda r: r <> ''))), source, doc_id FROM d),
+      m AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(lower(text), '\\b(?:see|refer to)\\s+(service note [0-9]+)\\b', 1)) AS key FROM d)
+      SELECT relation, key, 'member' AS side, source, doc_id FROM x WHERE EXISTS (SELECT 1 FROM x y WHERE y.relation = x.relation AND y.key = x.key AND y.source <> x.source)
+      UNION ALL SELECT 'section_applies', key, 'mention', source, doc_id FROM m WHERE EXISTS (SELECT 1 FROM d WHERE title = key AND d.source <> m.source)
+      UNION ALL SELECT 'section_applies', title, 'target', source, doc_id FROM d WHERE EXISTS (SELECT 1 FROM m WHERE key = title AND d.source <> m.source)""",
     "page_titles": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading FROM pages",
     "page_links": f"SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS ord FROM (SELECT page_id, regexp_extract_all(html, '{PAGE_LINK}', 1) AS h FROM pages)",
     "page_roles": rf"""SELECT page_id, CASE WHEN name = 'external-car.html' THEN 'unavailable' WHEN name IN ('index.html', '404.html') THEN 'landing'

@@ -140,3 +140,23 @@ def test_lead_members(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     got = {tuple(r) for r in relations.lead_members(docs).collect()}
     assert got == {("shared_part", "ABCD-123", "member", s, k) for k, s, _ in rows[:3]}
+
+
+def test_lead_members_of_titles(spark):
+    """Every document behind a lead, and mentions of titles as the reference's pattern finds them."""
+    import re
+
+    rows = [
+        (1, "a", "Brake pads", "Part ABCD-123. See  brake PADS, or refer to Coolant (hot)x"), (2, "a", "Coolant (hot)", "part abcd-123 and foresee Wheel nuts"),
+        (3, "b", "Brake pads", "ABCD-123"), (4, "b", "Wheel nuts", "ABCD-123; see\nsee wheel nutsy"), (5, "c", "Coolant (hot)", "refer to brake pads2; SEE\tWheel nuts"),
+        (6, "c", "Short", "see Short, see Coolant (hot). see coolant (hot)"), (7, "d", "to see now", "see to see now"), (8, "e", None, "see To See Now"),
+        (9, "f", "Short", None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, title string, text string")
+    got = {tuple(r) for r in relations.lead_members(docs, title_column="title").collect()}
+    expected = {("shared_part", "ABCD-123", "member", s, k) for k, s, _, _ in rows[:4]}
+    for k, s, _, text in rows:
+        for t, other, title, _ in rows:
+            if s != other and title and len(title) >= 8 and re.search(r"\b(?:see|refer to)\s+" + re.escape(title) + r"\b", text or "", re.I):
+                expected |= {("section_applies", title.lower(), "mention", s, k), ("section_applies", title.lower(), "target", other, t)}
+    assert got == expected and len(expected) > 8
