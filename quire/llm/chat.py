@@ -103,7 +103,13 @@ def op7_chat(spark, sf_dir: str) -> DataFrame:
     return segments(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op7_chat": op7_chat}
+def op7_dialogues(spark, sf_dir: str) -> DataFrame:
+    """Every conversation as texts in turn order, from every participant's perspective; masks are start-end, by commas."""
+    shown = F.transform("masks", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))
+    return dialogues(table(spark, sf_dir, "conversations")).withColumn("masks", F.array_join(shown, ","))
+
+
+QUERIES = {"op7_chat": op7_chat, "op7_dialogues": op7_dialogues}
 
 ORACLE_SQL = {
     "op7_chat": """
@@ -122,3 +128,16 @@ SELECT conv_id, perspective, turn, speaker, header || content || '<|end|>' || ch
 FROM seen
 """
 }
+
+ORACLE_SQL["op7_dialogues"] = f"""
+WITH rows AS ({ORACLE_SQL["op7_chat"]}), placed AS (
+  SELECT *, CAST(floor(coalesce(turn, 0) / {PART_TURNS}) AS BIGINT) AS part FROM rows
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, speaker NULLS FIRST, segment, mask_start NULLS FIRST) AS k FROM placed
+), begun AS (
+  SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective, part ORDER BY k) - length(segment) AS BIGINT) AS begin FROM ordered
+)
+SELECT conv_id, perspective, part, string_agg(segment, '' ORDER BY k) AS text,
+  coalesce(string_agg((begin + mask_start) || '-' || (begin + mask_end), ',' ORDER BY k) FILTER (mask_start IS NOT NULL), '') AS masks
+FROM begun GROUP BY 1, 2, 3
+"""

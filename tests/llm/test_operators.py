@@ -430,6 +430,21 @@ def test_chat_round_trip(spark):
     assert seen == sum(len({role for _, role, _ in t} - {"system"}) or 1 for t in turns.values())
 
 
+def test_chat_dialogues_query_over_parts(spark, tmp_path):
+    """Turns in any row order, over several parts: texts in turn order, masks on what the assistant says."""
+    turns = [(1, k, ("ann", "bob")[k % 2], f"says {k}") for k in range(150)]
+    spark.createDataFrame(turns[::-1], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = chat.op7_dialogues(spark, str(tmp_path)).collect()
+    assert sorted((r["perspective"], r["part"]) for r in rows) == [(p, k) for p in ("ann", "bob") for k in range(3)]
+    for who in ("ann", "bob"):
+        said = []
+        for r in sorted((r for r in rows if r["perspective"] == who), key=lambda r: r["part"]):
+            for mask in r["masks"].split(","):
+                start, end = map(int, mask.split("-"))
+                said.append(r["text"][start:end])
+        assert said == [t[3] + chat.END[:-1] for t in turns if t[2] == who]
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, None, "a"), (1, 1, "bob|>", None), (1, 1, "bob|>", None), (None, 0, "amy", "<|end|>"), (2, 0, "system", "s"), (None, 1, "bob", "")]
     frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("perspective", F.lit(1)).withColumn("conv", F.lit(1))
