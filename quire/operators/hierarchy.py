@@ -194,6 +194,11 @@ def q_ancestor_closure(spark, sf_dir):
     return closure(edges, starts).groupBy("node").agg(F.count("*").alias("below"))
 
 
+def q_order_closure(spark, sf_dir):
+    up = load(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("source"), F.concat(F.lit("c"), "o_custkey").alias("target"))
+    return closure(_tree(spark, sf_dir).unionByName(up), up.select(F.col("source").alias("node"))).groupBy("node").agg(F.count("*").alias("below"))
+
+
 def _graph(spark, sf_dir):
     """Each order leads to two others by arithmetic, so there are chains and cycles."""
     keys = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
@@ -225,6 +230,7 @@ QUERIES = {
     "config_best_match": q_best_configuration,
     "config_best_match_all": q_best_configuration_all,
     "ancestor_closure": q_ancestor_closure,
+    "order_closure": q_order_closure,
     "reachability": q_reachability,
     "graph_problems": q_graph_problems,
 }
@@ -247,6 +253,9 @@ ORACLE_SQL = {
         FROM part s JOIN c USING (p_brand) WHERE (a IS NULL OR a = s.p_size % 5) AND (b IS NULL OR b = s.p_size % 3)) SELECT selection_id, configuration_id FROM m WHERE k = 1""",
     "ancestor_closure": """SELECT 'c' || c_custkey AS node, 1 AS below FROM customer UNION ALL SELECT 'n' || c_nationkey, count(*) FROM customer GROUP BY 1
       UNION ALL SELECT 'r' || n_regionkey, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""",
+    "order_closure": """SELECT 'o' || o_orderkey AS node, 1 AS below FROM orders UNION ALL SELECT 'c' || o_custkey, count(*) FROM orders GROUP BY 1
+      UNION ALL SELECT 'n' || c_nationkey, count(*) FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1
+      UNION ALL SELECT 'r' || n_regionkey, count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""",
     "reachability": f"""WITH {_EDGES} f(node) AS (SELECT p_partkey FROM part WHERE p_partkey % 50 = 0 UNION SELECT source FROM g JOIN f ON target = node)
       SELECT CAST(node AS VARCHAR) AS node FROM f""",
     "range_predicate_join_all": """SELECT p_partkey, count(*) AS orders, min(day) AS first, max(day) AS last FROM (SELECT date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders)
