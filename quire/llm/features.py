@@ -1,4 +1,10 @@
-"""Hashed character n-grams and their document frequencies."""
+"""Hashed character n-grams, their document frequencies, and bounded samples.
+
+Defined results: a null or empty text has no feature and counts as a row; texts
+are read whole, window by window; an empty table has no counts and no sample;
+rows without a label are not for these functions, callers leave them out; null
+and repeated ids are sampled like any other.
+"""
 
 from __future__ import annotations
 
@@ -96,26 +102,25 @@ def weighted(text: str, orders: tuple[int, ...], bits: int, fold: bool, idf: np.
     return where, values / norm if norm else values
 
 
-def bounded_sample(keys: DataFrame, label: str, per_label: int) -> DataFrame:
-    """About ``per_label`` rows of each label, or all where there are fewer.
+def bounded_sample(keys: DataFrame, label: str, per_label: int, in_all: int, *parts: str) -> DataFrame:
+    """About ``per_label`` rows of each label, or all where there are fewer, and about ``in_all`` of all labels.
 
-    Chosen by a hash of column ``id``, so the same rows every time; what is
-    returned is bounded by the number of labels.
+    Chosen by a hash of the columns ``parts``, so the same rows every time. With
+    very many labels each has a smaller share of ``in_all``.
     """
     sizes = keys.groupBy(label).agg(F.count("*").alias("__rows"))
-    if sizes.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+    labels = max(1, sizes.count())
+    if labels <= BROADCAST_LABELS:
         # else the rows, texts and all, would be dealt out by label
         sizes = F.broadcast(sizes)
-    share = F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("__rows"))
-    spot = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.least(F.lit(1.0), F.lit(min(float(per_label), in_all / labels)) / F.col("__rows"))
+    spot = F.pmod(F.xxhash64(F.lit(7), *parts), F.lit(1 << 30)) / float(1 << 30)
     return keys.join(sizes, label).where(spot < share).drop("__rows")
 
 
 def sample_vectors(rows: DataFrame, vector: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
     """[(id, label, features, weights)] of a bounded sample (columns id, label, text), by id.
 
-    Rows that repeat an id and a label are one, so an id that very many rows
-    repeat doesn't break the sample's bound.
     ``vector`` makes sparse vectors of a bounded size, however long a text is.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +136,9 @@ def sample_vectors(rows: DataFrame, vector: Callable[[str], tuple[np.ndarray, np
             )
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    once = rows.groupBy("id", "label").agg(F.min("text").alias("text"))
-    found = once.mapInArrow(
+    found = rows.select("id", "label", "text").mapInArrow(
         run, f"id {kinds['id']}, label {kinds['label']}, features binary, weights binary"
     )
     got = [(r[0], r[1], np.frombuffer(r[2], "<u4"), np.frombuffer(r[3], "<f4")) for r in found.collect()]
-    got.sort(key=lambda r: (r[0] is None, r[0], r[2].tobytes()))
+    got.sort(key=lambda r: (r[0] is None, r[0], r[1], r[2].tobytes(), r[3].tobytes()))
     return got

@@ -3,15 +3,18 @@
 Features are TF-IDF weights of hashed character n-grams. Document frequencies
 come from all rows that may be learnt from; weights are learnt with
 follow-the-regularised-leader (per-coordinate rates, L1 and L2 penalties) on a
-bounded sample of them, ``SAMPLE_PER_LANGUAGE`` rows of each language; the
-temperature that scales the scores is then fitted on rows of the sample that
-the training left out.
+bounded sample of them, ``SAMPLE_PER_LANGUAGE`` rows of each language and
+``SAMPLE_ROWS`` in all; the temperature that scales the scores is then fitted on
+rows of the sample that the training left out. Weights are kept sparse, so the
+model that is broadcast grows with the weights that the L1 penalty leaves; with
+more than ``CELLS`` >> BITS languages n-grams share fewer features.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
-languages are those seen in the rows learnt from; with none, every row is
-``und``; rows that repeat an id are learnt from once and scored each; texts are read whole; an empty table
-gives an empty table. Other columns are ignored (``predict``) or kept
-(``keep_identified``).
+languages are those seen in the sample, which holds every one unless there are
+more than ``SAMPLE_ROWS``; with none, every row is ``und``; rows that repeat an
+id, a language and a text are learnt from once and scored each; null ids are
+learnt from like others; texts are read whole; an empty table gives an empty
+table. Other columns are ignored (``predict``) or kept (``keep_identified``).
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from quire.llm.common import held_out, table
 from quire.llm.features import bounded_sample, document_frequencies, inverse_frequencies, sample_vectors, weighted
 
 ORDERS, BITS = (1, 2, 3), 16
-#: Bound of the training sample: about so many rows of each language.
-SAMPLE_PER_LANGUAGE = 1500
+#: Bounds of the training sample: about so many rows of each language, and of all.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 1500, 8000
+#: Bound of the learner's state: features times languages.
+CELLS = 1 << 24
 #: Every so-many-th row of the sample fits the temperature.
 CALIBRATE_EVERY = 5
 EPOCHS = 3
@@ -101,16 +106,33 @@ def fit_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+class Sparse:
+    """The weights other than zero, feature by feature."""
+
+    def __init__(self, dense: np.ndarray):
+        rows, self.columns = np.nonzero(dense)
+        self.values, self.classes = dense[rows, self.columns], dense.shape[1]
+        self.starts = np.searchsorted(rows, np.arange(len(dense) + 1))
+
+    def scores(self, where: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The sum over a text's features, for each class."""
+        begin, sizes = self.starts[where], self.starts[where + 1] - self.starts[where]
+        ends = np.cumsum(sizes)
+        spots = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + sizes, sizes)
+        return np.bincount(self.columns[spots], np.repeat(values, sizes) * self.values[spots], self.classes)
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
     idf: np.ndarray
-    weights: np.ndarray
+    weights: Sparse
     temperature: float
 
     def probabilities(self, text: str) -> np.ndarray:
-        where, values = weighted(text, ORDERS, BITS, True, self.idf)
-        return softmax(values @ self.weights[where] / self.temperature)
+        bits = len(self.idf).bit_length() - 1
+        where, values = weighted(text, ORDERS, bits, True, self.idf)
+        return softmax(self.weights.scores(where, values) / self.temperature)
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> LanguageModel:
@@ -118,21 +140,26 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     rows = docs.select(
         F.col(id_column).alias("id"), F.col(lang_column).alias("label"), F.col(text_column).alias("text")
     ).where(F.col("label").isNotNull() & F.col("text").isNotNull())
-    counts, total = document_frequencies(rows, ORDERS, BITS, True)
+    chosen = bounded_sample(rows, "label", SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, "id", "text")
+    # rows that repeat are one, however many there are
+    chosen = chosen.groupBy("id", "label", F.xxhash64("text")).agg(F.min("text").alias("text"))
+    labels = min(SAMPLE_ROWS, max(1, rows.select("label").distinct().count()))
+    bits = min(BITS, (CELLS // labels).bit_length() - 1)
+    counts, total = document_frequencies(rows, ORDERS, bits, True)
     idf = inverse_frequencies(counts, total)
-    sample = sample_vectors(bounded_sample(rows, "label", SAMPLE_PER_LANGUAGE), lambda text: weighted(text, ORDERS, BITS, True, idf))
+    sample = sample_vectors(chosen, lambda text: weighted(text, ORDERS, bits, True, idf))
     languages = sorted({label for _, label, _, _ in sample})
     number = {label: k for k, label in enumerate(languages)}
     order = np.random.default_rng(11).permutation(len(sample))
-    learner = Ftrl(1 << BITS, max(1, len(languages)))
+    learner = Ftrl(1 << bits, max(1, len(languages)))
     kept = [i for i in order if i % CALIBRATE_EVERY]
     rest = [i for i in order if not i % CALIBRATE_EVERY]
     for _ in range(EPOCHS):
         for i in kept:
             _, label, where, values = sample[i]
             learner.learn(where, values, number[label])
-    weights = learner.weights().astype(np.float32)
-    scores = np.array([sample[i][3] @ weights[sample[i][2]] for i in rest]).reshape(len(rest), max(1, len(languages)))
+    weights = Sparse(learner.weights().astype(np.float32))
+    scores = np.array([weights.scores(sample[i][2], sample[i][3]) for i in rest]).reshape(len(rest), max(1, len(languages)))
     return LanguageModel(languages, idf, weights, fit_temperature(scores, np.array([number[sample[i][1]] for i in rest], int)))
 
 

@@ -2,19 +2,22 @@
 
 Texts are TF-IDF vectors of hashed character n-grams (case kept), beside terms
 for the text's shape (how many words repeat the one or two before, how many are
-upper case, how many have no letter), projected to ``LATENT`` dimensions by a truncated singular-value decomposition. The labelled
-vectors, ``SAMPLE_PER_LABEL`` for each label at most and so of a bounded size,
-are broadcast. Every document's cosine with every one of them is computed
-exactly, in blocks, and the nearest ones vote with their similarity as weight.
+upper case, how many have no letter), projected to ``LATENT`` dimensions by a
+truncated singular-value decomposition. The labelled vectors, ``SAMPLE_PER_LABEL``
+for each label at most and so of a bounded size, are broadcast. Every document's
+cosine with every one of them is computed exactly, in blocks, and the nearest
+ones vote, each with its similarity (its cosine, or 0 below that) as weight.
 
-The sample holds as many rows of either label, whatever their shares in the
-table, so a vote weighs each neighbour by its label's share of all labelled rows
-over its share of the sample, to a power (``PRIOR_POWER``).
+How many neighbours vote is chosen while learning, from ``NEIGHBOURS``: the number
+whose scores have the least log loss on the sample's own rows, each left out once
+and both labels counting the same. No other label is ever looked at.
 
 Defined results: null and empty texts have no feature; they get the share of
-label 1 among the labelled rows (0.5 with none); rows with a null label are not
-learnt from; repeated label rows count once; labels without a document are
-ignored; an empty table gives an empty table. Other columns are ignored.
+label 1 among the labelled rows (0.5 with none), as do texts that resemble no
+labelled one; rows with a null label or id are not learnt from; repeated label
+rows count once; of documents that repeat an id the first text is learnt from;
+labels without a document are ignored, they are neither counted nor sampled; an
+empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +38,11 @@ ORDERS, BITS = (1, 2, 3), 13
 #: Bound of the labelled sample: about so many rows of each label.
 SAMPLE_PER_LABEL = 1500
 LATENT, OVERSAMPLE, POWER_STEPS = 64, 16, 2
-NEIGHBOURS, SHARPNESS = 25, 32.0
-PRIOR_POWER = 0.5
+#: Numbers of neighbours to choose from, the first of those that do equally well.
+NEIGHBOURS = (3, 5, 9, 25)
 THRESHOLD = 0.3
+#: Cosines that differ by no more are the same.
+TIE = 1e-5
 #: Length of the shape terms against the n-gram terms, and where their steps lie.
 SHAPE_WEIGHT = 1.0
 SHAPE_STEPS = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7])
@@ -92,8 +97,8 @@ class NeighbourModel:
     basis: np.ndarray  # features x latent
     vectors: np.ndarray  # labelled x latent, unit length
     labels: np.ndarray
-    worth: np.ndarray  # of each labelled row's vote
     prior: float
+    neighbours: int
 
     def latent(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.basis.shape[1]), np.float32)
@@ -112,36 +117,64 @@ class NeighbourModel:
         filled = np.flatnonzero(np.abs(vectors).sum(axis=1) > 0)
         if not filled.size:
             return out
-        cosines = _unit(vectors[filled]) @ self.vectors.T
-        count = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosines, count - 1, axis=1)[:, :count]
-        weights = np.maximum(np.take_along_axis(cosines, near, axis=1), 1e-6).astype(np.float64) ** SHARPNESS * self.worth[near]
-        total = weights.sum(axis=1)
-        out[filled] = np.where(total > 0, (weights * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-300), self.prior)
-        return np.clip(out, 0.0, 1.0)
+        out[filled] = votes(_unit(vectors[filled]) @ self.vectors.T, self.labels, self.neighbours, self.prior)
+        return out
+
+
+def votes(cosines: np.ndarray, labels: np.ndarray, count: int, prior: float) -> np.ndarray:
+    """Share of label 1 among the nearest ``count`` of each row, weighted by similarity; those that tie for the last places share them."""
+    count = min(count, len(labels))
+    edge = -np.partition(-cosines, count - 1, axis=1)[:, count - 1 : count]
+    above, tied = cosines > edge + TIE, np.abs(cosines - edge) <= TIE
+    share = (count - above.sum(axis=1, keepdims=True)) / tied.sum(axis=1, keepdims=True)
+    weights = np.maximum(cosines, 0.0) * (above + tied * share)
+    total = weights.sum(axis=1)
+    return np.where(total > 0, np.clip(weights @ labels / np.where(total > 0, total, 1.0), 0.0, 1.0), prior)
+
+
+def choose_neighbours(vectors: np.ndarray, labels: np.ndarray, prior: float) -> int:
+    """The number of neighbours whose scores lose least on the rows themselves, each left out once."""
+    if len(labels) < 2:
+        return NEIGHBOURS[0]
+    scores = {count: [] for count in NEIGHBOURS}
+    for begin in range(0, len(labels), BLOCK_ROWS):
+        cosines = vectors[begin : begin + BLOCK_ROWS] @ vectors.T
+        rows = np.arange(len(cosines))
+        cosines[rows, begin + rows] = -1.0  # nobody votes on itself
+        for count in NEIGHBOURS:
+            scores[count].append(votes(cosines, labels, min(count, len(labels) - 1), prior))
+
+    def loss(count: int) -> float:
+        score = np.concatenate(scores[count])
+        lost = -np.log(np.maximum(np.where(labels == 1, score, 1 - score), 0.01))
+        return float(np.mean([lost[labels == k].mean() for k in np.unique(labels)]))
+
+    return min(NEIGHBOURS, key=loss)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> NeighbourModel:
     """Learn from the labels of these documents."""
     texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).alias("label")).where("id is not null and label in (0, 1)").distinct()
+    # only labels that have a document count, so the sample is drawn from these
+    known = known.join(texts.select("id"), "id", "left_semi")
     counts, total = document_frequencies(texts, ORDERS, BITS, False)
     idf = inverse_frequencies(counts, total)
     shares = {r[0]: r[1] for r in known.groupBy("label").agg(F.count("*")).collect()}
-    chosen = F.broadcast(bounded_sample(known, "label", SAMPLE_PER_LABEL))  # bounded by SAMPLE_PER_LABEL
-    sample = sample_vectors(texts.join(chosen, "id"), lambda text: vector(text, idf))
-    sample = [row for row in sample if row[2].size]
+    chosen = F.broadcast(bounded_sample(known, "label", SAMPLE_PER_LABEL, 2 * SAMPLE_PER_LABEL, "id"))  # bounded by SAMPLE_PER_LABEL
+    # an id that very many rows repeat doesn't break the sample's bound
+    found = texts.join(chosen, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    sample = [row for row in sample_vectors(found, lambda text: vector(text, idf)) if row[2].size]
     prior = shares.get(1, 0) / sum(shares.values()) if shares else 0.5
     if not sample:
-        return NeighbourModel(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), prior)
+        return NeighbourModel(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior, NEIGHBOURS[0])
     matrix = np.zeros((len(sample), TERMS), np.float32)
     for row, (_, _, where, values) in enumerate(sample):
         matrix[row, where] = values
     basis = truncated_svd(matrix, LATENT)
     marks = np.array([row[1] for row in sample], np.float64)
-    drawn = {k: max(1, int((marks == k).sum())) for k in (0, 1)}
-    worth = np.array([(shares[k] / drawn[k]) ** PRIOR_POWER for k in marks.astype(int).tolist()])
-    return NeighbourModel(idf, basis, _unit(matrix @ basis), marks, worth, prior)
+    vectors = _unit(matrix @ basis)
+    return NeighbourModel(idf, basis, vectors, marks, prior, choose_neighbours(vectors, marks, prior))
 
 
 def score(docs: DataFrame, model: NeighbourModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
