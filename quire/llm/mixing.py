@@ -8,8 +8,9 @@ it is 1.
 
 The budget is the number of tokens with which the source that is repeated least
 is read once in full, so that no document is lost, or one that the caller gives.
-Each source's part of it is realised as passes over a permutation of its
-documents: documents fall into blocks by a hash of their id, of about
+``max_repeat`` holds for either; a budget that no weights can meet within it is an
+error. Each source's part of it is realised as passes over a permutation of its
+documents: documents fall into blocks by a hash of their id and text, of about
 ``BLOCK_TOKENS`` tokens and ``MOST_BLOCKS`` a source at most; each pass has an
 order of its own for the blocks, and for the documents inside a block. Full
 passes take all documents; in the last, partial one a document is taken while
@@ -23,7 +24,7 @@ white space (space, tab, line ends, form feed).
 Defined results: a null source counts as the empty one; null and empty texts have
 no tokens and are taken in every full pass, and in the partial one where their
 turn comes; null ids count as empty text in hashes; repeated ids are rows each
-for themselves; a source without tokens has weight 0 and one pass; an empty
+for themselves (rows equal in id and text share a block); a source without tokens has weight 0 and one pass; an empty
 table gives an empty table. Other columns are kept by ``mixed``.
 """
 
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import reliable, table
 
 BLOCK_TOKENS, MOST_BLOCKS = 100_000, 1 << 16
+#: Passes that are listed at once; more are listed run by run.
+MOST_PASSES = 1024
 MAX_REPEAT = 2.0
 #: Exponents tried in each step of the search, and steps; each step narrows 32-fold.
 SECTIONS, STEPS = 32, 6
@@ -78,8 +81,11 @@ def _edge(shares: DataFrame, holds: Column, rising: bool) -> float:
     return high if rising else low
 
 
-def exponent(shares: DataFrame, target_entropy: float | None = None, max_repeat: float | None = None) -> float:
-    """The exponent, to six places, for the shares in column ``share``, a row a source."""
+def exponent(shares: DataFrame, target_entropy: float | None = None, max_repeat: float | None = None, passes: float | None = None) -> float:
+    """The exponent, to six places, for the shares in column ``share``, a row a source.
+
+    ``passes`` is the budget as a multiple of all tokens, where the caller gives one.
+    """
     shares = shares.where("share > 0")
     power, found = F.exp(F.col("a") * F.log("share")), 1.0 if max_repeat is None else 0.0
     if target_entropy is not None:
@@ -90,13 +96,19 @@ def exponent(shares: DataFrame, target_entropy: float | None = None, max_repeat:
     if max_repeat is not None:
         if max_repeat < 1:
             raise ValueError("max_repeat is 1 at least")
-        # with the least repeated source read once, share p is read (p / p_max)^(a - 1) times
-        most = F.exp((F.max("a") - 1) * (F.log(F.min("share")) - F.log(F.max("share"))))
+        if passes is None:
+            # with the least repeated source read once, share p is read (p / p_max)^(a - 1) times
+            most = F.exp((F.max("a") - 1) * (F.log(F.min("share")) - F.log(F.max("share"))))
+        elif passes <= max_repeat:
+            # of the budget, share p gets p^a / sum(p^a); the smallest share is repeated most
+            most = F.lit(passes) * F.exp((F.max("a") - 1) * F.log(F.min("share"))) / F.sum(power)
+        else:
+            raise ValueError(f"the budget reads all sources {passes:.3f} times, more than max_repeat")
         found = max(found, math.ceil(_edge(shares, most <= max_repeat, True) * 1e6) / 1e6)
     return min(1.0, found)
 
 
-def weights(sources: DataFrame, alpha: float, budget_tokens: int | None = None) -> DataFrame:
+def weights(sources: DataFrame, alpha: float, budget_tokens: int | None = None, max_repeat: float | None = None) -> DataFrame:
     """(key, tokens, docs, weight, budget): each source's weight and its tokens of the budget."""
     total = sources.agg(F.sum("tokens")).first()[0] or 1
     share = F.col("tokens") / F.lit(float(max(total, 1)))
@@ -104,7 +116,10 @@ def weights(sources: DataFrame, alpha: float, budget_tokens: int | None = None)
     scale = raised.agg(F.sum("power").alias("z"), F.max(F.when(F.col("power") > 0, F.col("tokens") / F.col("power"))).alias("each")).first()
     z = scale["z"] or 1.0
     each = budget_tokens / z if budget_tokens is not None else scale["each"] or 0.0
-    return raised.select("key", "tokens", "docs", (F.col("power") / z).alias("weight"), F.round(F.col("power") * each).cast("long").alias("budget"))
+    budget = F.round(F.col("power") * each).cast("long")
+    if max_repeat is not None:
+        budget = F.least(budget, F.floor(F.col("tokens") * max_repeat))  # what rounding adds
+    return raised.select("key", "tokens", "docs", (F.col("power") / z).alias("weight"), budget.alias("budget"))
 
 
 def _key(source: Column) -> Column:
@@ -129,8 +144,9 @@ def _schedule(measured: DataFrame, target_entropy, max_repeat, budget_tokens, se
     whole = sources.agg(F.sum("tokens")).first()[0] or 1
     shares = sources.select((F.col("tokens") / F.lit(float(max(whole, 1)))).alias("share"))
     some = F.col("tokens") > 0
+    alpha = exponent(shares, target_entropy, max_repeat, None if budget_tokens is None else budget_tokens / max(whole, 1))
     parts = reliable(
-        weights(sources, exponent(shares, target_entropy, max_repeat), budget_tokens).select(
+        weights(sources, alpha, budget_tokens, max_repeat).select(
             F.col("key").alias("__key"),
             F.when(some, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("long").alias("__full"),
             F.when(some, F.col("budget") % F.col("tokens")).otherwise(0).cast("long").alias("__rest"),
@@ -138,7 +154,7 @@ def _schedule(measured: DataFrame, target_entropy, max_repeat, budget_tokens, se
         )
     )
     sums = (
-        _blocked(measured.select("id", F.col("key").alias("__key"), "tokens"), "id", parts, seed)
+        _blocked(measured.select("id", F.col("key").alias("__key"), "tokens", "digest"), "id", F.col("digest"), parts, seed)
         .groupBy("__key", "__block", "__full", "__rest")
         .agg(F.sum("tokens").alias("size"))
     )
@@ -153,18 +169,25 @@ def _schedule(measured: DataFrame, target_entropy, max_repeat, budget_tokens, se
     return parts, reliable(starts)
 
 
-def _blocked(rows: DataFrame, id_column: str, parts: DataFrame, seed: int) -> DataFrame:
-    block = F.pmod(spot(F.lit(seed), F.lit("block"), F.col(id_column)), F.col("__blocks"))
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def _blocked(rows: DataFrame, id_column: str, digest: Column, parts: DataFrame, seed: int) -> DataFrame:
+    # an id that very many documents share is spread by their texts
+    block = F.pmod(spot(F.lit(seed), F.lit("block"), F.col(id_column), digest), F.col("__blocks"))
     return rows.join(_sized(parts), "__key").withColumn("__block", block)
 
 
-def _copies(rows: DataFrame, id_column: str, tokens: Column, parts: DataFrame, starts: DataFrame, seed: int) -> DataFrame:
+def _copies(rows: DataFrame, id_column: str, tokens: Column, digest: Column, parts: DataFrame, starts: DataFrame, seed: int) -> DataFrame:
     """The rows (with column __key), once for each time that the mixture has them, with __pass."""
-    placed = _blocked(rows, id_column, parts, seed).join(_sized(starts), ["__key", "__block"])
+    placed = _blocked(rows, id_column, digest, parts, seed).join(_sized(starts), ["__key", "__block"])
     # the partial pass takes whole blocks, and of the one that is cut the first documents
     taken = F.col("__whole") & (F.col("__rest") > 0)
     times = F.col("__full") + taken.cast("long")
-    sure = placed.where(times > 0).withColumn("__pass", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
+    first = F.col("__run") * MOST_PASSES
+    sure = placed.where(times > 0).withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / MOST_PASSES))))
+    sure = sure.withColumn("__pass", F.explode(F.sequence(first, F.least(times, first + MOST_PASSES) - 1))).drop("__run")
     inside = Window.partitionBy("__key", "__block").orderBy(_doc(seed, F.col("__full"), F.col(id_column)), id_column, "__tokens")
     before = F.coalesce(F.sum("__tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = placed.where(~F.col("__whole") & (F.col("__left") > 0)).withColumn("__tokens", tokens)
@@ -179,6 +202,7 @@ def _measure(docs: DataFrame, id_column: str, text_column: str, source_column: s
             F.col(source_column).alias("source"),
             _key(F.col(source_column)).alias("key"),
             token_count(F.col(text_column)).alias("tokens"),
+            _digest(F.col(text_column)).alias("digest"),
         )
     )
 
@@ -200,8 +224,8 @@ def realise(
     """
     measured = _measure(docs, id_column, text_column, source_column)
     parts, starts = _schedule(measured, target_entropy, max_repeat, budget_tokens, seed)
-    rows = measured.select("id", "source", F.col("key").alias("__key"), "tokens")
-    found = _copies(rows, "id", F.col("tokens"), parts, starts, seed)
+    rows = measured.select("id", "source", F.col("key").alias("__key"), "tokens", "digest")
+    found = _copies(rows, "id", F.col("tokens"), F.col("digest"), parts, starts, seed)
     half = lambda number: F.shiftright(number, 30)
     place = F.shiftleft(half(_turn(seed, F.col("__pass"))), 30).bitwiseOR(half(_doc(seed, F.col("__pass"), F.col("id"))))
     return found.select(
@@ -227,7 +251,7 @@ def mixed(
     measured = _measure(docs, id_column, text_column, source_column)
     parts, starts = _schedule(measured, target_entropy, max_repeat, budget_tokens, seed)
     rows = docs.withColumn("__key", _key(F.col(source_column)))
-    return _copies(rows, id_column, token_count(F.col(text_column)), parts, starts, seed).select(*docs.columns)
+    return _copies(rows, id_column, token_count(F.col(text_column)), _digest(F.col(text_column)), parts, starts, seed).select(*docs.columns)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
@@ -242,7 +266,7 @@ _SPOT = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
 ORACLE_SQL = {
     "op10_mixing": f"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce(source, '') AS key, coalesce(CAST(doc_id AS VARCHAR), '') AS name,
+  SELECT doc_id, source, coalesce(source, '') AS key, coalesce(CAST(doc_id AS VARCHAR), '') AS name, md5(coalesce(text, '')) AS digest,
          coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\x0b\\x0c]+')), 0) AS tokens
   FROM documents
 ), s AS (
@@ -270,7 +294,7 @@ WITH RECURSIVE d AS (
          least({MOST_BLOCKS}, CAST(ceil(greatest(1, tokens, docs) / {BLOCK_TOKENS}.0) AS BIGINT)) AS blocks
   FROM b
 ), placed AS (
-  SELECT d.*, full_passes, rest, {_SPOT.format("'1:block:' || name")} % blocks AS block FROM d JOIN p USING (key)
+  SELECT d.*, full_passes, rest, {_SPOT.format("'1:block:' || name || ':' || digest")} % blocks AS block FROM d JOIN p USING (key)
 ), sums AS (
   SELECT key, block, full_passes, rest, sum(tokens) AS size FROM placed GROUP BY ALL
 ), starts AS (
