@@ -55,3 +55,11 @@ def word_windows(text, width: int, window: int = WINDOW_CHARS) -> Iterator[list]
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until it is the beginning of no column's."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name) for c in taken):
+        name = "_" + name
+    return name

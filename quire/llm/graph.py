@@ -2,7 +2,11 @@
 
 Every round is two distributed joins over the edges; nothing is gathered, and a
 vertex with very many neighbours is only ever a join key, which adaptive
-execution splits. Rounds are cut with reliable checkpoints.
+execution splits. Rounds are cut with reliable checkpoints; their number grows
+with the logarithm of the longest path.
+
+Defined results: an edge with a null end links nothing; loops and repeated edges
+add nothing; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     ``edges`` has integer columns u and v, in any direction, repeated or not;
     loops are ignored. An empty table gives an empty table.
     """
-    edges = reliable(edges.where("u <> v").select("u", "v").distinct())
+    edges = reliable(edges.where("u <> v").select("u", "v").distinct())  # not true of a null
     mark = _mark(edges)
     for _ in range(rounds):
         if not mark[0]:

@@ -22,9 +22,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import sketches
@@ -51,6 +52,23 @@ def _bands(shingles: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), band) - (1 << 63) for band, row in enumerate(rows)]
 
 
+def _shingles(text: str | None, hashes) -> tuple[np.ndarray, int]:
+    """A text's distinct shingle hashes, and the name of the set."""
+    found = sketches.sketch(text, hashes, _ALL)
+    return found, (xxhash.xxh64_intdigest(found.tobytes()) or 1) if found.size else 0
+
+
+def name(text_column: str) -> Column:
+    """The name of a text's shingle set, as ``prints`` gives it."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = sketches._WordHashes()
+        for texts in batches:
+            yield pd.Series(np.array([_shingles(text, hashes)[1] for text in texts], np.uint64).view(np.int64))
+
+    return F.pandas_udf(run, "bigint")(text_column)
+
+
 def prints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fp, bands, shingles): fp names the shingle set, 0 the empty one; no shuffle."""
     kind = docs.schema[id_column].dataType.simpleString()
@@ -60,8 +78,8 @@ def prints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         for batch in batches:
             fps, bands, sets = [], [], []
             for text in batch.column(1):
-                found = sketches.sketch(text.as_py(), hashes, _ALL)
-                fps.append((xxhash.xxh64_intdigest(found.tobytes()) or 1) if found.size else 0)
+                found, fp = _shingles(text.as_py(), hashes)
+                fps.append(fp)
                 bands.append(_bands(found) if found.size else [])
                 sets.append(np.unique((found >> np.uint64(32)).astype("<u4")).tobytes())
             columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())]

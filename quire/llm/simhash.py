@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import resemblance
-from quire.llm.common import partitions, reliable, table, word_windows
+from quire.llm.common import partitions, reliable, table, unused, word_windows
 from quire.llm.graph import components
 
 SHINGLE_WORDS = 3
@@ -198,14 +198,29 @@ def hex_digits(column: str):
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows whose id is the smallest of their component, all columns kept.
+    """The rows whose id is the smallest of their text's component, all columns kept.
 
-    Rows that repeat a kept id all stay: ids name documents, so they are copies
-    of one decision. Rows without an id stay too.
+    Each row is decided by its own text: of an id that stands for several texts,
+    those stay that have no near text of a smaller id. Rows that repeat a kept id
+    and text all stay: ids name documents, so they are copies of one decision.
+    Rows without an id stay too.
     """
-    groups = cluster(docs, id_column, text_column)
-    gone = groups.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_column] == F.col("__gone"), "left_anti")
+    groups = cluster(docs, id_column, text_column).select(F.col(id_column).alias("id"), "fp", "component_id")
+    gone = F.col("id") != F.col("component_id")
+    name, mark = unused(docs, "gone"), unused(docs, "name")
+    decided = reliable(
+        groups.where("id is not null").groupBy(F.col("id").alias(name)).agg(F.max(gone).alias("some"), F.min(gone).alias("all")).where("some")
+    )
+    kept = docs.join(decided.select(name), docs[id_column] == F.col(name), "left_anti")
+    torn = decided.where("not all").select(name)
+    if torn.isEmpty():
+        return kept
+    # few ids stand for several texts; only their rows are read again
+    doubtful = docs.join(torn, docs[id_column] == F.col(name), "left_semi").withColumn(mark, resemblance.name(text_column))
+    lost = groups.where(gone).join(torn, F.col("id") == F.col(name), "left_semi").select(F.col("id").alias(name), "fp").distinct()
+    lost = lost.withColumnRenamed("fp", f"{mark}_lost")
+    own = doubtful.join(lost, (F.col(id_column) == F.col(name)) & (F.col(mark) == F.col(f"{mark}_lost")), "left_anti")
+    return kept.unionByName(own.drop(mark))
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
