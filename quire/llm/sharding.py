@@ -9,7 +9,7 @@ constant time, by its key's hash modulo the table.
 
 Defined results: a null key is placed as the empty one; equal keys have the same
 shard, so repeated rows stay together; an empty table gives an empty table; other
-columns are ignored by ``place`` and kept by ``write``.
+columns are ignored by ``place`` and kept by ``write``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,11 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import table
+from quire.llm.common import table, unused
 
 SHARDS, SLOTS = 64, 8209
-#: Rows that one written file of a shard should hold.
-FILE_ROWS = 1_000_000
 
 
 def _is_prime(n: int) -> bool:
@@ -71,20 +69,21 @@ def place(rows: DataFrame, key_column: str = "doc_id", shards: int = SHARDS, slo
     return keyed.join(F.broadcast(filled), "slot").select(key_column, "slot", "shard")  # as many rows as slots
 
 
-def write(rows: DataFrame, path: str, key_column: str = "doc_id", shards: int = SHARDS, slots: int = SLOTS) -> None:
-    """All rows and columns as Parquet, a folder for each shard.
+def write(rows: DataFrame, path: str, key_column: str = "doc_id", shards: int = SHARDS, slots: int = SLOTS) -> str:
+    """All rows and columns as Parquet, a folder for each shard; gives the name of the folders' column.
 
-    A shard is written by as many tasks as its rows need, chosen at random inside
-    it, so a shard with very many rows (a key that repeats) is no task's burden.
+    That name is ``shard``, with underscores after it where the rows have such a
+    column themselves. Rows are dealt out by shard; adaptive execution cuts a shard
+    with very many rows, equal ones too, into several tasks and files.
     """
-    shape = T.StructType([T.StructField("__slot", T.IntegerType()), T.StructField("shard", T.IntegerType())])
+    slot, folder = unused(rows, "slot"), "shard"
+    while folder in {c.lower() for c in rows.columns}:
+        folder += "_"
+    shape = T.StructType([T.StructField(slot, T.IntegerType()), T.StructField(folder, T.IntegerType())])
     filled = F.broadcast(rows.sparkSession.createDataFrame(list(enumerate(fill(names(shards), slots))), shape))
-    placed = rows.drop("shard").withColumn("__slot", slot_of(F.col(key_column), slots)).join(filled, "__slot").drop("__slot")
-    sizes = {r["shard"]: -(-r["n"] // FILE_ROWS) for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    files = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]) if sizes else None
-    spread = F.pmod(F.xxhash64(*[c for c in rows.columns]), F.element_at(files, F.col("shard"))) if sizes else F.lit(0)
-    dealt = placed.withColumn("__file", spread).repartition(max(1, sum(sizes.values())), "shard", "__file").drop("__file")
-    dealt.write.mode("errorifexists").partitionBy("shard").parquet(path)
+    placed = rows.withColumn(slot, slot_of(F.col(key_column), slots)).join(filled, slot).drop(slot)
+    placed.hint("rebalance", folder).write.mode("errorifexists").partitionBy(folder).parquet(path)
+    return folder
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
