@@ -11,18 +11,24 @@ has none. Two empty sketches resemble each other fully, an empty and another
 one not at all.
 
 ``with_edits`` pairs every document with the next one in descending id order
-(after the last comes the first). Rows are dealt into ranges of ids and sorted
-inside them; each range also gets the first document of the range below it, so
-no task depends on another and no order over all rows runs in one task. Equal ids
-are ordered by text, null ids come last; repeated rows each count; a table of
-one row is its own next; an empty table gives an empty table. Other columns are
-ignored.
+(after the last comes the first). Rows are dealt into ranges of ids, a task for
+each, and sorted inside them; each range also gets the first document of the
+range below it, so no task depends on another and no order over all rows runs in
+one task. An id that fills more than one range by itself (null ids may) is dealt
+evenly, by the rows' places in the table, to as many ranges as it fills.
+
+Defined results: equal ids are ordered by text, those of an id with ranges of its
+own by place in the table, which has to be the same whenever it is read, as a
+stored table's is; null ids come last; repeated rows each count; a table of one
+row is its own next; an empty table gives an empty table; ids that aren't whole
+numbers are an error. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm.common import partitions, table, word_windows
 
@@ -134,12 +141,45 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def _ranges(docs: DataFrame) -> tuple[int, list[int]]:
-    """Number of ranges and the ids that bound them; follows the table's size."""
+def _ranges(docs: DataFrame) -> list[int]:
+    """The keys that bound the ranges, ascending; a key that fills several ranges is there several times."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     wanted = min(MOST_RANGES, max(partitions(docs), -(-chars // RANGE_CHARS)))
     cuts = docs.approxQuantile("key", [(i + 1) / wanted for i in range(wanted - 1)], 1 / (4 * wanted)) if wanted > 1 else []
-    return wanted, sorted({int(c) for c in cuts})
+    return sorted(int(c) for c in cuts)
+
+
+def _spread(docs: DataFrame, cuts: list[int]) -> DataFrame:
+    """The rows with ``range``, counting upwards in descending order of keys, and ``place``, their order among equal keys.
+
+    A range holds the keys from one bound up to the next. A key that is several
+    bounds has as many ranges of its own, after the range of the keys above it.
+    """
+    times = Counter(cuts)
+    bounds = sorted(times)
+    if not bounds:
+        return docs.withColumn("range", F.lit(0)).withColumn("place", F.lit(0).cast("long"))
+    first, own, count = {}, {}, 0  # numbers of the range above each bound, and of the bound's own ranges
+    for bound in reversed(bounds):
+        first[bound], count = count, count + 1
+        if times[bound] > 1:
+            own[bound], count = count, count + times[bound]
+    listed = F.array(*[F.lit(c) for c in bounds])
+    below = F.aggregate(
+        F.sequence(F.lit(1), F.lit(len(bounds).bit_length())),
+        F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")),
+        lambda s, _: _halve(s, listed),
+        lambda s: s["lo"],
+    )
+    numbers = F.array(F.lit(count), *[F.lit(first[bound]) for bound in bounds])
+    plain = F.element_at(numbers, below + 1)
+    if not own:
+        return docs.withColumn("range", plain.cast("int")).withColumn("place", F.lit(0).cast("long"))
+    starts = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])
+    sizes = F.create_map(*[F.lit(x) for bound in own for x in (bound, times[bound])])
+    docs = docs.withColumn("place", F.when(F.col("key").isin(list(own)), F.monotonically_increasing_id()).otherwise(0))
+    many = F.element_at(starts, F.col("key")) + F.pmod(F.col("place"), F.element_at(sizes, F.col("key")))
+    return docs.withColumn("range", F.coalesce(many, plain).cast("int"))
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,39 +232,27 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_edits(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
+    if not isinstance(docs.schema[id_column].dataType, T.IntegralType):
+        raise TypeError("documents are ordered by ids that are whole numbers")
     kind = docs.schema[id_column].dataType.simpleString()
     docs = docs.select(
         F.col(id_column).alias("id"),
         F.coalesce(F.col(text_column), F.lit("")).alias("text"),
         F.coalesce(F.col(id_column).cast("long"), F.lit(_NULL_ID)).alias("key"),
     )
-    count, cuts = _ranges(docs)
-    at = F.when(F.lit(not cuts), F.lit(0))
-    if cuts:
-        # ranges count upwards in descending order of ids
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        below = F.aggregate(
-            F.sequence(F.lit(1), F.lit(max(1, len(cuts).bit_length()))),
-            F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")),
-            lambda s, _: _halve(s, bounds),
-            lambda s: s["lo"],
-        )
-        at = F.lit(len(cuts)) - below
-    dealt = docs.withColumn("range", at.cast("int"))
-    heads = [tuple(r) for r in dealt.groupBy("range").agg(F.max("key").alias("head")).orderBy("range").collect()]  # a row for each range
-    if not heads:
-        heads = [(0, 0)]
-    # the head of a range is the next document of the last one in the range before it; the very first follows the very last
-    hosts = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}
-    first_text = (
-        docs.where(F.col("key").isin(list(hosts)))
-        .groupBy("key")
+    dealt = _spread(docs, _ranges(docs))
+    # a row for each range: its first document, and the range that this document follows; the very first follows the very last
+    heads = dealt.groupBy("range").agg(F.min(F.struct(F.bitwise_not("key").alias("down"), "place")).alias("head")).orderBy("range").collect() or [(0, (0, 0))]  # bounded by MOST_RANGES
+    hosts = [(~down, place, at, heads[k - 1][0]) for k, (at, (down, place)) in enumerate(heads)]
+    found = docs.sparkSession.createDataFrame(hosts, "__key long, __place long, __range int, host int")
+    guests = (
+        dealt.join(F.broadcast(found), (F.col("key") == F.col("__key")) & (F.col("place") == F.col("__place")) & (F.col("range") == F.col("__range")))
+        .groupBy("host")
         .agg(F.min("text").alias("text"))
-        .withColumn("range", F.element_at(F.create_map(*[F.lit(x) for pair in hosts.items() for x in pair]), F.col("key")).cast("int"))
-        .select(F.lit(None).cast(kind).alias("id"), "text", F.lit(_NULL_ID).alias("key"), "range", F.lit(True).alias("guest"))
+        .select(F.lit(None).cast(kind).alias("id"), "text", F.lit(_NULL_ID).alias("key"), F.col("host").alias("range"), F.lit(0).cast("long").alias("place"), F.lit(True).alias("guest"))
     )
-    rows = dealt.withColumn("guest", F.lit(False)).unionByName(first_text)
-    rows = rows.repartition(count, "range").sortWithinPartitions("range", "guest", F.desc("key"), "text")
+    rows = dealt.withColumn("guest", F.lit(False)).unionByName(guests)
+    rows = rows.repartitionById(heads[-1][0] + 1, F.col("range")).sortWithinPartitions("range", "guest", F.desc("key"), "place", "text")
     return rows.select("range", "guest", "id", "text").mapInArrow(
         _pairs,
         f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
