@@ -13,12 +13,12 @@ Everything is DataFrame functions: the participants of each conversation are
 made distinct and joined to its turns, so a conversation that holds very many
 rows is a join key that adaptive execution splits, and no task gathers it.
 
-Defined results: a null speaker is rendered as the user ``unknown`` and takes no
+Defined results: a null speaker is rendered as a user without a name and takes no
 perspective; a null text is an empty content; a conversation without
 participants has one rendering with a null perspective and no mask; a null
 conversation id is a conversation of its own; repeated turns and rows are each
-rendered; marks inside texts and names are broken up, so a text cannot forge
-them; an empty table gives an empty table. Other columns are ignored.
+rendered; marks inside texts are broken up, so a text cannot forge
+them, and letters of names that would break a header are escaped; an empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,18 +28,22 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import table
 
-SYSTEM, UNKNOWN = "system", "unknown"
+SYSTEM = "system"
 END = "<|end|>\n"
-#: Consecutive turn numbers that one text of ``dialogues`` covers.
+#: Consecutive turn numbers that one text of ``op7_dialogues`` covers, which bounds its memory.
 PART_TURNS = 64
+#: Characters that would end a header early, and what stands for them; names stay distinct.
+_ESCAPES = {"%": "%25", "<": "%3C", ">": "%3E", "|": "%7C", "\n": "%0A", "\r": "%0D"}
 
 
 def _safe(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
-def _name(speaker: Column) -> Column:
-    return F.regexp_replace(F.coalesce(speaker, F.lit(UNKNOWN)), r"[<>|\n\r]", "_")
+def _user(speaker: Column) -> Column:
+    for letter, escape in _ESCAPES.items():
+        speaker = F.replace(speaker, F.lit(letter), F.lit(escape))
+    return F.coalesce(F.concat(F.lit("<|user:"), speaker, F.lit("|>\n")), F.lit("<|user|>\n"))
 
 
 def segments(
@@ -58,7 +62,7 @@ def segments(
     header = (
         F.when(F.col("speaker") == SYSTEM, F.lit("<|system|>\n"))
         .when(own, F.lit("<|assistant|>\n"))
-        .otherwise(F.concat(F.lit("<|user:"), _name(F.col("speaker")), F.lit("|>\n")))
+        .otherwise(_user(F.col("speaker")))
     )
     parts = seen.select("conv", "perspective", "turn", "speaker", own.alias("own"), header.alias("header"), _safe(F.col("text")).alias("content"))
     segment = F.concat("header", "content", F.lit(END))
@@ -73,14 +77,16 @@ def segments(
     )
 
 
-def dialogues(conversations: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn", part_turns: int = PART_TURNS, **columns) -> DataFrame:
+def dialogues(conversations: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn", part_turns: int | None = None, **columns) -> DataFrame:
     """(conv, perspective, part, text, masks): segments joined in turn order.
 
-    A part covers ``part_turns`` turn numbers, so that a very long conversation is
-    several texts; masks are offsets in the part's text.
+    A conversation is one text, which one task joins; given ``part_turns`` a part
+    covers that many turn numbers, so that a very long conversation is several
+    texts. Masks are offsets in the part's text.
     """
     rows = segments(conversations, conv_column, turn_column, **columns)
-    part = F.floor(F.coalesce(F.col(turn_column), F.lit(0)) / part_turns).alias("part")
+    turn = F.coalesce(F.col(turn_column), F.lit(0))
+    part = (F.floor(turn / part_turns) if part_turns else F.lit(0)).cast("long").alias("part")
     parts = rows.groupBy(conv_column, "perspective", part).agg(
         F.sort_array(F.collect_list(F.struct(F.col(turn_column).alias("turn"), "speaker", "segment", "mask_start", "mask_end"))).alias("all")
     )
@@ -104,21 +110,25 @@ def op7_chat(spark, sf_dir: str) -> DataFrame:
 
 
 def op7_dialogues(spark, sf_dir: str) -> DataFrame:
-    """Every conversation as texts in turn order, from every participant's perspective; masks are start-end, by commas."""
+    """Every conversation in turn order, in texts of ``PART_TURNS`` turns, from every participant's perspective; masks are start-end, by commas."""
     shown = F.transform("masks", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))
-    return dialogues(table(spark, sf_dir, "conversations")).withColumn("masks", F.array_join(shown, ","))
+    return dialogues(table(spark, sf_dir, "conversations"), part_turns=PART_TURNS).withColumn("masks", F.array_join(shown, ","))
 
 
 QUERIES = {"op7_chat": op7_chat, "op7_dialogues": op7_dialogues}
 
+_SQL_NAME = "c.role"
+for _letter, _escape in _ESCAPES.items():
+    _SQL_NAME = f"replace({_SQL_NAME}, chr({ord(_letter)}), '{_escape}')"
+
 ORACLE_SQL = {
-    "op7_chat": """
+    "op7_chat": f"""
 WITH taking AS (
   SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role <> 'system'
 ), seen AS (
   SELECT c.conv_id, t.perspective, c.turn, c.role AS speaker, coalesce(c.role = t.perspective, false) AS own,
     CASE WHEN c.role = 'system' THEN '<|system|>' WHEN c.role = t.perspective THEN '<|assistant|>'
-         ELSE '<|user:' || regexp_replace(coalesce(c.role, 'unknown'), '[<>|\\n\\r]', '_', 'g') || '|>' END || chr(10) AS header,
+         ELSE coalesce('<|user:' || {_SQL_NAME} || '|>', '<|user|>') END || chr(10) AS header,
     replace(coalesce(c.text, ''), '<|', '< |') AS content
   FROM conversations c LEFT JOIN taking t ON c.conv_id IS NOT DISTINCT FROM t.conv_id
 )
