@@ -74,8 +74,8 @@ def test_language_held_out(spark, documents):
 def test_language_ignores_what_it_may_not_see(spark, documents):
     model = langid.fit(documents.where("doc_id % 5 <> 0"))
     same = langid.fit(documents.where("doc_id % 5 <> 0"))
-    assert np.array_equal(model.weights, same.weights) and model.temperature == same.temperature
-    assert (model.weights == 0).mean() > 0.5  # the L1 penalty leaves most weights at zero
+    assert np.array_equal(model.weights.values, same.weights.values) and model.temperature == same.temperature
+    assert model.weights.values.size < (1 << langid.BITS) * len(model.languages) / 2  # the L1 penalty leaves most weights at zero
 
 
 def test_language_edges(odd, empty, documents):
@@ -89,6 +89,99 @@ def test_language_edges(odd, empty, documents):
     assert kept.columns == odd.columns and kept.count() == 5
 
 
+def plain_learn(rows, classes, alpha=0.5, beta=1.0, l1=0.02, l2=0.1):
+    """Weights by feature and class, one coordinate at a time; rows are ({feature: value}, label)."""
+    z, n = Counter(), Counter()
+
+    def weight(key):
+        if abs(z[key]) <= l1:
+            return 0.0
+        return ((1 if z[key] > 0 else -1) * l1 - z[key]) / ((beta + n[key] ** 0.5) / alpha + l2)
+
+    for features, label in rows:
+        score = [sum(v * weight((f, c)) for f, v in features.items()) for c in range(classes)]
+        raised = [np.exp(s - max(score)) for s in score]
+        for c in range(classes):
+            error = raised[c] / sum(raised) - (c == label)
+            for f, v in features.items():
+                key, g = (f, c), v * error
+                w = weight(key)
+                grown = n[key] + g * g
+                z[key] += g - (grown**0.5 - n[key] ** 0.5) / alpha * w
+                n[key] = grown
+    return {(f, c): weight((f, c)) for features, _ in rows for f in features for c in range(classes)}
+
+
+def test_ftrl_equals_plain_learning():
+    random = np.random.default_rng(6)
+    rows = [({int(f): float(random.normal()) for f in random.choice(12, 4, replace=False)}, int(random.integers(0, 3))) for _ in range(80)]
+    learner = langid.Ftrl(12, 3)
+    for features, label in rows:
+        learner.learn(np.array(list(features)), np.array(list(features.values())), label)
+    expected, got = plain_learn(rows, 3), learner.weights()
+    assert all(got[key] == pytest.approx(w, abs=1e-9) for key, w in expected.items())
+    assert 0 < sum(w == 0 for w in expected.values()) and any(expected.values())
+    sparse, features = langid.Sparse(got), rows[0][0]
+    direct = [sum(v * expected.get((f, c), 0.0) for f, v in features.items()) for c in range(3)]
+    assert np.allclose(sparse.scores(np.array(list(features)), np.array(list(features.values()))), direct)
+    assert sparse.scores(np.empty(0, int), np.empty(0)).tolist() == [0, 0, 0]
+
+
+def test_tf_idf_equals_plain_counting(documents):
+    from quire.llm import features
+
+    rows = documents.limit(60)
+    texts_ = [r["text"] for r in rows.collect()]
+    counts, total = features.document_frequencies(rows, (1, 2), 18, True)
+    grams = [Counter(t.lower()[k : k + n] for n in (1, 2) for k in range(len(t) - n + 1)) for t in texts_]
+    number = {}  # each gram's feature, from a text of that gram alone
+    for gram in {g for c in grams for g in c}:
+        where = features.gram_counts(gram, (len(gram),), 18, False)[0]
+        number[gram] = int(where[0])
+    held = Counter(f for c in grams for f in {number[g] for g in c})
+    assert total == 60 and {int(f): int(counts[f]) for f in np.flatnonzero(counts)} == dict(held)
+    idf = features.inverse_frequencies(counts, total)
+    where, values = features.weighted(texts_[0], (1, 2), 18, True, idf)
+    plain = Counter()
+    for gram, n in grams[0].items():
+        plain[number[gram]] += n
+    raw = {f: (1 + np.log(n)) * (np.log(61 / (1 + held[f])) + 1) for f, n in plain.items()}
+    norm = sum(v * v for v in raw.values()) ** 0.5
+    assert {int(f): pytest.approx(v / norm, rel=1e-4) for f, v in raw.items()} == dict(zip(where.tolist(), values.tolist()))
+
+
+def test_temperature_is_the_best_of_a_grid():
+    random = np.random.default_rng(8)
+    labels = random.integers(0, 3, 400)
+    scores = random.normal(0, 2, (400, 3))
+    scores[np.arange(400), labels] += 1.5
+    found, share = langid.fit_temperature(scores, labels), 1 / 403
+
+    def loss(t):
+        p = np.exp(scores / t) / np.exp(scores / t).sum(axis=1, keepdims=True)
+        return -np.mean([sum((1 - 2 * share if c == y else share) * np.log(row[c]) for c in range(3)) for row, y in zip(p, labels)])
+
+    assert loss(found) <= min(loss(t) for t in np.geomspace(0.05, 15, 120)) + 1e-9
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Two hundred languages, and an id that half of the rows share."""
+    rows = [(k if k % 2 else None, f"{chr(0x4E00 + k % 200)}{chr(0x4E00 + k % 200)} text {k}", f"l{k % 200:03d}") for k in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 1000)
+    monkeypatch.setattr(langid, "CELLS", 1 << 20)
+    from quire.llm import features
+
+    held = []
+    monkeypatch.setattr(langid, "sample_vectors", lambda rows, vector: held.append(features.sample_vectors(rows, vector)) or held[0])
+    model = langid.fit(frame)
+    assert 800 < len(held[0]) < 1200 and len(model.languages) > 195
+    assert {r[0] is None for r in held[0]} == {True, False}
+    assert len(model.idf) * 200 <= 1 << 20
+    right = [r["lang_pred"] == f"l{k % 200:03d}" for k, r in enumerate(langid.predict(frame.limit(400), model).collect())]
+    assert sum(right) > 300
+
+
 def test_temperature_is_fitted():
     random = np.random.default_rng(0)
     labels = random.integers(0, 3, 2000)
@@ -115,9 +208,40 @@ def test_quality_votes_are_exact(documents):
     fast, vectors = model.score(some), quality._unit(model.latent(some))
     for k in range(len(some)):
         cosines = [float(np.dot(vectors[k], v)) for v in model.vectors]
-        near = sorted(range(len(cosines)), key=lambda i: -cosines[i])[: quality.NEIGHBOURS]
-        votes = [max(cosines[i], 1e-6) ** quality.SHARPNESS * model.worth[i] for i in near]
-        assert fast[k] == pytest.approx(sum(v * model.labels[i] for v, i in zip(votes, near)) / sum(votes), abs=0.02)
+        edge = sorted(cosines)[-model.neighbours]
+        sure = [i for i, c in enumerate(cosines) if c > edge + quality.TIE]
+        tied = [i for i, c in enumerate(cosines) if abs(c - edge) <= quality.TIE]
+        votes = {i: max(cosines[i], 0.0) for i in sure}
+        votes |= {i: max(cosines[i], 0.0) * (model.neighbours - len(sure)) / len(tied) for i in tied}
+        assert fast[k] == pytest.approx(sum(v * model.labels[i] for i, v in votes.items()) / sum(votes.values()), abs=1e-3)
+
+
+def test_quality_learns_only_from_labels_with_a_document(spark, documents):
+    """A million labels without a document change nothing; neither label is lost."""
+    labels = documents.select("doc_id", (F.col("doc_id") % 10 > 0).cast("int").alias("quality"))
+    stray = spark.range(10**6, 2 * 10**6).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    plain, model = quality.fit(documents, labels), quality.fit(documents, labels.unionByName(stray))
+    assert model.prior == plain.prior and np.array_equal(model.labels, plain.labels) and set(model.labels) == {0.0, 1.0}
+    assert np.array_equal(model.vectors, plain.vectors)
+
+
+def test_neighbours_are_chosen_without_the_row_itself():
+    """Where labels alternate, a row's own vote would make one neighbour look best."""
+    random = np.random.default_rng(5)
+    centres = quality._unit(random.normal(size=(2, 16)))
+    labels = np.repeat([0.0, 1.0], 60)
+    vectors = quality._unit(centres[labels.astype(int)] + random.normal(size=(120, 16)) * 0.6)
+    losses = {}
+    for count in quality.NEIGHBOURS:
+        scores = []
+        for i in range(120):
+            others = [j for j in range(120) if j != i]
+            near = sorted(others, key=lambda j: -float(vectors[i] @ vectors[j]))[:count]
+            weight = [max(0.0, float(vectors[i] @ vectors[j])) for j in near]
+            scores.append(sum(w * labels[j] for w, j in zip(weight, near)) / sum(weight) if sum(weight) else 0.5)
+        lost = [-np.log(max(0.01, s if y else 1 - s)) for s, y in zip(scores, labels)]
+        losses[count] = np.mean(lost[:60]) / 2 + np.mean(lost[60:]) / 2
+    assert quality.choose_neighbours(vectors, labels, 0.5) == min(losses, key=losses.get)
 
 
 def test_quality_edges(spark, odd, empty, documents):
@@ -231,6 +355,15 @@ def test_keep_one_by_resemblance(spark, texts, monkeypatch, rows):
     assert sorted(r["doc_id"] for r in simhash.keep_one(frame).collect()) == sorted({keys[c] for c in label})
 
 
+def test_keep_one_decides_each_text_of_an_id(spark):
+    same, other = "one two three four five six seven", "quite another text that nothing else repeats here"
+    rows = [(1, same), (7, same), (7, other), (7, other), (9, other), (None, same), (3, None), (4, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__fp", F.lit(1))
+    kept = simhash.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, same), (7, other), (7, other), (None, same), (3, None)])
+
+
 # ---------------------------------------------------------------- 4: sketches
 
 
@@ -286,6 +419,36 @@ def test_fingerprint_edges(odd, empty):
     assert [(r["near_next"], r["near_edited"]) for r in alone] == [(1.0, 1.0)]
 
 
+@pytest.mark.parametrize("hot", [None, 50])
+def test_fingerprints_of_a_hot_id(spark, monkeypatch, hot):
+    """An id that most rows share is cut into ranges; the order that results is one of descending ids."""
+    monkeypatch.setattr(sketches, "RANGE_CHARS", 200)
+    rows = [(k, f"plain {k} words") for k in range(100)] + [(hot, f"hot {k % 40} text") for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).cache()
+    keyed = frame.select(F.col("doc_id").alias("id"), "text", F.coalesce("doc_id", F.lit(sketches._NULL_ID)).alias("key"))
+    spread = sketches._spread(keyed, sketches._ranges(keyed)).groupBy("range").agg(F.count("*").alias("n"), F.min("key"), F.max("key")).collect()
+    assert max(r["n"] for r in spread) < 60 and len(spread) > 15
+    got = sketches.with_edits(frame).collect()
+    assert len(got) == 400
+    digest = lambda a, b: hashlib.sha256(sketches.edited(a, b).encode()).hexdigest()
+    texts_of = {}
+    for key, text in rows:
+        texts_of.setdefault(key, []).append(text)
+    order = sorted(texts_of, key=lambda key: (key is None, -(key or 0)))
+    for place, key in enumerate(order):
+        after = texts_of[key] + texts_of[order[(place + 1) % len(order)]]
+        allowed = {digest(a, b) for a in texts_of[key] for b in after}
+        assert {r["edited_sha256"] for r in got if r["doc_id"] == key} <= allowed
+    # every row but those at the ends of ids is next to exactly one other
+    sizes = Counter(r["doc_id"] for r in got)
+    assert sizes[hot] == 300 + (hot is not None) and all(n == 1 for key, n in sizes.items() if key != hot)
+
+
+def test_fingerprints_need_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        sketches.with_edits(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 # ---------------------------------------------------------------- 5: nearest neighbours
 
 
@@ -330,23 +493,43 @@ def test_nearest_edges(spark):
     assert ann.search(frame, F.lit(False)).collect() == [] and ann.search(frame.where("false"), F.lit(True)).collect() == []
 
 
+def test_overflowing_products(spark):
+    """Components up to 1e300: every candidate has a place, those without a number last."""
+    rows = [(k, [1e300 * (1 if k % 2 else -1), 1e300 * (1 if k % 3 else -1)]) for k in range(6)] + [(9, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in ann.search(frame, F.col("vec_id") == 1).orderBy("rank").collect()]
+    assert [g[0] for g in got] == [1, 2, 3, 4, 5, 6] and sorted(g[1] for g in got) == [0, 2, 3, 4, 5, 9]
+    assert got[0] == (1, 5, float("inf"))
+
+
 def test_codes_prefer_the_parallel_part():
+    """Against codes of the plain squared error: less error along the vector, and better recall before reranking."""
     random = np.random.default_rng(4)
-    vectors = random.normal(size=(3000, 8))
-    book = ann.learn(vectors)
-    flat = ann.Codebook(book.words, 1.0)
-    way = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    way = random.normal(size=(4000, 64))
+    way /= np.linalg.norm(way, axis=1, keepdims=True)
+    book, flat = ann.learn(way), ann.learn(way, target=0.0)
+    assert book.eta > 5 and flat.eta == 1.0
+
+    def decoded(which):
+        return which.words[np.arange(32)[None], which.encode(way)].reshape(way.shape)
 
-    def residual(which):
-        codes = which.encode(vectors)
-        return vectors - which.words[np.arange(4)[None], codes].reshape(vectors.shape)
+    def along(which):
+        return float((((way - decoded(which)) * way).sum(1) ** 2).mean())
 
-    along = lambda r: float(((r * way).sum(1) ** 2).mean())
-    assert book.eta > 1.0 or along(residual(book)) <= along(residual(flat))
-    packed = book.packed(vectors[:5])
-    sums = book.tables(vectors[9])
-    direct = (vectors[:5] - residual(book)[:5]) @ vectors[9]
-    assert np.allclose([sums[np.arange(2), row].sum() for row in packed], direct)
+    def squared(which):
+        return float(((way - decoded(which)) ** 2).sum(1).mean())
+
+    def recall(which):
+        products, guessed = way[:200] @ way.T, way[:200] @ decoded(which).T
+        for scores in (products, guessed):
+            scores[np.arange(200), np.arange(200)] = -9
+        best, found = (np.argsort(-scores, axis=1)[:, :10] for scores in (products, guessed))
+        return np.mean([len(set(a) & set(b)) / 10 for a, b in zip(best, found)])
+
+    assert along(book) < 0.8 * along(flat) and squared(book) > squared(flat)
+    assert recall(book) > recall(flat) - 0.02
+    packed, sums = book.packed(way[:5]), book.tables(way[9])
+    assert np.allclose([sums[np.arange(16), row].sum() for row in packed], decoded(book)[:5] @ way[9])
 
 
 # ---------------------------------------------------------------- 6: packing
@@ -401,6 +584,28 @@ def test_differencing(seed):
     assert packing.difference([], 3) == [[], [], []] and packing.pack_group([1024, 1024, 1]) == [[0], [1], [2]]
 
 
+def plain_difference(sizes, ways):
+    """Part sums by differencing, with whole parts carried along."""
+    sets = [([(s, [i])] + [(0, [])] * (ways - 1), i) for i, s in enumerate(sizes)]
+    turn = len(sizes)
+    while len(sets) > 1:
+        sets.sort(key=lambda x: (-(x[0][0][0] - x[0][-1][0]), x[1]))
+        (a, _), (b, _) = sets.pop(0), sets.pop(0)
+        joined = sorted(((x + y, p + q) for (x, p), (y, q) in zip(a, b[::-1])), key=lambda x: -x[0])
+        sets.append((joined, turn))
+        turn += 1
+    return sets[0][0]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_differencing_equals_plain_differencing(seed):
+    random = np.random.default_rng(seed)
+    sizes = random.integers(1, 10**6, int(random.integers(2, 60))).tolist()
+    ways = int(random.integers(2, 9))
+    sums = lambda parts: sorted(sum(sizes[i] for i in p) for p in parts)
+    assert sums(packing.difference(sizes, ways)) == sums([p for _, p in plain_difference(sizes, ways)])
+
+
 def test_tokens_equal_the_library(texts):
     plain, fast = Tokenizer.from_file(TOKENIZER), tokens.encoder(TOKENIZER)
     odd = ["", " ", "a" * 3000, " " * 400_000, "a<|endoftext|>b", "½Ⅷ²\x1c 漢字🎉", "it's  I'LL\n\n x", "﻿\u0000"]
@@ -430,6 +635,20 @@ def test_chat_round_trip(spark):
     assert seen == sum(len({role for _, role, _ in t} - {"system"}) or 1 for t in turns.values())
 
 
+def test_names_stay_distinct(spark):
+    names = ["a|", "a_", "a%7C", "a<", "unknown", None, "x\ny"]
+    talk = spark.createDataFrame([(1, k, name, "t") for k, name in enumerate(names)], "conv_id long, turn int, role string, text string")
+    heads = {r["segment"].split("\n")[0] for r in chat.segments(talk).collect()} - {"<|assistant|>"}
+    assert len(heads) == len(names) and all(h.count("<|") == h.count("|>") == 1 for h in heads)
+
+
+def test_dialogues_are_whole(spark):
+    talk = spark.createDataFrame([(1, k, ("system", "ann", "bob")[min(k, 1 + k % 2)], f"t{k}") for k in range(200)], "conv_id long, turn int, role string, text string")
+    rows = chat.dialogues(talk).collect()
+    assert {r["perspective"]: r["text"].count(chat.END) for r in rows} == {"ann": 200, "bob": 200}
+    assert all(r["text"].startswith("<|system|>") for r in rows)
+
+
 def test_chat_dialogues_query_over_parts(spark, tmp_path):
     """Turns in any row order, over several parts: texts in turn order, masks on what the assistant says."""
     turns = [(1, k, ("ann", "bob")[k % 2], f"says {k}") for k in range(150)]
@@ -451,7 +670,7 @@ def test_chat_edges(spark):
     got = Counter((r["conv_id"], r["perspective"], r["segment"], r["mask_start"]) for r in chat.segments(frame).collect())
     assert got == Counter(
         {
-            (1, "bob|>", "<|user:unknown|>\na<|end|>\n", None): 1,
+            (1, "bob|>", "<|user|>\na<|end|>\n", None): 1,
             (1, "bob|>", "<|assistant|>\n<|end|>\n", 14): 2,
             (2, None, "<|system|>\ns<|end|>\n", None): 1,
             (None, "amy", "<|assistant|>\n< |end|><|end|>\n", 14): 1,
@@ -488,7 +707,42 @@ def test_placement_and_files(spark, odd, empty, tmp_path):
     assert len(rows) == 8 and sharding.place(empty).collect() == []
     sharding.write(odd, str(tmp_path / "out"), shards=3, slots=31)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 8 and {(r["doc_id"], r["shard"]) for r in back.collect()} == {(r["doc_id"], r["shard"]) for r in rows}
+    assert back.count() == 8 and {(r["doc_id"], r["shard_"]) for r in back.collect()} == {(r["doc_id"], r["shard"]) for r in rows}
+    assert {r["shard"] for r in back.collect()} == {7}  # the caller's column stays
+
+
+def plain_fill(names, slots):
+    """Each shard's whole preference list, then turns."""
+    number = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+    wishes = [[(number(f"offset:{n}") + j * (number(f"skip:{n}") % (slots - 1) + 1)) % slots for j in range(slots)] for n in names]
+    assert all(sorted(w) == list(range(slots)) for w in wishes)
+    held = {}
+    while len(held) < slots:
+        for shard, wish in enumerate(wishes):
+            free = [s for s in wish if s not in held]
+            if free:
+                held[free[0]] = shard
+    return [held[s] for s in range(slots)]
+
+
+@pytest.mark.parametrize("count, slots", [(1, 2), (3, 31), (20, 211)])
+def test_filling_equals_plain_filling(count, slots):
+    assert sharding.fill(sharding.names(count), slots) == plain_fill(sharding.names(count), slots)
+
+
+def test_written_shards_keep_columns_and_split_equal_rows(spark, tmp_path):
+    frame = spark.range(0, 40_000, 1, 8).select(F.lit(5).cast("long").alias("doc_id"), F.lit("mine").alias("shard"), F.lit("x" * 50).alias("__slot"))
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "1k")
+        folder = sharding.write(frame, str(tmp_path / "out"))
+    finally:
+        spark.conf.set(key, before)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert folder == "shard_" and set(back.columns) == {"doc_id", "shard", "__slot", "shard_"}
+    assert {tuple(r) for r in back.groupBy("doc_id", "shard").count().collect()} == {(5, "mine", 40_000)}
+    assert len(back.inputFiles()) > 1 and len({r["shard_"] for r in back.select("shard_").distinct().collect()}) == 1
 
 
 # ---------------------------------------------------------------- 9: secrets
@@ -529,6 +783,30 @@ def test_checksums():
     assert secrets.spans(part(b'{"a":"xyz"}') + "." + part(b"{}") + ".sig") == []
 
 
+@pytest.mark.parametrize("piece", ["eyJ", "eyJ.", "eyJa.b", "token=", "password ", "AKIA", "akia", "ghp_", "0123456789abcdef0123456g", "a" * 23 + "g", "eyj"])
+def test_hostile_texts_take_time_in_proportion(piece):
+    import time
+
+    def seconds(copies):
+        began = time.perf_counter()
+        secrets.spans(piece * copies)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(160_000) < 40 * max(seconds(10_000), 0.01)
+
+
+def test_failed_tokens_hide_no_later_one():
+    import base64
+
+    part = lambda t: base64.urlsafe_b64encode(t).decode().rstrip("=")
+    good = part(b'{"alg":"x"}') + "." + part(b"{}") + ".sig"
+    for before in ("eyJeyJ ", "eyJ.x ", "eyJx.y ", "eyj", "eyjeyj", "xeyJ.", "eyJ.eyJ "):
+        found = [s for s in secrets.spans(before + good) if s[0] == "jwt"]
+        expected = [m.span() for m in secrets._JWT.finditer(before + good) if secrets._signed_header(m[1])]
+        assert [s[1:] for s in found] == expected
+
+
 def test_secret_query_and_redaction(spark, texts, odd, empty):
     for r in secrets.op9_secrets(spark, SF).collect():
         found = plain_spans(texts[r["doc_id"]])
@@ -592,3 +870,31 @@ def test_mixture_edges(odd, empty):
     assert set(rows) == {1, 2, 3, 4, 5, 6, None} and rows[4] >= 2
     assert mixing.realise(empty).collect() == [] and mixing.mixed(empty).columns == empty.columns
     assert mixing.mixed(odd, max_repeat=1.0).count() == sum(rows.values())
+
+
+def test_no_budget_repeats_more_than_allowed(spark, documents):
+    tokens_of = {r["doc_id"]: len(re.findall(r"[^ \t\n\r\x0b\x0c]+", r["text"])) for r in documents.collect()}
+    total = sum(tokens_of.values())
+    for budget in (total // 3, int(total * 1.7), 2 * total):
+        rows = mixing.realise(documents, budget_tokens=budget, max_repeat=2.0).collect()
+        times = Counter(r["doc_id"] for r in rows)
+        assert max(times.values()) <= 2
+        assert abs(sum(tokens_of[k] * n for k, n in times.items()) - budget) < 0.25 * budget + 20_000
+    with pytest.raises(ValueError):
+        mixing.realise(documents, budget_tokens=3 * total, max_repeat=2.0)
+
+
+def test_many_passes_and_a_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PASSES", 7)
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 50)
+    frame = spark.createDataFrame([(None, f"word {k} here", "big") for k in range(400)] + [(5, "tiny", "small")], "doc_id long, text string, source string")
+    rows = mixing.realise(frame, target_entropy=1.0, max_repeat=None, budget_tokens=2400).collect()
+    assert Counter(r["source"] for r in rows) == {"big": 400, "small": 1200}
+    assert sorted(r["pass"] for r in rows if r["source"] == "small") == list(range(1200))
+    assert len({r["block"] for r in rows if r["source"] == "big"}) > 15  # texts spread the id
+
+
+def test_sources_of_null_only(spark):
+    frame = spark.createDataFrame([(1, "a b", None), (2, None, None), (3, "", None)], "doc_id long, text string, source string")
+    assert sorted(r["doc_id"] for r in mixing.mixed(frame).collect()) == [1, 2, 3]
+    assert sorted(r["doc_id"] for r in mixing.realise(frame.where("text is null")).collect()) == [2]
