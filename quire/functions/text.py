@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Token shapes, stop words and screening patterns.
+# Token shapes, stop words, units and screening patterns.
 LIBRARY_TOKEN = r"[\p{L}\p{N}_]+"
 SITE_TOKEN = r"\d+\.\d+[a-z]*|[a-z0-9][a-z0-9\-']{2,}"
 STOP_WORDS = (
@@ -18,7 +18,7 @@ STOP_WORDS = (
     "were what when where which who will with your you if not no all any can may each other some such than then they them "
     "we our us do does did be been being about after before over under more most only same so too very just also"
 ).split()
-EXCLUSION = r"(?i)\b(except|excluding|not for|does not apply to)\b"
+EXCLUSION = r"(?i)\b(?:except|excluding|not\s+for|does\s+not\s+apply\s+to)\b"
 EVIDENCE = (
     r"(?i)\b(?:19|20)\d{2}\b|\b\d\.\d\s*(?:L\b|liter)|\bonly\b|\bexcept\b|"
     r"\b(?:diesel|gasoline|VIN|RPO|Silverado|Sierra|Chevrolet|GMC)\b"
@@ -30,13 +30,37 @@ MEDIA_TYPES = {
     "svg": "image/svg+xml",
     "png": "image/png",
     "jpg": "image/jpeg",
+    "jpeg": "image/jpeg",
     "gif": "image/gif",
     "xml": "text/xml",
     "json": "application/json",
     "txt": "text/plain",
     "css": "text/css",
 }
-TAGGED_UNITS = {"nm": "N·m", "ft-lb": "lb·ft", "in-lb": "lb·in", "kpa": "kPa", "psi": "psi", "v": "V", "mm": "mm"}
+UNITS = {
+    "Hz": ("frequency", "Hz"),
+    "G/S": ("mass flow", "g/s"),
+    "V": ("voltage", "V"),
+    "DCV": ("voltage", "V"),
+    "N.m": ("torque", "N.m"),
+    "Nm": ("torque", "N.m"),
+    "N·m": ("torque", "N.m"),
+    "lb-ft": ("torque", "lb-ft"),
+    "mm": ("length", "mm"),
+    "in": ("length", "in"),
+}
+NUMBER = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)"
+LITRE_QUANTITY = r"(\d{1,2}(?:\.\d+)?|\.\d+)\s*(?:l\b|liter\b|litre\b)"
+OIL_COMPARISON = r"\boil consumption(?: rate)?\s+(?:is\s+)?(?:not\s+)?(?:higher|greater|more|less|lower)\s+than\s+"
+QUART_EQUIVALENT = r"\s*\(\s*\d+(?:\.\d+)?\s+(?:quarts?|qt)\s*\)"
+
+# The white space that ends a word, as both Java and RE2 write it.
+BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# A quantity doesn't begin inside a word or a decimal; RE2 has no look-behind, so what is before it is read too.
+LITRES = r"(?:^|[^\p{L}\p{N}_.,])" + LITRE_QUANTITY
+OIL_RATE = OIL_COMPARISON + LITRE_QUANTITY.replace("(", "(?:", 1) + QUART_EQUIVALENT
+# Names that this engine's own extracts give their records.
+RESERVED_PATHS = (".quire-manifest.json", ".quire-inventory.json")
 
 
 def library_tokens(text: Column) -> Column:
@@ -55,8 +79,8 @@ def indexed_tokens(text: Column) -> Column:
 
 
 def compact(text: Column) -> Column:
-    """White space runs become one blank, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"[ \t\n\r\x0b\x0c]+", " "))
+    """White space runs, those of Unicode too, become one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, BLANK + "+", " "))
 
 
 def snippet(text: Column, terms: list[str], before: int = 60, after: int = 160) -> Column:
@@ -84,13 +108,6 @@ def identifiers(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda r: r != ""))
 
 
-LITRES = r"(?:^|[^\p{L}\p{N}_.,])([0-9]{1,2}(?:\.[0-9]+)?|\.[0-9]+)\s*(?:l\b|liter\b|litre\b)"
-OIL_RATE = (
-    r"\boil consumption(?: rate)?\s+(?:is\s+)?(?:not\s+)?(?:higher|greater|more|less|lower)\s+than\s+"
-    r"[0-9.]+\s*(?:l|liter|litre)\s*\(\s*[0-9]+(?:\.[0-9]+)?\s+(?:quarts?|qt)\s*\)"
-)
-
-
 def litre_quantities(text: Column) -> Column:
     """Distinct quantities in litres; a rate of oil consumption with its quarts is left out."""
     bare = F.regexp_replace(F.lower(text), OIL_RATE, " ")
@@ -117,18 +134,21 @@ def model_years(text: Column) -> Column:
     )
 
 
-NUMERIC = r"^\s*([+-]?[0-9]+(?:\.[0-9]+)?)(?:\s*(?:-|to)\s*([+-]?[0-9]+(?:\.[0-9]+)?))?\s*([A-Za-z-]*)\s*$"
+NUMERIC = rf"^{BLANK}*({NUMBER})(?:\s*(?:-|to)\s*({NUMBER}))?{BLANK}*$"
 
 
-def numeric_range(raw: Column) -> Column:
-    """struct(low, high, unit): a number or a range with an optional known unit; nulls where it is none."""
-    low, high, unit = (F.regexp_extract(raw, NUMERIC, k) for k in (1, 2, 3))
-    known = F.create_map(*[F.lit(x) for pair in TAGGED_UNITS.items() for x in pair])
-    name = F.try_element_at(known, F.lower(unit))
-    fine = (low != "") & ((unit == "") | name.isNotNull())
-    small, large = low.try_cast("double"), F.when(high == "", low).otherwise(high).try_cast("double")
-    fine = fine & (small <= large)
-    return F.struct(F.when(fine, small).alias("low"), F.when(fine, large).alias("high"), F.when(fine, name).alias("unit"))
+def numeric_range(raw: Column, unit: Column) -> Column:
+    """struct(minimum, maximum, unit) of a number or a range whose column names a known unit, else null.
+
+    Nothing is repaired or converted, and no unit is guessed: the unit is that of
+    the column, spelt as in ``UNITS``.
+    """
+    known = F.create_map(*[F.lit(x) for name, (_, shown) in UNITS.items() for x in (name, shown)])
+    low, high = F.regexp_extract(raw, NUMERIC, 1), F.regexp_extract(raw, NUMERIC, 2)
+    least, most = low.try_cast("double"), F.when(high == "", low).otherwise(high).try_cast("double")
+    name = F.try_element_at(known, unit)
+    fine = raw.rlike(NUMERIC) & name.isNotNull() & (least <= most) & (F.abs(least) < float("inf")) & (F.abs(most) < float("inf"))
+    return F.when(fine, F.struct(least.alias("minimum"), most.alias("maximum"), name.alias("unit")))
 
 
 def media_type(path: Column) -> Column:
@@ -137,33 +157,44 @@ def media_type(path: Column) -> Column:
     return F.coalesce(F.try_element_at(known, extension), F.lit("application/octet-stream"))
 
 
-def unsafe_path(path: Column) -> Column:
-    """The first reason why a relative path isn't safe, or null."""
-    parts = F.split(path, "/")
-    reserved = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$"
-    return (
-        F.when(path.contains("\0"), "NUL character")
-        .when(path.contains("\\"), "backslash")
-        .when(path.startswith("/"), "absolute")
-        .when(path.rlike(r"^[A-Za-z]:"), "drive")
-        .when(path.rlike(r"[\x01-\x1f\x7f]"), "control character")
-        .when(F.exists(parts, lambda p: p.isin("", ".", "..")), "empty or relative part")
-        .when(F.exists(parts, lambda p: p.rlike(reserved)), "reserved name")
+def _first(reasons: list[tuple[str, Column]]) -> Column:
+    """The name of the first condition that holds, or null."""
+    return F.coalesce(*[F.when(holds, F.lit(name)) for name, holds in reasons])
+
+
+def unsafe_path(path: Column, folder: bool = False) -> Column:
+    """The first reason why a member's path isn't safe to write, or null; a folder may end in a slash."""
+    name = F.regexp_replace(path, "/$", "") if folder else path
+    return _first(
+        [
+            ("empty", F.coalesce(path == "", F.lit(True))),
+            ("NUL character", path.contains("\0")),
+            ("backslash", path.contains("\\")),
+            ("root", name == ""),
+            ("absolute", name.rlike("^(/|[A-Za-z]:)")),
+            ("not canonical", name.rlike(r"(^|/)\.{0,2}(/|$)")),
+            ("control character", name.rlike(r"[\x01-\x1f]")),
+            ("reserved", F.lower(name).isin(*RESERVED_PATHS)),
+        ]
+    )
+
+
+def path_problem(path: Column) -> Column:
+    """Why a path has no portable spelling below its source, or null."""
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
+    return _first(
+        [
+            ("empty", F.coalesce(path == "", F.lit(True))),
+            ("NUL character", path.contains("\0")),
+            ("absolute", slashed.rlike("^(/|[A-Za-z]:)")),
+            ("leaves the source", slashed.rlike(r"(^|/)\.\.(/|$)")),
+            ("control character", slashed.rlike(r"[\x01-\x1f]")),
+            ("root", ~slashed.rlike(r"(^|/)(\.[^/]|[^./])")),
+        ]
     )
 
 
 def canonical_path(path: Column) -> Column:
-    """The path with empty and ``.`` parts dropped and ``..`` resolved; null if it leaves the root."""
+    """The path with slashes, without empty and ``.`` parts; null where ``path_problem`` names a reason."""
     parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", "."))
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("out"))
-    folded = F.aggregate(
-        parts,
-        start,
-        lambda s, p: F.struct(
-            F.when(p != "..", F.concat(s["kept"], F.array(p)))
-            .otherwise(F.slice(s["kept"], 1, F.greatest(F.size(s["kept"]) - 1, F.lit(0))))
-            .alias("kept"),
-            (s["out"] | ((p == "..") & (F.size(s["kept"]) == 0))).alias("out"),
-        ),
-    )
-    return F.when(~folded["out"] & (F.size(folded["kept"]) > 0), F.array_join(folded["kept"], "/"))
+    return F.when(path_problem(path).isNull(), F.array_join(parts, "/"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quire.functions import ids
 from quire.functions import text as T
 
-LOW_TEXT = 400
+# The characters below which a page has little text, and how an owner's book names itself.
+LOW_TEXT = 80
 OWNER = r"\bowner(?:'s|s)?\s+(?:manual|guide)\b"
 _KIND_LINES = ["Generic OBD notes", "Owners  guide", "Wiring Diagram", "Trouble code list", "Plain"]
 
@@ -105,11 +106,13 @@ def q_text_digest(spark, sf_dir):
 
 
 def q_compact(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.md5(T.compact(F.col("text"))).alias("compacted"))
+    """Texts with wide and unbreakable blanks at their ends."""
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.compact(F.concat(F.lit("\u2003"), "text", F.lit("\u00a0\x1cx\u3000")))).alias("compacted"))
 
 
 def q_exclusion_flag(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.col("text").rlike(T.EXCLUSION).alias("excludes"))
+    ending = F.when(F.col("doc_id") % 3 == 0, F.lit(" not\n  for")).when(F.col("doc_id") % 3 == 1, F.lit(" exceptional")).otherwise("")
+    return documents(spark, sf_dir).select("doc_id", F.concat("text", ending).rlike(T.EXCLUSION).alias("excludes"))
 
 
 def q_evidence_lines(spark, sf_dir):
@@ -127,7 +130,10 @@ def q_mixed_text(spark, sf_dir):
 
 
 def q_low_text_triage(spark, sf_dir):
-    return triage(documents(spark, sf_dir), F.col("doc_id") % 3 == 0, done=F.col("doc_id") % 50 == 0).select("doc_id", "action")
+    """Texts, and made ones of just under and just the least length."""
+    made = F.when(F.col("doc_id") % 4 == 1, F.repeat(F.lit("a "), 79)).when(F.col("doc_id") % 4 == 2, F.repeat(F.lit("a\n"), 80)).when(F.col("doc_id") % 4 == 3, " \t").otherwise(F.col("text"))
+    docs = documents(spark, sf_dir).withColumn("text", made)
+    return triage(docs, F.col("doc_id") % 3 == 0, done=F.col("doc_id") % 50 == 0).select("doc_id", "action")
 
 
 def q_title_kind(spark, sf_dir):
@@ -140,12 +146,6 @@ def q_model_years(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.model_years(said).alias("y")).select("doc_id", "y.*")
 
 
-def q_numeric_range(spark, sf_dir):
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    raw = F.concat(F.col("l_quantity").cast("int"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" - "), F.col("l_quantity").cast("int") + F.col("l_linenumber"))).otherwise(""), F.lit(" "), F.element_at(F.array(F.lit("Nm"), F.lit("psi"), F.lit("furlong")), (F.col("l_linenumber") % 3 + 1).cast("int")))
-    return lines.select("l_orderkey", "l_linenumber", T.numeric_range(raw).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
-
-
 def q_part_identifiers(spark, sf_dir):
     """Texts, and codes made from the row, so that some match."""
     docs = documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\nAB"), F.col("doc_id") % 97 + 10, F.lit("-X9-"), F.col("doc_id") % 5 + 100, F.lit("\n-7")))
@@ -180,19 +180,6 @@ def q_media_types(spark, sf_dir):
     return pages.select("page_id", T.media_type(path).alias("media_type"))
 
 
-def q_path_safety(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    shapes = ["a/b.html", "/abs", "C:x", "a\\b", "a/../b", "a//b", "con.txt", "ok/NUL", "x/\u0001y"]
-    path = F.concat(F.element_at(F.array(*[F.lit(s) for s in shapes]), (F.col("doc_id") % len(shapes) + 1).cast("int")), F.when(F.col("doc_id") % 4 == 0, F.lit("/z")).otherwise(""))
-    return docs.select("doc_id", T.unsafe_path(path).alias("reason"))
-
-
-def q_canonical_paths(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    path = F.concat("source", F.lit("/./a//"), "lang", F.when(F.col("doc_id") % 3 == 0, F.lit("/../b")).when(F.col("doc_id") % 3 == 1, F.lit("/../../../../x")).otherwise(F.lit("/c.html")))
-    return docs.select("doc_id", T.canonical_path(path).alias("path"))
-
-
 QUERIES = {
     "stable_ids": q_stable_ids,
     "text_digest": q_text_digest,
@@ -203,15 +190,12 @@ QUERIES = {
     "low_text_triage": q_low_text_triage,
     "title_kind": q_title_kind,
     "model_year_parse": q_model_years,
-    "numeric_range": q_numeric_range,
     "part_identifiers": q_part_identifiers,
     "part_mentions": q_part_mentions,
     "native_lines": q_native_lines,
     "native_decisions": q_native_decisions,
     "decision_graph": q_decision_graph,
     "media_types": q_media_types,
-    "path_safety": q_path_safety,
-    "canonical_paths": q_canonical_paths,
 }
 
 _LINES = "(SELECT doc_id, unnest(string_split({}, chr(10))) AS statement, generate_subscripts(string_split({}, chr(10)), 1) - 1 AS line FROM documents)"
@@ -223,14 +207,16 @@ _YEARS = "'models ' || (1990 + doc_id % 30) || CASE WHEN doc_id % 2 = 0 THEN ' t
 ORACLE_SQL = {
     "stable_ids": "SELECT doc_id, 'doc_' || substr(sha256('doc' || chr(0) || source || chr(0) || doc_id), 1, 32) AS stable_id FROM documents",
     "text_digest": "SELECT doc_id, sha256(text) AS sha256, length(text) AS chars FROM documents",
-    "whitespace_compact": r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r\x0b\x0c]+', ' ', 'g'))) AS compacted FROM documents",
-    "exclusion_flag": f"SELECT doc_id, regexp_matches(text, '{T.EXCLUSION}') AS excludes FROM documents",
+    "whitespace_compact": r"""SELECT doc_id, md5(trim(regexp_replace(chr(8195) || text || chr(160) || chr(28) || 'x' || chr(12288),
+        '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'))) AS compacted FROM documents""",
+    "exclusion_flag": r"""SELECT doc_id, doc_id % 3 = 0 OR regexp_matches(text, '(?i)\b(except|excluding)\b') OR regexp_matches(text, '(?i)\bnot\s+for\b')
+        OR regexp_matches(text, '(?i)\bdoes\s+not\s+apply\s+to\b') AS excludes FROM documents""",
     "evidence_lines": f"SELECT doc_id, line, md5(statement) AS statement FROM {_LINES.format('text', 'text')} WHERE regexp_matches(statement, '{T.EVIDENCE}')",
     "mixed_text": f"""SELECT doc_id, len(list_distinct(regexp_extract_all(regexp_replace(lower(text || ' 5.0L' || CASE WHEN doc_id % 6 = 0 THEN ' oil consumption rate is not more than 0.95 liter (1 qt)'
         WHEN doc_id % 2 = 0 THEN ' or 0.95 liter' ELSE '' END), '{T.OIL_RATE}', ' ', 'g'), '{T.LITRES}', 1))) > 1 AS mixed FROM documents""",
-    "low_text_triage": f"""SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'already_ocr' WHEN n = 0 AND i THEN 'auto_image_only' WHEN n = 0 THEN 'review_empty_without_image'
-        WHEN n < {LOW_TEXT} AND i THEN 'review_low_text_with_image' WHEN n < {LOW_TEXT} THEN 'review_low_text' ELSE 'native_readable' END AS action
-        FROM (SELECT doc_id, doc_id % 3 = 0 AS i, length(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) AS n FROM documents)""",
+    "low_text_triage": r"""SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'already_ocr' WHEN n = 0 AND i THEN 'auto_image_only' WHEN n = 0 THEN 'review_empty_without_image'
+        WHEN n < 80 AND i THEN 'review_low_text_with_image' WHEN n < 80 THEN 'review_low_text' ELSE 'native_readable' END AS action
+        FROM (SELECT doc_id, doc_id % 3 = 0 AS i, CASE doc_id % 4 WHEN 1 THEN 79 WHEN 2 THEN 80 WHEN 3 THEN 0 ELSE length(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) END AS n FROM documents)""",
     "title_kind": f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(' ' || chr(10) || {_KIND_LINES}[doc_id % 5 + 1] || chr(10) || text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
         h AS (SELECT doc_id, md5(substr(array_to_string(l[1:4], ' / '), 1, 500)) AS title, lower(array_to_string(l[1:30], chr(10))) AS h FROM l)
         SELECT doc_id, title, CASE WHEN regexp_matches(h, '{OWNER.replace("'", "''")}') THEN 'owner' WHEN contains(h, 'generic') AND (contains(h, 'code') OR contains(h, 'obd')) THEN 'reference'
@@ -242,10 +228,6 @@ ORACLE_SQL = {
         q AS (SELECT *, CASE WHEN a <> '' AND a <= b THEN 'range' WHEN a = '' AND len(l) = 1 THEN 'exact' ELSE 'unknown' END AS state FROM p)
         SELECT doc_id, state, CASE WHEN state = 'exact' THEN CAST(l[1] AS INT) END AS value, CASE WHEN state = 'range' THEN CAST(a AS INT) END AS start,
         CASE WHEN state = 'range' THEN CAST(b AS INT) END AS "end" FROM q""",
-    "numeric_range": """WITH r AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS q, l_linenumber % 3 AS u FROM lineitem)
-        SELECT l_orderkey, l_linenumber, CASE WHEN u < 2 THEN CAST(q AS DOUBLE) END AS low,
-        CASE WHEN u < 2 THEN CAST(CASE WHEN l_linenumber % 2 = 0 THEN q + l_linenumber ELSE q END AS DOUBLE) END AS high,
-        CASE u WHEN 0 THEN 'N·m' WHEN 1 THEN 'psi' END AS unit FROM r""",
     "part_identifiers": f"""SELECT doc_id, unnest({_IDS.format("text || chr(10) || 'AB' || (doc_id % 97 + 10) || '-X9-' || (doc_id % 5 + 100) || chr(10) || '-7'")}) AS identifier FROM documents""",
     "part_mentions": f"""WITH m AS (SELECT doc_id, line, unnest({_IDS.format('statement')}) AS identifier FROM {_LINES.format(_MENTION, _MENTION)})
         SELECT doc_id, min(line) AS line, identifier FROM m GROUP BY doc_id, identifier HAVING count(*) = 1""",
@@ -256,7 +238,4 @@ ORACLE_SQL = {
         SELECT 'yes' AS label, count(*) AS edges, count(DISTINCT (n, source)) AS decisions, count(DISTINCT (n, source, lang)) AS outcomes FROM d
         UNION ALL SELECT 'no', count(*), count(DISTINCT (n, source)), count(DISTINCT (n, source)) FROM d""",
     "media_types": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/pdf' WHEN 3 THEN 'image/svg+xml' WHEN 2 THEN CASE WHEN regexp_matches(lower(url), '\\.html?$') THEN 'text/html' ELSE 'application/octet-stream' END ELSE 'application/octet-stream' END AS media_type FROM pages",
-    "path_safety": """SELECT doc_id, CASE doc_id % 9 WHEN 1 THEN 'absolute' WHEN 2 THEN 'drive' WHEN 3 THEN 'backslash' WHEN 4 THEN 'empty or relative part' WHEN 5 THEN 'empty or relative part'
-        WHEN 6 THEN 'reserved name' WHEN 7 THEN 'reserved name' WHEN 8 THEN 'control character' END AS reason FROM documents""",
-    "canonical_paths": """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source || '/a/b' WHEN 1 THEN NULL ELSE source || '/a/' || lang || '/c.html' END AS path FROM documents""",
 }
