@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import base64
 import re
-import struct
 import unicodedata
 import xml.etree.ElementTree as ET
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +15,7 @@ from pyspark.sql import types as K
 from quire.functions import ids
 from quire.functions import text as T
 from quire.plans.prefix import running_sum
+from quire.sources import svg
 
 # Limits and ignored names.
 MOST_FILES, MOST_FILE_BYTES, MOST_BYTES = 200_000, 1 << 30, 20 << 30
@@ -120,81 +118,45 @@ def page_texts(documents: DataFrame, native: str = "native", ocr: str = "ocr") -
 
 # ---------------------------------------------------------------- drawings
 
-SVG_TAGS = set("svg g path rect circle ellipse line polyline polygon text tspan title desc defs use clippath lineargradient radialgradient stop symbol image style metadata".split())
-SVG_BARRED = re.compile(r"(?i)javascript:|data:(?!image/png;base64,)|expression\(|@import|url\((?!\s*['\"]?#)")
-
-
-def svg_problem(data: bytes) -> str | None:
-    """Why a drawing isn't safe to show, or None."""
-    if b"<!DOCTYPE" in data.upper() or b"<!ENTITY" in data.upper():
-        return "has a document type or entities"
-    try:
-        root = ET.fromstring(data)
-    except ET.ParseError:
-        return "isn't XML"
-    seen = set()
-    for node in root.iter():
-        if node.tag.rsplit("}", 1)[-1].lower() not in SVG_TAGS:
-            return f"element isn't allowed: {node.tag}"
-        for name, value in node.attrib.items():
-            short = name.rsplit("}", 1)[-1].lower()
-            if short.startswith("on"):
-                return "has an event handler"
-            if short == "href" and not value.startswith("#") and not png_problem(value) is None:
-                return "refers outside itself"
-            if SVG_BARRED.search(value) and short != "href":
-                return "has an active value"
-            if short == "id" and value in seen:
-                return "id is repeated"
-            if short == "id":
-                seen.add(value)
-        if node.tag.rsplit("}", 1)[-1].lower() == "style" and SVG_BARRED.search(node.text or ""):
-            return "has an active style"
-    return None
-
-
-def png_problem(value: str) -> str | None:
-    """Why an inline image isn't a plain PNG: base64, signature, chunk sums, size."""
-    head = "data:image/png;base64,"
-    if not value.startswith(head):
-        return "isn't an inline PNG"
-    try:
-        data = base64.b64decode(value[len(head) :], validate=True)
-    except ValueError:
-        return "isn't base64"
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        return "has no PNG signature"
-    at, kinds = 8, []
-    while at + 12 <= len(data):
-        size, kind = struct.unpack_from(">I4s", data, at)
-        body = data[at + 8 : at + 8 + size]
-        if len(body) < size or zlib.crc32(kind + body) != struct.unpack(">I", data[at + 8 + size : at + 12 + size].ljust(4, b"\0"))[0]:
-            return "a chunk is damaged"
-        if kind == b"IHDR" and (size != 13 or struct.unpack(">II", body[:8])[0] * struct.unpack(">II", body[:8])[1] > 40_000_000):
-            return "is too large"
-        kinds.append(kind)
-        at += 12 + size
-    return None if kinds[:1] == [b"IHDR"] and kinds[-1:] == [b"IEND"] and at == len(data) else "chunks are out of order"
 
-
-@F.pandas_udf(K.StringType())
-def unsafe_svg(content: pd.Series) -> pd.Series:
-    return content.map(lambda data: svg_problem(bytes(data)))
+@F.pandas_udf(K.StructType([K.StructField("svg", K.BinaryType()), K.StructField("reason", K.StringType())]))
+def static_svg(content: pd.Series) -> pd.DataFrame:
+    """The static subset of each drawing, or why it has none."""
+    rows = []
+    for data in content:
+        try:
+            rows.append((svg.safe_svg(bytes(data)), None))
+        except svg.Refused as stopped:
+            rows.append((None, str(stopped)))
+    return pd.DataFrame(rows, columns=["svg", "reason"])
 
 
 def figure_status(figures: DataFrame, members: DataFrame) -> DataFrame:
-    """Figures (path, reason) with a status by what their file is."""
-    held = members.select(F.col("path").alias("__path"), F.hex(F.substring("content", 1, 8)).alias("__head"), unsafe_svg("content").alias("__svg"))
+    """Figures (path, reason) with a status by what their file is, and ``svg``, what a safe drawing may show.
+
+    ``detail`` says why a drawing isn't safe. Only drawings are parsed; of all
+    other files the first bytes are read, which have to be those of their type.
+    """
+    drawing = F.lower("path").endswith(".svg")
+    held = members.select(F.col("path").alias("__path"), F.hex(F.substring("content", 1, 8)).alias("__head"), F.when(drawing, F.col("content")).alias("__svg"))
+    held = held.where("__svg is not null").withColumn("__safe", static_svg("__svg")).unionByName(
+        held.where("__svg is null").withColumn("__safe", F.lit(None).cast("struct<svg:binary,reason:string>"))
+    ).drop("__svg")
     rows = figures.join(held, F.col("path") == F.col("__path"), "left")
-    raster = F.col("__head").startswith("89504E470D0A1A0A") | F.col("__head").startswith("FFD8FF") | F.col("__head").startswith("474946383")
+    kind = T.media_type(F.col("path"))
+    raster = (
+        ((kind == "image/png") & F.col("__head").startswith("89504E470D0A1A0A"))
+        | ((kind == "image/jpeg") & F.col("__head").startswith("FFD8FF"))
+        | ((kind == "image/gif") & F.col("__head").rlike("^474946383[79]61"))
+    )
     status = (
         F.when(F.col("reason").isNotNull(), "blocked")
         .when(F.col("__path").isNull(), "missing")
-        .when(F.lower("path").endswith(".svg") & F.col("__svg").isNull(), "safe_svg")
+        .when(F.col("__safe.svg").isNotNull(), "safe_svg")
         .when(raster, "raster")
         .otherwise("unsupported")
     )
-    return rows.withColumn("status", status).drop("__path", "__head", "__svg")
+    return rows.select(*figures.columns, status.alias("status"), F.col("__safe.svg").alias("svg"), F.col("__safe.reason").alias("detail"))
 
 
 # ---------------------------------------------------------------- manifests and wiring

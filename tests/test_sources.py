@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from quire.sources import archives, files, html
+from quire.sources import archives, files, html, svg
 
 
 def pod2(members):
@@ -183,15 +183,42 @@ def test_page_errors(spark, bad):
 @pytest.mark.parametrize(("href", "expected"), [
     ("b.html", ("a/b.html", "", None)), ("#f", ("a/c.html", "f", None)), ("..\\x.html", ("x.html", "", None)), ("../../x", (None, "", "leaves the source")),
     ("/x", (None, "", "absolute URL")), ("x?y=1", (None, "", "query in URL")), ("%2e%2e/z", ("z", "", None)), ("javascript:x", (None, "", "external or active URL")),
+    ("./", ("a", "", None)), ("../", (None, "", "is a directory")), ("..", (None, "", "is a directory")), ("a//b/./c/", ("a/a/b/c", "", None)), ("../../a/x#f", (None, "f", "leaves the source")),
+    ("x\ty", (None, "", "control character")), ("x%09#f", (None, "f", "encoded control character")), ("//h/x#f", (None, "", "external or active URL")), ("http://[x", (None, "", "invalid URL")),
+    ("%43:x", (None, "", "absolute URL")), ("%2Fx", (None, "", "absolute URL")), ("?", ("a/c.html", "", None)),
 ])
 def test_resolve(href, expected):
     assert html.resolve("a/c.html", href) == expected
 
 
-def test_ragged_grid():
-    node = lambda i, p, t: {"node_id": i, "parent_id": p, "tag": t, "rowspan": 1, "colspan": 1, "text": "x"}
+def table(*rows):
+    """Node rows of a table from rows of (text, rowspan, colspan)."""
+    nodes, number = [{"node_id": 0, "parent_id": None, "tag": "table"}], 0
+    for row in rows:
+        number += 1
+        line = number
+        nodes.append({"node_id": line, "parent_id": 0, "tag": "tr"})
+        for text, high, wide in row:
+            number += 1
+            nodes.append({"node_id": number, "parent_id": line, "tag": "td", "rowspan": high, "colspan": wide, "text": text})
+    return nodes
+
+
+def test_grid_spans():
+    rows = [[("a", 2, 1), ("b", 1, 2), ("c", 3, 1)], [("d", 1, 1), ("e", 2, 1)], [("f", 1, 2)]]
+    assert html.grid(table(*rows)) == [["a", "b", "b", "c"], ["a", "d", "e", "c"], ["f", "f", "e", "c"]]
+    assert [(cell["text"], row, column) for cell, row, column in html.placed_cells(table(*rows))] == [
+        ("a", 0, 0), ("b", 0, 1), ("c", 0, 3), ("d", 1, 1), ("e", 1, 2), ("f", 2, 0)
+    ]
+
+
+@pytest.mark.parametrize("rows", [
+    [], [[]], [[("a", 1, 1), ("b", 1, 1)], [("c", 1, 1)]], [[("a", 2, 1)]], [[("a", 1, 65)]], [[("a", 1, 40), ("b", 1, 40)]], [[("a", 0, 1)]], [[("a", 1, 1), ("b", 2, 1)], [("c", 1, 2)]],
+    [[("a", 1, 2), ("b", 1, 1)], [("c", 1, 1)]], [[("a", 1, 1)]] * 2001,
+])
+def test_tables_that_are_no_grid(rows):
     with pytest.raises(html.PageError):
-        html.grid([node(1, 0, "table"), node(2, 1, "tr"), node(3, 2, "td"), node(4, 2, "td"), node(5, 1, "tr"), node(6, 5, "td")])
+        html.grid(table(*rows))
 
 
 def png():
@@ -203,21 +230,30 @@ def test_drawings():
     import base64
 
     inline = "data:image/png;base64," + base64.b64encode(png()).decode()
-    svg = '<svg xmlns="http://www.w3.org/2000/svg"><g id="a"><use href="#a"/><image href="{}"/></g></svg>'
-    assert files.svg_problem(svg.format(inline).encode()) is None
-    assert files.svg_problem(svg.format("http://x/").encode()) == "refers outside itself"
-    for bad in ("<svg><script/></svg>", '<svg onload="x"/>', '<svg><g style="fill:url(http://x)"/></svg>', '<svg><g id="a"/><g id="a"/></svg>', "<!DOCTYPE x><svg/>", "<svg>"):
-        assert files.svg_problem(bad.encode())
-    assert files.png_problem(inline[:-8] + "AAAAAAAA")
+    drawn = lambda inside, more="": f'<svg xmlns="http://www.w3.org/2000/svg" {more}>{inside}</svg>'.encode()
+    image = '<g id="a"><image href="{}"/></g>'
+    assert svg.svg_problem(drawn(image.format(inline))) is None
+    assert svg.svg_problem(drawn(image.format("http://x/"))) == "reference isn't an inline PNG"
+    kept = svg.safe_svg(drawn('<metadata><rdf x="y">gone</rdf></metadata><g id="p" data-x="1" xml:space="preserve" style="fill: red;stroke:url(#p)">a &amp; b</g>', 'viewBox="0 0 1 1"'))
+    assert kept.decode().split("\n", 1)[1] == '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1 1"><g id="p" fill="red" stroke="url(#p)">a &amp; b</g></svg>'
+    assert svg.safe_svg(kept) == kept
+    inside = [
+        "<script/>", "<style>a</style>", '<use href="#a"/>', "<symbol/>", "<foreignObject/>", '<g onload="x"/>', '<g unknown="1"/>', '<g xmlns:x="y" x:fill="red"/>', '<x xmlns="y"/>',
+        '<g fill="http://e/"/>', '<g fill="url(http://x)"/>', '<g fill="url(#none)"/>', '<g style="fill:url(http://x)"/>', '<g style="id:x"/>', '<g style="behavior:x"/>',
+        '<g id="a"/><g id="a"/>', '<g href="#a"/>', '<g fill="a@b"/>', '<g fill="\\x"/>', "<g>" * 102 + "</g>" * 102, "<g/>" * 100_001,
+    ]
+    for bad in (*map(drawn, inside), b"<svg/>", b"<!DOCTYPE x><svg/>", b"<svg>", b"\xff", b"", drawn("\0"), drawn("<metadata>")):
+        assert svg.svg_problem(bad), bad[:80]
+    assert svg.png_problem(inline[:-8] + "AAAAAAAA") and svg.png_problem(inline + "AAAA") and svg.png_problem(inline[:40])
 
 
 def test_inventory(spark, tmp_path):
-    for name in ("m/index.html", "m/pages/1.html", "m/Pages2/x.txt", "d.pdf", ".DS_Store", "A.txt", "a.TXT", "con.txt"):
+    for name in ("m/index.html", "m/pages/1.html", "m/Pages2/x.txt", "d.pdf", ".DS_Store", "A.txt", "a.TXT", "m/b\tc.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(b"%PDF-1 /Type /Page /Type/Pages /Type /Page" if name.endswith("pdf") else name.encode())
     members, failures = files.inventory(spark, str(tmp_path))
     assert {r["path"] for r in members.collect()} == {"m/index.html", "m/pages/1.html", "m/Pages2/x.txt", "d.pdf", "A.txt"}
-    assert sorted((r["path"], r["code"]) for r in failures.collect()) == [("a.TXT", "path_collision"), ("con.txt", "unsafe_path")]
+    assert sorted((r["path"], r["code"]) for r in failures.collect()) == [("a.TXT", "path_collision"), ("m/b\tc.txt", "unsafe_path")]
     assert {(r["root"], r["format"]) for r in files.source_format(members).collect()} == {("m/", "html_export"), ("d.pdf", "pdf")}
     assert [(r["pages"], r["error"]) for r in files.pdf_pages(spark, str(tmp_path)).collect()] == [(2, None)]
     assert files.source_digest(members).first()["digest"] == files.source_digest(members.orderBy("size")).first()["digest"]
@@ -253,10 +289,14 @@ def test_manifests_and_wiring(spark):
 
 
 def test_figures(spark):
-    figures = spark.createDataFrame([("a.svg", None), ("b.png", None), ("c.bin", None), ("d", None), ("e", "blocked")], "path string, reason string")
-    members = spark.createDataFrame([("a.svg", bytearray(b"<svg/>")), ("b.png", bytearray(png())), ("c.bin", bytearray(b"zz"))], "path string, content binary")
-    got = {r["path"]: r["status"] for r in files.figure_status(figures, members).collect()}
-    assert got == {"a.svg": "safe_svg", "b.png": "raster", "c.bin": "unsupported", "d": "missing", "e": "blocked"}
+    held = {"a.svg": b'<svg xmlns="http://www.w3.org/2000/svg"/>', "x.svg": b"<svg/>", "b.png": png(), "b.jpg": png(), "g.gif": b"GIF89a..", "c.bin": b"zz"}
+    figures = spark.createDataFrame([*[(name, None) for name in (*held, "d")], ("e", "blocked")], "path string, reason string")
+    members = spark.createDataFrame([(name, bytearray(data)) for name, data in held.items()], "path string, content binary")
+    rows = files.figure_status(figures, members).collect()
+    assert {r["path"]: r["status"] for r in rows} == {
+        "a.svg": "safe_svg", "x.svg": "unsupported", "b.png": "raster", "b.jpg": "unsupported", "g.gif": "raster", "c.bin": "unsupported", "d": "missing", "e": "blocked"
+    }
+    assert {r["path"] for r in rows if r["svg"]} == {"a.svg"} and {r["path"]: r["detail"] for r in rows if r["detail"]} == {"x.svg": "root isn't an SVG element"}
 
 
 def test_zip_bytes_are_read_from_memory():
