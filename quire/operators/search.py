@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.plans.fixpoint import reliable
 
 TF_CAP = 255
 K1, B = 1.2, 0.35
@@ -67,8 +68,8 @@ def scoped_search(scope: DataFrame, query: str, limit: int = 100, id_column: str
 
     The score sums tf * ln((N + 1) / (df + 1)) over the query's terms, repeats
     included; N and df count the scope. Tokens are counted in place, for the
-    query's terms only, so nothing is exploded or shuffled but one row of counts
-    and the top rows.
+    query's terms only and once: ids and counts are kept, and texts are read again
+    for the top rows alone, which are no more than ``limit``.
     """
     if not 1 <= limit <= 1000:
         raise ValueError("limit is 1 to 1000")
@@ -76,20 +77,27 @@ def scoped_search(scope: DataFrame, query: str, limit: int = 100, id_column: str
     if not terms:
         return scope.select(id_column, F.lit(0.0).alias("score"), F.lit("").alias("snippet")).limit(0)
     distinct = list(dict.fromkeys(terms))
+    low = F.lower(text_column)
     # a term's tokens are counted where they stand, between characters that no token holds
-    tf = [F.regexp_count(F.lower(text_column), F.lit(_alone(t))).alias(f"__tf{k}") for k, t in enumerate(distinct)]
-    counted = scope.select(id_column, text_column, *tf)
-    sums = counted.agg(F.count("*").alias("n"), *[F.count_if(F.col(f"__tf{k}") > 0).alias(f"df{k}") for k in range(len(distinct))])
-    # one row of counts joins every document
-    hits = counted.where(" and ".join(f"__tf{k} > 0" for k in range(len(distinct)))).crossJoin(F.broadcast(sums))
+    tf = [F.when(low.contains(t), F.regexp_count(low, F.lit(_alone(t)))).otherwise(0).alias(f"tf{k}") for k, t in enumerate(distinct)]
+    counted = reliable(scope.select(F.col(id_column).alias("id"), *tf))
+    return _top_scored(scope, counted, terms, distinct, limit, id_column, text_column, digits)
+
+
+def _top_scored(scope, counted, terms, distinct, limit, id_column, text_column, digits) -> DataFrame:
+    """The best rows by the counts (id, tf0, tf1, ...) of all documents of the scope, with their snippets."""
+    numbers = range(len(distinct))
+    sums = counted.agg(F.count("*").alias("n"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in numbers])
+    # one row of counts joins every hit
+    hits = counted.where(" and ".join(f"tf{k} > 0" for k in numbers)).crossJoin(F.broadcast(sums))
     score = sum(
-        (F.col(f"__tf{distinct.index(t)}") * F.log((F.col("n") + 1) / (F.col(f"df{distinct.index(t)}") + 1)) for t in terms), F.lit(0.0)
+        (F.col(f"tf{distinct.index(t)}") * F.log((F.col("n") + 1) / (F.col(f"df{distinct.index(t)}") + 1)) for t in terms), F.lit(0.0)
     )
     score = F.round(score, digits) if digits is not None else score
-    top = hits.select(id_column, score.alias("score"), text_column).orderBy(F.desc("score"), id_column).limit(limit)
-    # the few rows are gathered before snippets are cut: so the limit stays a top-k, not a sort of all hits
-    top = top.repartition(1)
-    return top.select(id_column, "score", T.snippet(F.col(text_column), distinct).alias("snippet"))
+    best = hits.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    shown = scope.join(F.broadcast(best), scope[id_column] == F.col("id"))  # limit rows at most
+    rows = shown.select(id_column, "score", T.snippet(F.col(text_column), distinct).alias("snippet"))
+    return rows.orderBy(F.desc("score"), id_column).limit(limit)  # where ids repeat, too
 
 
 def _widened(index: DataFrame, terms: list[str]) -> DataFrame:
@@ -119,13 +127,17 @@ def document_stats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def rank(index: DataFrame, stats: DataFrame, query: str, id_column: str = "doc_id") -> DataFrame:
     """(id, score, matched) by BM25 with prefix widening, coverage and title boosts; not cut.
 
-    The widened terms are bounded, so they are broadcast to the postings; the
-    index is never shuffled as a whole.
+    Postings of the terms that begin with a term of the query are read once, and
+    so are the documents' figures; the widened terms are bounded, so they are
+    broadcast to the postings; the index is never shuffled as a whole.
     """
     terms = site_terms(query)
     if not terms:
         return stats.select(id_column, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched")).limit(0)
-    reach = F.broadcast(_widened(index, terms))
+    # the few terms that the query can reach are read once
+    index = reliable(index.where(functools.reduce(operator.or_, [F.col("term").startswith(t) for t in terms])))
+    stats = reliable(stats)
+    reach = F.broadcast(_widened(index, terms))  # WIDENED rows a term at most
     hits = index.join(reach, "term").groupBy("query", id_column).agg(F.sum(F.col("tf") * F.col("weight")).alias("tf"))
     frequency = hits.groupBy("query").agg(F.count("*").alias("df"))
     sums = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
@@ -183,12 +195,12 @@ def facets(hits: DataFrame, column: str) -> DataFrame:
 
 
 def collapse(ranked: DataFrame, group: str, keep: int = 2, id_column: str = "doc_id") -> DataFrame:
-    """The first rows of each group, and one row that tells how many more there are."""
+    """The first rows of each group, and one row that tells how many more there are; a null group is a group."""
     order = Window.partitionBy(group).orderBy(F.desc("score"), id_column)
     placed = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep + 1)
-    sizes = ranked.groupBy(group).agg(F.count("*").alias("members"))
+    sizes = ranked.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("members"))
     more = F.when(F.col("place") > keep, F.col("members") - keep).cast("long")
-    rows = placed.join(sizes, group)
+    rows = placed.join(sizes, F.col(group).eqNullSafe(F.col("__group")))
     return rows.select(group, F.when(F.col("place") <= keep, F.col(id_column)).alias(id_column), "score", more.alias("more"))
 
 
@@ -249,7 +261,9 @@ def q_facet_counts(spark, sf_dir):
 
 
 def q_collapse(spark, sf_dir):
-    return collapse(_hits(spark, sf_dir).select("doc_id", "score", "source"), "source")
+    """Hits by source; those of every third document have none."""
+    source = F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("source")
+    return collapse(_hits(spark, sf_dir).select("doc_id", "score", source), "source")
 
 
 QUERIES = {
@@ -337,7 +351,7 @@ ORACLE_SQL = {
     "facet_counts": _bm25_sql(_BM25) + " SELECT source, count(*) AS hits FROM ranked GROUP BY 1",
     "collapse_two_per_group": _bm25_sql(_BM25)
     + """, placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS place,
-      count(*) OVER (PARTITION BY source) AS members FROM ranked)
+      count(*) OVER (PARTITION BY source) AS members FROM (SELECT doc_id, score, CASE WHEN doc_id % 3 > 0 THEN source END AS source FROM ranked))
   SELECT source, CASE WHEN place <= 2 THEN doc_id END AS doc_id, score, CASE WHEN place > 2 THEN members - 2 END AS more
   FROM placed WHERE place <= 3""",
 }
