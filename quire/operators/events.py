@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.plans.sizes import small
+
 # Which action may follow which.
 TRANSITIONS = {"accept": "propose", "reject": "propose", "approve": "propose", "revoke": "accept,approve", "supersede": "accept"}
 
@@ -54,7 +56,7 @@ def quality_state(records: DataFrame, events: DataFrame) -> DataFrame:
     """(record_id, use, state, approved): the last decision on each record and use, stale if the record changed."""
     last = current(events.select("record_id", "use", "seq", "action", "sha"), ["record_id", "use"], ["seq"])
     uses = last.select("use").distinct()
-    rows = records.crossJoin(F.broadcast(uses)).join(last.withColumnRenamed("sha", "__sha"), ["record_id", "use"], "left")
+    rows = records.crossJoin(small(uses)).join(last.withColumnRenamed("sha", "__sha"), ["record_id", "use"], "left")
     state = F.when(F.col("action").isNull(), "unreviewed").when(F.col("__sha") != F.col("sha"), "stale").otherwise(F.col("action"))
     return rows.select("record_id", "use", state.alias("state"), (state == "approve").alias("approved"))
 

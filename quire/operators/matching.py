@@ -29,11 +29,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.plans.fixpoint import reliable
+from quire.plans.sizes import small
+
 FIELDS = {"make": "make_id", "model": "model_id", "year": "model_year", "engine": "engine_id"}
 PREDICATE = "struct<state:string,value:string,start:int,end:int>"
 ALTERNATIVES = f"array<struct<{','.join(f'{f}:{PREDICATE}' for f in FIELDS)},qualifiers:map<string,{PREDICATE}>>>"
 EXPLICIT = ("explicit_text", "explicit_structured")
-MOST_PARENTS = 32
 
 
 def predicate(p: Column, selected: Column) -> Column:
@@ -77,17 +79,17 @@ def ancestry(units: DataFrame) -> DataFrame:
 
     ``inner`` marks the unit and its parents, the rest are document and publication.
     """
-    parents = units.select(F.col("unit_id").alias("__child"), F.col("parent_unit_id").alias("__parent"))
-    level = units.select("unit_id", F.col("unit_id").alias("subject_id"), F.lit(0).alias("depth"))
-    found = level
-    for _ in range(MOST_PARENTS):
-        level = level.join(parents, F.col("subject_id") == F.col("__child")).where("__parent is not null")
-        level = level.select("unit_id", F.col("__parent").alias("subject_id"), (F.col("depth") + 1).alias("depth"))
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    else:
-        raise ValueError("unit parents form a cycle or are nested too deeply")
+    jump = reliable(units.where("parent_unit_id is not null").select(F.col("unit_id").alias("__child"), F.col("parent_unit_id").alias("__parent")))
+    found, length = units.select("unit_id", F.col("unit_id").alias("subject_id"), F.lit(0).alias("depth")), 1
+    while not jump.isEmpty():
+        # parents up to ``length`` are known; jumps of that length reach as far again
+        above = found.join(jump, F.col("subject_id") == F.col("__child")).select("unit_id", F.col("__parent").alias("subject_id"), (F.col("depth") + length).alias("depth"))
+        found = reliable(found.unionByName(above))
+        if not found.where("depth > 0 and unit_id = subject_id").isEmpty():
+            raise ValueError("unit parents form a cycle")
+        further = jump.select(F.col("__child").alias("__middle"), F.col("__parent").alias("__end"))
+        jump = reliable(jump.join(further, F.col("__parent") == F.col("__middle")).select("__child", F.col("__end").alias("__parent")))
+        length *= 2
     last = found.groupBy("unit_id").agg(F.max("depth").alias("last"))
     outer = units.join(last, "unit_id").select(
         "unit_id",
@@ -100,7 +102,7 @@ def ancestry(units: DataFrame) -> DataFrame:
 
 def scope_configurations(scopes: DataFrame, configurations: DataFrame) -> DataFrame:
     """(scope_id, known, configuration_id): whether a full selection fits a configuration, and the most qualified one it names in full."""
-    fits = scopes.alias("s").join(F.broadcast(configurations.alias("c")), [F.col(f"s.{k}").cast("string") == F.col(f"c.{k}").cast("string") for k in FIELDS.values()])
+    fits = scopes.alias("s").join(small(configurations).alias("c"), [F.col(f"s.{k}").cast("string") == F.col(f"c.{k}").cast("string") for k in FIELDS.values()])
     chosen = F.coalesce(F.col("s.qualifiers"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
     held = F.map_entries(F.coalesce(F.col("c.qualifiers"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
     compatible = F.forall(held, lambda e: F.coalesce(F.try_element_at(chosen, e["key"]) == e["value"], F.lit(True)))
@@ -114,7 +116,7 @@ def review_state(events: DataFrame, subjects: DataFrame, chosen: DataFrame) -> D
     closed = events.where("prior_event_id is not null").select(F.col("prior_event_id").alias("event_id")).distinct()
     live = events.where("relation = 'section_applies'").join(closed, "event_id", "left_anti")
     named = live.select("event_id", "subject_id", "action", "stale", F.explode("targets").alias("configuration_id")).distinct()
-    met = named.join(F.broadcast(chosen.where("configuration_id is not null")), "configuration_id").join(subjects, "subject_id")
+    met = named.join(small(chosen.where("configuration_id is not null")), "configuration_id").join(subjects, "subject_id")
     kept = lambda rule: F.array_sort(F.collect_set(F.when(rule, F.col("event_id"))))
     accepted = (F.col("action") == "accept") & ~F.col("stale")
     return met.groupBy("unit_id", "scope_id").agg(
@@ -131,7 +133,7 @@ def _proofs(units, assertions, subjects, events, scopes, review) -> DataFrame:
     bound = events.select("event_id", F.explode("bindings").alias("assertion_id"))
     rows = own.join(bound, "event_id").join(assertions.drop("ord"), "assertion_id")
     rows = rows.join(units.select("unit_id", F.col("kind").alias("unit_kind"), F.col("citation").alias("place")), "unit_id")
-    rows = rows.join(F.broadcast(scopes), "scope_id")
+    rows = rows.join(scopes, "scope_id")
     inside = subjects.select("unit_id", "subject_id").withColumn("inside", F.lit(True))
     rows = rows.join(inside, ["unit_id", "subject_id"], "left")
     scope = {f: F.col(k) for f, k in FIELDS.items()}
@@ -158,12 +160,13 @@ def _proofs(units, assertions, subjects, events, scopes, review) -> DataFrame:
 def decide(units: DataFrame, publications: DataFrame, assertions: DataFrame, configurations: DataFrame, scopes: DataFrame, events: DataFrame) -> DataFrame:
     """(unit_id, scope_id, state, reason, search_eligible, evidence_ids, review_event_ids) of every unit in every scope."""
     subjects = ancestry(units)
+    scopes = small(scopes)
     chosen = scope_configurations(scopes, configurations)
     review = review_state(events, subjects, chosen)
     scope = {f: F.col(k) for f, k in FIELDS.items()}
 
     # every assertion of every unit against every scope; scopes are a small table of selections
-    applied = subjects.join(assertions, "subject_id").where("depth = 0 or to_descendants").crossJoin(F.broadcast(scopes))
+    applied = subjects.join(assertions, "subject_id").where("depth = 0 or to_descendants").crossJoin(scopes)
     applied = applied.withColumn("outcome", assertion_outcome(F.col("alternatives"), scope, F.col("qualifiers")))
     holds, include = F.col("outcome").isNotNull(), F.col("intent") == "include"
     supported = F.col("support") == "source_supported"
@@ -207,8 +210,8 @@ def decide(units: DataFrame, publications: DataFrame, assertions: DataFrame, con
         F.array_sort(F.collect_set("best.id")).alias("basis"),
     )
     kinds = publications.select("publication_id", F.col("kind").alias("publication_kind"))
-    rows = units.select("unit_id", "publication_id", "search_state", "mixed", "kind").crossJoin(F.broadcast(scopes)).join(F.broadcast(kinds), "publication_id")
-    rows = rows.join(F.broadcast(chosen), "scope_id", "left").join(sums, ["unit_id", "scope_id"], "left").join(review, ["unit_id", "scope_id"], "left")
+    rows = units.select("unit_id", "publication_id", "search_state", "mixed", "kind").crossJoin(scopes).join(small(kinds), "publication_id")
+    rows = rows.join(small(chosen), "scope_id", "left").join(sums, ["unit_id", "scope_id"], "left").join(review, ["unit_id", "scope_id"], "left")
     rows = rows.join(_proofs(units, assertions, subjects, events, scopes, review), ["unit_id", "scope_id"], "left")
 
     flag = lambda name: F.coalesce(F.col(name), F.lit(False))

@@ -14,7 +14,24 @@ def range_of(df: DataFrame, key: str, ranges: int):
     cuts = sorted(set(df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(key)))
+    bounds = F.array(*[F.lit(float(c)) for c in cuts])
+    found = F.aggregate(
+        F.sequence(F.lit(1), F.lit(len(cuts).bit_length())),
+        F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")),
+        lambda state, _: _closer(state, bounds, F.col(key)),
+        lambda state: state["low"],
+    )
+    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(found)
+
+
+def _closer(state, bounds, key):
+    """One step of a binary search for the number of bounds below the key."""
+    middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+    more = state["low"] < state["high"]
+    above = F.element_at(bounds, F.least(middle + 1, F.size(bounds))) < key
+    return F.struct(
+        F.when(more & above, middle + 1).otherwise(state["low"]).alias("low"), F.when(more & ~above, middle).otherwise(state["high"]).alias("high")
+    )
 
 
 def running_sum(df: DataFrame, key: str, value: str, name: str, ranges: int | None = None) -> DataFrame:

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from quire.functions.ids import canonical_digest
 from quire.operators.relations import SHARD_CHARS, membership, shard_pack
 from quire.operators.search import scoped_search
+from quire.plans.sizes import small
+
+
+#: Shards that one file of a generation should hold.
+SHARDS_A_FILE = 1024
 
 
 class StaleScope(RuntimeError):
@@ -39,34 +44,43 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     out = system.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if system.exists(place):
-        system.delete(place, False)
-    system.rename(beside, place)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    kind = getattr(hadoop, "Options$Rename")
+    how = spark._sc._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    hadoop.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration()).rename(beside, place, how)
 
 
 def publish(
     units: DataFrame, scope_units: DataFrame, root: str, revisions: dict, limit: int = SHARD_CHARS, cancelled: Callable[[], bool] = lambda: False
 ) -> str:
-    """Write a generation (units by shard, scopes, counts) and move the pointer to it; gives its name.
+    """Write a generation (units by membership, scopes, counts) and move the pointer to it; gives its name.
 
     ``units`` has unit_id, title, text; ``scope_units`` has scope, unit_id, state,
-    eligible. Units that the same scopes can see share shards, so a search reads
-    no text of units it may not show.
+    eligible. Units that the same scopes can see share a folder, in which they are
+    sorted by shard, so a search reads no text of units it may not show. There are
+    as many folders as memberships occur, which the scopes bound, not the units.
     """
     spark = units.sparkSession
     eligible = scope_units.where("eligible").select("scope", "unit_id").distinct()
     shards = shard_pack(membership(eligible).join(units.select("unit_id", F.length("text").alias("chars")), "unit_id"), limit)
-    shard = F.concat_ws("-", F.substring(F.sha2("signature", 256), 1, 16), F.col("bin").cast("string"))
-    placed = units.join(shards.select("unit_id", shard.alias("shard")), "unit_id")
-    content = placed.select(F.xxhash64("unit_id", "title", "text", "shard").cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
+    membership_id = F.substring(F.sha2("signature", 256), 1, 16)
+    placed = units.join(shards.select("unit_id", membership_id.alias("membership"), F.col("bin").alias("shard")), "unit_id")
+    content = placed.select(F.xxhash64("unit_id", "title", "text", "membership", "shard").cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
     name = canonical_digest([revisions, limit, content["n"], str(content["s"])])[:32]
     folder = f"{root}/generations/{name}"
     system, place = _files(spark, f"{folder}/complete")
     if not system.exists(place):
-        for step, table in (("units", placed), ("scope_units", eligible.join(shards.select("unit_id", shard.alias("shard")), "unit_id"))):
+        # a row for each scope that sees a membership, not for each unit
+        seen = eligible.join(shards.select("unit_id", membership_id.alias("membership")), "unit_id").select("scope", "membership").distinct()
+        steps = {
+            "units": lambda path: _deal(placed).write.mode("overwrite").partitionBy("membership").parquet(path),
+            "scope_memberships": seen.write.mode("overwrite").parquet,
+        }
+        for step, write in steps.items():
             if cancelled():
                 raise Cancelled(step)
-            table.write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/{step}")
+            write(f"{folder}/{step}")
         counts = scope_units.groupBy("scope", "state").agg(F.count("*").alias("units"), F.count_if("eligible").alias("eligible"))
         counts.write.mode("overwrite").parquet(f"{folder}/filter_counts")
         _write_text(spark, f"{folder}/complete", json.dumps(revisions))
@@ -76,6 +90,12 @@ def publish(
     return name
 
 
+def _deal(placed: DataFrame) -> DataFrame:
+    """Units dealt out by runs of shards, so that a large membership is written by many tasks, in files sorted by shard."""
+    run = F.floor(F.col("shard") / SHARDS_A_FILE)
+    return placed.repartition(F.col("membership"), run).sortWithinPartitions("membership", "shard", "unit_id")
+
+
 def open_current(spark: SparkSession, root: str, review_revision: str) -> tuple[str, dict]:
     """The current generation's folder and its pointer; an error if its review is not the current one."""
     system, place = _files(spark, f"{root}/current.json")
@@ -90,15 +110,15 @@ def open_current(spark: SparkSession, root: str, review_revision: str) -> tuple[
 
 def search(spark: SparkSession, folder: str, scope: str, query: str, limit: int = 100) -> DataFrame:
     """(unit_id, score, snippet) over the shards of a scope; an unknown scope is an error, never a wider search."""
-    members = spark.read.parquet(f"{folder}/scope_units").where(F.col("scope") == scope)
-    shards = [r["shard"] for r in members.select("shard").distinct().collect()]  # partition names
-    if not shards:
-        known = spark.read.parquet(f"{folder}/filter_counts").where(F.col("scope") == scope)
-        if known.isEmpty():
-            raise KeyError(f"scope was not published: {scope}")
-    # only these partitions are read; the semi-join comes before any text is looked at
-    units = spark.read.parquet(f"{folder}/units").where(F.col("shard").isin(shards))
-    return scoped_search(units.join(members, "unit_id", "left_semi"), query, limit, "unit_id")
+    if spark.read.parquet(f"{folder}/filter_counts").where(F.col("scope") == scope).isEmpty():
+        raise KeyError(f"scope was not published: {scope}")
+    return scoped_search(scope_units(spark, folder, scope), query, limit, "unit_id")
+
+
+def scope_units(spark: SparkSession, folder: str, scope: str) -> DataFrame:
+    """The units that a scope may show; the join with its memberships prunes the folders of all others."""
+    seen = spark.read.parquet(f"{folder}/scope_memberships").where(F.col("scope") == scope).select("membership")
+    return spark.read.parquet(f"{folder}/units").join(small(seen), "membership", "left_semi")
 
 
 class ScopeCache:
