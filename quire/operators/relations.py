@@ -261,7 +261,9 @@ def q_shared_text(spark, sf_dir):
 
 def q_shared_leads(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    return leads(docs.withColumn("text", F.concat("text", F.lit("\nPART-"), F.col("doc_id") % 40 + 100)))
+    """Identifiers that cross sources, and a notice that every thirteenth document holds alone."""
+    text = F.when(F.col("doc_id") % 13 == 0, F.lit("Notice: " + "this text is the same in several sources. " * 3)).otherwise(F.concat("text", F.lit("\nPART-"), F.col("doc_id") % 37 + 100))
+    return leads(docs.withColumn("text", text))
 
 
 def q_lead_members(spark, sf_dir):
@@ -509,8 +511,9 @@ _SCOPES = """scopes AS (SELECT doc_id AS unit_id, unnest(list_filter([lang, CASE
 ORACLE_SQL = {
     "same_text_groups": "SELECT source, sha256(text) AS text_sha256, count(*) AS members, min(doc_id) AS first FROM documents GROUP BY 1, 2 HAVING count(*) > 1",
     "shared_text": f"SELECT doc_id, leader FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS leader, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE length(text) >= {SHARED_CHARS}) WHERE n > 1",
-    "shared_leads": f"""WITH d AS (SELECT doc_id, source, text || chr(10) || 'PART-' || (doc_id % 40 + 100) AS text FROM documents),
-      x AS (SELECT 'same_text' AS relation, sha256(text) AS key, source, doc_id FROM d WHERE length(text) >= {SHARED_CHARS}
+    "shared_leads": f"""WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 13 = 0 THEN 'Notice: ' || repeat('this text is the same in several sources. ', 3)
+        ELSE text || chr(10) || 'PART-' || (doc_id % 37 + 100) END AS text FROM documents),
+      x AS (SELECT 'same_text' AS relation, sha256(text) AS key, source, doc_id FROM d WHERE length(text) >= 80
         UNION ALL SELECT 'shared_part', unnest(list_distinct(list_filter(list_transform(regexp_extract_all(upper(text), '[A-Z0-9-]+'), lambda r: regexp_extract(r, '(?:^|-)([A-Z0-9]{{4,}}-[A-Z0-9-]{{3,}})$', 1)), lambda r: r <> ''))), source, doc_id FROM d),
       s AS (SELECT relation, key, source, min(doc_id) AS first, count(*) AS documents FROM x GROUP BY ALL)
       SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY relation, key) AS sources FROM s) WHERE sources > 1""",
