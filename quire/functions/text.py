@@ -114,23 +114,28 @@ def litre_quantities(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(bare, F.lit(LITRES), F.lit(1)))
 
 
-def model_years(text: Column) -> Column:
-    """struct(state, value, start, end): a range of model years, a single one, or unknown."""
+def model_years(text: Column, bounded: Column | bool = True) -> Column:
+    """struct(state, value, start, end): a range of model years, a single one, or unknown.
+
+    Years count where something else of the text is known (``bounded``), or where
+    it speaks of model years itself.
+    """
     year = r"((?:19|20)[0-9]{2})"
-    span = rf"\b{year}\s*(?:-|to|through)\s*{year}\b"
+    span = rf"\b{year}\s*[-–—]\s*{year}\b"
     first, last = F.regexp_extract(text, span, 1), F.regexp_extract(text, span, 2)
     alone = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b{year}\b"), F.lit(1)))
-    number = lambda c: F.when(c != "", c.cast("int"))
+    counts = (F.lit(bounded) if isinstance(bounded, bool) else bounded) | text.rlike(r"(?i)\bmodel\s+years?\b")
     state = (
-        F.when((first != "") & (first <= last), F.lit("range"))
-        .when((first == "") & (F.size(alone) == 1), F.lit("exact"))
+        F.when(~counts, F.lit("unknown"))
+        .when((first != "") & (first <= last), F.lit("range"))
+        .when(F.size(alone) == 1, F.lit("exact"))
         .otherwise(F.lit("unknown"))
     )
     return F.struct(
         state.alias("state"),
         F.when(state == "exact", F.try_element_at(alone, F.lit(1)).cast("int")).alias("value"),
-        F.when(state == "range", number(first)).alias("start"),
-        F.when(state == "range", number(last)).alias("end"),
+        F.when(state == "range", first.try_cast("int")).alias("start"),
+        F.when(state == "range", last.try_cast("int")).alias("end"),
     )
 
 

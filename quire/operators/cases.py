@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import gates, interpret
 
 
 def pick(values: list) -> Column:
@@ -101,6 +102,117 @@ WORDINGS = [
 ]
 
 
+# a vocabulary: two makes, three models, three engines
+VOCABULARY = {
+    "makes": ("make_id string, name string", [("mk1", "Alta"), ("mk2", "Borea")]),
+    "models": ("model_id string, make_id string, name string", [("md1", "mk1", "Ridge"), ("md2", "mk1", "Ridge 1500"), ("md3", "mk2", "Cargo")]),
+    "engines": (
+        "engine_id string, name string, fuel string, displacement_l double",
+        [("en1", "5.0L gasoline", "Gasoline", 5.0), ("en2", "6.0L diesel", "diesel", 6.0), ("en3", "6.0L gasoline", "gasoline", 6.0)],
+    ),
+    "configurations": (
+        "configuration_id string, make_id string, model_id string, model_year int, engine_id string, qualifiers map<string,string>",
+        [
+            ("c1", "mk1", "md1", 2005, "en1", {"vin": "V"}),
+            ("c2", "mk1", "md1", 2005, "en2", {"vin": "X", "drivetrain": "4wd"}),
+            ("c3", "mk1", "md2", 2006, "en3", {}),
+            ("c4", "mk2", "md3", 2003, "en2", {}),
+            ("c5", "mk1", "md2", 2006, "en1", {}),
+        ],
+    ),
+    "aliases": (
+        "literal string, target_id string, year_start int, year_end int",
+        [("Heavy Ridge", "md2", 2006, 2006), ("Altas", "mk1", None, None), ("Ridge", "md3", None, None)],
+    ),
+}
+
+# statement, (year, name, engine) where it is structured, what it says, whether all was bound
+STATEMENTS = [
+    ("2005 Ridge 6.0L", None, "mk1/md1/2005/en2", True),
+    ("2006 Alta Ridge 1500", None, "mk1/md2/2006/?", True),
+    ("Copyright 2007", None, "?/?/?/?", True),
+    ("2006 Alta Ridge 1500 6.0L diesel", None, "mk1/md2/2006/?", False),
+    ("2006 Ridge 1500 and 2003 Cargo", None, "mk1/md2/?/?; mk2/md3/?/?", False),
+    ("2005 Heavy Ridge", None, "mk1/md1/2005/?", True),
+    ("2006 Heavy Ridge", None, "mk1/md2/2006/?", True),
+    ("2003 \u2013 2006 Cargo", None, "mk2/md3/2003-2006/?", True),
+    ("2006-2003 Cargo", None, "mk2/md3/?/?", True),
+    ("2005 Borea Ridge", None, "?/?/?/?", False),
+    ("Alta and Borea", None, "?/?/?/?", False),
+    ("Borea trucks", None, "mk2/?/?/?", True),
+    ("altas of 2005", None, "mk1/?/2005/?", True),
+    ("see the drawing", ("2003", "Cargo", "6.0L"), "mk2/md3/2003/en2", True),
+    ("see the drawing", ("2003", "Nobody", ""), "?/?/2003/?", False),
+    ("see the drawing", ("2003", "Cargo", ""), "mk2/md3/2003/?", True),
+    ("see the drawing", ("2003", "Cargo", "9.9L"), "mk2/md3/2003/?", False),
+    ("see the drawing", ("2003", "Cargo", "other"), "mk2/md3/2003/?", False),
+    ("see the drawing", ("03", "Cargo", "6.0L"), "mk2/md3/?/?", False),
+    ("2005 Ridge 5.0L VIN V", None, "mk1/md1/2005/en1 vin=V", True),
+    ("2005 Ridge 5.0L VIN code: v", None, "mk1/md1/2005/en1 vin=V", True),
+    ("2005 Ridge 5.0L VIN Z", None, "mk1/md1/2005/en1 vin=?", False),
+    ("2005 Ridge 6.0L VIN X or V", None, "mk1/md1/2005/en2 vin=?", False),
+    ("2005 Ridge 6.0L VIN X/V", None, "mk1/md1/2005/en2 vin=?", False),
+    ("2005 Ridge VIN V", None, "mk1/md1/2005/? vin=?", False),
+    ("2005 Ridge 6.0L VIN X drivetrain: 4WD", None, "mk1/md1/2005/en2 drivetrain=4wd vin=X", True),
+    ("2006 Ridge 1500 6.0 liter", None, "mk1/md2/2006/en3", True),
+    ("2005 Ridge 5.0L 6.0L", None, "mk1/md1/2005/?", False),
+    ("2005 Ridge 6.0L diesel, 5.0L gasoline", None, "mk1/md1/2005/?", False),
+    ("2005 ridge\n  1500", None, "mk1/md2/2005/?", True),
+    ("Ridgeline of model year 2005", None, "?/?/2005/?", True),
+    ("", None, "?/?/?/?", True),
+    (None, None, "?/?/?/?", True),
+]
+
+# a row's text, the configurations of c1, c2 and c3 that it leaves
+ROW_TEXTS = [
+    ("Pump flow", "c1,c2,c3"),
+    ("Pump flow, diesel", "c2"),
+    ("gasoline", "c1,c3"),
+    ("not for diesel", ""),
+    ("diesel and gasoline", ""),
+    ("CNG", ""),
+    ("Ridge", "c1,c2"),
+    ("2005 Ridge 6.0L", "c2"),
+    ("2006 Ridge 1500", "c3"),
+    ("VIN X", ""),
+    ("Cargo", ""),
+    ("Borea", ""),
+    ("E-Series only", ""),
+    ("2005", ""),
+    ("2005 Ridge 5.0L VIN V", "c1"),
+    ("2005 Borea Ridge", ""),
+    ("6.0L", ""),
+]
+
+
+def vocabulary(spark) -> dict[str, DataFrame]:
+    return {name: spark.createDataFrame(rows, schema) for name, (schema, rows) in VOCABULARY.items()}
+
+
+def q_statement_readings(spark, sf_dir):
+    part = lambda k: pick([None if s[1] is None else s[1][k] for s in STATEMENTS]).cast("string")
+    structured = F.when(part(1).isNotNull(), F.struct(part(0).alias("year"), part(1).alias("name"), part(2).alias("engine")))
+    said = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), pick([s[0] for s in STATEMENTS]).alias("statement"), structured.alias("structured"))
+    return interpret.interpret(said, vocabulary(spark)).select(F.col("id").alias("doc_id"), interpret.shown(F.col("alternatives")).alias("says"), "resolved")
+
+
+def q_row_scopes(spark, sf_dir):
+    rows = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), pick([t for t, _ in ROW_TEXTS]).alias("text"), F.array(F.lit("c1"), F.lit("c2"), F.lit("c3")).alias("configuration_ids"))
+    return gates.row_scope(rows, vocabulary(spark)).select(F.col("id").alias("doc_id"), F.array_join("kept", ",").alias("kept"))
+
+
+def q_scope_gate(spark, sf_dir):
+    """Documents as records on the unit of their source, for two configurations, one or none; decisions by source."""
+    docs = _documents(spark, sf_dir)
+    unit = F.concat(F.lit("u"), F.col("doc_id") % 20)
+    both = F.array(F.lit("c1"), F.lit("c2"))
+    records = docs.select(F.col("doc_id").alias("record_id"), unit.alias("unit_id"), F.when(F.col("doc_id") % 3 == 0, both).when(F.col("doc_id") % 3 == 1, F.array(F.lit("c2"))).otherwise(F.array().cast("array<string>")).alias("configuration_ids"))
+    at = F.col("id")
+    decisions = spark.range(20).select(F.concat(F.lit("u"), at).alias("unit_id"), F.explode(both).alias("configuration_id"), "id")
+    state = F.when((at % 5 == 0) | ((at % 4 == 0) & (F.col("configuration_id") == "c1")), "possible").otherwise("confirmed")
+    return gates.scope_gate(records, decisions.select("unit_id", "configuration_id", state.alias("state"))).select(F.col("record_id").alias("doc_id"), "refused")
+
+
 def q_path_safety(spark, sf_dir):
     path = pick([p for p, _, _ in PATHS])
     return _documents(spark, sf_dir).select("doc_id", T.unsafe_path(path).alias("reason"))
@@ -126,6 +238,9 @@ QUERIES = {
     "canonical_paths": q_canonical_paths,
     "numeric_range": q_numeric_range,
     "wordings": q_wordings,
+    "statement_readings": q_statement_readings,
+    "row_scopes": q_row_scopes,
+    "scope_gate": q_scope_gate,
 }
 
 ORACLE_SQL = {
@@ -134,4 +249,8 @@ ORACLE_SQL = {
     "numeric_range": f"""SELECT doc_id, {listed([n[2] for n in NUMBERS], "DOUBLE")} AS minimum, {listed([n[3] for n in NUMBERS], "DOUBLE")} AS maximum,
         {listed([n[4] for n in NUMBERS], "VARCHAR")} AS unit FROM documents""",
     "wordings": f"SELECT doc_id, {listed([w[1] for w in WORDINGS], 'BOOLEAN')} AS excludes, {listed([w[2] for w in WORDINGS], 'BOOLEAN')} AS mixed FROM documents",
+    "statement_readings": f"SELECT doc_id, {listed([x[2] for x in STATEMENTS], 'VARCHAR')} AS says, {listed([x[3] for x in STATEMENTS], 'BOOLEAN')} AS resolved FROM documents",
+    "row_scopes": f"SELECT doc_id, {listed([k for _, k in ROW_TEXTS], 'VARCHAR')} AS kept FROM documents",
+    "scope_gate": """SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'no vehicle scope' WHEN doc_id % 20 % 5 = 0 OR (doc_id % 3 = 0 AND doc_id % 20 % 4 = 0)
+        THEN 'no confirmed decision on this unit and configuration' END AS refused FROM documents""",
 }

@@ -1,9 +1,19 @@
 """Statements about applicability, read against a vocabulary, as correlated alternatives.
 
-Mentions are found relationally: every name and alias of the vocabulary is a
-pattern, a small table; a mention inside a longer one is dropped by comparing
-spans. The spans come from one Arrow function, since SQL has no positions of
-matches; all that follows is joins.
+Tables of a vocabulary
+----------------------
+makes           make_id, name
+models          model_id, make_id, name
+engines         engine_id, name, fuel, displacement_l
+configurations  configuration_id, make_id, model_id, model_year, engine_id,
+                qualifiers map<string,string>
+aliases         literal, target_id, year_start, year_end
+
+Names are found by one automaton over all names of the vocabulary, in one pass
+over a statement; SQL has no positions of matches, so this is an Arrow function.
+All that follows is joins: a model brings its make, a displacement becomes an
+engine where model and year leave a single one, a tuple has to be a known
+configuration, a qualifier's value has to be one of its values.
 """
 
 from __future__ import annotations
@@ -11,95 +21,253 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
+from quire.operators.matching import ALTERNATIVES, PREDICATE
+from quire.plans.sizes import small
+
+MOST_NAMES = 100_000
+# Qualifiers that any vocabulary may name, and words that make a qualifier more than a value.
+QUALIFIERS = ("vin", "rpo", "transmission", "drivetrain", "body", "wheelbase")
+COMPLEX = r"(?i)\b(?:except|excluding|not|through|thru|before|after|and|or)\b"
+DISPLACEMENT = r"(?i)\b([0-9]{1,2}(?:\.[0-9])?)\s*(?:l\b|liter\b|litre\b)"
+_YEAR = re.compile(r"\b(?:19|20)\d{2}\b")
+
+
+def _plain(text: str) -> str:
+    return " ".join(text.lower().split())
+
 
-def _compiled(names: list[tuple[str, str, str]]) -> list[tuple[str, str, re.Pattern]]:
-    made = []
-    for kind, target, literal in names:
-        words = r"\s+".join(re.escape(w) for w in literal.split())
-        made.append((kind, target, re.compile(rf"(?<!\w){words}(?!\w)", re.IGNORECASE)))
+def _automaton(names: list[tuple]) -> ahocorasick.Automaton:
+    """Names (kind, target, literal, first, last), the first ones counting most, by their lower-cased literals."""
+    held: dict[str, list] = {}
+    for order, (kind, target, literal, first, last) in enumerate(names):
+        if key := _plain(literal or ""):
+            held.setdefault(key, []).append((order, kind, target, first, last))
+    made = ahocorasick.Automaton()
+    for key, given in held.items():
+        made.add_word(key, (len(key), given))
+    if held:
+        made.make_automaton()
     return made
 
 
+def _word(letter: str) -> bool:
+    return letter.isalnum() or letter == "_"
+
+
 def longest(spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
-    """Spans that no longer span of the same kind overlaps; of equal ones the first stays."""
+    """Spans (start, end, kind, target, in order of their names) that no span before them overlaps, longer ones first."""
     kept: list[tuple[int, int, str, str]] = []
-    for one in sorted(spans, key=lambda s: (s[0] - s[1], s[0], s[3])):
-        if all(one[1] <= k[0] or k[1] <= one[0] for k in kept if k[2] == one[2] and k[:2] != one[:2]):
-            kept.append(one)
+    for start, end, kind, target in sorted(spans, key=lambda s: s[0] - s[1]):
+        if all(end <= a or b <= start for a, b, k, _ in kept if k == kind):
+            kept.append((start, end, kind, target))
     return kept
 
 
+def _spans(said: str, year: int | None, automaton: ahocorasick.Automaton) -> list[tuple[int, int, str, str]]:
+    text, found = _plain(said), []
+    for last, (size, given) in automaton.iter(text) if len(automaton) else ():
+        start, end = last - size + 1, last + 1
+        if start and _word(text[start - 1]) or end < len(text) and _word(text[end]):
+            continue
+        for order, kind, target, first, until in given:
+            if first is None or (year is not None and first <= year <= until):
+                found.append((order, start, end, kind, target))
+    return longest([span[1:] for span in sorted(found)])
+
+
 def mentions(statements: DataFrame, names: DataFrame) -> DataFrame:
     """(id, kind, target_id): the makes, models and engines that a statement names.
 
-    ``names`` has kind, target_id, literal, year_start, year_end; one with years
-    counts only where the statement has a single year between them. The
-    vocabulary is one of bounded size, which is checked before it is shipped.
+    ``names`` has kind, target_id, literal, year_start, year_end and may have ord,
+    which tells which of names alike counts; one with years counts only where the
+    statement's year lies between them. That is column ``year`` where there is
+    one, else the statement's only year. The vocabulary is one of bounded size,
+    which is checked before it is shipped.
     """
-    rows = names.select("kind", "target_id", "literal", "year_start", "year_end").limit(100_001).collect()
-    if len(rows) > 100_000:
+    order = [F.col("ord")] if "ord" in names.columns else []
+    columns = ["kind", "target_id", "literal", "year_start", "year_end"]
+    rows = [tuple(r)[:5] for r in names.orderBy(*order, *columns).select(columns).limit(MOST_NAMES + 1).collect()]
+    if len(rows) > MOST_NAMES:
         raise ValueError("vocabulary is too large to be shipped to every task")
-    spans = {(r["kind"], r["target_id"], r["literal"]): (r["year_start"], r["year_end"]) for r in rows}
-    given = statements.sparkSession.sparkContext.broadcast(spans)
+    given = statements.sparkSession.sparkContext.broadcast(rows)
+    dated = "year" in statements.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns = _compiled(list(given.value))
+        automaton = _automaton(given.value)
         for frame in frames:
             found = []
-            for key, said in zip(frame["id"], frame["statement"], strict=True):
-                years = set(re.findall(r"\b(?:19|20)\d{2}\b", said or ""))
-                year = int(years.pop()) if len(years) == 1 else None
-                hits = []
-                for (kind, target, pattern), (first, last) in zip(patterns, given.value.values(), strict=True):
-                    if first is not None and (year is None or not first <= year <= last):
-                        continue
-                    hits += [(m.start(), m.end(), kind, target) for m in pattern.finditer(said or "")]
-                found += sorted({(key, k, t) for _, _, k, t in longest(hits)})
+            for key, said, year in zip(frame["id"], frame["statement"], frame["year"], strict=True):
+                said = said or ""
+                years = {int(year)} if dated and not pd.isna(year) else set() if dated else set(map(int, _YEAR.findall(said)))
+                hits = _spans(said, years.pop() if len(years) == 1 else None, automaton)
+                found += sorted({(key, kind, target) for _, _, kind, target in hits})
             yield pd.DataFrame(found, columns=["id", "kind", "target_id"])
 
     kind = statements.schema["id"].dataType.simpleString()
-    return statements.select("id", "statement").mapInPandas(run, f"id {kind}, kind string, target_id string")
+    year = F.col("year").cast("int") if dated else F.lit(None).cast("int")
+    return statements.select("id", "statement", year.alias("year")).mapInPandas(run, f"id {kind}, kind string, target_id string")
 
 
-def displacement(statement) -> F.Column:
-    """The one displacement in litres that a statement names, or null."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(statement), F.lit(r"(?:^|[^0-9.])(\d{1,2}(?:\.\d)?)\s*(?:l\b|liter\b|litre\b)"), F.lit(1)))
-    return F.when(F.size(found) == 1, F.try_element_at(found, F.lit(1)).cast("double"))
+def names_of(vocabulary: dict[str, DataFrame]) -> DataFrame:
+    """(kind, target_id, literal, year_start, year_end, ord) of a vocabulary; own names count before aliases."""
+    none, rows = F.lit(None).cast("int"), None
+    for kind in ("make", "model", "engine"):
+        entities = vocabulary[f"{kind}s"]
+        own = entities.select(F.lit(kind).alias("kind"), F.col(f"{kind}_id").alias("target_id"), F.col("name").alias("literal"), none.alias("year_start"), none.alias("year_end"), F.lit(0).alias("ord"))
+        other = vocabulary["aliases"].join(entities.select(F.col(f"{kind}_id").alias("target_id")), "target_id")
+        own = own.unionByName(other.select(F.lit(kind).alias("kind"), "target_id", "literal", "year_start", "year_end", F.lit(1).alias("ord")))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
 
 
-def engines_by_displacement(statements: DataFrame, configurations: DataFrame, engines: DataFrame) -> DataFrame:
-    """(id, model_id, engine_id) where model, year and displacement leave a single engine.
+def _p(state: str, value: Column | None = None) -> Column:
+    none = F.lit(None)
+    return F.struct(F.lit(state).alias("state"), (none if value is None else value).cast("string").alias("value"), none.cast("int").alias("start"), none.cast("int").alias("end"))
 
-    ``statements`` has id, model_id, year, litres.
-    """
-    valid = configurations.join(engines.select("engine_id", "displacement_l"), "engine_id")
-    met = statements.join(valid, (statements["model_id"] == valid["model_id"]) & (statements["year"] == valid["model_year"]) & (statements["litres"] == valid["displacement_l"]))
-    found = met.groupBy("id", statements["model_id"].alias("model_id")).agg(F.collect_set("engine_id").alias("e"))
-    return found.where(F.size("e") == 1).select("id", "model_id", F.element_at("e", 1).alias("engine_id"))
 
+def _known(value: Column) -> Column:
+    return F.when(value.isNotNull(), _p("exact", value)).otherwise(_p("unknown"))
 
-def alternatives(statements: DataFrame, names: DataFrame, models: DataFrame) -> DataFrame:
-    """(id, make_id, model_id, resolved): one row for each model that a statement names, else its make.
 
-    A model brings its own make; one whose make isn't among the makes that are
-    named is left out, and the statement isn't resolved then, nor where it names
-    several models or nothing.
-    """
-    found = mentions(statements, names)
-    sets = found.groupBy("id").pivot("kind", ["make", "model"]).agg(F.collect_set("target_id"))
-    rows = statements.select("id").join(sets, "id", "left")
+def _years(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1)))
+
+
+def _only(values: Column) -> Column:
+    return F.when(F.size(values) == 1, F.try_element_at(values, F.lit(1)))
+
+
+def _said(statements: DataFrame, names: DataFrame) -> DataFrame:
+    """Each statement with the texts to read, the names found in them, its year and its displacements."""
+    given = F.col("structured").isNotNull()
+    part = lambda field: F.when(given, F.coalesce(F.col(f"structured.{field}"), F.lit(""))).otherwise(F.col("statement"))
+    rows = statements.select("id", F.coalesce("statement", F.lit("")).alias("statement"), "structured").select(
+        "id", "statement", given.alias("given"), part("name").alias("named"), part("engine").alias("engined"), part("year").alias("dated")
+    )
     none = F.array().cast("array<string>")
-    rows = rows.select("id", F.coalesce("make", none).alias("makes"), F.coalesce("model", none).alias("named"))
-    each = rows.select("id", "makes", "named", F.explode_outer("named").alias("model_id")).join(
-        F.broadcast(models.select("model_id", F.col("make_id").alias("owner"))), "model_id", "left"
+    dated = _only(_years(F.col("dated"))).cast("int")
+    found = mentions(rows.select("id", F.col("named").alias("statement"), dated.alias("year")), names.where("kind <> 'engine'"))
+    sets = found.groupBy("id").agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("target_id")))).alias(f"{k}s") for k in ("make", "model")])
+    rows = rows.join(sets, "id", "left").withColumn("makes", F.coalesce("makes", none)).withColumn("models", F.coalesce("models", none))
+    read = T.model_years(F.col("statement"), (F.size("makes") > 0) | (F.size("models") > 0))
+    exact = F.when(F.col("dated").rlike(r"^(?:19|20)[0-9]{2}$"), F.col("dated").cast("int"))
+    year = F.when(F.col("given"), _known(exact)).otherwise(
+        F.struct(read["state"].alias("state"), read["value"].cast("string").alias("value"), read["start"].alias("start"), read["end"].alias("end"))
     )
+    rows = rows.withColumn("year", year).withColumn("year_value", F.when(F.col("year.state") == "exact", F.col("year.value").cast("int")))
+    found = mentions(rows.select("id", F.col("engined").alias("statement"), F.col("year_value").alias("year")), names.where("kind = 'engine'"))
+    sets = found.groupBy("id").agg(F.array_sort(F.collect_set("target_id")).alias("engines"))
+    litres = F.array_distinct(F.regexp_extract_all("engined", F.lit(DISPLACEMENT), F.lit(1)).cast("array<double>"))
+    return rows.join(sets, "id", "left").withColumn("engines", F.coalesce("engines", none)).withColumn("litres", litres)
+
+
+def _tuples(said: DataFrame, vocabulary: dict[str, DataFrame]) -> DataFrame:
+    """A row for each model that a statement names, else one: make_id, model_id, engine_id, and whether all was bound."""
+    models = small(vocabulary["models"].select(F.col("model_id").alias("named_model"), F.col("make_id").alias("owner")))
+    each = said.withColumn("named_model", F.explode_outer("models")).join(models, "named_model", "left")
     foreign = F.col("owner").isNotNull() & (F.size("makes") > 0) & ~F.array_contains("makes", F.col("owner"))
-    make = F.coalesce("owner", F.when(F.size("makes") == 1, F.element_at("makes", 1)))
-    bad = foreign | (F.size("named") > 1) | ((F.size("named") == 0) & (F.size("makes") != 1))
-    summed = each.select("id", F.when(~foreign, make).alias("make_id"), F.when(~foreign, F.col("model_id")).alias("model_id"), foreign.alias("foreign"), bad.alias("bad"))
-    spoilt = summed.groupBy("id").agg(F.max("bad").alias("spoilt"))
-    return summed.where("not foreign").join(spoilt, "id").select("id", "make_id", "model_id", (~F.col("spoilt")).alias("resolved"))
+    each = each.withColumn("foreign", foreign).withColumn("make_id", F.coalesce("owner", _only(F.col("makes"))))
+
+    known = vocabulary["configurations"].select("make_id", "model_id", "model_year", "engine_id").distinct()
+    sized = known.join(small(vocabulary["engines"].select("engine_id", "displacement_l")), "engine_id")
+    sized = sized.groupBy(F.col("model_id").alias("named_model"), F.col("model_year").alias("year_value"), F.col("displacement_l").alias("litre")).agg(F.collect_set("engine_id").alias("fitting"))
+    each = each.withColumn("litre", _only(F.col("litres"))).join(small(sized), ["named_model", "year_value", "litre"], "left")
+    open_ = F.col("litre").isNull() | F.col("named_model").isNull() | F.col("year_value").isNull()
+    none = F.size("engines") == 0
+    engine = F.when(~none, _only(F.col("engines"))).when(~open_, _only(F.col("fitting")))
+    clear = F.when(~none, F.size("engines") == 1).when(open_, F.size("litres") == 0).otherwise(engine.isNotNull())
+    each = each.withColumn("engine_id", engine).withColumn("clear", clear)
+
+    held = known.select(*[F.col(c).alias(f"held_{c}") for c in known.columns]).withColumn("valid", F.lit(True))
+    fits = [F.col("make_id") == F.col("held_make_id"), F.col("named_model") == F.col("held_model_id"), F.col("year_value") == F.col("held_model_year"), F.col("engine_id") == F.col("held_engine_id")]
+    each = each.join(small(held), fits, "left")
+    whole = F.col("make_id").isNotNull() & F.col("named_model").isNotNull() & F.col("year_value").isNotNull() & F.col("engine_id").isNotNull()
+    wrong = whole & F.col("valid").isNull()
+    return each.withColumn("wrong", wrong).withColumn("engine_id", F.when(~wrong, F.col("engine_id"))).withColumn("exact", whole & ~wrong)
+
+
+def _qualified(each: DataFrame, vocabulary: dict[str, DataFrame]) -> DataFrame:
+    """(id, named_model, qualifiers map<string,P>, open): qualifiers that a statement names, for each of its rows."""
+    values = vocabulary["configurations"].select("make_id", "model_id", "model_year", "engine_id", F.explode("qualifiers").alias("name", "held")).distinct()
+    keys = sorted({*QUALIFIERS, *[r["name"] for r in values.select("name").distinct().limit(MOST_NAMES).collect()]})
+    said = F.col("statement")
+
+    def one(key: str) -> Column:
+        word = rf"(?i)\b{re.escape(key)}\b"
+        stated = rf"(?i)\b{re.escape(key)}\s*(?:code\s*)?[:=]?\s*(?>([A-Za-z0-9-]+)\b)"
+        count = F.regexp_count(said, F.lit(word))
+        more = said.rlike(COMPLEX) | (count != 1) | said.rlike(stated + r"\s*[/,&+]")
+        return F.when(count > 0, F.struct(F.lit(key).alias("name"), F.lower(F.regexp_extract(said, stated, 1)).alias("raw"), more.alias("complex")))
+
+    rows = each.select("id", "named_model", "make_id", "year_value", "engine_id", "exact", F.explode(F.array_compact(F.array(*map(one, keys)))).alias("q"))
+    rows = rows.select("*", "q.*").drop("q")
+    held = small(values.select(F.col("make_id").alias("h1"), F.col("model_id").alias("h2"), F.col("model_year").alias("h3"), F.col("engine_id").alias("h4"), F.col("name").alias("h5"), "held"))
+    met = rows.join(
+        held,
+        [F.col("exact"), F.col("make_id") == F.col("h1"), F.col("named_model") == F.col("h2"), F.col("year_value") == F.col("h3"), F.col("engine_id") == F.col("h4"),
+         F.col("name") == F.col("h5"), F.lower("held") == F.col("raw")],
+        "left",
+    )
+    found = met.groupBy("id", "named_model", "name").agg(F.collect_set("held").alias("held"), F.max("complex").alias("complex"))
+    value = F.when(~F.col("complex"), _only(F.col("held")))
+    return found.groupBy("id", F.col("named_model").alias("of_model")).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", _known(value).alias("p"))))).alias("qualifiers"), F.max(value.isNull()).alias("open")
+    )
+
+
+def interpret(statements: DataFrame, vocabulary: dict[str, DataFrame]) -> DataFrame:
+    """(id, alternatives, resolved): what each statement says, and whether all that it names was bound.
+
+    ``statements`` has id, statement and structured struct<year,name,engine>, null
+    where the statement is prose. Several models are several alternatives, each
+    with its own make; one whose make isn't among those that are named is left
+    out. An engine is kept only in a tuple that is a known configuration. What
+    can't be bound stays unknown and the statement isn't resolved.
+    """
+    each = _tuples(_said(statements, names_of(vocabulary)), vocabulary)
+    each = each.join(_qualified(each, vocabulary).withColumnRenamed("id", "of_id"), (F.col("id") == F.col("of_id")) & F.col("named_model").eqNullSafe(F.col("of_model")), "left")
+    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{PREDICATE}>"))
+    one = F.struct(
+        _known(F.col("make_id")).alias("make"),
+        _known(F.col("named_model")).alias("model"),
+        F.col("year"),
+        _known(F.col("engine_id")).alias("engine"),
+        F.coalesce("qualifiers", nothing).alias("qualifiers"),
+    )
+    named = F.size("models") > 0
+    empty_name = F.col("given") & (F.col("named") != "") & ~named
+    bad = F.col("foreign") | ~F.col("clear") | F.col("wrong") | F.coalesce("open", F.lit(False)) | empty_name
+    bad = bad | ((F.size("makes") > 1) & ~named) | (~F.col("given") & (F.size("models") > 1))
+    kept = F.when(~F.col("foreign"), F.struct(F.col("named_model").alias("order"), one.alias("alternative")))
+    # a map can't be sorted, so rows are put in order by their model alone
+    by = lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).otherwise(0)
+    found = each.groupBy("id").agg(
+        F.transform(F.array_sort(F.collect_list(kept), by), lambda k: k["alternative"]).alias("alternatives"),
+        F.max(bad).alias("bad"),
+        F.max(F.col("given") & (F.col("engined") != "")).alias("engined"),
+    )
+    lacks = F.col("engined") & (F.try_element_at("alternatives", F.lit(1))["engine"]["state"] == "unknown")
+    unknown = F.array(F.struct(*[_p("unknown").alias(k) for k in ("make", "model", "year", "engine")], nothing.alias("qualifiers")))
+    empty = F.size("alternatives") == 0
+    return found.select(
+        "id",
+        F.when(empty, unknown).otherwise(F.col("alternatives")).cast(ALTERNATIVES).alias("alternatives"),
+        (~(F.col("bad") | empty | F.coalesce(lacks, F.lit(False)))).alias("resolved"),
+    )
+
+
+def shown(alternatives: Column) -> Column:
+    """Alternatives as text: make/model/year/engine, then qualifiers; ? for what is unknown."""
+    one = lambda p: F.when(p["state"] == "exact", p["value"]).when(p["state"] == "range", F.concat_ws("-", p["start"].cast("string"), p["end"].cast("string"))).otherwise("?")
+
+    def line(a):
+        extra = F.transform(F.array_sort(F.map_keys(a["qualifiers"])), lambda k: F.concat(F.lit(" "), k, F.lit("="), one(F.element_at(a["qualifiers"], k))))
+        return F.concat(F.concat_ws("/", one(a["make"]), one(a["model"]), one(a["year"]), one(a["engine"])), F.array_join(extra, ""))
+
+    return F.array_join(F.transform(alternatives, line), "; ")

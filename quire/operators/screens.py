@@ -142,7 +142,7 @@ def q_title_kind(spark, sf_dir):
 
 
 def q_model_years(spark, sf_dir):
-    said = F.concat(F.lit("models "), 1990 + F.col("doc_id") % 30, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" through "), 1995 + F.col("doc_id") % 20)).otherwise(""))
+    said = F.concat(F.lit("models "), 1990 + F.col("doc_id") % 30, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" - "), 1995 + F.col("doc_id") % 20)).otherwise(""))
     return documents(spark, sf_dir).select("doc_id", T.model_years(said).alias("y")).select("doc_id", "y.*")
 
 
@@ -202,7 +202,7 @@ _LINES = "(SELECT doc_id, unnest(string_split({}, chr(10))) AS statement, genera
 _IDS = "list_distinct(list_filter(list_transform(regexp_extract_all(upper({}), '[A-Z0-9-]+'), lambda r: regexp_extract(r, '(?:^|-)([A-Z0-9]{{4,}}-[A-Z0-9-]{{3,}})$', 1)), lambda r: r <> ''))"
 _MENTION = "'AB12-900' || chr(10) || text || chr(10) || 'AB12-' || (doc_id % 9 + 900)"
 _TORQUE = "text || chr(10) || 'Torque: ' || (doc_id % 90) || ' Nm'"
-_YEARS = "'models ' || (1990 + doc_id % 30) || CASE WHEN doc_id % 2 = 0 THEN ' through ' || (1995 + doc_id % 20) ELSE '' END"
+_YEARS = "'models ' || (1990 + doc_id % 30) || CASE WHEN doc_id % 2 = 0 THEN ' - ' || (1995 + doc_id % 20) ELSE '' END"
 
 ORACLE_SQL = {
     "stable_ids": "SELECT doc_id, 'doc_' || substr(sha256('doc' || chr(0) || source || chr(0) || doc_id), 1, 32) AS stable_id FROM documents",
@@ -222,10 +222,10 @@ ORACLE_SQL = {
         SELECT doc_id, title, CASE WHEN regexp_matches(h, '{OWNER.replace("'", "''")}') THEN 'owner' WHEN contains(h, 'generic') AND (contains(h, 'code') OR contains(h, 'obd')) THEN 'reference'
         WHEN contains(h, 'wiring diagram') THEN 'wiring' WHEN contains(h, 'trouble code') OR contains(h, 'diagnostic') THEN 'diagnostics' ELSE 'unknown' END AS kind FROM h""",
     "model_year_parse": rf"""WITH s AS (SELECT doc_id, {_YEARS} AS t FROM documents), p AS (SELECT doc_id,
-        regexp_extract(t, '\b((?:19|20)[0-9]{{2}})\s*(?:-|to|through)\s*((?:19|20)[0-9]{{2}})\b', 1) AS a,
-        regexp_extract(t, '\b((?:19|20)[0-9]{{2}})\s*(?:-|to|through)\s*((?:19|20)[0-9]{{2}})\b', 2) AS b,
+        regexp_extract(t, '\b((?:19|20)[0-9]{{2}})\s*[-–—]\s*((?:19|20)[0-9]{{2}})\b', 1) AS a,
+        regexp_extract(t, '\b((?:19|20)[0-9]{{2}})\s*[-–—]\s*((?:19|20)[0-9]{{2}})\b', 2) AS b,
         list_distinct(regexp_extract_all(t, '\b((?:19|20)[0-9]{{2}})\b', 1)) AS l FROM s),
-        q AS (SELECT *, CASE WHEN a <> '' AND a <= b THEN 'range' WHEN a = '' AND len(l) = 1 THEN 'exact' ELSE 'unknown' END AS state FROM p)
+        q AS (SELECT *, CASE WHEN a <> '' AND a <= b THEN 'range' WHEN len(l) = 1 THEN 'exact' ELSE 'unknown' END AS state FROM p)
         SELECT doc_id, state, CASE WHEN state = 'exact' THEN CAST(l[1] AS INT) END AS value, CASE WHEN state = 'range' THEN CAST(a AS INT) END AS start,
         CASE WHEN state = 'range' THEN CAST(b AS INT) END AS "end" FROM q""",
     "part_identifiers": f"""SELECT doc_id, unnest({_IDS.format("text || chr(10) || 'AB' || (doc_id % 97 + 10) || '-X9-' || (doc_id % 5 + 100) || chr(10) || '-7'")}) AS identifier FROM documents""",

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import interpret, procedures, relations
+from quire.operators import gates, interpret, procedures, relations
 from quire.plans import publish
 from quire.plans.prefix import running_sum
 from quire.streaming import reviews
@@ -82,17 +82,31 @@ def test_mentions(spark):
     said = spark.createDataFrame([(1, "Acme silver  1500 and Silver"), (2, "silver 1500 2001"), (3, "Old 1993"), (4, "Old 2001"), (5, None)], "id int, statement string")
     got = sorted((r["id"], r["target_id"]) for r in interpret.mentions(said, names).collect())
     assert got == [(1, "k"), (1, "m1"), (1, "m2"), (2, "m2"), (3, "m3")]
-    models = spark.createDataFrame([("m1", "k"), ("m2", "k"), ("m3", "other")], "model_id string, make_id string")
-    rows = {r["id"]: (r["make_id"], r["model_id"], r["resolved"]) for r in interpret.alternatives(said.where("id > 1"), names, models).collect()}
-    assert rows == {2: ("k", "m2", True), 3: ("other", "m3", True), 4: (None, None, False), 5: (None, None, False)}
+    assert interpret.mentions(said, names.where("false")).collect() == []
 
 
-def test_engine_by_displacement(spark):
-    said = spark.createDataFrame([(1, "m", 2000, "the 5.0L engine"), (2, "m", 2000, "2.3 liter"), (3, "m", 2000, "5.0L or 2.3L")], "id int, model_id string, year int, statement string")
-    said = said.withColumn("litres", interpret.displacement(F.col("statement")))
-    configurations = spark.createDataFrame([("m", 2000, "e1"), ("m", 2000, "e2"), ("m", 2000, "e3")], "model_id string, model_year int, engine_id string")
-    engines = spark.createDataFrame([("e1", 5.0), ("e2", 2.3), ("e3", 2.3)], "engine_id string, displacement_l double")
-    assert [(r["id"], r["engine_id"]) for r in interpret.engines_by_displacement(said, configurations, engines).collect()] == [(1, "e1")]
+def test_equal_names_count_once(spark):
+    """Of names alike the first counts; a name's own comes before an alias."""
+    names = spark.createDataFrame(
+        [("model", "z", "Ridge", None, None, 0), ("model", "a", "ridge", None, None, 1), ("make", "k", "Ridge", None, None, 1)],
+        "kind string, target_id string, literal string, year_start int, year_end int, ord int",
+    )
+    said = spark.createDataFrame([(1, "a Ridge, Ridge_x ridge2")], "id int, statement string")
+    assert sorted((r["kind"], r["target_id"]) for r in interpret.mentions(said, names).collect()) == [("make", "k"), ("model", "z")]
+
+
+def test_envelopes(spark):
+    shape = (
+        "binding struct<source_id:string,unit_id:string,provenance:string>, locator struct<kind:string,selector:string>, original_text string, "
+        "configuration_ids array<string>, conditions array<string>, context_ids array<string>, payload struct<subject:string>, missing array<string>"
+    )
+    row = lambda subject, missing: (("s", "u", "native"), ("html", "tr:nth-of-type(1)"), "t", ["c1"], [], [], (subject,), missing)
+    rows = spark.createDataFrame([row("a", []), row("a", []), row("a", ["x"]), row("b", [])], shape)
+    made = gates.envelope(rows, "specification", "r1", "v1").collect()
+    assert len({r["record_id"] for r in made}) == 3 and all(r["record_id"].startswith("rec_") for r in made)
+    assert [r["completeness"]["state"] for r in made] == ["complete", "complete", "ambiguous", "complete"]
+    assert made[0]["binding"]["extraction_version"] == "r1" and made[0]["applicability"]["configuration_ids"] == ["c1"]
+    assert {r["record_id"] for r in gates.envelope(rows, "specification", "r2", "v1").collect()}.isdisjoint({r["record_id"] for r in made})
 
 
 def test_procedures(spark):
