@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import gates, interpret
+from quire.operators import gates, interpret, procedures
+from quire.sources import html
 
 
 def pick(values: list) -> Column:
@@ -185,6 +186,95 @@ ROW_TEXTS = [
 ]
 
 
+# pages of ordered lists: markup, and (label, instruction, next label, missing, reason) of each row
+STEP_PAGES = [
+    ("<ol><li>One<li>Two</ol><p>between</p><ol start='3'><li>Three</ol>", [("1", "One", "2", "", None), ("2", "Two", "3", "", None), ("3", "Three", None, "", None)]),
+    (
+        "<ol><li>Do<ol type='a'><li>this<li>that</ol>now<li>Then</ol>",
+        [(label, said, None, "steps inside steps need a review of their order", None) for label, said in (("1", "Do now"), ("1.a", "this"), ("1.b", "that"), ("2", "Then"))],
+    ),
+    ("<ol><li>If hot, stop<li>Wait</ol>", [("1", "If hot, stop", None, "a step is conditional or linked", None), ("2", "Wait", None, "a step is conditional or linked", None)]),
+    (
+        "<ol><li><a href='x.html'>Look</a><li><img src='a.png'>Turn</ol><ol><li>Next</ol>",
+        [(label, said, None, "a step is conditional or linked; a step's figure has to be bound", None) for label, said in (("1", "Look"), ("2", "Turn"))] + [("1", "Next", None, "", None)],
+    ),
+    ("<ol start='2'><li>x</ol>", [(None, None, None, None, "printed numbers have a gap")]),
+    ("<ol type='i'><li>x</ol>", [(None, None, None, None, "lists are too deep or numbered in several ways")]),
+    ("<ol><li value='1'>a<li value='3'>b</ol>", [(None, None, None, None, "printed numbers have a gap, or a step is empty")]),
+    ("<ol>loose<li>a</ol>", [(None, None, None, None, "list runs backward or holds more than its items")]),
+    ("<ol reversed><li>a</ol>", [(None, None, None, None, "list runs backward or holds more than its items")]),
+    ("<ol><li><ol><li>a</ol></ol>", [(None, None, None, None, "a step has nothing but steps of its own")]),
+    ("<ul><li>a<ol><li>b</ol></ul><p>c", []),
+]
+
+_TABLE = (
+    "<table><caption>Pressures</caption><tr><th rowspan=2>Item<th colspan=2>Reading<th rowspan=2>Unit<tr><th>Cold<th>Hot<tr><td>P1<td>1<td>2-4<td>V"
+    "<tr><td>P2<td>?<td><td>V<tr><td>P3<td><td><td>V<tr><td>P4<td>5<td>6<td>psi<tr><td>P5<td>1<td>1<td>V<tr><td>P5<td>2<td>1<td>V</table>"
+)
+_NOTE = "<p>NOTE: Engine  off.</p>"
+_LABELS = ("P1", "P2", "P3", "P4", "P5", "P6")
+RECIPE = procedures.Recipe(
+    "pressures", (("Item",), ("Reading", "Cold"), ("Reading", "Hot"), ("Unit",)), _LABELS, 3, ((1, "Cold"), (2, "Hot")), caption="Pressures", note="NOTE: Engine off.", conditions=("at rest",)
+)
+# pages of tables: markup, and (label, quantity, values, conditions, missing, reason) of each row
+_READ = [
+    ("P1", "voltage", "Cold: 1 V = 1.0..1.0 V; Hot: 2-4 V = 2.0..4.0 V", "Cold, Hot, at rest", "", None),
+    ("P2", "voltage", "Cold: ? V", "Cold, at rest", "value or unit is empty; value or unit isn't plain under Cold", None),
+    ("P3", None, None, None, None, "row has no value that can be read"),
+    ("P4", "unknown original quantity", "Cold: 5 psi; Hot: 6 psi", "Cold, Hot, at rest", "value or unit isn't plain under Cold; value or unit isn't plain under Hot", None),
+    ("P5", None, None, None, None, "row is absent or repeated"),
+    ("P6", None, None, None, None, "row is absent or repeated"),
+]
+
+
+def _all(reason: str) -> list[tuple]:
+    return [(label, None, None, None, None, reason) for label in _LABELS]
+
+
+TABLE_PAGES = [
+    (_NOTE + _TABLE, _READ),
+    (_NOTE + "<div>words</div>" + _TABLE + "<table><tr><td>other</table>", _READ),
+    (_TABLE, _all("what governs the table is ambiguous")),
+    (_TABLE + _NOTE, _all("what governs the table is ambiguous")),
+    (_NOTE + _NOTE + _TABLE, _all("what governs the table is ambiguous")),
+    (_NOTE + "<table><tr><td>other</table>" + _TABLE, _all("what governs the table is ambiguous")),
+    (_NOTE + _TABLE + _TABLE, _all("no table or several have these headers")),
+    (_NOTE + _TABLE.replace("Hot", "Warm"), _all("no table or several have these headers")),
+    (_NOTE + _TABLE.replace("<td>P4<td>5", "<td>P4"), _all("no table or several have these headers")),
+    ("<p>nothing", _all("no table or several have these headers")),
+]
+
+
+def _pages(spark, sf_dir, cases: list) -> DataFrame:
+    """(doc_id, nodes) of each document's case, read by the page parser."""
+    rows = _documents(spark, sf_dir).select("doc_id", F.lit("p.html").alias("path"), pick([markup for markup, _ in cases]).cast("binary").alias("content"))
+    return html.parse(rows).select("doc_id", "page.nodes")
+
+
+def _rows_sql(cases: list, columns: str) -> str:
+    """SQL for the rows of each document's case."""
+    show = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {', '.join(map(show, row))})" for k, (_, rows) in enumerate(cases) for row in rows)
+    return f"SELECT doc_id, {columns} FROM documents JOIN (VALUES {rows}) v(k, {columns}) ON doc_id % {len(cases)} = k"
+
+
+def q_page_steps(spark, sf_dir):
+    steps = procedures.extract_steps(_pages(spark, sf_dir, STEP_PAGES))
+    following = steps.select(F.col("doc_id").alias("of"), F.col("step_id").alias("id"), F.col("label").alias("next"))
+    rows = steps.join(following, (F.col("doc_id") == F.col("of")) & (F.col("next_id") == F.col("id")), "left")
+    return rows.select("doc_id", "label", "instruction", "next", F.array_join("missing", "; ").alias("missing"), "reason")
+
+
+def q_specification_rows(spark, sf_dir):
+    rows = procedures.specifications(_pages(spark, sf_dir, TABLE_PAGES), RECIPE)
+    one = lambda v: F.concat(
+        v["condition"], F.lit(": "), v["original_value"], F.lit(" "), v["original_unit"],
+        F.coalesce(F.concat(F.lit(" = "), v["normalized"]["minimum"].cast("string"), F.lit(".."), v["normalized"]["maximum"].cast("string"), F.lit(" "), v["normalized"]["unit"]), F.lit("")),
+    )
+    shown = F.array_join(F.transform("values", one), "; ")
+    return rows.select("doc_id", "label", "quantity", shown.alias("shown"), F.array_join("conditions", ", ").alias("conditions"), F.array_join("missing", "; ").alias("missing"), "reason")
+
+
 def vocabulary(spark) -> dict[str, DataFrame]:
     return {name: spark.createDataFrame(rows, schema) for name, (schema, rows) in VOCABULARY.items()}
 
@@ -239,6 +329,8 @@ QUERIES = {
     "numeric_range": q_numeric_range,
     "wordings": q_wordings,
     "statement_readings": q_statement_readings,
+    "page_steps": q_page_steps,
+    "specification_rows": q_specification_rows,
     "row_scopes": q_row_scopes,
     "scope_gate": q_scope_gate,
 }
@@ -249,6 +341,8 @@ ORACLE_SQL = {
     "numeric_range": f"""SELECT doc_id, {listed([n[2] for n in NUMBERS], "DOUBLE")} AS minimum, {listed([n[3] for n in NUMBERS], "DOUBLE")} AS maximum,
         {listed([n[4] for n in NUMBERS], "VARCHAR")} AS unit FROM documents""",
     "wordings": f"SELECT doc_id, {listed([w[1] for w in WORDINGS], 'BOOLEAN')} AS excludes, {listed([w[2] for w in WORDINGS], 'BOOLEAN')} AS mixed FROM documents",
+    "page_steps": _rows_sql(STEP_PAGES, "label, instruction, next, missing, reason"),
+    "specification_rows": _rows_sql(TABLE_PAGES, "label, quantity, shown, conditions, missing, reason"),
     "statement_readings": f"SELECT doc_id, {listed([x[2] for x in STATEMENTS], 'VARCHAR')} AS says, {listed([x[3] for x in STATEMENTS], 'BOOLEAN')} AS resolved FROM documents",
     "row_scopes": f"SELECT doc_id, {listed([k for _, k in ROW_TEXTS], 'VARCHAR')} AS kept FROM documents",
     "scope_gate": """SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'no vehicle scope' WHEN doc_id % 20 % 5 = 0 OR (doc_id % 3 = 0 AND doc_id % 20 % 4 = 0)

@@ -7,10 +7,14 @@ source, and whatever isn't plain is a row with a reason instead.
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.sources.html import PageError, grid
 
 
@@ -31,9 +35,9 @@ def _plain(text: str | None) -> str:
     return " ".join((text or "").split())
 
 
-def table_rows(nodes: list[dict], headers: list[list[str]], labels: list[str]) -> list[tuple[str, list[str] | None, str | None]]:
-    """(label, cells, reason) of the labelled rows of the one table with these header paths."""
-    fitting = []
+def _fitting(nodes: list[dict], headers: list[list[str]]) -> tuple[list[dict], list[list[str]], list[str], int] | None:
+    """(node rows, body cells, texts of the body's rows, first row's node) of the one table whose columns have these header paths."""
+    found = []
     for rows in _tables(nodes):
         try:
             cells = [[_plain(c) for c in line] for line in grid(rows)]
@@ -44,24 +48,118 @@ def table_rows(nodes: list[dict], headers: list[list[str]], labels: list[str]) -
         heads = next((k for k, line in enumerate(lines) if line in plain), len(lines))
         paths = [list(dict.fromkeys(c for c in (cells[r][x] for r in range(heads)) if c)) for x in range(len(cells[0]))]
         if paths == headers:
-            fitting.append(cells[heads:])
-    if len(fitting) != 1:
+            said = [" ".join(_plain(n["text"]) for n in rows if n["parent_id"] == line) for line in lines]
+            found.append((rows, cells[heads:], said[heads:], rows[0]["node_id"]))
+    return found[0] if len(found) == 1 else None
+
+
+def table_rows(nodes: list[dict], headers: list[list[str]], labels: list[str]) -> list[tuple[str, list[str] | None, str | None]]:
+    """(label, cells, reason) of the labelled rows of the one table with these header paths."""
+    table = _fitting(nodes, headers)
+    if table is None:
         return [(label, None, "no table or several have these headers") for label in labels]
     out = []
     for label in labels:
-        found = [line for line in fitting[0] if line[0] == label]
+        found = [line for line in table[1] if line[0] == label]
         out.append((label, found[0], None) if len(found) == 1 else (label, None, "row is absent or repeated"))
     return out
 
 
-def extract_tables(pages: DataFrame, headers: list[list[str]], labels: list[str]) -> DataFrame:
-    """(doc_id, label, cells, reason) of recipe rows of every page (columns doc_id, nodes)."""
+def _governs(nodes: list[dict], text: str, table: list[dict], caption: bool) -> bool:
+    """Whether a text stands once on the page, as the table's caption or before the table with no other table between."""
+    saying = [n for n in nodes if _plain(n["text"]) == text]
+    holders = {n["parent_id"] for n in saying}
+    saying = [n for n in saying if n["node_id"] not in holders]
+    inside = {n["node_id"] for t in _tables(nodes) for n in t}
+    own = {n["node_id"] for n in table}
+    saying = [n for n in saying if n["node_id"] not in inside or (caption and n["node_id"] in own)]
+    if len(saying) != 1:
+        return False
+    place, begins = saying[0]["node_id"], table[0]["node_id"]
+    if place in own:
+        return True
+    return place < begins and not any(n["tag"] == "table" and place < n["node_id"] < begins for n in nodes)
+
+
+@dataclass(frozen=True)
+class Recipe:
+    """A table to read: the header path of each column, the rows by their first cells, where unit and values stand."""
+
+    name: str
+    headers: tuple[tuple[str, ...], ...]
+    rows: tuple[str, ...]
+    unit_column: int
+    value_columns: tuple[tuple[int, str], ...]  # column, and the condition that ends its header path
+    subject_column: int = 0
+    caption: str | None = None
+    note: str | None = None
+    conditions: tuple[str, ...] = ()
+
+    def __post_init__(self):
+        if any(not 0 <= at < len(self.headers) or self.headers[at][-1:] != (condition,) for at, condition in self.value_columns):
+            raise ValueError("a condition has to end the header path of its column")
+
+
+def read_recipe(nodes: list[dict], recipe: Recipe) -> list[dict]:
+    """label, text, conditions, values (condition, raw, unit), missing and reason of each row of a recipe.
+
+    A row that can't be read has a reason and no values: its table or its row is
+    absent or ambiguous, what governs the table is, or no value is there. Nothing
+    is ever taken for zero.
+    """
+    bare = {"text": None, "header": None, "conditions": None, "values": None, "missing": None}
+    table = _fitting(nodes, [list(path) for path in recipe.headers])
+    if table is None:
+        return [{"label": label, **bare, "reason": "no table or several have these headers"} for label in recipe.rows]
+    rows, body, said, _ = table
+    if not all(_governs(nodes, text, rows, text == recipe.caption) for text in (recipe.caption, recipe.note) if text):
+        return [{"label": label, **bare, "reason": "what governs the table is ambiguous"} for label in recipe.rows]
+    header, out = " ".join(dict.fromkeys(name for path in recipe.headers for name in path)), []
+    for label in recipe.rows:
+        at = [k for k, line in enumerate(body) if line[recipe.subject_column] == label]
+        if len(at) != 1:
+            out.append({"label": label, **bare, "reason": "row is absent or repeated"})
+            continue
+        line = body[at[0]]
+        unit = line[recipe.unit_column]
+        values = [{"condition": condition, "raw": line[column], "unit": unit} for column, condition in recipe.value_columns if line[column] and unit]
+        if not values:
+            out.append({"label": label, **bare, "reason": "row has no value that can be read"})
+            continue
+        missing = ["value or unit is empty"] if len(values) < len(recipe.value_columns) else []
+        conditions = list(dict.fromkeys([v["condition"] for v in values] + list(recipe.conditions)))
+        out.append({"label": label, "text": said[at[0]], "header": header, "conditions": conditions, "values": values, "missing": missing, "reason": None})
+    return out
 
-    @F.pandas_udf("array<struct<label:string,cells:array<string>,reason:string>>")
-    def run(nodes: pd.Series) -> pd.Series:
-        return nodes.map(lambda some: [{"label": a, "cells": b, "reason": c} for a, b, c in table_rows(list(some), headers, labels)])
 
-    return pages.select("doc_id", F.explode(run("nodes")).alias("r")).select("doc_id", "r.*")
+def specifications(pages: DataFrame, recipe: Recipe) -> DataFrame:
+    """(doc_id, label, subject_text, quantity, conditions, values, missing, reason) of a recipe's rows on every page.
+
+    ``pages`` has doc_id and nodes. Values keep what is printed and have
+    ``normalized``, null where number or unit isn't plain; ``missing`` says so then.
+    ``subject_text`` is what a scope gate has to read: headers, caption and label.
+    """
+    kind = "array<struct<label:string,text:string,header:string,conditions:array<string>,values:array<struct<condition:string,raw:string,unit:string>>,missing:array<string>,reason:string>>"
+
+    @F.pandas_udf(kind)
+    def run(nodes: pd.Series) -> pd.Series:
+        return nodes.map(lambda some: read_recipe(list(some), recipe))
+
+    rows = pages.select("doc_id", F.explode(run("nodes")).alias("r")).select("doc_id", "r.*")
+    values = F.transform("values", lambda v: F.struct(v["condition"].alias("condition"), v["raw"].alias("original_value"), v["unit"].alias("original_unit"), T.numeric_range(v["raw"], v["unit"]).alias("normalized")))
+    units = F.create_map(*[F.lit(x) for unit, (quantity, _) in T.UNITS.items() for x in (unit, quantity)])
+    quantity = F.coalesce(F.try_element_at(units, F.element_at("values", 1)["original_unit"]), F.lit("unknown original quantity"))
+    unread = F.transform(F.filter("values", lambda v: v["normalized"].isNull()), lambda v: F.concat(F.lit("value or unit isn't plain under "), v["condition"]))
+    return rows.withColumn("values", values).select(
+        "doc_id",
+        "label",
+        F.concat_ws(" ", "header", F.lit(recipe.caption or ""), "label").alias("subject_text"),
+        F.when(F.col("reason").isNull(), quantity).alias("quantity"),
+        "conditions",
+        "values",
+        F.concat("missing", unread).alias("missing"),
+        "reason",
+    )
 
 
 def decision(nodes: list[dict]) -> tuple[str, str, str] | str:
@@ -90,7 +188,110 @@ def extract_decisions(sections: DataFrame) -> DataFrame:
     return sections.select("doc_id", run("nodes").alias("d")).select("doc_id", "d.*")
 
 
-CONDITIONAL = r"(?i)\b(?:if|unless|otherwise|repeat|rerun|refer\s+to|go\s+to|proceed)\b"
+# Fixed value: words that make a step more than the next thing to do.
+CONDITIONAL = r"(?i)\b(?:if|unless|otherwise|repeat|rerun|refer\s+to|go\s+to|proceed|see\s+|M/T|A/T)\b"
+_CONDITIONAL = re.compile(CONDITIONAL)
+MOST_STEPS, MOST_NESTED, LETTERS = 1024, 8, 26
+
+
+def step_label(number: int, style: str) -> str:
+    """A printed number: decimal, or one of 26 letters."""
+    if style == "1":
+        return str(number)
+    if style not in ("a", "A") or number > LETTERS:
+        raise PageError("numbering isn't decimal or of single letters")
+    return chr(ord(style) + number - 1)
+
+
+def _runs(lists: list[dict]) -> list[list[dict]]:
+    """Lists on one level whose numbers go on; one that begins at 1 begins a run."""
+    runs: list[list[dict]] = []
+    for one in lists:
+        if one["number"] in (None, "1") or not runs:
+            runs.append([])
+        runs[-1].append(one)
+    return runs
+
+
+def nested_steps(nodes: list[dict]) -> list[dict]:
+    """All steps of a page's ordered lists with their printed labels, nested ones under their parents.
+
+    A run of lists that isn't plain (gaps, other numbering, loose text, too deep)
+    gives one row with a reason. In a run where any step is conditional, linked,
+    drawn or has steps of its own, all steps keep their order but none has a next
+    one, and ``missing`` tells why.
+    """
+    children: dict[int, list[dict]] = {}
+    above = {n["node_id"]: n for n in nodes}
+    for n in nodes:
+        children.setdefault(n["parent_id"], []).append(n)
+
+    def ancestors(n: dict):
+        while (n := above.get(n["parent_id"])) is not None:
+            yield n["tag"]
+
+    roots = [n for n in nodes if n["tag"] == "ol" and not {"ol", "ul", "li"} & set(ancestors(n))]
+    out = []
+    for run in _runs(roots):
+        steps: list[dict] = []
+        missing: set[str] = set()
+
+        def level(lists: list[dict], parent: dict | None, depth: int) -> None:
+            styles = {n["style"] or "1" for n in lists}
+            if depth > MOST_NESTED or len(styles) != 1 or (parent is None and styles != {"1"}):
+                raise PageError("lists are too deep or numbered in several ways")
+            style, number, before = styles.pop(), 0, None
+            for one in lists:
+                items = children.get(one["node_id"], [])
+                if {"backward", "loose"} & set(one["marks"]) or not items or any(n["tag"] != "li" for n in items):
+                    raise PageError("list runs backward or holds more than its items")
+                if (one["number"] or str(number + 1)) != str(number + 1):
+                    raise PageError("printed numbers have a gap")
+                for item in items:
+                    number += 1
+                    said = _plain(item["text"])
+                    if (item["number"] or str(number)) != str(number) or not said or len(steps) >= MOST_STEPS:
+                        raise PageError("printed numbers have a gap, or a step is empty")
+                    own = said if item["own"] is None else _plain(item["own"])
+                    if not own:
+                        raise PageError("a step has nothing but steps of its own")
+                    label = step_label(number, style)
+                    step = {
+                        "step_id": item["node_id"], "label": f"{parent['label']}.{label}" if parent else label, "style": style, "sequence": number,
+                        "parent_id": parent and parent["step_id"], "instruction": own, "next_id": None,
+                    }
+                    steps.append(step)
+                    if before:
+                        before["next_id"] = item["node_id"]
+                    before = step
+                    missing.update(text for text, holds in (
+                        ("a step's figure has to be bound", "drawn" in item["marks"]),
+                        ("a step is conditional or linked", "linked" in item["marks"] or bool(_CONDITIONAL.search(said))),
+                        ("steps inside steps need a review of their order", "listed" in item["marks"]),
+                    ) if holds)
+                    if ordered := [n for n in children.get(item["node_id"], []) if n["tag"] == "ol"]:
+                        level(ordered, step, depth + 1)
+
+        try:
+            level(run, None, 0)
+        except PageError as stopped:
+            out.append({"list_id": run[0]["node_id"], "reason": str(stopped)})
+            continue
+        for step in steps:
+            out.append({"list_id": run[0]["node_id"], **step, "next_id": None if missing else step["next_id"], "missing": sorted(missing), "reason": None})
+    return out
+
+
+def extract_steps(pages: DataFrame) -> DataFrame:
+    """The steps of every page (columns doc_id, nodes), as ``nested_steps`` gives them."""
+    fields = "list_id:int,step_id:int,label:string,style:string,sequence:int,parent_id:int,instruction:string,next_id:int,missing:array<string>,reason:string"
+    names = [part.split(":")[0] for part in fields.split(",")]
+
+    @F.pandas_udf(f"array<struct<{fields}>>")
+    def run(nodes: pd.Series) -> pd.Series:
+        return nodes.map(lambda some: [{name: row.get(name) for name in names} for row in nested_steps(list(some))])
+
+    return pages.select("doc_id", F.explode(run("nodes")).alias("s")).select("doc_id", "s.*")
 
 
 def ordered_steps(nodes: DataFrame) -> DataFrame:

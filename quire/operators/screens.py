@@ -81,16 +81,31 @@ def native_decisions(lines: DataFrame, column: str = "statement") -> DataFrame:
     )
 
 
+# Fixed value: words that send a reader on from a branch.
+CONTINUES = r"(?i)\b(?:go\s+to|proceed|repeat|refer\s+to|next\s+step|see\s+)"
+
+
+def continuations(decisions: DataFrame) -> DataFrame:
+    """(decision_id, record_id, label, text, state): branches that only send a reader on, none of them followed."""
+    edges = decision_graph(decisions)[1]
+    return edges.where(~F.col("complete")).select(F.col("from_id").alias("decision_id"), F.col("to_id").alias("record_id"), "label", "text", F.lit("unresolved").alias("state"))
+
+
 def decision_graph(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (record_id, kind, label) and edges (from_id, to_id, label) of two-way decisions."""
+    """Nodes (record_id, kind, label, complete) and edges (from_id, to_id, label, text, complete) of two-way decisions.
+
+    A branch that sends a reader on is an outcome that isn't complete, and so is
+    the decision that it belongs to.
+    """
     key = ids.stable_id("dec", F.col("number"), F.col("question"))
     arms = F.explode(F.array(F.struct(F.lit("yes").alias("label"), F.col("if_yes").alias("text")), F.struct(F.lit("no").alias("label"), F.col("if_no").alias("text"))))
     made = decisions.select(key.alias("from_id"), "question", arms.alias("arm"))
     target = ids.stable_id("out", F.col("from_id"), F.col("arm.label"), F.col("arm.text"))
-    edges = made.select("from_id", target.alias("to_id"), F.col("arm.label").alias("label"), F.col("arm.text").alias("text"))
-    nodes = made.select(F.col("from_id").alias("record_id"), F.lit("decision").alias("kind"), F.col("question").alias("label")).distinct()
-    nodes = nodes.unionByName(edges.select(F.col("to_id").alias("record_id"), F.lit("outcome").alias("kind"), F.col("text").alias("label")))
-    return nodes, edges.drop("text")
+    whole = ~F.col("arm.text").rlike(CONTINUES)
+    edges = made.select("from_id", target.alias("to_id"), F.col("arm.label").alias("label"), F.col("arm.text").alias("text"), whole.alias("complete"))
+    nodes = made.groupBy(F.col("from_id").alias("record_id"), F.lit("decision").alias("kind"), F.col("question").alias("label")).agg(F.min(whole).alias("complete"))
+    nodes = nodes.unionByName(edges.select(F.col("to_id").alias("record_id"), F.lit("outcome").alias("kind"), F.col("text").alias("label"), "complete"))
+    return nodes, edges
 
 
 # ---------------------------------------------------------------- queries
@@ -170,8 +185,9 @@ def q_native_decisions(spark, sf_dir):
 
 def q_decision_graph(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    rows = docs.select((F.col("doc_id") % 12).alias("number"), F.concat(F.lit("Is "), F.col("source"), F.lit(" fine?")).alias("question"), F.col("lang").alias("if_yes"), F.lit("stop").alias("if_no")).distinct()
-    return decision_graph(rows)[1].groupBy("label").agg(F.count("*").alias("edges"), F.countDistinct("from_id").alias("decisions"), F.countDistinct("to_id").alias("outcomes"))
+    rows = docs.select((F.col("doc_id") % 12).alias("number"), F.concat(F.lit("Is "), F.col("source"), F.lit(" fine?")).alias("question"), F.col("lang").alias("if_yes"), F.when(F.col("doc_id") % 12 == 5, "Repeat the  step").otherwise("stop").alias("if_no")).distinct()
+    shape = [F.count("*").alias("edges"), F.countDistinct("from_id").alias("decisions"), F.countDistinct("to_id").alias("outcomes"), F.count_if(~F.col("complete")).alias("unresolved")]
+    return decision_graph(rows)[1].groupBy("label").agg(*shape)
 
 
 def q_media_types(spark, sf_dir):
@@ -235,7 +251,7 @@ ORACLE_SQL = {
         FROM {_LINES.format(_TORQUE, _TORQUE)} WHERE regexp_matches(statement, '^([A-Z][a-z]+): ([0-9]+ Nm)$')""",
     "native_decisions": "SELECT doc_id, CAST(doc_id % 12 AS INT) AS number, 'Is step ' || doc_id || ' fine?' AS question, 'go to ' || source AS if_yes, 'stop' AS if_no FROM documents",
     "decision_graph": """WITH d AS (SELECT DISTINCT doc_id % 12 AS n, source, lang FROM documents)
-        SELECT 'yes' AS label, count(*) AS edges, count(DISTINCT (n, source)) AS decisions, count(DISTINCT (n, source, lang)) AS outcomes FROM d
-        UNION ALL SELECT 'no', count(*), count(DISTINCT (n, source)), count(DISTINCT (n, source)) FROM d""",
+        SELECT 'yes' AS label, count(*) AS edges, count(DISTINCT (n, source)) AS decisions, count(DISTINCT (n, source, lang)) AS outcomes, 0 AS unresolved FROM d
+        UNION ALL SELECT 'no', count(*), count(DISTINCT (n, source)), count(DISTINCT (n, source)), count(*) FILTER (n = 5) FROM d""",
     "media_types": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/pdf' WHEN 3 THEN 'image/svg+xml' WHEN 2 THEN CASE WHEN regexp_matches(lower(url), '\\.html?$') THEN 'text/html' ELSE 'application/octet-stream' END ELSE 'application/octet-stream' END AS media_type FROM pages",
 }
