@@ -32,14 +32,14 @@ def scope_fingerprint(scope: dict) -> str:
     return canonical_digest({k: v for k, v in scope.items() if k != "eligible"})
 
 
-def _files(spark: SparkSession, path: str):
+def files_of(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write beside the target, then rename over it, so a reader sees the old or the new file."""
-    system, place = _files(spark, path)
+    system, place = files_of(spark, path)
     beside = place.suffix(".next")
     out = system.create(beside, True)
     out.write(bytearray(text.encode()))
@@ -51,6 +51,14 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     hadoop.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration()).rename(beside, place, how)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    system, place = files_of(spark, path)
+    stream = system.open(place)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text
+
+
 def publish(
     units: DataFrame, scope_units: DataFrame, root: str, revisions: dict, limit: int = SHARD_CHARS, cancelled: Callable[[], bool] = lambda: False
 ) -> str:
@@ -69,7 +77,7 @@ def publish(
     content = placed.select(F.xxhash64("unit_id", "title", "text", "membership", "shard").cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
     name = canonical_digest([revisions, limit, content["n"], str(content["s"])])[:32]
     folder = f"{root}/generations/{name}"
-    system, place = _files(spark, f"{folder}/complete")
+    system, place = files_of(spark, f"{folder}/complete")
     if not system.exists(place):
         # a row for each scope that sees a membership, not for each unit
         seen = eligible.join(shards.select("unit_id", membership_id.alias("membership")), "unit_id").select("scope", "membership").distinct()
@@ -83,10 +91,10 @@ def publish(
             write(f"{folder}/{step}")
         counts = scope_units.groupBy("scope", "state").agg(F.count("*").alias("units"), F.count_if("eligible").alias("eligible"))
         counts.write.mode("overwrite").parquet(f"{folder}/filter_counts")
-        _write_text(spark, f"{folder}/complete", json.dumps(revisions))
+        write_text(spark, f"{folder}/complete", json.dumps(revisions))
     if cancelled():
         raise Cancelled("activate")
-    _write_text(spark, f"{root}/current.json", json.dumps({"generation": name, **revisions}))
+    write_text(spark, f"{root}/current.json", json.dumps({"generation": name, **revisions}))
     return name
 
 
@@ -98,11 +106,7 @@ def _deal(placed: DataFrame) -> DataFrame:
 
 def open_current(spark: SparkSession, root: str, review_revision: str) -> tuple[str, dict]:
     """The current generation's folder and its pointer; an error if its review is not the current one."""
-    system, place = _files(spark, f"{root}/current.json")
-    stream = system.open(place)
-    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    stream.close()
-    pointer = json.loads(text)
+    pointer = json.loads(read_text(spark, f"{root}/current.json"))
     if pointer.get("review_revision") != review_revision:
         raise StaleScope("published eligibility belongs to another review")
     return f"{root}/generations/{pointer['generation']}", pointer
