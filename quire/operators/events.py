@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,95 @@ def violations(events: DataFrame) -> DataFrame:
     return rows.withColumn("reason", F.coalesce(reason, again)).where("reason is not null").select("event_id", "reason")
 
 
+# What may follow what in the reviews of quality and of continuations.
+QUALITY = {"approve": "propose", "reject": "propose", "revoke": "approve"}
+CONTINUATION = {"propose": "reject,revoke", "approve": "propose", "reject": "propose", "revoke": "approve"}
+READABLE = "readable_reference"
+STEPPED = ("procedure_step", "diagnostic_node", "diagnostic_edge")
+
+
+def _follows(table: dict[str, str]):
+    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.array_contains(F.split(F.try_element_at(pairs, F.col("action")), ","), F.col("__action"))
+
+
+def _reasons(rows: DataFrame, rules: list[tuple]) -> DataFrame:
+    said = F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(True)), F.lit(text)) for text, broken in rules]))
+    return rows.select("event_id", F.explode(said).alias("reason"))
+
+
+def quality_violations(events: DataFrame, records: DataFrame) -> DataFrame:
+    """(event_id, reason) of decisions on the quality of records that break the log's rules, every reason of each.
+
+    Events have event_id, seq, record_id, sha, use, purpose, action,
+    prior_event_id, ts, reviewer_kind, checks map<string,boolean> and bindings
+    array<struct<record_id,sha>>, what the record depends on; records, all that
+    were ever reviewed, have record_id, sha, type, complete and graph_complete.
+    """
+    key = ["record_id", "use", "purpose"]
+    order = Window.partitionBy(*key).orderBy("seq")
+    held = records.select(F.col("record_id").alias("__id"), F.col("sha").alias("__sha"), "type", "complete", "graph_complete").dropDuplicates(["__id", "__sha"])
+    rows = events.select("*", *[F.lag(c).over(order).alias(f"__{c}") for c in ("event_id", "action", "ts", "bindings")], F.lag("sha").over(order).alias("__sha_before"))
+    rows = rows.join(held, (F.col("record_id") == F.col("__id")) & (F.col("sha") == F.col("__sha")), "left")
+    needs = events.select("event_id", F.explode("bindings").alias("b")).select("event_id", "b.*")
+    met = needs.join(held, (F.col("record_id") == F.col("__id")) & (F.col("sha") == F.col("__sha")), "left")
+    met = met.groupBy(F.col("event_id").alias("__of")).agg(F.max(F.col("__id").isNull()).alias("__lost"), F.max(~F.coalesce("complete", F.lit(False))).alias("__open"))
+    rows = rows.join(met, F.col("event_id") == F.col("__of"), "left")
+    proposes, approves = F.col("action") == "propose", F.col("action") == "approve"
+    check = lambda name: F.coalesce(F.try_element_at("checks", F.lit(name)), F.lit(False))
+    instructs = approves & (F.col("use") != READABLE)
+    later = ~proposes & F.col("__event_id").isNotNull()
+    rules = [
+        ("unknown action", ~proposes & ~F.col("action").isin(*QUALITY)),
+        ("record isn't kept", F.col("__id").isNull()),
+        ("a dependency isn't kept", F.coalesce("__lost", F.lit(False))),
+        ("a proposal follows nothing", proposes & F.col("prior_event_id").isNotNull()),
+        ("doesn't follow the current decision", ~proposes & ~F.coalesce(F.col("prior_event_id") == F.col("__event_id"), F.lit(False))),
+        ("transition is not allowed", later & ~F.coalesce(_follows(QUALITY), F.lit(False))),
+        ("record or dependencies changed on the way", later & ~(F.col("sha").eqNullSafe(F.col("__sha_before")) & F.col("bindings").eqNullSafe(F.col("__bindings")))),
+        ("goes back in time", later & (F.col("ts") < F.col("__ts"))),
+        ("approval without a look at the original", approves & ~(check("original_compared") & check("source_resolves"))),
+        ("instruction isn't complete and checked", instructs & ~(F.coalesce("complete", F.lit(False)) & F.forall(F.map_values("checks"), lambda c: F.coalesce(c, F.lit(False))))),
+        ("depends on what isn't complete", instructs & F.coalesce("__open", F.lit(False))),
+        ("its graph isn't complete", instructs & F.coalesce(F.col("type").isin(*STEPPED), F.lit(False)) & ~F.coalesce("graph_complete", F.lit(False))),
+        ("production needs a human reviewer", approves & (F.col("purpose") == "production") & ~F.col("reviewer_kind").eqNullSafe(F.lit("human"))),
+    ]
+    again = events.groupBy("event_id").agg(F.count("*").alias("n")).where("n > 1").select("event_id", F.lit("event is repeated").alias("reason"))
+    return _reasons(rows, rules).unionByName(again)
+
+
+def continuation_violations(events: DataFrame) -> DataFrame:
+    """(event_id, reason) of reviews of continuations that break their rules, every reason of each.
+
+    Events have event_id, seq (from 0, without gaps), parent_id, link_id, action,
+    binding struct<source,target,reference,configuration_ids>, reviewer_kind, ts and
+    checks map<string,boolean>. Each event names the one before it in the whole log.
+    """
+    before = events.select((F.col("seq") + 1).alias("__next"), F.col("event_id").alias("__before"))
+    order = Window.partitionBy("link_id").orderBy("seq")
+    rows = events.select("*", F.lag("action").over(order).alias("__action"), F.lag("binding").over(order).alias("__binding"))
+    rows = rows.join(before, F.col("seq") == F.col("__next"), "left")
+    own = F.concat(F.lit("link_"), F.substring(F.sha2(F.concat_ws("\0", "binding.source", "binding.target", "binding.reference", F.array_join(F.array_sort("binding.configuration_ids"), ",")), 256), 1, 32))
+    ids = F.col("binding.configuration_ids")
+    first = F.col("__action").isNull()
+    rules = [
+        ("chain is broken", ~F.col("parent_id").eqNullSafe(F.col("__before"))),
+        ("link isn't that of its binding", F.col("link_id") != own),
+        ("configurations are missing or repeated", (F.size(ids) < 1) | (F.size(F.array_distinct(ids)) < F.size(ids))),
+        ("unknown reviewer", ~F.col("reviewer_kind").isin("human", "agent")),
+        ("transition is not allowed", F.when(first, F.col("action") != "propose").otherwise(~F.coalesce(_follows(CONTINUATION), F.lit(False)))),
+        ("binding changed during its review", ~first & (F.col("action") != "propose") & ~F.col("binding").eqNullSafe(F.col("__binding"))),
+        ("approval without all checks", (F.col("action") == "approve") & ~F.forall(F.map_values("checks"), lambda c: F.coalesce(c, F.lit(False)))),
+    ]
+    return _reasons(rows, rules)
+
+
+def link_id(source: str, target: str, reference: str, configuration_ids: list[str]) -> str:
+    """The id of a continuation between two records, for these configurations."""
+    said = "\0".join([source, target, reference, ",".join(sorted(configuration_ids))])
+    return "link_" + hashlib.sha256(said.encode()).hexdigest()[:32]
+
+
 def quality_state(records: DataFrame, events: DataFrame) -> DataFrame:
     """(record_id, use, state, approved): the last decision on each record and use, stale if the record changed."""
     last = current(events.select("record_id", "use", "seq", "action", "sha"), ["record_id", "use"], ["seq"])

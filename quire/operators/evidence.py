@@ -228,7 +228,7 @@ def q_timestamps(spark, sf_dir):
 def q_book_type(spark, sf_dir):
     part = load(spark, sf_dir, "part")
     name = F.element_at(F.array(*[F.lit(x) for x in ("slbcel_1.xml", "SLBLEFT.HTM", "SLBG12L.HTM", "A.HTM")]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return book_type(part.where("p_size % 4 <> p_partkey % 4").select(F.concat("p_brand", F.lit("/"), F.col("p_size")).alias("book"), F.lit("SLB").alias("prefix"), name.alias("name"), (F.col("p_partkey") % 8 == 3).alias("tps")))
+    return book_type(part.select(F.concat("p_brand", F.lit("/"), F.col("p_partkey") % 501).alias("book"), F.lit("SLB").alias("prefix"), name.alias("name"), (F.col("p_partkey") % 8 == 3).alias("tps")))
 
 
 def q_cache_misses(spark, sf_dir):
@@ -279,7 +279,7 @@ ORACLE_SQL = {
     "continuation_states": """SELECT doc_id AS record_id, CASE WHEN doc_id % 5 = 0 THEN 'unresolved' WHEN source >= 'src15' THEN 'withheld' WHEN doc_id % 7 = 0 THEN 'unresolved' WHEN doc_id % 2 <> 0 OR doc_id % 11 = 0 THEN 'withheld' ELSE 'available' END AS state,
       CASE WHEN doc_id % 5 = 0 THEN 'no reviewed place' WHEN source >= 'src15' THEN 'scope is not confirmed' WHEN doc_id % 7 = 0 THEN 'record is missing or repeated' WHEN doc_id % 2 <> 0 OR doc_id % 11 = 0 THEN 'quality is not approved or record is incomplete' END AS reason FROM documents""",
     "timestamp_check": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'no such day' WHEN 2 THEN 'no zone' WHEN 3 THEN 'not a timestamp' WHEN 4 THEN 'no such day' END AS problem FROM events",
-    "book_type": """WITH f AS (SELECT p_brand || '/' || p_size AS book, bool_or(p_partkey % 4 = 0) AS c, bool_or(p_partkey % 4 = 1) AS l, bool_or(p_partkey % 4 = 2) AS g, bool_or(p_partkey % 8 = 3) AS t FROM part WHERE p_size % 4 <> p_partkey % 4 GROUP BY 1)
+    "book_type": """WITH f AS (SELECT p_brand || '/' || (p_partkey % 501) AS book, bool_or(p_partkey % 4 = 0) AS c, bool_or(p_partkey % 4 = 1) AS l, bool_or(p_partkey % 4 = 2) AS g, bool_or(p_partkey % 8 = 3) AS t FROM part GROUP BY 1)
       SELECT book, CASE WHEN c THEN 'EVTM' WHEN l AND g THEN 'SERVICE' WHEN t THEN 'PCED' ELSE '' END AS type FROM f""",
     "cache_misses": "SELECT p_partkey AS source_id, 'r1' AS revision FROM part WHERE p_partkey % 6 <> 0",
     "case_insensitive_path_join": "SELECT p_partkey, min(p_type) OVER (PARTITION BY lower(p_type)) AS path FROM part",

@@ -155,18 +155,14 @@ def q_qualifier_cube(spark, sf_dir):
     return qualifier_cube(load(spark, sf_dir, "lineitem"), ["l_linestatus", "l_linenumber", "l_returnflag"])
 
 
-def q_range_join(spark, sf_dir, kept="p_size <= 10"):
+def q_range_join(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").select("o_orderkey", F.datediff("o_orderdate", F.lit("1990-01-01")).cast("long").alias("day"))
-    ranges = load(spark, sf_dir, "part").where(kept).select("p_partkey", (F.col("p_partkey") * 37 % 3000).alias("start"))
+    ranges = load(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 37 % 3000).alias("start"))
     ranges = ranges.withColumn("end", F.col("start") + F.col("p_partkey") % 40)
     met = range_join(orders, ranges, "day", "start", "end", 32)
     return met.groupBy("p_partkey").agg(F.count("*").alias("orders"), F.min("day").alias("first"), F.max("day").alias("last"))
 
 
-def q_range_join_all(spark, sf_dir):
-    return q_range_join(spark, sf_dir, "true")
-
-
 def q_alias_conflicts(spark, sf_dir):
     part = load(spark, sf_dir, "part")
     aliases = part.select(
@@ -176,19 +172,15 @@ def q_alias_conflicts(spark, sf_dir):
     return alias_conflicts(aliases)
 
 
-def q_best_configuration(spark, sf_dir, kept="p_partkey % 4 = 0"):
+def q_best_configuration(spark, sf_dir):
     part = load(spark, sf_dir, "part")
     selections = part.select(F.col("p_partkey").alias("selection_id"), "p_brand", (F.col("p_size") % 5).alias("a"), (F.col("p_size") % 3).alias("b"))
-    configurations = part.where(kept).select(
+    configurations = part.select(
         F.col("p_partkey").alias("configuration_id"), "p_brand", F.when(F.col("p_partkey") % 8 == 0, F.col("p_size") % 5).alias("a"), F.when(F.col("p_partkey") % 12 == 0, F.col("p_size") % 3).alias("b")
     )
     return best_configuration(selections, configurations, ["p_brand"], ["a", "b"])
 
 
-def q_best_configuration_all(spark, sf_dir):
-    return q_best_configuration(spark, sf_dir, "true")
-
-
 def _tree(spark, sf_dir):
     nation = load(spark, sf_dir, "nation")
     customer = load(spark, sf_dir, "customer")
@@ -233,10 +225,8 @@ QUERIES = {
     "scope_rollup": q_scope_rollup,
     "qualifier_cube": q_qualifier_cube,
     "range_predicate_join": q_range_join,
-    "range_predicate_join_all": q_range_join_all,
     "alias_conflicts": q_alias_conflicts,
     "config_best_match": q_best_configuration,
-    "config_best_match_all": q_best_configuration_all,
     "ancestor_closure": q_ancestor_closure,
     "order_closure": q_order_closure,
     "reachability": q_reachability,
@@ -253,10 +243,10 @@ ORACLE_SQL = {
       UNION ALL SELECT DISTINCT make, model, year, NULL, 3 FROM r UNION ALL SELECT DISTINCT make, model, year, engine, 4 FROM r""",
     "qualifier_cube": "SELECT l_linestatus, l_linenumber, l_returnflag, count(*) AS n FROM lineitem GROUP BY CUBE (l_linestatus, l_linenumber, l_returnflag) HAVING GROUPING(l_linestatus, l_linenumber, l_returnflag) < 7",
     "range_predicate_join": """SELECT p_partkey, count(*) AS orders, min(day) AS first, max(day) AS last FROM (SELECT o_orderkey, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders)
-      JOIN (SELECT p_partkey, p_partkey * 37 % 3000 AS s, p_partkey * 37 % 3000 + p_partkey % 40 AS t FROM part WHERE p_size <= 10) ON day BETWEEN s AND t GROUP BY 1""",
+      JOIN (SELECT p_partkey, p_partkey * 37 % 3000 AS s, p_partkey * 37 % 3000 + p_partkey % 40 AS t FROM part) ON day BETWEEN s AND t GROUP BY 1""",
     "alias_conflicts": """WITH a AS (SELECT p_partkey AS id, p_brand || '/' || (p_size % 10) AS literal, p_type AS target, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 3 END AS make, 1980 + p_partkey % 40 AS y FROM part)
       SELECT x.literal, x.id AS a, z.id AS b FROM a x JOIN a z USING (literal) WHERE x.id < z.id AND x.target <> z.target AND abs(x.y - z.y) <= 3 AND (x.make IS NULL OR z.make IS NULL OR x.make = z.make)""",
-    "config_best_match": """WITH c AS (SELECT p_partkey AS configuration_id, p_brand, CASE WHEN p_partkey % 8 = 0 THEN p_size % 5 END AS a, CASE WHEN p_partkey % 12 = 0 THEN p_size % 3 END AS b FROM part WHERE p_partkey % 4 = 0),
+    "config_best_match": """WITH c AS (SELECT p_partkey AS configuration_id, p_brand, CASE WHEN p_partkey % 8 = 0 THEN p_size % 5 END AS a, CASE WHEN p_partkey % 12 = 0 THEN p_size % 3 END AS b FROM part),
       m AS (SELECT s.p_partkey AS selection_id, configuration_id, row_number() OVER (PARTITION BY s.p_partkey ORDER BY (a IS NOT NULL)::INT + (b IS NOT NULL)::INT DESC, configuration_id) AS k
         FROM part s JOIN c USING (p_brand) WHERE (a IS NULL OR a = s.p_size % 5) AND (b IS NULL OR b = s.p_size % 3)) SELECT selection_id, configuration_id FROM m WHERE k = 1""",
     "ancestor_closure": """SELECT 'c' || c_custkey AS node, 1 AS below FROM customer UNION ALL SELECT 'n' || c_nationkey, count(*) FROM customer GROUP BY 1
@@ -266,11 +256,6 @@ ORACLE_SQL = {
       UNION ALL SELECT 'r' || n_regionkey, count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""",
     "reachability": f"""WITH {_EDGES} f(node) AS (SELECT p_partkey FROM part WHERE p_partkey % 50 = 0 UNION SELECT source FROM g JOIN f ON target = node)
       SELECT CAST(node AS VARCHAR) AS node FROM f""",
-    "range_predicate_join_all": """SELECT p_partkey, count(*) AS orders, min(day) AS first, max(day) AS last FROM (SELECT date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders)
-      JOIN (SELECT p_partkey, p_partkey * 37 % 3000 AS s, p_partkey * 37 % 3000 + p_partkey % 40 AS t FROM part) ON day BETWEEN s AND t GROUP BY 1""",
-    "config_best_match_all": """WITH c AS (SELECT p_partkey AS configuration_id, p_brand, CASE WHEN p_partkey % 8 = 0 THEN p_size % 5 END AS a, CASE WHEN p_partkey % 12 = 0 THEN p_size % 3 END AS b FROM part),
-      m AS (SELECT s.p_partkey AS selection_id, configuration_id, row_number() OVER (PARTITION BY s.p_partkey ORDER BY (a IS NOT NULL)::INT + (b IS NOT NULL)::INT DESC, configuration_id) AS k
-        FROM part s JOIN c USING (p_brand) WHERE (a IS NULL OR a = s.p_size % 5) AND (b IS NULL OR b = s.p_size % 3)) SELECT selection_id, configuration_id FROM m WHERE k = 1""",
     "graph_problems": f"""WITH {_EDGES} t(node) AS (SELECT p_partkey FROM part WHERE p_partkey % 50 = 0 AND p_partkey NOT IN (SELECT source FROM g)),
       f(node) AS (SELECT node FROM t UNION SELECT source FROM g JOIN f ON target = node),
       o AS (SELECT source, list(label) AS found, count(*) AS n FROM g GROUP BY 1),

@@ -66,7 +66,34 @@ QUERIES = {
     "statement_mentions": q_statement_mentions,
 }
 
+def _plain_sql(text: str) -> str:
+    """Markup's escapes undone."""
+    for escape, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        text = f"replace({text}, '{escape}', '{letter}')"
+    return text
+
+
+def _line_sql(text: str) -> str:
+    """Blanks run together, tags and escapes gone."""
+    return _plain_sql(rf"trim(regexp_replace(regexp_replace({text}, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))")
+
+
+_BLOCKS = "</?(p|div|article|h1|h2|h3|ul|ol|li|br|table|tr|td|th|pre|blockquote|section|hr)[^>]*>"
+
 ORACLE_SQL = {
+    # the visible part of a page lies between its navigation and its footer
+    "page_records": rf"""WITH b AS (SELECT page_id, html, regexp_replace(regexp_extract(html, '(?s)</nav>(.*?)(?:<footer>|$)', 1), '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS body FROM pages),
+      t AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(body, '{_BLOCKS}', chr(10), 'g'), chr(10)), lambda x: {_line_sql("x")}), lambda x: x <> '') AS lines FROM b)
+      SELECT page_id, {_line_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS title, 'procedure' AS role, sha256(array_to_string(lines, chr(10))) AS text_sha256,
+        'utf-8' AS encoding, len(regexp_extract_all(html, '<a\s')) AS links, 1 + len(regexp_extract_all(body, '<[a-z]')) AS nodes, CAST(NULL AS VARCHAR) AS error FROM t""",
+    # a list's number is that of its tag among all of the page's
+    "ordered_steps": rf"""WITH h AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(replace(replace(replace(html, '<p>', '<li>'), '</h1>', '</h1><ol>'), '</article>', '</ol></article>'),
+        '(?s)<!--.*?-->', '', 'g'), '(?s)(<script[^>]*>).*?</script>', '\1', 'g') AS h FROM pages),
+      i AS (SELECT doc_id, len(regexp_extract_all(split_part(h, '<ol>', 1), '<[a-z]')) + 1 AS list_id, string_split(split_part(split_part(h, '<ol>', 2), '</ol>', 1), '<li>')[2:] AS items FROM h),
+      s AS (SELECT doc_id, CAST(list_id AS INT) AS list_id, len(items) AS n, unnest(items) AS item, generate_subscripts(items, 1) AS k FROM i),
+      t AS (SELECT *, {_line_sql(f"regexp_replace(item, '{_BLOCKS}', ' ', 'g')")} AS text FROM s)
+      SELECT doc_id, list_id, CAST(k AS INT) AS step, text, CASE WHEN k < n THEN CAST(k + 1 AS INT) END AS next_step,
+        regexp_matches(text, '(?i)\b(if|unless|otherwise|repeat|rerun|refer\s+to|go\s+to|proceed|see\s+|M/T|A/T)\b') AS conditional, false AS nested FROM t""",
     "page_link_targets": """SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS ord, 'navigation' AS context, 'absolute URL' AS reason
       FROM (SELECT page_id, regexp_extract_all(html, '<a\\s+href="([^"]*)"', 1) AS h FROM pages)""",
     "page_routes": """SELECT label AS labels, count(*) AS pages FROM (SELECT unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1)) AS label FROM pages) GROUP BY 1""",

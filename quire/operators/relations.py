@@ -536,6 +536,13 @@ ORACLE_SQL = {
     "backlinks": f"""WITH {_PATHS} SELECT target, string_agg(source, ',' ORDER BY source) AS sources FROM (SELECT DISTINCT l.page_id AS source, d.page_id AS target FROM links l JOIN docs d ON href = d.path WHERE l.page_id <> d.page_id) GROUP BY 1""",
     "landing_dedupe": "SELECT doc_id, CASE WHEN text = first_value(text) OVER (PARTITION BY source ORDER BY doc_id) THEN 'landing' ELSE 'procedure' END AS role FROM documents",
     "membership_signature": f"WITH {_SCOPES} SELECT unit_id, string_agg(scope, ',' ORDER BY scope) AS signature FROM scopes GROUP BY 1",
+    # bins one after the other, as a recursion over each signature's units
+    "shard_pack": f"""WITH RECURSIVE {_SCOPES}, g AS (SELECT unit_id, string_agg(scope, ',' ORDER BY scope) AS signature FROM scopes GROUP BY 1),
+      u AS (SELECT unit_id, signature, length(text) AS chars, row_number() OVER (PARTITION BY signature ORDER BY unit_id) AS k FROM g JOIN documents ON doc_id = unit_id),
+      r AS (SELECT signature, k, unit_id, CAST(0 AS BIGINT) AS bin, chars AS held FROM u WHERE k = 1
+        UNION ALL SELECT u.signature, u.k, u.unit_id, r.bin + CASE WHEN held >= 96000 OR held + chars > 96000 THEN 1 ELSE 0 END,
+          CASE WHEN held >= 96000 OR held + chars > 96000 THEN chars ELSE held + chars END FROM r JOIN u ON u.signature = r.signature AND u.k = r.k + 1)
+      SELECT unit_id, signature, bin FROM r""",
     "running_limit": "SELECT doc_id, CAST(sum(n_chars) OVER (ORDER BY doc_id) AS BIGINT) AS total, sum(n_chars) OVER (ORDER BY doc_id) > 1000000 AS over FROM documents",
     "heading_carry": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS heading FROM conversations",
     "section_slices": "SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS until FROM conversations WHERE role = 'user'",

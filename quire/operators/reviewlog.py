@@ -1,17 +1,22 @@
 """Writing review logs: appends that are checked against the log as it stands.
 
-Logs are Parquet tables of one file an append; an append names the revision it
-was made against (the number of events and a digest of their ids), and fails if
-the log has moved. Events are never rewritten.
+A log is a folder of numbered commits, each naming the Parquet folder of its
+events. An append writes its events first and then creates the next commit, which
+only one writer can do: the others find that the log has moved, and what they
+wrote is never read. Events are never rewritten.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.ids import canonical_digest
 from quire.operators.events import violations
+from quire.plans.store import files_of, read_text
 
 SCHEMA = "event_id string, seq bigint, key string, action string, prior_event_id string, ts timestamp, reviewer string, reason string, relation string, targets array<string>, bindings array<string>, evidence_revision string"
 
@@ -20,13 +25,17 @@ class Moved(RuntimeError):
     """The log isn't at the revision that the append was made against."""
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    from pyspark.errors import AnalysisException
+def _commits(spark: SparkSession, path: str) -> list[str]:
+    """The folders of a log's appends, in order; one a commit, as few as reviewers made."""
+    system, place = files_of(spark, f"{path}/commits")
+    names = sorted(f.getPath().getName() for f in system.listStatus(place)) if system.exists(place) else []
+    return [read_text(spark, f"{path}/commits/{name}") for name in names if name.isdigit()]
 
-    try:
-        return spark.read.schema(SCHEMA).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], SCHEMA)
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """All events of a log, those of every commit and of nothing else."""
+    held = _commits(spark, path)
+    return spark.read.schema(SCHEMA).parquet(*[f"{path}/events/{name}" for name in held]) if held else spark.createDataFrame([], SCHEMA)
 
 
 def revision(log: DataFrame) -> str:
@@ -45,6 +54,7 @@ def event(key: str, action: str, ts, reviewer: str, reason: str, prior: str | No
 
 def append(spark: SparkSession, path: str, events: list[dict], expected: str) -> str:
     """Add events (as ``event`` makes them) after those of the log; gives the new revision."""
+    number = len(_commits(spark, path)) + 1
     log = read(spark, path)
     if revision(log) != expected:
         raise Moved("log has changed since it was read")
@@ -59,8 +69,22 @@ def append(spark: SparkSession, path: str, events: list[dict], expected: str) ->
         raise ValueError("; ".join(f"{r['event_id']}: {r['reason']}" for r in found))
     if both.groupBy("event_id").count().where("count > 1").limit(1).collect():
         raise ValueError("an event is already in the log")
-    added.coalesce(1).write.mode("append").parquet(path)
-    return revision(read(spark, path))
+    name = uuid.uuid4().hex
+    added.coalesce(1).write.parquet(f"{path}/events/{name}")
+    commit(spark, path, number, name)
+    return revision(both)
+
+
+def commit(spark: SparkSession, path: str, number: int, name: str) -> None:
+    """Make an append the log's next one; an error if another was first."""
+    system, place = files_of(spark, f"{path}/commits/{number:012d}")
+    try:
+        out = system.create(place, False)  # fails where the file exists
+    except Py4JJavaError as stopped:
+        system.delete(files_of(spark, f"{path}/events/{name}")[1], True)
+        raise Moved("another append was first") from stopped
+    out.write(bytearray(name.encode()))
+    out.close()
 
 
 def stale(log: DataFrame, current_revision: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quire.functions import ids
 from quire.functions import text as T
 from quire.plans.fixpoint import reliable
-from quire.plans.publish import files_of, read_text, write_text
+from quire.plans.store import files_of, read_text, write_text
 from quire.sources import archives, files, html
 
 PACKAGE = "quire-package-1"

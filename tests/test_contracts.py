@@ -122,6 +122,11 @@ def test_review_log(spark, tmp_path):
     kept = spark.createDataFrame([("a1",)], "assertion_id string")
     assert [r["evidence_revision"] for r in reviewlog.rebase(log, kept, "r2").collect()] == ["r2"]
     assert reviewlog.rebase(log, kept.where("false"), "r2").count() == 0
+    # a writer that comes second finds the commit taken, and nothing of it is read
+    spark.createDataFrame([], reviewlog.SCHEMA).write.parquet(f"{path}/events/late")
+    with pytest.raises(reviewlog.Moved):
+        reviewlog.commit(spark, path, 2, "late")
+    assert reviewlog.revision(reviewlog.read(spark, path)) == then
 
 
 def test_discovery(spark, tmp_path):

@@ -48,14 +48,3 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).columns == ["doc_id", "score", "snippet"]
-
-
-@pytest.mark.parametrize(("part", "whole"), [("range_predicate_join", "range_predicate_join_all"), ("config_best_match", "config_best_match_all")])
-def test_whole_tables(duck, part, whole):
-    """The queries over whole tables, which test_query holds against this SQL, do what the filtered ones leave out."""
-    if part == "range_predicate_join":
-        n = [len(duck.execute(catalog.ORACLE_SQL[name]).fetchall()) for name in (part, whole)]
-        assert n[0] < n[1]
-    else:
-        odd = [len(duck.execute(f"SELECT * FROM ({catalog.ORACLE_SQL[name]}) WHERE configuration_id % 4 > 0").fetchall()) for name in (part, whole)]
-        assert odd[0] == 0 < odd[1]
