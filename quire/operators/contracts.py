@@ -240,3 +240,36 @@ def schema_check(schema: dict) -> Callable[[Column], Column]:
         return text.map(one)
 
     return check
+
+
+# What a command's record may say.
+OPERATIONS, LEVELS = ("probe", "extract"), ("warning", "error")
+KINDS = ("procedure", "wiring", "diagnostics", "owner", "reference", "unknown")
+
+
+def operation_breaches(operations: DataFrame) -> DataFrame:
+    """Breaches of the records that commands give of themselves.
+
+    ``operations`` has operation_id, operation, ok, source_id, source_status,
+    publications array<struct<publication_id,source_path,title,kind>>, output
+    struct<manifest_path,files_written,bytes_written>, null for a probe, and
+    diagnostics array<struct<level,code,message>>.
+    """
+    from quire.functions.ids import stable_id
+    from quire.functions.text import path_problem
+
+    wrote = F.col("output").isNotNull()
+    filled = lambda text: F.length(F.trim(text)) > 0
+    named = F.forall("publications", lambda p: F.coalesce(p["publication_id"] == stable_id("pub", F.col("source_id"), p["source_path"]), F.lit(False)))
+    whole = (F.col("output.files_written") >= 0) & (F.col("output.bytes_written") >= 0) & path_problem(F.col("output.manifest_path")).isNull()
+    failed = (F.col("source_status") == "failed") | F.exists("diagnostics", lambda d: d["level"] == "error")
+    rules = {
+        "operation": F.col("operation").isin(*OPERATIONS),
+        "source status": F.col("source_status").isin(*STATUS),
+        "publication id": named,
+        "publication kind": F.forall("publications", lambda p: F.coalesce(p["kind"].isin(*KINDS) & filled(p["title"]), F.lit(False))),
+        "output": F.when(F.col("operation") == "extract", F.coalesce(whole, F.lit(False))).otherwise(~wrote),
+        "diagnostics": F.forall("diagnostics", lambda d: F.coalesce(d["level"].isin(*LEVELS) & filled(d["code"]) & filled(d["message"]), F.lit(False))),
+        "ok": ~(F.col("ok") & failed) & F.col("ok").isNotNull(),
+    }
+    return breaches(operations, "operation_id", rules).unionByName(repeated(operations, "operation_id", "operation is repeated"))

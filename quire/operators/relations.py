@@ -130,9 +130,51 @@ def link_status(links: DataFrame, documents: DataFrame, members: DataFrame) -> D
     return joined.withColumn("status", status).drop("__path", "__available", "__anchors", "__member")
 
 
-def backlinks(edges: DataFrame) -> DataFrame:
-    """(target, sources): distinct sources that link to a target, itself left out, sorted."""
-    return edges.where("source <> target").distinct().groupBy("target").agg(F.sort_array(F.collect_list("source")).alias("sources"))
+#: Sources of a target that are shown; and rows of an index.
+BACKLINK_CAP, INDEX_CAP = 14, 400
+
+
+def backlinks(edges: DataFrame, most: int = BACKLINK_CAP) -> DataFrame:
+    """(target, sources, linked): the first distinct sources that link to a target, itself left out, and how many there are.
+
+    No more than ``most`` are gathered, however many pages link to one.
+    """
+    pairs = edges.where("source <> target").select("source", "target").distinct()
+    first = F.row_number().over(Window.partitionBy("target").orderBy("source"))
+    shown = pairs.withColumn("__place", first).where(F.col("__place") <= most).groupBy("target").agg(F.sort_array(F.collect_list("source")).alias("sources"))
+    return shown.join(pairs.groupBy("target").agg(F.count("*").alias("linked")), "target")
+
+
+def anchor_candidates(references: DataFrame, sections: DataFrame) -> DataFrame:
+    """References (doc_id, path, href) with record_id, the decision of the section of the same page that they name, and reason.
+
+    ``sections`` has doc_id, anchor and decision_id. Only a bare fragment, or one on
+    the page's own name, names a section of it; all else has to be looked at on its own.
+    """
+    name, fragment = F.regexp_extract("href", r"^([^?#:]*)#(.+)$", 1), F.regexp_extract("href", r"^([^?#:]*)#(.+)$", 2)
+    own = (fragment != "") & ((name == "") | (name == F.element_at(F.split("path", "/"), -1)))
+    at = sections.select(F.col("doc_id").alias("__doc"), F.col("anchor").alias("__anchor"), F.col("decision_id").alias("record_id"))
+    rows = references.withColumn("__fragment", F.when(own, F.url_decode(F.replace(fragment, F.lit("+"), F.lit("%2B")))))
+    rows = rows.join(at, (F.col("doc_id") == F.col("__doc")) & (F.col("__fragment") == F.col("__anchor")), "left")
+    reason = F.when(F.col("record_id").isNotNull(), "anchor of the same page; nothing else is reviewed").otherwise("destination needs a review of its own")
+    return rows.withColumn("reason", reason).drop("__doc", "__anchor", "__fragment")
+
+
+def navigation_labels(documents: DataFrame, routes: DataFrame) -> DataFrame:
+    """(doc_id, labels): every route to a document, distinct, without empty labels.
+
+    ``documents`` has doc_id, path, page (of a PDF, else null), title and
+    breadcrumbs. Pages of a PDF lie under its name in hundreds; a document that
+    no route (doc_id, labels) leads to lies under its breadcrumbs.
+    """
+    first = (F.floor((F.col("page") - 1) / 100) * 100 + 1).cast("string")
+    last = (F.floor((F.col("page") - 1) / 100) * 100 + 100).cast("string")
+    book = F.array(F.element_at(F.split("path", "/"), -1), F.concat(F.lit("Pages "), first, F.lit("-"), last), F.concat(F.lit("Page "), F.col("page").cast("string")))
+    pages = documents.where("page is not null").select("doc_id", book.alias("labels"))
+    led = documents.where("page is null").join(routes.select("doc_id", "labels"), "doc_id", "left")
+    own = F.coalesce("labels", F.concat(F.coalesce("breadcrumbs", F.array().cast("array<string>")), F.array("title")))
+    told = led.select("doc_id", F.filter(own, lambda x: F.coalesce(x, F.lit("")) != "").alias("labels")).where(F.size("labels") > 0)
+    return pages.unionByName(told).distinct()
 
 
 def landing_dedupe(records: DataFrame, entries: DataFrame, group: str) -> DataFrame:
@@ -209,10 +251,13 @@ def zero_filled(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
 def content_digest(members: DataFrame, group: str, row) -> DataFrame:
     """(group, digest) of members in whatever order they come.
 
-    Each member's own digest is what is gathered, sorted and hashed again.
+    Members' own digests are gathered, sorted and hashed in 4,096 buckets by their
+    first digits, and the buckets' digests again, so no task gathers a group.
     """
     own = members.select(group, F.sha2(row, 256).alias("own"))
-    return own.groupBy(group).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("own")), "\n"), 256).alias("digest"))
+    line = lambda column: F.sha2(F.array_join(F.sort_array(F.collect_list(column)), "\n"), 256)
+    buckets = own.groupBy(group, F.substring("own", 1, 3).alias("b")).agg(line("own").alias("d"))
+    return buckets.groupBy(group).agg(line(F.concat_ws(":", "b", "d")).alias("digest"))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
@@ -317,10 +362,29 @@ def q_link_status(spark, sf_dir):
     return link_status(links, docs, members).select("page_id", "ord", "status")
 
 
+def q_navigation_labels(spark, sf_dir):
+    """Documents as pages of a book, with routes, or with breadcrumbs alone."""
+    key = F.col("doc_id")
+    docs = load(spark, sf_dir, "documents")
+    named = docs.select("doc_id", F.concat(F.lit("a/"), "source", F.lit(".pdf")).alias("path"), F.when(key % 3 == 0, key + 1).alias("page"), F.col("lang").alias("title"), F.when(key % 2 == 0, F.array("source", F.lit(""))).alias("breadcrumbs"))
+    routes = docs.where("doc_id % 5 = 1").select("doc_id", F.explode(F.array(F.array("lang"), F.array(F.lit(""), F.col("source"), F.col("lang")), F.array("lang"))).alias("labels"))
+    return navigation_labels(named, routes).select("doc_id", F.array_join("labels", "/").alias("labels"))
+
+
+def q_anchor_candidates(spark, sf_dir):
+    """Links of documents to sections of their own page, of other pages, and to what is none."""
+    key = F.col("doc_id")
+    docs = load(spark, sf_dir, "documents")
+    forms = F.array(*[F.concat(F.lit(a), (key % 7).cast("string"), F.lit(b)) for a, b in (("#s", ""), ("p.html#s", ""), ("q.html#s", ""), ("http://e/p.html#s", ""), ("?x#s", ""), ("#", "%20s"), ("s", ""))])
+    references = docs.select("doc_id", F.lit("a/p.html").alias("path"), F.explode(forms).alias("href"))
+    sections = docs.where("doc_id % 7 < 4").select("doc_id", F.explode(F.array(F.concat(F.lit("s"), (key % 7).cast("string")), F.concat((key % 7).cast("string"), F.lit(" s")))).alias("anchor"), F.concat(F.lit("d"), key).alias("decision_id"))
+    return anchor_candidates(references, sections).select("doc_id", "href", "record_id")
+
+
 def q_backlinks(spark, sf_dir):
     docs, links = _site_paths(spark, sf_dir)
     edges = links.join(docs.select("path", F.col("page_id").alias("target")), "path").select(F.col("page_id").alias("source"), "target")
-    return backlinks(edges).select("target", F.concat_ws(",", F.col("sources").cast("array<string>")).alias("sources"))
+    return backlinks(edges).select("target", F.concat_ws(",", F.col("sources").cast("array<string>")).alias("sources"), "linked")
 
 
 def q_landing_dedupe(spark, sf_dir):
@@ -479,6 +543,8 @@ QUERIES = {
     "page_roles": q_page_roles,
     "link_status": q_link_status,
     "backlinks": q_backlinks,
+    "navigation_labels": q_navigation_labels,
+    "anchor_candidates": q_anchor_candidates,
     "landing_dedupe": q_landing_dedupe,
     "membership_signature": q_membership,
     "shard_pack": q_shard_pack,
@@ -533,7 +599,14 @@ ORACLE_SQL = {
     "link_status": f"""WITH {_PATHS} SELECT l.page_id, ord, CASE WHEN contains(href, ',') THEN 'blocked' WHEN d.path IS NOT NULL AND NOT available THEN 'unavailable'
       WHEN d.path IS NOT NULL AND (l.page_id + ord) % 5 = 0 THEN 'missing_fragment' WHEN d.path IS NOT NULL THEN 'resolved' WHEN length(href) = 3 THEN 'unsupported' ELSE 'missing' END AS status
       FROM links l LEFT JOIN docs d ON href = d.path""",
-    "backlinks": f"""WITH {_PATHS} SELECT target, string_agg(source, ',' ORDER BY source) AS sources FROM (SELECT DISTINCT l.page_id AS source, d.page_id AS target FROM links l JOIN docs d ON href = d.path WHERE l.page_id <> d.page_id) GROUP BY 1""",
+    "backlinks": f"""WITH {_PATHS} SELECT target, string_agg(source, ',' ORDER BY source) FILTER (k <= 14) AS sources, count(*) AS linked
+      FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY source) AS k FROM (SELECT DISTINCT l.page_id AS source, d.page_id AS target FROM links l JOIN docs d ON href = d.path WHERE l.page_id <> d.page_id)) GROUP BY 1""",
+    "navigation_labels": """SELECT doc_id, source || '.pdf/Pages ' || (doc_id // 100 * 100 + 1) || '-' || (doc_id // 100 * 100 + 100) || '/Page ' || (doc_id + 1) AS labels FROM documents WHERE doc_id % 3 = 0
+      UNION ALL SELECT doc_id, lang FROM documents WHERE doc_id % 3 > 0 AND doc_id % 5 = 1 UNION ALL SELECT doc_id, source || '/' || lang FROM documents WHERE doc_id % 3 > 0 AND doc_id % 5 = 1
+      UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || '/' ELSE '' END || lang FROM documents WHERE doc_id % 3 > 0 AND doc_id % 5 <> 1""",
+    "anchor_candidates": """SELECT doc_id, href, CASE WHEN doc_id % 7 < 4 AND named THEN 'd' || doc_id END AS record_id FROM documents,
+      LATERAL (SELECT unnest(['#s' || (doc_id % 7), 'p.html#s' || (doc_id % 7), 'q.html#s' || (doc_id % 7), 'http://e/p.html#s' || (doc_id % 7), '?x#s' || (doc_id % 7), '#' || (doc_id % 7) || '%20s', 's' || (doc_id % 7)]) AS href,
+        unnest([true, true, false, false, false, true, false]) AS named)""",
     "landing_dedupe": "SELECT doc_id, CASE WHEN text = first_value(text) OVER (PARTITION BY source ORDER BY doc_id) THEN 'landing' ELSE 'procedure' END AS role FROM documents",
     "membership_signature": f"WITH {_SCOPES} SELECT unit_id, string_agg(scope, ',' ORDER BY scope) AS signature FROM scopes GROUP BY 1",
     # bins one after the other, as a recursion over each signature's units
@@ -556,7 +629,7 @@ ORACLE_SQL = {
       p AS (SELECT l_orderkey, "offset", lag("offset" + size) OVER (PARTITION BY l_orderkey ORDER BY "offset") AS previous_end FROM c) SELECT * FROM p WHERE previous_end <> "offset" """,
     "extension_counts": rf"SELECT regexp_extract({_NAME}, '(\.[a-z0-9]+)$', 1) AS extension, count(*) AS n FROM pages GROUP BY 1",
     "status_counts": "SELECT s.status, count(o.o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) s(status) LEFT JOIN orders o ON o.o_orderstatus = s.status GROUP BY 1",
-    "content_digest": "SELECT source, sha256(string_agg(own, chr(10) ORDER BY own)) AS digest FROM (SELECT source, sha256(doc_id || chr(10) || length(text) || chr(10) || sha256(text)) AS own FROM documents) GROUP BY 1",
+    "content_digest": "SELECT source, sha256(string_agg(b || ':' || d, chr(10) ORDER BY b)) AS digest FROM (SELECT source, substr(own, 1, 3) AS b, sha256(string_agg(own, chr(10) ORDER BY own)) AS d FROM (SELECT source, sha256(doc_id || chr(10) || length(text) || chr(10) || sha256(text)) AS own FROM documents) GROUP BY 1, 2) GROUP BY 1",
     "prefix_vote": "WITH v AS (SELECT p_brand, substr(p_name, 1, 3) AS prefix, count(*) AS n FROM part GROUP BY 1, 2) SELECT p_brand, prefix, n FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, prefix DESC) AS k FROM v) WHERE k = 1",
     "book_summary": """WITH f AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS k FROM orders GROUP BY 1, 2)
       SELECT o_custkey, years, models FROM (SELECT o_custkey, string_agg(DISTINCT year(o_orderdate)::VARCHAR, ',' ORDER BY year(o_orderdate)::VARCHAR) AS years FROM orders GROUP BY 1)

@@ -194,14 +194,27 @@ def facets(hits: DataFrame, column: str) -> DataFrame:
     return hits.groupBy(column).agg(F.count("*").alias("hits"))
 
 
-def collapse(ranked: DataFrame, group: str, keep: int = 2, id_column: str = "doc_id") -> DataFrame:
-    """The first rows of each group, and one row that tells how many more there are; a null group is a group."""
+def collapse(ranked: DataFrame, group: str, keep: int = 2, id_column: str = "doc_id", most: int | None = None) -> DataFrame:
+    """The first rows of each group, and one row that tells how many more there are; rows without a group all stay.
+
+    Given ``most``, the first so many of these rows by score; the row that tells of
+    more stands where the first of them would.
+    """
+    grouped = ranked.where(F.col(group).isNotNull())
     order = Window.partitionBy(group).orderBy(F.desc("score"), id_column)
-    placed = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep + 1)
-    sizes = ranked.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("members"))
+    placed = grouped.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep + 1)
+    sizes = grouped.groupBy(group).agg(F.count("*").alias("members"))
     more = F.when(F.col("place") > keep, F.col("members") - keep).cast("long")
-    rows = placed.join(sizes, F.col(group).eqNullSafe(F.col("__group")))
-    return rows.select(group, F.when(F.col("place") <= keep, F.col(id_column)).alias(id_column), "score", more.alias("more"))
+    rows = placed.join(sizes, group).select(group, id_column, "score", more.alias("more"))
+    rows = rows.unionByName(ranked.where(F.col(group).isNull()).select(group, id_column, "score", F.lit(None).cast("long").alias("more")))
+    rows = rows.orderBy(F.desc("score"), id_column).limit(most) if most is not None else rows
+    return rows.select(group, F.when(F.col("more").isNull(), F.col(id_column)).alias(id_column), "score", "more")
+
+
+def filtered(ranked: DataFrame, column: str, chosen=None, k: int = RESULT_CAP, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(facets, results): hits by the column's values, all of them, and the best rows of the chosen value, or of all."""
+    held = ranked if chosen is None else ranked.where(F.col(column) == F.lit(chosen))
+    return facets(ranked, column), top(held, k, id_column)
 
 
 # ---------------------------------------------------------------- queries
@@ -266,6 +279,18 @@ def q_collapse(spark, sf_dir):
     return collapse(_hits(spark, sf_dir).select("doc_id", "score", source), "source")
 
 
+def q_collapsed_results(spark, sf_dir):
+    """The rows of a result page: one language, collapsed by source, capped."""
+    rows = _hits(spark, sf_dir).where("lang = 'en'")
+    return collapse(rows.select("doc_id", "score", F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("source")), "source", most=RESULT_CAP)
+
+
+def q_filtered_search(spark, sf_dir):
+    """Of one language the best hits, each with how many hits the language has."""
+    counts, rows = filtered(_hits(spark, sf_dir), "lang", "en")
+    return rows.join(counts, "lang").select("lang", "doc_id", "score", "hits")
+
+
 QUERIES = {
     "tokens_library": q_tokens_library,
     "tokens_site": q_tokens_site,
@@ -278,6 +303,8 @@ QUERIES = {
     "bm25_search": q_bm25_search,
     "facet_counts": q_facet_counts,
     "collapse_two_per_group": q_collapse,
+    "collapsed_results": q_collapsed_results,
+    "filtered_search": q_filtered_search,
 }
 
 _LIB = f"regexp_extract_all(lower(text), '{T.LIBRARY_TOKEN}')"
@@ -338,6 +365,11 @@ ranked AS (SELECT doc_id, source, m AS matched, round(
   FROM body JOIN lengths USING (doc_id), used)"""
 
 
+_COLLAPSED = """, placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY source) AS members
+    FROM (SELECT doc_id, score, CASE WHEN doc_id % 3 > 0 THEN source END AS source FROM h))
+  SELECT source, CASE WHEN source IS NULL OR place <= 2 THEN doc_id END AS doc_id, score, CASE WHEN source IS NOT NULL AND place > 2 THEN members - 2 END AS more, doc_id AS own
+  FROM placed WHERE source IS NULL OR place <= 3"""
+
 ORACLE_SQL = {
     "tokens_library": f"SELECT doc_id, len({_LIB}) AS tokens, len(list_distinct({_LIB})) AS terms FROM documents",
     "tokens_site": f"SELECT doc_id, len({_site('text')}) AS tokens, len(list_distinct({_site('text')})) AS terms FROM documents",
@@ -349,9 +381,11 @@ ORACLE_SQL = {
     "snippets": f"SELECT doc_id, {_snippet_sql(['tion', 'ment'])} AS snippet FROM documents",
     "bm25_search": _bm25_sql(_BM25) + f" SELECT doc_id, score, matched FROM ranked ORDER BY score DESC, doc_id LIMIT {RESULT_CAP}",
     "facet_counts": _bm25_sql(_BM25) + " SELECT source, count(*) AS hits FROM ranked GROUP BY 1",
-    "collapse_two_per_group": _bm25_sql(_BM25)
-    + """, placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS place,
-      count(*) OVER (PARTITION BY source) AS members FROM (SELECT doc_id, score, CASE WHEN doc_id % 3 > 0 THEN source END AS source FROM ranked))
-  SELECT source, CASE WHEN place <= 2 THEN doc_id END AS doc_id, score, CASE WHEN place > 2 THEN members - 2 END AS more
-  FROM placed WHERE place <= 3""",
+    "collapse_two_per_group": _bm25_sql(_BM25) + ", h AS (SELECT * FROM ranked)" + _COLLAPSED,
+    "collapsed_results": _bm25_sql(_BM25) + ", h AS (SELECT ranked.* FROM ranked JOIN documents USING (doc_id) WHERE lang = 'en')" + _COLLAPSED + f" ORDER BY score DESC, own LIMIT {RESULT_CAP}",
+    "filtered_search": _bm25_sql(_BM25)
+    + f""" SELECT lang, doc_id, score, hits FROM ranked JOIN documents USING (doc_id) JOIN (SELECT lang, count(*) AS hits FROM ranked JOIN documents USING (doc_id) GROUP BY 1) USING (lang)
+      WHERE lang = 'en' ORDER BY score DESC, doc_id LIMIT {RESULT_CAP}""",
 }
+ORACLE_SQL["collapsed_results"] = "SELECT source, doc_id, score, more FROM (" + ORACLE_SQL["collapsed_results"] + ")"
+ORACLE_SQL["collapse_two_per_group"] = "SELECT source, doc_id, score, more FROM (" + ORACLE_SQL["collapse_two_per_group"] + ")"

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import threading
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +96,40 @@ def search(spark: SparkSession, folder: str, scope: str, query: str, limit: int
     return scoped_search(scope_units(spark, folder, scope), query, limit, "unit_id")
 
 
+class Search:
+    """A search that runs in a thread of its own, with a job tag by which ``cancel`` stops it between or inside its stages."""
+
+    def __init__(self, spark: SparkSession, folder: str, scope: str, query: str, limit: int = 100):
+        self._context, self._tag = spark.sparkContext, f"quire-search-{uuid.uuid4().hex}"
+        self._stopped, self._rows, self._error = threading.Event(), None, None
+
+        def run() -> None:
+            self._context.addJobTag(self._tag)
+            try:
+                if not self._stopped.is_set():
+                    self._rows = search(spark, folder, scope, query, limit).collect()  # limit rows at most
+            except Exception as error:  # noqa: BLE001  raised again where the rows are asked for
+                self._error = error
+            finally:
+                self._context.removeJobTag(self._tag)
+
+        self._thread = InheritableThread(target=run, session=spark)
+        self._thread.start()
+
+    def cancel(self) -> None:
+        self._stopped.set()
+        self._context.cancelJobsWithTag(self._tag)
+
+    def rows(self) -> list:
+        """The rows, once they are there; ``Cancelled`` if the search was stopped."""
+        self._thread.join()
+        if self._stopped.is_set():
+            raise Cancelled("search")
+        if self._error:
+            raise self._error
+        return self._rows
+
+
 def scope_units(spark: SparkSession, folder: str, scope: str) -> DataFrame:
     """The units that a scope may show; the join with its memberships prunes the folders of all others."""
     seen = spark.read.parquet(f"{folder}/scope_memberships").where(F.col("scope") == scope).select("membership")

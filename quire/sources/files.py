@@ -131,6 +131,31 @@ def static_svg(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["svg", "reason"])
 
 
+def described_vehicles(members: DataFrame) -> DataFrame:
+    """(path, statement, selector, structured struct<year,name,engine>) of original drawings (path, content) that name a vehicle; refused ones give none."""
+
+    @F.pandas_udf("array<struct<statement:string,selector:string,structured:struct<year:string,name:string,engine:string>>>")
+    def run(content: pd.Series) -> pd.Series:
+        def read(data) -> list[dict]:
+            try:
+                found = svg.described(bytes(data))
+            except svg.Refused:
+                return []
+            return [{"statement": said, "selector": selector, "structured": dict(zip(("year", "name", "engine"), parts, strict=True))} for said, selector, parts in found]
+
+        return content.map(read)
+
+    drawings = members.where(F.lower("path").endswith(".svg"))
+    return drawings.select("path", F.explode(run("content")).alias("s")).select("path", "s.*")
+
+
+def image_pages(listings: DataFrame) -> DataFrame:
+    """(path, page) of pages with a raster image, from the listings that ``pdfimages -list`` prints (path, listing)."""
+    lines = F.slice(F.split("listing", r"\r?\n"), 3, 1 << 30)  # two lines are headings
+    number = F.regexp_extract("line", r"^\s*([0-9]+)(?:\s|$)", 1)
+    return listings.select("path", F.explode(lines).alias("line")).where(number != "").select("path", number.cast("int").alias("page")).distinct()
+
+
 def figure_status(figures: DataFrame, members: DataFrame) -> DataFrame:
     """Figures (path, reason) with a status by what their file is, and ``svg``, what a safe drawing may show.
 

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import types as K
@@ -146,3 +147,30 @@ def test_discovery(spark, tmp_path):
     assert source.status == "complete" and source.publications.count() == 1
     discover.unpacked(spark, str(tmp_path / "disc"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).where("book = 'A' and name = 'A.TXT'").first()["content"] == b"x"
+
+
+def test_operations(spark):
+    from quire.functions import ids
+    from quire.operators import contracts
+
+    schema = (
+        "operation_id string, operation string, ok boolean, source_id string, source_status string, publications array<struct<publication_id:string,source_path:string,title:string,kind:string>>, "
+        "output struct<manifest_path:string,files_written:long,bytes_written:long>, diagnostics array<struct<level:string,code:string,message:string>>"
+    )
+    name = spark.range(1).select(ids.stable_id("pub", F.lit("s"), F.lit("a.pdf"))).first()[0]
+    fine, out = [(name, "a.pdf", "A", "owner")], ("m.json", 1, 2)
+    rows = [
+        ("1", "probe", True, "s", "complete", fine, None, []),
+        ("2", "extract", True, "s", "complete", fine, out, [("warning", "c", "m")]),
+        ("3", "delete", True, "s", "complete", [], None, []),
+        ("4", "probe", True, "s", "failed", [], None, []),
+        ("5", "probe", False, "s", "failed", [], None, [("error", "c", "m")]),
+        ("6", "probe", True, "s", "partial", [], out, []),
+        ("7", "extract", False, "s", "complete", [], ("/m", 1, 2), []),
+        ("8", "extract", False, "s", "complete", [], None, []),
+        ("9", "probe", True, "s", "complete", [("pub_x", "a.pdf", "A", "owner"), (name, "a.pdf", " ", "novel")], None, [("note", "c", "")]),
+    ]
+    got = sorted((r["key"], r["rule"]) for r in contracts.operation_breaches(spark.createDataFrame(rows, schema)).collect())
+    assert got == [
+        ("3", "operation"), ("4", "ok"), ("6", "output"), ("7", "output"), ("8", "output"), ("9", "diagnostics"), ("9", "publication id"), ("9", "publication kind")
+    ]

@@ -38,6 +38,33 @@ def test_publish_and_search(spark, tmp_path):
     assert publish.open_current(spark, root, "r1")[1]["generation"] == name
 
 
+def test_search_can_be_cancelled(spark, tmp_path, monkeypatch):
+    import threading
+
+    units = spark.createDataFrame([("u1", "t", "torque"), ("u2", "t", "pump")], "unit_id string, title string, text string")
+    scopes = spark.createDataFrame([("a", "u1", "confirmed", True), ("a,b", "u2", "confirmed", True)], "scope string, unit_id string, state string, eligible boolean")
+    publish.publish(units, scopes, str(tmp_path), {"review_revision": "r"})
+    folder, _ = publish.open_current(spark, str(tmp_path), "r")
+    assert [r["unit_id"] for r in publish.Search(spark, folder, "a", "torque").rows()] == ["u1"]
+    assert [r["unit_id"] for r in publish.Search(spark, folder, "a,b", "pump").rows()] == ["u2"]
+    with pytest.raises(KeyError):
+        publish.Search(spark, folder, "none", "torque").rows()
+    begun, whole = threading.Event(), publish.search
+
+    def slow(session, *rest):
+        begun.set()
+        session.range(0, 4, 1, 4).mapInPandas(lambda frames: (__import__("time").sleep(60) or f for f in frames), "id long").count()
+        return whole(session, *rest)
+
+    monkeypatch.setattr(publish, "search", slow)
+    running = publish.Search(spark, folder, "a", "torque")
+    begun.wait()
+    __import__("time").sleep(2)
+    running.cancel()
+    with pytest.raises(publish.Cancelled):
+        running.rows()
+
+
 def test_shards_hold_only_units_of_one_signature(spark):
     units, scopes = library(spark)
     signed = relations.membership(scopes.where("eligible").select("scope", "unit_id"))

@@ -299,6 +299,25 @@ def test_figures(spark):
     assert {r["path"] for r in rows if r["svg"]} == {"a.svg"} and {r["path"]: r["detail"] for r in rows if r["detail"]} == {"x.svg": "root isn't an SVG element"}
 
 
+def test_described_drawings(spark):
+    desc = "<desc><x:Modelyear xmlns:x='y'>2005</x:Modelyear><Modelname> Ridge </Modelname><q><Qualifier>6.0L</Qualifier><Qualifier> </Qualifier><Qualifier>VIN X</Qualifier></q></desc>"
+    held = [
+        ("a.svg", f'<svg xmlns="http://www.w3.org/2000/svg"><g/>{desc}</svg>'), ("b.svg", "<svg><g><desc><Modelyear>1</Modelyear></desc></g></svg>"), ("c.svg", "<svg>"),
+        ("d.svg", "<svg><desc><Qualifier>only</Qualifier></desc></svg>"), ("e.html", "<desc><Modelyear>1</Modelyear></desc>"),
+    ]
+    rows = files.described_vehicles(spark.createDataFrame([(n, bytearray(x.encode())) for n, x in held], "path string, content binary")).collect()
+    assert sorted((r["path"], r["selector"], r["statement"], tuple(r["structured"])) for r in rows) == [
+        ("a.svg", "svg-desc:qualifier:0", "2005 Ridge 6.0L", ("2005", "Ridge", "6.0L")), ("a.svg", "svg-desc:qualifier:1", "2005 Ridge VIN X", ("2005", "Ridge", "VIN X")),
+        ("a.svg", "svg-desc:vehicle", "2005 Ridge", ("2005", "Ridge", "")), ("d.svg", "svg-desc:qualifier:0", "only", ("", "", "only")),
+    ]
+
+
+def test_image_pages(spark):
+    listing = "page num type\n-----\n   1 0 image 5 5\n   3 1 smask\n   3 2 image\n x 1\n\n  12"
+    rows = files.image_pages(spark.createDataFrame([("a.pdf", listing), ("b.pdf", "page\n---"), ("c.pdf", None)], "path string, listing string")).collect()
+    assert sorted((r["path"], r["page"]) for r in rows) == [("a.pdf", 1), ("a.pdf", 3), ("a.pdf", 12)]
+
+
 def test_zip_bytes_are_read_from_memory():
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w") as out:
