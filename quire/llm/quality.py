@@ -123,13 +123,15 @@ class NeighbourModel:
 
 def votes(cosines: np.ndarray, labels: np.ndarray, count: int, prior: float) -> np.ndarray:
     """Share of label 1 among the nearest ``count`` of each row, weighted by similarity; those that tie for the last places share them."""
-    count = min(count, len(labels))
-    edge = -np.partition(-cosines, count - 1, axis=1)[:, count - 1 : count]
-    above, tied = cosines > edge + TIE, np.abs(cosines - edge) <= TIE
-    share = (count - above.sum(axis=1, keepdims=True)) / tied.sum(axis=1, keepdims=True)
-    weights = np.maximum(cosines, 0.0) * (above + tied * share)
-    total = weights.sum(axis=1)
-    return np.where(total > 0, np.clip(weights @ labels / np.where(total > 0, total, 1.0), 0.0, 1.0), prior)
+    count, (rows, width) = min(count, len(labels)), cosines.shape
+    edge = np.partition(cosines, width - count, axis=1)[:, width - count]
+    row, column = np.nonzero(cosines >= edge[:, None] - TIE)
+    found = cosines[row, column]
+    tied = found <= edge[row] + TIE
+    sure, tie = np.bincount(row, ~tied, rows), np.bincount(row, tied, rows)
+    weights = np.maximum(found, 0.0) * np.where(tied, ((count - sure) / np.maximum(tie, 1))[row], 1.0)
+    total, ones = np.bincount(row, weights, rows), np.bincount(row, weights * labels[column], rows)
+    return np.where(total > 0, np.clip(ones / np.where(total > 0, total, 1.0), 0.0, 1.0), prior)
 
 
 def choose_neighbours(vectors: np.ndarray, labels: np.ndarray, prior: float) -> int:
