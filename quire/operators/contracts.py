@@ -20,7 +20,7 @@ from pyspark.sql import types as K
 ROLES = ("procedure", "pdf_page", "navigation", "landing", "unavailable")
 PROVENANCE = ("native", "ocr", "none")
 STATUS = ("complete", "partial", "failed")
-QUALIFIERS = ("vin", "rpo", "transmission", "drivetrain", "body_style", "emissions", "market", "trim", "axle")
+QUALIFIERS = ("transmission", "drivetrain", "vin", "rpo", "production_date", "market", "cab", "chassis", "fuel")
 YEAR_FROM, YEAR_TO = 1886, 2100
 STATES = ("unknown", "not_applicable", "exact", "all_in_scope", "range")
 
@@ -244,7 +244,7 @@ def schema_check(schema: dict) -> Callable[[Column], Column]:
 
 # What a command's record may say.
 OPERATIONS, LEVELS = ("probe", "extract"), ("warning", "error")
-KINDS = ("procedure", "wiring", "diagnostics", "owner", "reference", "unknown")
+KINDS = ("workshop", "wiring", "diagnostics", "owner", "reference", "unknown")
 
 
 def operation_breaches(operations: DataFrame) -> DataFrame:

@@ -2,139 +2,53 @@
 
 import pytest
 
+from quire.operators import decision_cases as D
 from quire.operators import matching as M
+from quire.operators.decision_cases import assertion, unit
 
-P = "struct<state:string,value:string,start:int,end:int>"
 
-
-def pred(state, value=None, start=None, end=None):
-    return {"state": state, "value": value, "start": start, "end": end}
-
-
-def exact(value):
-    return pred("exact", value)
-
-
-FITS = {"make": exact("mk"), "model": exact("md"), "year": pred("range", None, 2000, 2010), "engine": exact("en"), "qualifiers": {}}
-
-
-def alt(**changes):
-    return {**FITS, **changes}
-
-
-UNITS = "unit_id string, document_id string, publication_id string, parent_unit_id string, kind string, search_state string, mixed boolean, citation struct<kind:string,path:string,page:int>"
-ASSERTIONS = (
-    "assertion_id string, subject_id string, ord int, intent string, derivation string, provenance string, support string, to_descendants boolean, "
-    f"selector string, citation struct<kind:string,path:string,page:int>, alternatives {M.ALTERNATIVES}"
-)
-CONFIGURATIONS = "configuration_id string, make_id string, model_id string, model_year int, engine_id string, qualifiers map<string,string>"
-SCOPES = "scope_id string, make_id string, model_id string, model_year int, engine_id string, qualifiers map<string,string>, mode string, include_reference boolean"
-EVENTS = "event_id string, subject_id string, relation string, action string, prior_event_id string, targets array<string>, bindings array<string>, stale boolean"
-
-FULL = ("mk", "md", 2005, "en")
-
-
-def unit(name="u", publication="p", parent=None, kind="section", state="whole", mixed=False, citation=("path", "a.html", None)):
-    return (name, "d", publication, parent, kind, state, mixed, citation)
-
-
-def assertion(name, subject="u", alternatives=None, intent="include", support="source_supported", derivation="explicit_text", down=True, selector=None, citation=("path", "a.html", None)):
-    return (name, subject, int(name[1:]), intent, derivation, "native", support, down, selector, citation, alternatives or [FITS])
-
-
-def run(spark, units=None, assertions=(), events=(), selection=FULL, qualifiers=None, mode="confirmed", reference=False, kind="procedure", configurations=None):
+def run(spark, units=None, assertions=(), events=(), selection=D.FULL, qualifiers=None, mode="confirmed", reference=False, kind="procedure", configurations=None):
     frame = lambda rows, schema: spark.createDataFrame(list(rows), schema)
-    configurations = configurations or [("c", *FULL, {})]
+    configurations = configurations or [("c", *D.FULL, {})]
     got = M.decide(
-        frame(units or [unit()], UNITS),
+        frame(units or [unit()], D.UNITS),
         frame([("p", kind)], "publication_id string, kind string"),
-        frame(assertions, ASSERTIONS),
-        frame(configurations, CONFIGURATIONS),
-        frame([("s", *selection, qualifiers or {}, mode, reference)], SCOPES),
-        frame(events, EVENTS),
+        frame(assertions, D.ASSERTIONS),
+        frame(configurations, D.CONFIGURATIONS),
+        frame([("s", *selection, qualifiers or {}, mode, reference)], D.SCOPES),
+        frame(events, D.EVENTS),
     ).collect()
     return {r["unit_id"]: (r["state"], r["reason"], r["search_eligible"]) for r in got}
 
 
-def event(name, action="accept", subject="u", prior=None, bindings=(), stale=False):
-    return (name, subject, "section_applies", action, prior, ["c"], list(bindings), stale)
-
-
-NO_ENGINE = alt(engine=pred("unknown"))
-OTHER = alt(model=exact("other"))
-CASES = {
-    "explicit": (dict(assertions=[assertion("a1")]), ("confirmed", "explicit_source", True)),
-    "out of years": (dict(assertions=[assertion("a1", alternatives=[alt(year=pred("range", None, 1990, 1999))])]), ("excluded", "excluded_by_source", False)),
-    "unknown configuration": (dict(assertions=[assertion("a1")], selection=("mk", "md", 1999, "en")), ("excluded", "no_eligible_units", False)),
-    "empty selection": (dict(assertions=[assertion("a1")], selection=(None, None, None, None)), ("excluded", "no_eligible_units", False)),
-    "reference kept out": (dict(kind="reference"), ("excluded", "generic_reference", False)),
-    "reference let in": (dict(kind="reference", reference=True), ("reference", "generic_reference", True)),
-    "mixed": (dict(units=[unit(state="metadata_only", mixed=True)]), ("excluded", "mixed_content", False)),
-    "metadata only": (dict(units=[unit(state="metadata_only")], assertions=[assertion("a1")]), ("confirmed", "explicit_source", False)),
-    "nothing known": (dict(), ("unmapped", "unknown_identity", False)),
-    "unknown make": (dict(assertions=[assertion("a1", alternatives=[alt(make=pred("unknown"))], support="candidate")]), ("unmapped", "unknown_identity", False)),
-    "hint lacks engine": (dict(assertions=[assertion("a1", alternatives=[NO_ENGINE], support="candidate")], mode="include_possible"), ("possible", "missing_engine", True)),
-    "source lacks engine": (dict(assertions=[assertion("a1", alternatives=[NO_ENGINE])]), ("excluded", "missing_engine", False)),
-    "incomplete": (dict(assertions=[assertion("a1")], selection=("mk", "md", None, None), mode="include_possible"), ("possible", "incomplete_selection", True)),
-    "excluded here": (dict(assertions=[assertion("a1"), assertion("a2", intent="exclude")]), ("excluded", "conflicting_child", False)),
-    "excluded above": (dict(assertions=[assertion("a1"), assertion("a2", subject="d", intent="exclude")]), ("excluded", "excluded_by_source", False)),
-    "not handed down": (dict(assertions=[assertion("a1"), assertion("a2", subject="d", intent="exclude", down=False)]), ("confirmed", "explicit_source", True)),
-    "qualifier not chosen": (dict(assertions=[assertion("a1", alternatives=[alt(qualifiers={"vin": exact("Z")})])], mode="include_possible"), ("possible", "missing_qualifier", True)),
-    "qualifier differs": (dict(assertions=[assertion("a1", alternatives=[alt(qualifiers={"vin": exact("Z")})])], qualifiers={"vin": "Y"}), ("excluded", "excluded_by_source", False)),
-    "qualifier fits": (dict(assertions=[assertion("a1", alternatives=[alt(qualifiers={"vin": exact("Z")})])], qualifiers={"vin": "Z"}), ("confirmed", "explicit_source", True)),
-    "one alternative fits": (dict(assertions=[assertion("a1", alternatives=[OTHER, FITS])]), ("confirmed", "explicit_source", True)),
-    "reviewed": (dict(events=[event("e1")]), ("confirmed", "reviewed", True)),
-    "revoked": (dict(events=[event("e1"), event("e2", "revoke", prior="e1")]), ("unmapped", "unknown_identity", False)),
-    "stale": (dict(events=[event("e1", stale=True)]), ("excluded", "stale_review", False)),
-    "pending": (dict(events=[event("e1", "propose")]), ("excluded", "pending_cross_make", False)),
-    "review above a contradiction": (
-        dict(assertions=[assertion("a1", alternatives=[OTHER], support="candidate")], events=[event("e1", subject="d")]),
-        ("excluded", "conflicting_child", False),
-    ),
-    "review leaves engine open": (
-        dict(assertions=[assertion("a1", alternatives=[NO_ENGINE])], events=[event("e1")]),
-        ("excluded", "missing_engine", False),
-    ),
-    "heading proves engine": (
-        dict(
-            assertions=[assertion("a1", alternatives=[NO_ENGINE]), assertion("a2", subject="d", derivation="title_hint", selector="heading", support="candidate")],
-            events=[event("e1", bindings=["a2"])],
-        ),
-        ("confirmed", "reviewed", True),
-    ),
-    "next page proves engine": (
-        dict(
-            units=[unit(kind="region", citation=("page", "m.pdf", 3))],
-            assertions=[assertion("a1", alternatives=[NO_ENGINE]), assertion("a2", subject="elsewhere", citation=("page", "m.pdf", 4))],
-            events=[event("e1", bindings=["a2"])],
-        ),
-        ("confirmed", "reviewed", True),
-    ),
-    "page after next proves nothing": (
-        dict(
-            units=[unit(kind="region", citation=("page", "m.pdf", 3))],
-            assertions=[assertion("a1", alternatives=[NO_ENGINE]), assertion("a2", subject="elsewhere", citation=("page", "m.pdf", 5))],
-            events=[event("e1", bindings=["a2"])],
-        ),
-        ("excluded", "missing_engine", False),
-    ),
-}
-
-
-@pytest.mark.parametrize("name", CASES)
+@pytest.mark.parametrize("name", D.CASES)
 def test_decision(spark, name):
-    given, expected = CASES[name]
+    given, expected = D.CASES[name]
     assert run(spark, **given)["u"] == expected
 
 
 def test_parent_contradiction_closes_a_nested_unit(spark):
     units = [unit("u", parent="v"), unit("v")]
-    got = run(spark, units=units, assertions=[assertion("a1"), assertion("a2", subject="v", alternatives=[OTHER])])
+    got = run(spark, units=units, assertions=[assertion("a1"), assertion("a2", subject="v", alternatives=[D.OTHER])])
     assert got["u"] == ("excluded", "conflicting_child", False)
     assert got["v"] == ("excluded", "excluded_by_source", False)
 
 
 def test_cycle_is_an_error(spark):
-    units = spark.createDataFrame([unit("u", parent="v"), unit("v", parent="u")], UNITS)
+    units = spark.createDataFrame([unit("u", parent="v"), unit("v", parent="u")], D.UNITS)
     with pytest.raises(ValueError):
         M.ancestry(units).count()
+
+
+def test_every_reason_has_a_case():
+    assert {reason for _, (_, reason, _) in D.CASES.values()} == {
+        "explicit_source", "reviewed", "generic_reference", "incomplete_selection", "missing_make", "missing_model", "missing_year", "missing_engine", "missing_qualifier",
+        "excluded_by_source", "conflicting_child", "mixed_content", "stale_review", "pending_cross_make", "unknown_identity", "no_eligible_units",
+    }
+
+
+def test_deep_parents(spark):
+    """A chain of a hundred units: every subject, nearest first."""
+    chain = [unit(f"u{k}", parent=f"u{k + 1}" if k < 99 else None) for k in range(100)]
+    rows = M.ancestry(spark.createDataFrame(chain, D.UNITS)).where("unit_id = 'u0'").collect()
+    assert sorted((r["depth"], r["subject_id"]) for r in rows) == [*[(k, f"u{k}") for k in range(100)], (100, "d"), (101, "p")]
