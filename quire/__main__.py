@@ -37,6 +37,38 @@ def _unpack(spark, given) -> int:
     return 0 if spark.read.parquet(given.out).where("error is not null").isEmpty() else 1
 
 
+def _extract(spark, given) -> int:
+    from quire.plans.package import extract
+
+    print(extract(spark, given.path, given.out))
+    return 0
+
+
+def _normalize(spark, given) -> int:
+    """One publication a source: its entry is the index.html nearest to the root, or the first file."""
+    from pyspark.sql import functions as F
+
+    from quire.plans.package import normalize, open_source, read_package, write_package
+
+    source = open_source(spark, given.path)
+    paths = source.members.select("path", (~F.lower("path").rlike(r"(^|/)index\.html$")).alias("other"), F.size(F.split("path", "/")).alias("depth"))
+    entry = paths.orderBy("other", "depth", "path").first()
+    pages = spark.createDataFrame([], "path string, page int, text string, provenance string")
+    if given.texts:
+        pages = spark.read.schema(pages.schema).json(given.texts)
+    selected = source.members.withColumn("publication_id", F.lit("pub_" + source.digest[:32])).withColumn("entry_path", F.lit(entry and entry["path"]))
+    print(write_package(spark, normalize(selected, pages, legacy=given.legacy), source, given.out))
+    return 0 if read_package(spark, given.out)[1]["status"] == "complete" else 1
+
+
+def _verify(spark, given) -> int:
+    from quire.plans.package import read_package
+
+    tables, record = read_package(spark, given.path)
+    print(record["revision"], *sorted(tables))
+    return 0
+
+
 def _pages(spark, given) -> int:
     from quire.sources.html import parse
 
@@ -74,6 +106,9 @@ def parser() -> argparse.ArgumentParser:
     command("inspect", _inspect, path)
     command("probe", _probe, path, ("--sample", {"type": int, "default": 25}))
     command("unpack", _unpack, path, out)
+    command("extract", _extract, path, out)
+    command("normalize", _normalize, path, out, ("--texts", {}), ("--legacy", {"action": "store_true"}))
+    command("verify", _verify, path)
     command("pages", _pages, path, out, ("--legacy", {"action": "store_true"}))
     command("search", _search, ("library", {}), ("scope", {}), ("query", {}), ("--review", {"required": True}), limit)
     command("query", _query, ("name", {}), ("tables", {}), limit)

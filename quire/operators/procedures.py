@@ -162,6 +162,16 @@ def specifications(pages: DataFrame, recipe: Recipe) -> DataFrame:
     )
 
 
+def extract_tables(pages: DataFrame, headers: list[list[str]], labels: list[str]) -> DataFrame:
+    """(doc_id, label, cells, reason) of labelled rows of every page (columns doc_id, nodes), without their values' units."""
+
+    @F.pandas_udf("array<struct<label:string,cells:array<string>,reason:string>>")
+    def run(nodes: pd.Series) -> pd.Series:
+        return nodes.map(lambda some: [{"label": a, "cells": b, "reason": c} for a, b, c in table_rows(list(some), headers, labels)])
+
+    return pages.select("doc_id", F.explode(run("nodes")).alias("r")).select("doc_id", "r.*")
+
+
 def decision(nodes: list[dict]) -> tuple[str, str, str] | str:
     """(question, yes, no) of a section with one heading and one Yes/No table, or why it has none."""
     questions = [n for n in nodes if n["tag"] in ("p", "h3", "h4") and (n["text"] or "").rstrip().endswith("?")]

@@ -64,12 +64,22 @@ class Source:
 
 
 def inspect(spark: SparkSession, path: str) -> Source:
-    """Read a folder: members, failures, publications by format; partial if some failed, failed if nothing is left."""
-    members, failures = files.inventory(spark, path)
-    publications = files.source_format(members)
-    broken = not failures.isEmpty()
+    """Read a folder, a ZIP file or a PDF: members, failures, publications by format; partial if some failed, failed if nothing is left.
+
+    The limits of number and size hold; what is beyond them has failed. So has a
+    member that belongs to no publication, or to two.
+    """
+    from quire.plans.package import open_source
+
+    source = open_source(spark, path)
+    publications = files.source_format(source.members)
+    lost = source.members.select("path").join(publications, F.col("path").startswith(F.col("root")), "left").groupBy("path").agg(F.count("root").alias("n"))
+    problem = F.when(F.col("n") == 0, "unassigned").when(F.col("n") > 1, "overlap")
+    apart = lost.select("path", problem.alias("code"), F.concat(F.lit("belongs to publications: "), F.col("n").cast("string")).alias("message")).where("code is not null")
+    failures = source.failures.unionByName(apart)
+    broken = source.status == "partial" or not apart.isEmpty()
     status = "failed" if publications.isEmpty() else "partial" if broken else "complete"
-    return Source(members, failures, publications, status, files.source_digest(members).first()["digest"])
+    return Source(source.members, failures, publications, status, source.digest)
 
 
 def probe(spark: SparkSession, path: str, sample: int = 25, seed: int = 0) -> DataFrame:

@@ -32,7 +32,10 @@ def inventory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     root = path.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     tail = F.substring_index("path", root, -1)
-    rows = files.select(tail.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    # a file beyond the limit is never read: its length is a column of the listing
+    fine = F.col("length") <= MOST_FILE_BYTES
+    rows = files.where(fine).select(tail.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    rows = rows.unionByName(files.where(~fine).select(tail.alias("path"), F.col("length").alias("size"), F.lit(None).cast("string").alias("sha256")))
     rows = rows.where(~F.col("path").rlike(IGNORED)).withColumn("unsafe", T.unsafe_path(F.col("path")))
     folded = rows.withColumn("folded", collision_key("path"))
     clash = folded.groupBy("folded").agg(F.min("path").alias("kept"), F.count("*").alias("n")).where("n > 1")

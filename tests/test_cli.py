@@ -13,4 +13,10 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["query", "extension_counts", "/root/testdata/sf0.001"]) == 0
     assert main(["query", "no_such_query", "/root/testdata/sf0.001"]) == 2
     assert main(["search", str(tmp_path), "s", "q", "--review", "r"]) == 2
+    assert main(["normalize", str(tmp_path / "m"), str(tmp_path / "package")]) == 0
+    assert main(["verify", str(tmp_path / "package")]) == 0 and main(["normalize", str(tmp_path / "m"), str(tmp_path / "package")]) == 2
+    assert main(["extract", str(tmp_path / "m"), str(tmp_path / "copy")]) == 0 and main(["verify", str(tmp_path / "copy")]) == 0
+    import quire.api
+
+    assert len(quire.api.__all__) > 60
     assert "complete" in capsys.readouterr().out

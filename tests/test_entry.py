@@ -17,6 +17,19 @@ def test_entry_without_training_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
 
 
+def test_the_rest_stands_alone(tmp_path):
+    """Without both folders and the pipeline the other tests are all found, and those of the library's logic pass."""
+    for name in ("__spark_entry__.py", "bench.py", "quire", "tests"):
+        source = ROOT / name
+        (shutil.copytree if source.is_dir() else shutil.copy)(source, tmp_path / name)
+    for folder in ("quire/llm", "tests/llm"):
+        shutil.rmtree(tmp_path / folder, ignore_errors=True)
+    found = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only", "-p", "no:cacheprovider"], cwd=tmp_path, capture_output=True, text=True)
+    assert found.returncode == 0 and "error" not in found.stdout.lower().splitlines()[-1], found.stdout[-500:]
+    code = "import bench, quire.api, quire.__main__, quire.plans.catalog as c; assert c.QUERIES.keys() == c.ORACLE_SQL.keys()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
 def test_nothing_else_imports_it():
     for path in (ROOT / "quire").rglob("*.py"):
         if "llm" not in path.parts:
