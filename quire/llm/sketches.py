@@ -201,10 +201,12 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 encode(other),
                 resemblance(print_, other),
                 resemblance(print_, own),
+                distinct_count(print_),
+                containment(print_, other),
             )
         )
 
-    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "distinct_shingles", "kept_in_edited"]
     shape = None
 
     def out() -> pa.RecordBatch:
@@ -231,7 +233,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_edits(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Fingerprints of every document and of its edited text, and their likeness."""
+    """Fingerprints of every document and of its edited text, their likeness, the shingles of the document and how many the edit keeps."""
     if not isinstance(docs.schema[id_column].dataType, T.IntegralType):
         raise TypeError("documents are ordered by ids that are whole numbers")
     kind = docs.schema[id_column].dataType.simpleString()
@@ -255,7 +257,8 @@ def with_edits(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     rows = rows.repartitionById(heads[-1][0] + 1, F.col("range")).sortWithinPartitions("range", "guest", F.desc("key"), "place", "text")
     return rows.select("range", "guest", "id", "text").mapInArrow(
         _pairs,
-        f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+        f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
+        "distinct_shingles double, kept_in_edited double",
     ).withColumnRenamed("id", id_column)
 
 

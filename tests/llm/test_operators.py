@@ -401,6 +401,10 @@ def test_fingerprints_of_all_documents(spark, texts):
         for likeness, other in ((row["near_edited"], changed), (row["near_next"], following)):
             a, b = shingles(text), shingles(other)
             errors.append(abs(likeness - (len(a & b) / len(a | b) if a | b else 1.0)))
+        own, after = shingles(text), shingles(changed)
+        exact = len(own) < sketches.K and len(after) < sketches.K
+        assert row["distinct_shingles"] == pytest.approx(len(own), rel=0 if len(own) < sketches.K else 0.4)
+        assert row["kept_in_edited"] == pytest.approx(len(own & after) / len(own) if own else 1.0, abs=1e-12 if exact else 0.3)
     assert max(errors) < 0.2 and sum(errors) / len(errors) < 0.03
     same = {}
     for key, text in texts.items():
