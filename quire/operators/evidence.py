@@ -64,6 +64,41 @@ def cited_once(requests: DataFrame, documents: DataFrame, keys: list[str]) -> Da
     return rows.withColumn("problem", problem).withColumn("document_id", F.when(F.col("problem").isNull(), F.col("document_id"))).drop("__n")
 
 
+def bind_ground_truth(gold: DataFrame, units_: DataFrame) -> DataFrame:
+    """Authored rows bound to the one unit that their citation and kind name, with labels turned into record ids.
+
+    ``gold`` has label, source_id, path, page (null for a page of HTML), type,
+    original_text and refs (labels of other rows); ``units_`` has unit_id,
+    source_id, path, page and kind. Gives label, record_id, unit_id, ref_ids and
+    problem: no unit or several, a label that is repeated, or one that no row has.
+    Nothing is inferred: a row with a problem has no ids.
+    """
+    kind = F.when(F.col("page").isNull(), "section").otherwise("region")
+    at = [F.col("source_id"), F.col("path"), F.coalesce("page", F.lit(0)).alias("at")]
+    asked = gold.select("*", kind.alias("kind"), F.coalesce("page", F.lit(0)).alias("at"))
+    held = units_.select("unit_id", "kind", *at).groupBy("source_id", "path", "at", "kind").agg(F.count("*").alias("n"), F.min("unit_id").alias("unit_id"))
+    rows = asked.join(held, ["source_id", "path", "at", "kind"], "left")
+    again = gold.groupBy("label").agg((F.count("*") > 1).alias("again"))
+    record = ids.stable_id("rec", F.col("type"), F.col("unit_id"), F.col("original_text"))
+    rows = rows.join(again, "label").withColumn("record_id", F.when((F.col("n") == 1) & ~F.col("again"), record))
+    named = rows.where("record_id is not null").select(F.col("label").alias("__ref"), F.col("record_id").alias("__id"))
+    each = rows.select("label", F.posexplode("refs").alias("place", "ref")).join(named, F.col("ref") == F.col("__ref"), "left")
+    refs = each.groupBy("label").agg(F.max(F.col("__id").isNull()).alias("open"), F.array_sort(F.collect_list(F.struct("place", "__id"))).alias("found"))
+    rows = rows.join(refs, "label", "left")
+    problem = (
+        F.when(F.col("again"), "label is repeated").when(F.col("n").isNull(), "no unit").when(F.col("n") > 1, "several units").when(F.col("open"), "refers to what isn't bound")
+    )
+    fine = problem.isNull()
+    none = F.array().cast("array<string>")
+    return rows.select(
+        "label",
+        F.when(fine, F.col("record_id")).alias("record_id"),
+        F.when(fine, F.col("unit_id")).alias("unit_id"),
+        F.when(fine, F.coalesce(F.transform("found", lambda f: f["__id"]), none)).alias("ref_ids"),
+        problem.alias("problem"),
+    )
+
+
 def reconcile(old: DataFrame, new: DataFrame, chain: list[list[str]]) -> DataFrame:
     """(old_id, new_id, step): old rows matched to new ones by the first key set of a chain that finds one."""
     left, found = old, None

@@ -9,10 +9,13 @@ entries of an archive.
 from __future__ import annotations
 
 import io
+import mmap
+import os
 import stat
 import struct
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -301,13 +304,28 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "archive string, name string, size bigint, content binary, error string")
 
 
+@contextmanager
+def _mapped(path: str | Path):
+    """A file's bytes, of which only what is looked at is read."""
+    with open(path, "rb") as file:
+        if not os.fstat(file.fileno()).st_size:
+            yield b""
+            return
+        with mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            yield data
+
+
 class _Run(InputPartition):
     def __init__(self, path: str, first: int, last: int):
         self.path, self.first, self.last = path, first, last
 
 
 class PodReader(DataSourceReader):
-    """Plans runs of entries from the archives' tables; payloads are read by the tasks alone."""
+    """Plans runs of entries from the archives' tables; payloads are read by the tasks alone, each its own.
+
+    The driver reads record tables and nothing else; a task reads its archive's
+    table and seeks to its entries. Archives lie in folders that all machines see.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -317,17 +335,18 @@ class PodReader(DataSourceReader):
         found = []
         for path in sorted(Path(self.path).rglob("*")):
             if path.suffix.lower() == ".arc":
-                count = len(pod_entries(path.read_bytes()))
+                with _mapped(path) as data:
+                    count = len(pod_entries(data))
                 found += [_Run(str(path), k, min(count, k + self.run)) for k in range(0, count, self.run)]
         return found
 
     def read(self, partition: _Run):
-        data = Path(partition.path).read_bytes()
-        for one in pod_entries(data)[partition.first : partition.last]:
-            try:
-                yield partition.path, one.name, one.offset, one.size, contents(data, one), None
-            except FormatError as stopped:
-                yield partition.path, one.name, one.offset, one.size, None, str(stopped)
+        with _mapped(partition.path) as data:
+            for one in pod_entries(data)[partition.first : partition.last]:
+                try:
+                    yield partition.path, one.name, one.offset, one.size, contents(data, one), None
+                except FormatError as stopped:
+                    yield partition.path, one.name, one.offset, one.size, None, str(stopped)
 
 
 class PodSource(DataSource):

@@ -287,6 +287,31 @@ def connectors(markup: str) -> list[dict]:
     return found
 
 
+CONNECTOR = "array<struct<name:string,description:string,faces:array<struct<file:string,gender:string,pins:array<struct<cavity:string,circuit:string,color:string>>>>>>"
+
+
+def connector_table(sheets: DataFrame) -> DataFrame:
+    """(sheet, name, description, faces, pins) of the connectors of each sheet (sheet, xml)."""
+
+    def read(markup: pd.Series) -> pd.Series:
+        return markup.map(lambda text: connectors(text or ""))
+
+    rows = sheets.select("sheet", F.explode(F.pandas_udf(read, CONNECTOR)("xml")).alias("c")).select("sheet", "c.*")
+    return rows.withColumn("pins", F.aggregate("faces", F.lit(0), lambda total, face: total + F.size(face["pins"])))
+
+
+def wiring_index(parts: DataFrame, kind: str, containing: str = "") -> DataFrame:
+    """(name, sheet, view) of the parts of one kind, of those whose name holds some letters; each once."""
+    rows = parts.where((F.col("kind") == kind) & F.lower("name").contains(containing.strip().lower()))
+    return rows.select("name", "sheet", "view").distinct()
+
+
+def connector_sheets(parts: DataFrame, connectors_: DataFrame) -> DataFrame:
+    """(name, sheet): the sheets on which each connector's number stands, whatever its letters' case."""
+    on = parts.where("kind = 'conn'").select(F.lower("name").alias("__name"), F.col("sheet").alias("on")).distinct()
+    return connectors_.select("name").distinct().join(on, F.lower("name") == F.col("__name")).select("name", F.col("on").alias("sheet"))
+
+
 def toc(pages: DataFrame) -> DataFrame:
     """(doc_id, ord, heading, title, href) of a section list: items under the last heading before them.
 

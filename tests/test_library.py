@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import gates, interpret, procedures, relations
+from quire.operators import evidence, gates, interpret, procedures, relations
 from quire.plans import publish
 from quire.plans.prefix import running_sum
 from quire.streaming import reviews
@@ -122,6 +122,22 @@ def test_equal_names_count_once(spark):
     assert sorted((r["kind"], r["target_id"]) for r in interpret.mentions(said, names).collect()) == [("make", "k"), ("model", "z")]
 
 
+def test_ground_truth(spark):
+    units = spark.createDataFrame(
+        [("u1", "s", "a.html", None, "section"), ("u2", "s", "m.pdf", 3, "region"), ("u3", "s", "twice.html", None, "section"), ("u4", "s", "twice.html", None, "section"), ("u5", "s", "a.html", None, "table")],
+        "unit_id string, source_id string, path string, page int, kind string",
+    )
+    row = lambda label, path, page=None, refs=(), source="s": (label, source, path, page, "step", f"text of {label}", list(refs))
+    gold = [row("one", "a.html", refs=["two"]), row("two", "m.pdf", 3), row("none", "m.pdf", 4), row("many", "twice.html"), row("lost", "a.html", refs=["none"]), row("again", "a.html"), row("again", "m.pdf", 3), row("far", "a.html", source="t")]
+    shape = "label string, source_id string, path string, page int, type string, original_text string, refs array<string>"
+    got = {r["label"]: r for r in evidence.bind_ground_truth(spark.createDataFrame(gold, shape), units).collect()}
+    assert {k: (r["unit_id"], r["problem"]) for k, r in got.items()} == {
+        "one": ("u1", None), "two": ("u2", None), "none": (None, "no unit"), "many": (None, "several units"), "lost": (None, "refers to what isn't bound"),
+        "again": (None, "label is repeated"), "far": (None, "no unit"),
+    }
+    assert got["one"]["ref_ids"] == [got["two"]["record_id"]] and got["two"]["ref_ids"] == []
+
+
 def test_envelopes(spark):
     shape = (
         "binding struct<source_id:string,unit_id:string,provenance:string>, locator struct<kind:string,selector:string>, original_text string, "

@@ -299,6 +299,19 @@ def test_figures(spark):
     assert {r["path"] for r in rows if r["svg"]} == {"a.svg"} and {r["path"]: r["detail"] for r in rows if r["detail"]} == {"x.svg": "root isn't an SVG element"}
 
 
+def test_wiring_lookups(spark):
+    sheets = spark.createDataFrame(
+        [("S1", "<x><page><title>T</title><conn><name>C12</name></conn><conn><name>C12</name></conn><fuse><name>f</name></fuse></page></x>"), ("S2", "<page><conn><name>c12</name></conn><conn><name>C3</name></conn></page>")],
+        "sheet string, xml string",
+    )
+    parts = files.wiring_parts(sheets)
+    assert sorted((r["name"], r["sheet"]) for r in files.wiring_index(parts, "conn", "C1").collect()) == [("C12", "S1"), ("c12", "S2")]
+    faces = '<r><Connector CNumber="C12" des="d"><Face File="F.SVG"/><Pins><Pin Cavity="1"/><Pin Cavity="2"/></Pins></Connector><Connector CNumber="C9"/></r>'
+    held = files.connector_table(spark.createDataFrame([("x", faces), ("y", None), ("z", "<")], "sheet string, xml string"))
+    assert sorted((r["name"], r["pins"]) for r in held.collect()) == [("C12", 2), ("C9", 0)]
+    assert sorted(tuple(r) for r in files.connector_sheets(parts, held).collect()) == [("C12", "S1"), ("C12", "S2")]
+
+
 def test_described_drawings(spark):
     desc = "<desc><x:Modelyear xmlns:x='y'>2005</x:Modelyear><Modelname> Ridge </Modelname><q><Qualifier>6.0L</Qualifier><Qualifier> </Qualifier><Qualifier>VIN X</Qualifier></q></desc>"
     held = [
