@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quire.plans.fixpoint import reliable
 
-#: Rounds after which what was reached is written as one table.
-ROUNDS_APART = 8
+#: Edges that a round follows, and rounds after which what was reached is written as one table.
+HOPS, ROUNDS_APART = 4, 8
 
 
 def load(spark, sf_dir: str, name: str) -> DataFrame:
@@ -78,17 +78,20 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
     Where every node has one target at most, as parents are, jumps of doubled
     length reach them in a logarithm of the depth. Other graphs have too many
-    walks for that; they are walked frontier by frontier, until nothing is new,
-    however deep they are. Rounds are checkpoints, so a lost executor repeats one;
-    cycles end, since only what is new goes on.
+    walks for that; they are walked frontier by frontier, ``HOPS`` edges a round,
+    until nothing is new, however deep they are. Rounds are checkpoints, so a lost
+    executor repeats one; cycles end, since only what is new goes on.
     """
     edges = reliable(edges.select("source", "target").distinct())
     reached = reliable(starts.select(F.col("node").alias("start"), "node").distinct())
     jumps = edges.groupBy("source").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     frontier, number = reached, 0
     while True:
-        step = frontier.join(edges, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
-        fresh = reliable(step.join(reached, ["start", "node"], "left_anti"))
+        step = hop = frontier
+        for k in range(1 if jumps else HOPS):
+            hop = hop.join(edges, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
+            step = hop if not k else step.unionByName(hop)
+        fresh = reliable(step.distinct().join(reached, ["start", "node"], "left_anti"))
         if fresh.isEmpty():
             return reached
         reached, number = reached.unionByName(fresh), number + 1

@@ -217,3 +217,33 @@ def test_lead_members_of_titles(spark):
             if s != other and title and len(title) >= 8 and re.search(r"\b(?:see|refer to)\s+" + re.escape(title) + r"\b", text or "", re.I):
                 expected |= {("section_applies", title.lower(), "mention", s, k), ("section_applies", title.lower(), "target", other, t)}
     assert got == expected and len(expected) > 8
+
+
+def test_closures(spark):
+    """Deep chains, cycles and branches against a plain walk."""
+    import random
+
+    from quire.operators.hierarchy import closure
+
+    draw = random.Random(4)
+    graphs = [
+        [(k, k + 1) for k in range(300)],
+        [(k, (k + 1) % 40) for k in range(40)] + [(100, 3)],
+        [(draw.randrange(60), draw.randrange(60)) for _ in range(90)],
+        [(k, k + 1) for k in range(60)] + [(k, k + 2) for k in range(60)] + [(61, 0)],
+    ]
+    for edges in graphs:
+        starts, out = [0, 5, 100], {}
+        for a, b in edges:
+            out.setdefault(a, set()).add(b)
+        expected = set()
+        for start in starts:
+            held, todo = {start}, [start]
+            while todo:
+                for b in out.get(todo.pop(), ()):
+                    if b not in held:
+                        held.add(b)
+                        todo.append(b)
+            expected |= {(start, node) for node in held}
+        got = closure(spark.createDataFrame(edges, "source long, target long"), spark.createDataFrame([(s,) for s in starts], "node long"))
+        assert sorted(map(tuple, got.collect())) == sorted(expected)
