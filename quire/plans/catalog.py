@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quire.operators import cases, decision_cases, events, evidence, hierarchy, matching, pages, proposals, relations, screens, search
+from quire.operators import cases, decision_cases, events, evidence, hierarchy, matching, package_cases, pages, proposals, relations, screens, search
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (search, screens, cases, decision_cases, relations, matching, hierarchy, events, evidence, pages, proposals):
+for _module in (search, screens, cases, decision_cases, relations, matching, hierarchy, events, evidence, pages, proposals, package_cases):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(getattr(_module, "ORACLE_SQL", {}))
