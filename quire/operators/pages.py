@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import interpret, procedures
@@ -14,11 +14,13 @@ def load(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def parsed(spark, sf_dir: str) -> DataFrame:
-    return _parse(load(spark, sf_dir, "pages"))
+    return read_pages(load(spark, sf_dir, "pages"))
 
 
-def _parse(pages: DataFrame) -> DataFrame:
-    pages = pages.select("page_id", F.concat(F.lit("site/"), "page_id", F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
+def read_pages(pages: DataFrame, path: Column | None = None) -> DataFrame:
+    """(page_id, path, page): the records of pages (page_id, html), each under a path of its own."""
+    path = path if path is not None else F.concat(F.lit("site/"), "page_id", F.lit(".html"))
+    pages = pages.select("page_id", path.alias("path"), F.col("html").cast("binary").alias("content"))
     # pages are few and heavy to parse: a partition for each core, whatever the file's layout
     return html.parse(pages.repartition(pages.sparkSession.sparkContext.defaultParallelism)).drop("content")
 
@@ -29,6 +31,21 @@ def q_page_records(spark, sf_dir):
     )
 
 
+def q_page_titles(spark, sf_dir):
+    """Titles of pages, those of every second page without its heading."""
+    pages = load(spark, sf_dir, "pages")
+    html_ = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.regexp_replace("html", "</?h1>", ""))
+    return read_pages(pages.withColumn("html", html_)).select("page_id", "page.title")
+
+
+def q_page_roles(spark, sf_dir):
+    """Roles of pages under five names, those of the last with a list and no paragraph."""
+    name = F.element_at(F.array(*[F.lit(x) for x in ("index.html", "404.HTML", "external-car.html", "a.html", "b.html")]), (F.col("page_id") % 5 + 1).cast("int"))
+    listed = F.regexp_replace(F.replace("html", F.lit("<article>"), F.lit("<article><ul><li>x</ul>")), "<p>", "<div>")
+    pages = load(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 5 == 4, listed).otherwise(F.col("html")))
+    return read_pages(pages, F.concat(F.lit("s"), "page_id", F.lit("/"), name)).select("page_id", "page.role")
+
+
 def q_page_link_targets(spark, sf_dir):
     rows = parsed(spark, sf_dir).select("page_id", F.posexplode("page.links").alias("ord", "l"))
     return rows.select("page_id", F.col("ord").cast("long").alias("ord"), "l.href", "l.context", "l.reason")
@@ -43,7 +60,7 @@ def q_ordered_steps(spark, sf_dir):
     """Paragraphs of pages, made items of a list, as steps."""
     pages = load(spark, sf_dir, "pages")
     listed = F.replace(F.replace(F.replace("html", F.lit("<p>"), F.lit("<li>")), F.lit("</h1>"), F.lit("</h1><ol>")), F.lit("</article>"), F.lit("</ol></article>"))
-    nodes = _parse(pages.withColumn("html", listed)).select(F.col("page_id").alias("doc_id"), F.explode("page.nodes").alias("n"))
+    nodes = read_pages(pages.withColumn("html", listed)).select(F.col("page_id").alias("doc_id"), F.explode("page.nodes").alias("n"))
     return procedures.ordered_steps(nodes.select("doc_id", "n.*"))
 
 
@@ -60,6 +77,8 @@ def q_statement_mentions(spark, sf_dir):
 
 QUERIES = {
     "page_records": q_page_records,
+    "page_titles": q_page_titles,
+    "page_roles": q_page_roles,
     "page_link_targets": q_page_link_targets,
     "page_routes": q_page_routes,
     "ordered_steps": q_ordered_steps,
@@ -86,6 +105,8 @@ ORACLE_SQL = {
       t AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(body, '{_BLOCKS}', chr(10), 'g'), chr(10)), lambda x: {_line_sql("x")}), lambda x: x <> '') AS lines FROM b)
       SELECT page_id, {_line_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS title, 'procedure' AS role, sha256(array_to_string(lines, chr(10))) AS text_sha256,
         'utf-8' AS encoding, len(regexp_extract_all(html, '<a\s')) AS links, 1 + len(regexp_extract_all(body, '<[a-z]')) AS nodes, CAST(NULL AS VARCHAR) AS error FROM t""",
+    "page_titles": rf"""SELECT page_id, CASE page_id % 2 WHEN 0 THEN {_line_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} ELSE {_line_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} END AS title FROM pages""",
+    "page_roles": "SELECT page_id, ['landing', 'landing', 'unavailable', 'procedure', 'navigation'][page_id % 5 + 1] AS role FROM pages",
     # a list's number is that of its tag among all of the page's
     "ordered_steps": rf"""WITH h AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(replace(replace(replace(html, '<p>', '<li>'), '</h1>', '</h1><ol>'), '</article>', '</ol></article>'),
         '(?s)<!--.*?-->', '', 'g'), '(?s)(<script[^>]*>).*?</script>', '\1', 'g') AS h FROM pages),

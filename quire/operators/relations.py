@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import ids
 from quire.functions import text as T
+from quire.operators.pages import read_pages
 from quire.plans.prefix import running_sum
 
 SHARED_CHARS = 80
@@ -100,13 +101,10 @@ def lead_members(docs: DataFrame, source: str = "source", id_column: str = "doc_
     return met.select("relation", "key", "side", source, id_column)
 
 
-PAGE_LINK = r'<a\s+href="([^"]*)"'
-
-
 def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, ord, href) of every link of a page, in order."""
-    hrefs = F.regexp_extract_all("html", F.lit(PAGE_LINK), F.lit(1))
-    return pages.select("page_id", F.posexplode(hrefs).alias("ord", "href"))
+    """(page_id, ord, href) of every link of a page (page_id, html), in order, as the page parser reads them."""
+    links = read_pages(pages).select("page_id", F.posexplode("page.links").alias("ord", "l"))
+    return links.select("page_id", "ord", F.col("l.href").alias("href"))
 
 
 def link_status(links: DataFrame, documents: DataFrame, members: DataFrame) -> DataFrame:
@@ -319,31 +317,10 @@ def q_lead_members(spark, sf_dir):
     return lead_members(docs.withColumn("title", F.concat(F.lit("Service note "), F.col("doc_id") % 500)), title_column="title")
 
 
-def q_page_titles(spark, sf_dir):
-    pages = load(spark, sf_dir, "pages")
-    return pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
-
-
 def q_page_links(spark, sf_dir):
     return page_links(load(spark, sf_dir, "pages")).withColumn("ord", F.col("ord").cast("long"))
 
 
-def _role():
-    name = F.lower(F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1))
-    body = F.regexp_replace("html", r"(?is)<nav.*?</nav>", "")
-    listed = body.rlike(r"(?i)<(ul|ol)[ >]") & ~body.rlike(r"(?i)<(p|table|img)[ >]")
-    return (
-        F.when(name == "external-car.html", "unavailable")
-        .when(name.isin("index.html", "404.html"), "landing")
-        .when(body.contains("li-folder") | listed, "navigation")
-        .otherwise("procedure")
-    )
-
-
-def q_page_roles(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", _role().alias("role"))
-
-
 def _site_paths(spark, sf_dir):
     """Links between pages: a page's path is its first word, links go to words."""
     pages = load(spark, sf_dir, "pages")
@@ -538,9 +515,7 @@ QUERIES = {
     "shared_text": q_shared_text,
     "shared_leads": q_shared_leads,
     "lead_members": q_lead_members,
-    "page_titles": q_page_titles,
     "page_links": q_page_links,
-    "page_roles": q_page_roles,
     "link_status": q_link_status,
     "backlinks": q_backlinks,
     "navigation_labels": q_navigation_labels,
@@ -569,8 +544,9 @@ QUERIES = {
     "normalization_summary": q_normalization_summary,
 }
 
+_HREF = r'<a\s+href="([^"]*)"'
 _NAME = r"lower(regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1))"
-_PATHS = rf"""links AS (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS ord FROM (SELECT page_id, regexp_extract_all(html, '{PAGE_LINK}', 1) AS h FROM pages)),
+_PATHS = rf"""links AS (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS ord FROM (SELECT page_id, regexp_extract_all(html, '{_HREF}', 1) AS h FROM pages)),
 docs AS (SELECT '/' || regexp_replace(regexp_extract(html, '<h1>([^< ]*)', 1), '[^\p{{L}}]', '', 'g') AS path, min(page_id) AS page_id, bool_or(page_id % 9 <> 0) AS available FROM pages GROUP BY 1)"""
 _SCOPES = """scopes AS (SELECT doc_id AS unit_id, unnest(list_filter([lang, CASE WHEN doc_id % 2 = 0 THEN 'even' END, CASE WHEN n_chars > 1500 THEN 'long' END], lambda s: s IS NOT NULL)) AS scope FROM documents)"""
 
@@ -591,11 +567,7 @@ ORACLE_SQL = {
       SELECT relation, key, 'member' AS side, source, doc_id FROM x WHERE EXISTS (SELECT 1 FROM x y WHERE y.relation = x.relation AND y.key = x.key AND y.source <> x.source)
       UNION ALL SELECT 'section_applies', key, 'mention', source, doc_id FROM m WHERE EXISTS (SELECT 1 FROM d WHERE title = key AND d.source <> m.source)
       UNION ALL SELECT 'section_applies', title, 'target', source, doc_id FROM d WHERE EXISTS (SELECT 1 FROM m WHERE key = title AND d.source <> m.source)""",
-    "page_titles": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading FROM pages",
-    "page_links": f"SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS ord FROM (SELECT page_id, regexp_extract_all(html, '{PAGE_LINK}', 1) AS h FROM pages)",
-    "page_roles": rf"""SELECT page_id, CASE WHEN name = 'external-car.html' THEN 'unavailable' WHEN name IN ('index.html', '404.html') THEN 'landing'
-      WHEN contains(body, 'li-folder') OR (regexp_matches(body, '(?i)<(ul|ol)[ >]') AND NOT regexp_matches(body, '(?i)<(p|table|img)[ >]')) THEN 'navigation' ELSE 'procedure' END AS role
-      FROM (SELECT page_id, {_NAME} AS name, regexp_replace(html, '(?is)<nav.*?</nav>', '', 'g') AS body FROM pages)""",
+    "page_links": f"SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS ord FROM (SELECT page_id, regexp_extract_all(html, '{_HREF}', 1) AS h FROM pages)",
     "link_status": f"""WITH {_PATHS} SELECT l.page_id, ord, CASE WHEN contains(href, ',') THEN 'blocked' WHEN d.path IS NOT NULL AND NOT available THEN 'unavailable'
       WHEN d.path IS NOT NULL AND (l.page_id + ord) % 5 = 0 THEN 'missing_fragment' WHEN d.path IS NOT NULL THEN 'resolved' WHEN length(href) = 3 THEN 'unsupported' ELSE 'missing' END AS status
       FROM links l LEFT JOIN docs d ON href = d.path""",
