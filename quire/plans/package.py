@@ -79,24 +79,26 @@ def open_source(spark: SparkSession, path: str, most_files: int = files.MOST_FIL
     names. Without a member the source has failed.
     """
     rows = _raw(spark, path).where(~F.col("path").rlike(files.IGNORED))
-    rows = rows.select("path", "size", "content", "error", F.sha2("content", 256).alias("sha256"), T.unsafe_path(F.col("path")).alias("unsafe"), files.collision_key("path").alias("folded"))
-    rows = reliable(rows)
-    clash = rows.groupBy("folded").agg(F.min("path").alias("kept"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("folded", "of")
-    # names are put in order without their contents
-    limits = files.over_limits(_numbered(rows.select("path", "size")), most_files, most_bytes).select(F.col("path").alias("over"), F.col("code").alias("limit")).dropDuplicates(["over"])
-    joined = rows.join(clash, F.col("folded") == F.col("of"), "left").join(limits, F.col("path") == F.col("over"), "left")
+    rows = rows.select("path", "size", F.sha2("content", 256).alias("sha256"), T.media_type(F.col("path")).alias("media_type"), "content", "error")
+    # contents are read once for their digests, and again only by who asks for the members; they are never copied here
+    seen = reliable(rows.select("path", "size", "sha256", "error", T.unsafe_path(F.col("path")).alias("unsafe"), files.collision_key("path").alias("folded")))
+    clash = seen.groupBy("folded").agg(F.min("path").alias("kept"), F.count("*").alias("n"), F.countDistinct("path").alias("names")).where("n > 1").withColumnRenamed("folded", "of")
+    limits = files.over_limits(_numbered(seen.select("path", "size")), most_files, most_bytes).select(F.col("path").alias("over"), F.col("code").alias("limit")).dropDuplicates(["over"])
+    joined = seen.join(clash, F.col("folded") == F.col("of"), "left").join(limits, F.col("path") == F.col("over"), "left")
     problem = (
         F.when(F.col("unsafe").isNotNull(), F.struct(F.lit("unsafe_path").alias("code"), F.col("unsafe").alias("message")))
-        .when(F.col("kept") != F.col("path"), F.struct(F.lit("path_collision").alias("code"), F.concat(F.lit("same as "), "kept").alias("message")))
+        .when((F.col("kept") != F.col("path")) | (F.col("names") < F.col("n")), F.struct(F.lit("path_collision").alias("code"), F.concat(F.lit("same as "), "kept").alias("message")))
         .when(F.col("error").isNotNull(), F.struct(F.lit("unreadable").alias("code"), F.col("error").alias("message")))
         .when(F.col("limit").isNotNull(), F.struct(F.col("limit").alias("code"), F.lit("the source is beyond its limits").alias("message")))
     )
-    judged = joined.withColumn("problem", problem)
-    members = judged.where("problem is null").select("path", "size", "sha256", T.media_type(F.col("path")).alias("media_type"), "content")
+    judged = reliable(joined.select("path", "size", "sha256", problem.alias("problem")))
     failures = judged.where("problem is not null").select("path", "problem.code", "problem.message")
-    count, failed = members.count(), failures.count()
+    fine = judged.where("problem is null")
+    lost = failures.select(F.col("path").alias("__lost")).distinct()
+    members = rows.drop("error").join(lost, F.col("path") == F.col("__lost"), "left_anti")
+    count, failed = fine.count(), failures.count()
     status = "failed" if not count else "partial" if failed else "complete"
-    return Source(members, failures, status, files.source_digest(members).first()["digest"])
+    return Source(members, failures, status, files.source_digest(fine).first()["digest"])
 
 
 def _numbered(rows: DataFrame) -> DataFrame:

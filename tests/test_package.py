@@ -51,8 +51,13 @@ def test_sources_by_kind(spark, folder, tmp_path):
         out.writestr("../up", b"x")
         out.writestr("a.txt", b"x")
         out.writestr("A.txt", b"y")
+        out.writestr("twice", b"1")
+        out.writestr("twice", b"2")
     bad = P.open_source(spark, str(tmp_path / "bad.zip"))
-    assert bad.status == "partial" and sorted((r["path"], r["code"]) for r in bad.failures.collect()) == [("../up", "unsafe_path"), ("a.txt", "path_collision")]
+    assert bad.status == "partial" and sorted((r["path"], r["code"]) for r in bad.failures.collect()) == [
+        ("../up", "unsafe_path"), ("a.txt", "path_collision"), ("twice", "path_collision"), ("twice", "path_collision")
+    ]
+    assert [r["path"] for r in bad.members.collect()] == ["A.txt"]
     cut = P.open_source(spark, str(folder), most_files=7)
     assert {r["path"] for r in cut.failures.collect()} == set(sorted(FILES)[7:]) and {r["code"] for r in cut.failures.collect()} == {"file_limit"}
     (tmp_path / "none").mkdir()
