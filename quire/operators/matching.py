@@ -116,7 +116,7 @@ def review_state(events: DataFrame, subjects: DataFrame, chosen: DataFrame) -> D
     closed = events.where("prior_event_id is not null").select(F.col("prior_event_id").alias("event_id")).distinct()
     live = events.where("relation = 'section_applies'").join(closed, "event_id", "left_anti")
     named = live.select("event_id", "subject_id", "action", "stale", F.explode("targets").alias("configuration_id")).distinct()
-    met = named.join(small(chosen.where("configuration_id is not null")), "configuration_id").join(subjects, "subject_id")
+    met = named.join(chosen.where("configuration_id is not null"), "configuration_id").join(subjects, "subject_id")
     kept = lambda rule: F.array_sort(F.collect_set(F.when(rule, F.col("event_id"))))
     accepted = (F.col("action") == "accept") & ~F.col("stale")
     return met.groupBy("unit_id", "scope_id").agg(
@@ -161,7 +161,7 @@ def decide(units: DataFrame, publications: DataFrame, assertions: DataFrame, con
     """(unit_id, scope_id, state, reason, search_eligible, evidence_ids, review_event_ids) of every unit in every scope."""
     subjects = ancestry(units)
     scopes = small(scopes)
-    chosen = scope_configurations(scopes, configurations)
+    chosen = small(reliable(scope_configurations(scopes, configurations)))
     review = review_state(events, subjects, chosen)
     scope = {f: F.col(k) for f, k in FIELDS.items()}
 
@@ -211,7 +211,7 @@ def decide(units: DataFrame, publications: DataFrame, assertions: DataFrame, con
     )
     kinds = publications.select("publication_id", F.col("kind").alias("publication_kind"))
     rows = units.select("unit_id", "publication_id", "search_state", "mixed", "kind").crossJoin(scopes).join(small(kinds), "publication_id")
-    rows = rows.join(small(chosen), "scope_id", "left").join(sums, ["unit_id", "scope_id"], "left").join(review, ["unit_id", "scope_id"], "left")
+    rows = rows.join(chosen, "scope_id", "left").join(sums, ["unit_id", "scope_id"], "left").join(review, ["unit_id", "scope_id"], "left")
     rows = rows.join(_proofs(units, assertions, subjects, events, scopes, review), ["unit_id", "scope_id"], "left")
 
     flag = lambda name: F.coalesce(F.col(name), F.lit(False))

@@ -21,8 +21,15 @@ def run(spark, units=None, assertions=(), events=(), selection=D.FULL, qualifier
     return {r["unit_id"]: (r["state"], r["reason"], r["search_eligible"]) for r in got}
 
 
-@pytest.mark.parametrize("name", D.CASES)
-def test_decision(spark, name):
+def test_decisions(spark):
+    """All cases in one run, a document and a scope for each."""
+    decided = M.decide(*D.tables(spark.range(len(D.NAMES)).withColumnRenamed("id", "doc_id"))).where("unit_id = scope_id || ':u'")
+    got = {D.NAMES[int(r["scope_id"])]: (r["state"], r["reason"], r["search_eligible"]) for r in decided.collect()}
+    assert got == {name: expected for name, (_, expected) in D.CASES.items()}
+
+
+@pytest.mark.parametrize("name", ["explicit", "stale", "heading proves engine"])
+def test_decision_alone(spark, name):
     given, expected = D.CASES[name]
     assert run(spark, **given)["u"] == expected
 
