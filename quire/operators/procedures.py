@@ -7,7 +7,6 @@ source, and whatever isn't plain is a row with a reason instead.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.steps import CONDITIONAL, extract_steps as extract_steps
 from quire.sources.html import PageError, grid
 
 
@@ -198,112 +198,6 @@ def extract_decisions(sections: DataFrame) -> DataFrame:
     return sections.select("doc_id", run("nodes").alias("d")).select("doc_id", "d.*")
 
 
-# Fixed value: words that make a step more than the next thing to do.
-CONDITIONAL = r"(?i)\b(?:if|unless|otherwise|repeat|rerun|refer\s+to|go\s+to|proceed|see\s+|M/T|A/T)\b"
-_CONDITIONAL = re.compile(CONDITIONAL)
-MOST_STEPS, MOST_NESTED, LETTERS = 1024, 8, 26
-
-
-def step_label(number: int, style: str) -> str:
-    """A printed number: decimal, or one of 26 letters."""
-    if style == "1":
-        return str(number)
-    if style not in ("a", "A") or number > LETTERS:
-        raise PageError("numbering isn't decimal or of single letters")
-    return chr(ord(style) + number - 1)
-
-
-def _runs(lists: list[dict]) -> list[list[dict]]:
-    """Lists on one level whose numbers go on; one that begins at 1 begins a run."""
-    runs: list[list[dict]] = []
-    for one in lists:
-        if one["number"] in (None, "1") or not runs:
-            runs.append([])
-        runs[-1].append(one)
-    return runs
-
-
-def nested_steps(nodes: list[dict]) -> list[dict]:
-    """All steps of a page's ordered lists with their printed labels, nested ones under their parents.
-
-    A run of lists that isn't plain (gaps, other numbering, loose text, too deep)
-    gives one row with a reason. In a run where any step is conditional, linked,
-    drawn or has steps of its own, all steps keep their order but none has a next
-    one, and ``missing`` tells why.
-    """
-    children: dict[int, list[dict]] = {}
-    above = {n["node_id"]: n for n in nodes}
-    for n in nodes:
-        children.setdefault(n["parent_id"], []).append(n)
-
-    def ancestors(n: dict):
-        while (n := above.get(n["parent_id"])) is not None:
-            yield n["tag"]
-
-    roots = [n for n in nodes if n["tag"] == "ol" and not {"ol", "ul", "li"} & set(ancestors(n))]
-    out = []
-    for run in _runs(roots):
-        steps: list[dict] = []
-        missing: set[str] = set()
-
-        def level(lists: list[dict], parent: dict | None, depth: int) -> None:
-            styles = {n["style"] or "1" for n in lists}
-            if depth > MOST_NESTED or len(styles) != 1 or (parent is None and styles != {"1"}):
-                raise PageError("lists are too deep or numbered in several ways")
-            style, number, before = styles.pop(), 0, None
-            for one in lists:
-                items = children.get(one["node_id"], [])
-                if {"backward", "loose"} & set(one["marks"]) or not items or any(n["tag"] != "li" for n in items):
-                    raise PageError("list runs backward or holds more than its items")
-                if (one["number"] or str(number + 1)) != str(number + 1):
-                    raise PageError("printed numbers have a gap")
-                for item in items:
-                    number += 1
-                    said = _plain(item["text"])
-                    if (item["number"] or str(number)) != str(number) or not said or len(steps) >= MOST_STEPS:
-                        raise PageError("printed numbers have a gap, or a step is empty")
-                    own = said if item["own"] is None else _plain(item["own"])
-                    if not own:
-                        raise PageError("a step has nothing but steps of its own")
-                    label = step_label(number, style)
-                    step = {
-                        "step_id": item["node_id"], "label": f"{parent['label']}.{label}" if parent else label, "style": style, "sequence": number,
-                        "parent_id": parent and parent["step_id"], "instruction": own, "next_id": None,
-                    }
-                    steps.append(step)
-                    if before:
-                        before["next_id"] = item["node_id"]
-                    before = step
-                    missing.update(text for text, holds in (
-                        ("a step's figure has to be bound", "drawn" in item["marks"]),
-                        ("a step is conditional or linked", "linked" in item["marks"] or bool(_CONDITIONAL.search(said))),
-                        ("steps inside steps need a review of their order", "listed" in item["marks"]),
-                    ) if holds)
-                    if ordered := [n for n in children.get(item["node_id"], []) if n["tag"] == "ol"]:
-                        level(ordered, step, depth + 1)
-
-        try:
-            level(run, None, 0)
-        except PageError as stopped:
-            out.append({"list_id": run[0]["node_id"], "reason": str(stopped)})
-            continue
-        for step in steps:
-            out.append({"list_id": run[0]["node_id"], **step, "next_id": None if missing else step["next_id"], "missing": sorted(missing), "reason": None})
-    return out
-
-
-def extract_steps(pages: DataFrame) -> DataFrame:
-    """The steps of every page (columns doc_id, nodes), as ``nested_steps`` gives them."""
-    fields = "list_id:int,step_id:int,label:string,style:string,sequence:int,parent_id:int,instruction:string,next_id:int,missing:array<string>,reason:string"
-    names = [part.split(":")[0] for part in fields.split(",")]
-
-    @F.pandas_udf(f"array<struct<{fields}>>")
-    def run(nodes: pd.Series) -> pd.Series:
-        return nodes.map(lambda some: [{name: row.get(name) for name in names} for row in nested_steps(list(some))])
-
-    return pages.select("doc_id", F.explode(run("nodes")).alias("s")).select("doc_id", "s.*")
-
-
 def ordered_steps(nodes: DataFrame) -> DataFrame:
     """(doc_id, list_id, step, text, next_step, conditional, nested) of all ordered lists.
 

@@ -233,7 +233,7 @@ def test_drawings():
     drawn = lambda inside, more="": f'<svg xmlns="http://www.w3.org/2000/svg" {more}>{inside}</svg>'.encode()
     image = '<g id="a"><image href="{}"/></g>'
     assert svg.svg_problem(drawn(image.format(inline))) is None
-    assert svg.svg_problem(drawn(image.format("http://x/"))) == "reference isn't an inline PNG"
+    assert svg.svg_problem(drawn(image.format("http://x/"))) == "reference isn't an inline PNG of a fitting size"
     kept = svg.safe_svg(drawn('<metadata><rdf x="y">gone</rdf></metadata><g id="p" data-x="1" xml:space="preserve" style="fill: red;stroke:url(#p)">a &amp; b</g>', 'viewBox="0 0 1 1"'))
     assert kept.decode().split("\n", 1)[1] == '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1 1"><g id="p" fill="red" stroke="url(#p)">a &amp; b</g></svg>'
     assert svg.safe_svg(kept) == kept
