@@ -44,6 +44,8 @@ ROUNDS = 8
 TARGET_COSINE = 0.3
 #: Queries, and vectors, of a block; blocks have fewer vectors, LEAST_ROWS at least, where there are tasks for more blocks.
 QUERY_ROWS, BLOCK_ROWS, LEAST_ROWS = 65536, 65536, 4096
+#: Bytes, as doubles, of the vectors of a block and of the sample, so wider vectors mean fewer rows.
+BLOCK_BYTES = 32 << 20
 K, RERANK = 20, 400
 
 
@@ -194,7 +196,8 @@ def search(rows: DataFrame, is_query: Column, id_column: str = "vec_id", vector_
     empty = spark.createDataFrame([], f"query_id bigint, rank int, {id_column} bigint, score double")
     if sizes is None:
         return empty
-    blocks = max(-(-sizes["count"] // BLOCK_ROWS), min(partitions(rows), -(-sizes["count"] // LEAST_ROWS)))
+    fitting = max(CODEWORDS, BLOCK_BYTES // (8 * sizes["n"]))
+    blocks = max(-(-sizes["count"] // min(BLOCK_ROWS, fitting)), min(partitions(rows), -(-sizes["count"] // LEAST_ROWS)))
     # rows of an id are where its block is
     dealt = vectors.where(F.size("vector") == sizes["n"]).repartition(blocks, "id")
     vectors = reliable(dealt.groupBy("id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks")))
@@ -202,7 +205,7 @@ def search(rows: DataFrame, is_query: Column, id_column: str = "vec_id", vector_
     if not asked:
         return empty
     spot = F.pmod(F.xxhash64(F.lit(13), "id"), F.lit(1 << 30))
-    drawn = vectors.where(spot < int(min(1.0, SAMPLE_ROWS / total) * (1 << 30))).select("id", "vector").collect() or vectors.select("id", "vector").limit(CODEWORDS).collect()
+    drawn = vectors.where(spot < int(min(1.0, min(SAMPLE_ROWS, fitting) / total) * (1 << 30))).select("id", "vector").collect() or vectors.select("id", "vector").limit(CODEWORDS).collect()
     drawn.sort()
     book = spark.sparkContext.broadcast(learn(np.array([r[1] for r in drawn], float)))
 
@@ -222,7 +225,7 @@ def search(rows: DataFrame, is_query: Column, id_column: str = "vec_id", vector_
     indexed = vectors.select(number, "id", "vector").mapInArrow(
         lambda batches: chunks(batches, lambda flat: [book.value.packed(flat.astype(float))]), "block int, ids binary, vectors binary, codes binary"
     )
-    query_blocks = -(-asked // QUERY_ROWS)
+    query_blocks = -(-asked // min(QUERY_ROWS, fitting))
     part = F.pmod(spot, F.lit(query_blocks)).cast("int").alias("block")
     asking = vectors.where("asks").select(part, "id", "vector").mapInArrow(lambda batches: chunks(batches, lambda _: []), "block int, ids binary, vectors binary")
     left = asking.select(F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "ids", "vectors")

@@ -23,7 +23,7 @@ them, and letters of names that would break a header are escaped; an empty table
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import table
@@ -80,28 +80,25 @@ def segments(
 def dialogues(conversations: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn", part_turns: int | None = None, **columns) -> DataFrame:
     """(conv, perspective, part, text, masks): segments joined in turn order.
 
-    A conversation is one text, which one task joins; given ``part_turns`` a part
-    covers that many turn numbers, so that a very long conversation is several
-    texts. Masks are offsets in the part's text.
+    A conversation is one text, which one task joins, in time that goes with its
+    length; given ``part_turns`` a part covers that many turn numbers, so that a very
+    long conversation is several texts. Turns of equal number, null ones too, are in
+    one part, however many they are. A part begins with its first turn: the system's
+    turns aren't repeated in later ones. Masks are offsets in the part's text.
     """
     rows = segments(conversations, conv_column, turn_column, **columns)
     turn = F.coalesce(F.col(turn_column), F.lit(0))
     part = (F.floor(turn / part_turns) if part_turns else F.lit(0)).cast("long").alias("part")
-    parts = rows.groupBy(conv_column, "perspective", part).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(turn_column).alias("turn"), "speaker", "segment", "mask_start", "mask_end"))).alias("all")
+    rows = rows.select(F.col(conv_column).alias("conv"), "perspective", part, F.col(turn_column).alias("turn"), "speaker", "segment", "mask_start", "mask_end")
+    order = Window.partitionBy("conv", "perspective", "part").orderBy("turn", "speaker", "segment", "mask_start")
+    sizes = F.sum(F.length("segment").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = rows.withColumn("place", F.row_number().over(order)).withColumn("before", sizes - F.length("segment"))
+    mask = F.when(F.col("mask_start").isNotNull(), F.struct((F.col("before") + F.col("mask_start")).alias("start"), (F.col("before") + F.col("mask_end")).alias("end")))
+    made = placed.groupBy("conv", "perspective", "part").agg(
+        F.sort_array(F.collect_list(F.struct("place", "segment"))).alias("all"), F.sort_array(F.collect_list(mask)).alias("masks")
     )
-    start = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("masks"))
-
-    def add(done, one):
-        at = F.length(done["text"]).cast("long")
-        mask = F.array(F.struct((at + one["mask_start"]).alias("start"), (at + one["mask_end"]).alias("end")))
-        return F.struct(
-            F.concat(done["text"], one["segment"]).alias("text"),
-            F.when(one["mask_start"].isNull(), done["masks"]).otherwise(F.concat(done["masks"], mask)).alias("masks"),
-        )
-
-    made = F.aggregate("all", start, add)
-    return parts.select(conv_column, "perspective", "part", made["text"].alias("text"), made["masks"].alias("masks"))
+    text = F.array_join(F.transform("all", lambda one: one["segment"]), "")
+    return made.select(F.col("conv").alias(conv_column), "perspective", "part", text.alias("text"), "masks")
 
 
 def op7_chat(spark, sf_dir: str) -> DataFrame:

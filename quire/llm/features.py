@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WINDOW_CHARS
+from quire.llm.common import WINDOW_CHARS, reliable
 
 _SHORT = 4096
 #: Labels up to which their counts are broadcast; more are joined by shuffle.
@@ -105,17 +105,23 @@ def weighted(text: str, orders: tuple[int, ...], bits: int, fold: bool, idf: np.
 def bounded_sample(keys: DataFrame, label: str, per_label: int, in_all: int, *parts: str) -> DataFrame:
     """About ``per_label`` rows of each label, or all where there are fewer, and about ``in_all`` of all labels.
 
-    Chosen by a hash of the columns ``parts``, so the same rows every time. With
-    very many labels each has a smaller share of ``in_all``.
+    Rows equal in the columns ``parts`` count as one and are drawn together, by a
+    hash of these, so the same rows every time. With very many labels each has a
+    smaller share of ``in_all``, but its row with the smallest hash is always drawn,
+    so no label is lost.
     """
-    sizes = keys.groupBy(label).agg(F.count("*").alias("__rows"))
+    spot = F.xxhash64(F.lit(7), *parts)
+    # a sketch of the distinct hashes, so rows aren't dealt out to be counted
+    sizes = keys.groupBy(label).agg(F.approx_count_distinct(spot, 0.02).alias("__rows"), F.min(F.pmod(spot, F.lit(1 << 30))).alias("__least"))
+    sizes = reliable(sizes)
     labels = max(1, sizes.count())
     if labels <= BROADCAST_LABELS:
         # else the rows, texts and all, would be dealt out by label
         sizes = F.broadcast(sizes)
-    share = F.least(F.lit(1.0), F.lit(min(float(per_label), in_all / labels)) / F.col("__rows"))
-    spot = F.pmod(F.xxhash64(F.lit(7), *parts), F.lit(1 << 30)) / float(1 << 30)
-    return keys.join(sizes, label).where(spot < share).drop("__rows")
+    share = F.lit(min(float(per_label), in_all / labels)) / F.col("__rows")
+    place = F.pmod(spot, F.lit(1 << 30))
+    drawn = (place < F.least(F.lit(1.0), share) * (1 << 30)) | (place == F.col("__least"))
+    return keys.join(sizes, label).where(drawn).drop("__rows", "__least")
 
 
 def sample_vectors(rows: DataFrame, vector: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> list[tuple]:

@@ -24,7 +24,8 @@ white space (space, tab, line ends, form feed).
 Defined results: a null source counts as the empty one; null and empty texts have
 no tokens and are taken in every full pass, and in the partial one where their
 turn comes; null ids count as empty text in hashes; repeated ids are rows each
-for themselves (rows equal in id and text share a block); a source without tokens has weight 0 and one pass; an empty
+for themselves (rows equal in id and text share a block, and are counted
+there, not gathered); a source without tokens has weight 0 and one pass; an empty
 table gives an empty table. Other columns are kept by ``mixed``.
 """
 
@@ -188,10 +189,16 @@ def _copies(rows: DataFrame, id_column: str, tokens: Column, digest: Column, par
     first = F.col("__run") * MOST_PASSES
     sure = placed.where(times > 0).withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / MOST_PASSES))))
     sure = sure.withColumn("__pass", F.explode(F.sequence(first, F.least(times, first + MOST_PASSES) - 1))).drop("__run")
-    inside = Window.partitionBy("__key", "__block").orderBy(_doc(seed, F.col("__full"), F.col(id_column)), id_column, "__tokens")
-    before = F.coalesce(F.sum("__tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # equal rows lie in one block, so they are one row with their number where a block is cut
     cut = placed.where(~F.col("__whole") & (F.col("__left") > 0)).withColumn("__tokens", tokens)
+    cut = cut.groupBy(*cut.columns).agg(F.count("*").alias("__alike"))
+    inside = Window.partitionBy("__key", "__block").orderBy(_doc(seed, F.col("__full"), F.col(id_column)), id_column, "__tokens")
+    before = F.coalesce(F.sum(F.col("__tokens") * F.col("__alike")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = cut.withColumn("__before", before).where("__before < __left").withColumn("__pass", F.col("__full"))
+    enough = F.ceil((F.col("__left") - F.col("__before")) / F.greatest(F.lit(1), "__tokens"))
+    cut = cut.withColumn("__times", F.when(F.col("__tokens") > 0, F.least("__alike", enough)).otherwise(F.col("__alike")))
+    cut = cut.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__times") - 1) / MOST_PASSES))))
+    cut = cut.withColumn("__copy", F.explode(F.sequence(first, F.least("__times", first + MOST_PASSES) - 1)))
     return sure.unionByName(cut.select(*sure.columns))
 
 
@@ -247,11 +254,18 @@ def mixed(
     budget_tokens: int | None = None,
     seed: int = 1,
 ) -> DataFrame:
-    """The documents, all columns kept, each as often as the mixture has it; texts aren't shuffled."""
+    """The documents, all columns kept whatever their names, each as often as the mixture has it.
+
+    Texts aren't shuffled but for those of the one block of a source that is cut.
+    """
+    names = docs.columns
+    # columns go by place meanwhile, so none meets a name of the plan's own
+    docs = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    id_column, text_column, source_column = (f"c{names.index(c)}" for c in (id_column, text_column, source_column))
     measured = _measure(docs, id_column, text_column, source_column)
     parts, starts = _schedule(measured, target_entropy, max_repeat, budget_tokens, seed)
     rows = docs.withColumn("__key", _key(F.col(source_column)))
-    return _copies(rows, id_column, token_count(F.col(text_column)), _digest(F.col(text_column)), parts, starts, seed).select(*docs.columns)
+    return _copies(rows, id_column, token_count(F.col(text_column)), _digest(F.col(text_column)), parts, starts, seed).select(*docs.columns).toDF(*names)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

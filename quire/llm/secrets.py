@@ -113,6 +113,8 @@ def spans(text: str | None, automaton: ahocorasick.Automaton | None = None) -> l
             free[kind] = match.end()
             if holds(match):
                 found.append((kind, start, match.end()))
+            elif kind == "jwt":
+                free[kind] = match.end(1)  # a token may begin in the parts behind
         elif kind == "jwt" and text.startswith("eyJ", start):
             # what follows the run fails every other hit inside it too, so a run is read once
             free[kind] = _BASE64_RUN.match(text, start).end()

@@ -902,3 +902,84 @@ def test_sources_of_null_only(spark):
     frame = spark.createDataFrame([(1, "a b", None), (2, None, None), (3, "", None)], "doc_id long, text string, source string")
     assert sorted(r["doc_id"] for r in mixing.mixed(frame).collect()) == [1, 2, 3]
     assert sorted(r["doc_id"] for r in mixing.realise(frame.where("text is null")).collect()) == [2]
+
+
+# ---------------------------------------------------------------- rows that repeat, widths, names
+
+
+def test_no_language_is_lost(spark):
+    """Rows that repeat don't thin a label's sample, and each of very many labels has a row in it."""
+    from quire.llm.features import bounded_sample
+
+    repeated = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the text "), "id").alias("text"), F.lit("en").alias("lang"))
+    repeated = repeated.unionAll(spark.range(20_000).select(F.lit(1).cast("long"), F.lit("bonjour le monde"), F.lit("fr")))
+    assert langid.fit(repeated).languages == ["en", "fr"]
+    many = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id") % 3000).alias("lang"), F.concat(F.lit("t"), "id").alias("text"))
+    for salt in range(3):
+        drawn = bounded_sample(many.withColumn("salt", F.lit(salt)), "lang", langid.SAMPLE_PER_LANGUAGE, langid.SAMPLE_ROWS, "salt", "doc_id", "text")
+        assert drawn.select("lang").distinct().count() == 3000
+        assert 0.9 * langid.SAMPLE_ROWS < drawn.count() < 1.1 * langid.SAMPLE_ROWS + 3000
+
+
+def test_mixture_keeps_columns_of_any_name(spark):
+    names = ["__key", "__block", "__pass", "__full", "__left", "__rest", "__whole", "__run", "__tokens", "__before", "__times", "__alike", "c0", "key", "tokens", "digest"]
+    frame = spark.createDataFrame([(k, f"text {k}", "big" if k % 3 else "small", "en", 1) for k in range(30)], DOCS).select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    found = mixing.mixed(frame)
+    assert found.columns == frame.columns
+    rows = found.collect()
+    assert {r["doc_id"] for r in rows} == set(range(30)) and len(rows) > 30
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+
+
+def test_equal_rows_of_a_cut_block_are_counted(spark, monkeypatch):
+    """A third of all rows equal, with a null id: a block that is cut takes as many as a plain walk over its rows."""
+    monkeypatch.setattr(mixing, "MOST_PASSES", 64)
+    rows = [(None, "one two three", "small")] * 4000 + [(k, "one two", "small") for k in range(1000)] + [(k, "word " * 10, "big") for k in range(4000, 6000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    made = mixing.realise(frame, max_repeat=None, target_entropy=0.97).collect()
+    got = Counter((r["source"], r["pass"]) for r in made)
+    copies = Counter((r["doc_id"], r["pass"]) for r in made if r["source"] == "small")
+    last = max(p for s, p in got if s == "small")
+    assert last >= 1 and copies[None, 0] == 4000 and 0 < got["small", last] < 5000
+    sizes = {None: 3}
+    tokens = sum(sizes.get(r["doc_id"], 2) for r in made if r["source"] == "small")
+    weights = mixing.weights(spark.createDataFrame([("small", 14_000, 5000), ("big", 20_000, 2000)], "key string, tokens long, docs long"), mixing.exponent(spark.createDataFrame([(14 / 34,), (20 / 34,)], "share double"), 0.97)).collect()
+    budget = {r["key"]: r["budget"] for r in weights}["small"]
+    assert budget <= tokens < budget + 3
+
+
+def test_wide_vectors_are_searched_in_small_blocks(spark, monkeypatch):
+    """Rows of a block are bounded by bytes, so 2,048 doubles each make many blocks of few rows."""
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 1 << 20)
+    vectors = np.random.default_rng(3).normal(size=(400, 2048)).astype(np.float32)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in ann.search(frame, F.col("vec_id") % 20 == 0, k=5).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    products = vectors.astype(float) @ vectors.astype(float).T
+    np.fill_diagonal(products, -np.inf)
+    hits = sum(len(found[q] & set(np.argsort(-products[q])[:5].tolist())) for q in found)
+    assert len(found) == 20 and hits >= 95
+
+
+def test_turns_of_one_number_take_time_in_proportion(spark):
+    import time
+
+    frame = spark.range(20_000).select(F.lit(1).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.concat(F.lit("s"), F.col("id") % 2).alias("role"), F.concat(F.lit("text "), "id").alias("text")).cache()
+    frame.count()
+    began = time.time()
+    rows = chat.dialogues(frame, part_turns=64).collect()
+    assert time.time() - began < 20
+    assert [r["text"].count(chat.END) for r in rows] == [20_000, 20_000]
+    for r in rows:
+        assert len(r["masks"]) == 10_000
+        assert all(r["text"][m["start"] : m["end"]].startswith("text ") and r["text"][m["start"] : m["end"]].endswith(chat.END[:-1]) for m in r["masks"])
+
+
+def test_a_failed_token_hides_none_inside_it():
+    import base64
+
+    part = lambda t: base64.urlsafe_b64encode(t).decode().rstrip("=")
+    good = part(b'{"alg":"x"}') + "." + part(b"{}") + ".sig"
+    for before in ("eyJa.", "eyJa.eyJb.", "eyJa.b."):
+        assert secrets.spans(before + good) == [("jwt", len(before), len(before + good))], before

@@ -158,3 +158,27 @@ def test_oracle(spark, name):
     assert sorted(names) == columns
     expected = sorted(repr([row[names.index(c)] for c in columns]) for row in result.fetchall())
     assert sorted(repr([r[c] for c in columns]) for r in df.collect()) == expected
+
+
+ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "12 34", "en", None, 3), (4, "the same words here and there again", "en", "a", 1), (4, "the same words here and there again", "en", "a", 1), (None, "the same words here and there again", "fr", "b", 1), (5, "password=hunter22 " * 40_000, "en", "b", 9)]
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty", "extra", "bare"])
+def test_stages_take_any_table(spark, kind):
+    """Nulls, blanks, ties, a long text; no row at all; clashing columns; no column but those that are needed."""
+    docs = spark.createDataFrame(ODD * (0 if kind == "empty" else 1), "doc_id long, text string, lang string, source string, n_chars long")
+    if kind == "extra":
+        docs = docs.select("*", *[F.lit(7).alias(c) for c in ("id", "key", "__key", "__rows", "label", "spans", "component_id", "keep", "block", "tokens", "sequence_id")])
+    if kind == "bare":
+        docs = docs.drop("n_chars")
+    kept = {name: stage(spark, docs, SF) for name, stage in corpus_pipeline.STAGES}
+    for name, df in kept.items():
+        assert name == "packing" or df.columns == docs.columns
+    rows = {name: df.collect() for name, df in kept.items()}
+    if kind == "empty":
+        assert not any(rows.values())
+        return
+    assert {r["doc_id"] for r in rows["mixing"]} == {1, 2, 3, 4, 5, None} and {r["doc_id"] for r in rows["packing"]} == {1, 2, 3, 4, 5, None}
+    assert len(rows["secrets"]) == len(ODD) and all("hunter22" not in (r["text"] or "") for r in rows["secrets"])
+    assert not {1, 2, 3} & {r["doc_id"] for r in rows["language_id"]}
+    assert sum(r["doc_id"] == 4 for r in rows["near_dedup"]) <= 2 and {r["doc_id"] for r in rows["near_dedup"]} >= {1, 3, 5}
