@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import ids
 from quire.functions import text as T
 from quire.operators.pages import read_pages
+from quire.operators.shards import SHARD_CHARS as SHARD_CHARS, shard_pack as shard_pack
 from quire.plans.prefix import running_sum
 
 SHARED_CHARS = 80
-SHARD_CHARS = 96_000
 
 
 def load(spark, sf_dir: str, name: str) -> DataFrame:
@@ -187,36 +186,6 @@ def membership(scope_units: DataFrame) -> DataFrame:
     return scope_units.groupBy("unit_id").agg(F.array_join(F.sort_array(F.collect_set("scope")), ",").alias("signature"))
 
 
-def shard_pack(units: DataFrame, limit: int = SHARD_CHARS) -> DataFrame:
-    """(unit_id, signature, bin): greedy bins of at most ``limit`` characters, in order of unit ids.
-
-    A bin closes before a unit that would take it over the limit, and at once
-    when it has reached it. The running state is one number, so each signature is
-    read as a sorted stream in Arrow batches, never held as a whole.
-    """
-    if not 1000 <= limit <= 1_000_000:
-        raise ValueError("limit is 1,000 to 1,000,000 characters")
-
-    def pack(frames):
-        signature, number, size, held = None, 0, 0, 0
-        for frame in frames:
-            bins = []
-            for sign, chars in zip(frame["signature"], frame["chars"], strict=True):
-                if sign != signature:
-                    signature, number, size, held = sign, 0, 0, 0
-                if held and size + chars > limit:
-                    number, size, held = number + 1, 0, 0
-                bins.append(number)
-                size, held = size + int(chars), held + 1
-                if size >= limit:
-                    number, size, held = number + 1, 0, 0
-            yield pd.DataFrame({"unit_id": frame["unit_id"], "signature": frame["signature"], "bin": bins})
-
-    kind = units.schema["unit_id"].dataType.simpleString()
-    sorted_ = units.select("unit_id", "signature", "chars").repartition("signature").sortWithinPartitions("signature", "unit_id")
-    return sorted_.mapInPandas(pack, f"unit_id {kind}, signature string, bin bigint")
-
-
 def carry_forward(rows: DataFrame, group: str, order: str, heading) -> DataFrame:
     """Rows with the last heading at or before them."""
     window = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
