@@ -90,7 +90,7 @@ def test_random_rows(spark):
 
 def test_empty(spark):
     assert run(spark, [], []).collect() == []
-    assert found(run(spark, [(1, "x", "en", "a", 1)], []))["a", "ABCDE", 1] == [0, 1, 0, 0, 0, 0, 120]
+    assert found(run(spark, [(1, "x", "en", "a", 1)], []))["a", "ABCDE", 1] == [0, 1, 0, 1, 0, 0, 120]
 
 
 @pytest.mark.parametrize("filters", [1, 2, 3, 5])
