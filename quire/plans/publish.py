@@ -12,9 +12,12 @@ from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.functions.ids import canonical_digest
+from quire.operators import blocks
 from quire.operators.relations import SHARD_CHARS, membership, shard_pack
-from quire.operators.search import scoped_search
+from quire.operators.search import query_terms
+from quire.plans.fixpoint import reliable
 from quire.plans.sizes import small
 from quire.plans.store import files_of, read_text, write_text
 
@@ -39,7 +42,7 @@ def scope_fingerprint(scope: dict) -> str:
 def publish(
     units: DataFrame, scope_units: DataFrame, root: str, revisions: dict, limit: int = SHARD_CHARS, cancelled: Callable[[], bool] = lambda: False
 ) -> str:
-    """Write a generation (units by membership, scopes, counts) and move the pointer to it; gives its name.
+    """Write a generation (units by membership, their index, scopes, counts) and move the pointer to it; gives its name.
 
     ``units`` has unit_id, title, text; ``scope_units`` has scope, unit_id, state,
     eligible. Units that the same scopes can see share a folder, in which they are
@@ -50,17 +53,22 @@ def publish(
     eligible = scope_units.where("eligible").select("scope", "unit_id").distinct()
     shards = shard_pack(membership(eligible).join(units.select("unit_id", F.length("text").alias("chars")), "unit_id"), limit)
     membership_id = F.substring(F.sha2("signature", 256), 1, 16)
-    placed = units.join(shards.select("unit_id", membership_id.alias("membership"), F.col("bin").alias("shard")), "unit_id")
+    # a narrow table, which numbers, folders and index share
+    order = reliable(blocks.numbered(shards.select("unit_id", membership_id.alias("membership"), F.col("bin").alias("shard"))))
+    placed = units.join(order, "unit_id")
     content = placed.select(F.xxhash64("unit_id", "title", "text", "membership", "shard").cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
     name = canonical_digest([revisions, limit, content["n"], str(content["s"])])[:32]
     folder = f"{root}/generations/{name}"
     system, place = files_of(spark, f"{folder}/complete")
     if not system.exists(place):
         # a row for each scope that sees a membership, not for each unit
-        seen = eligible.join(shards.select("unit_id", membership_id.alias("membership")), "unit_id").select("scope", "membership").distinct()
+        seen = eligible.join(order.select("unit_id", "membership"), "unit_id").select("scope", "membership").distinct()
+        sizes = order.groupBy("membership").agg(F.count("*").alias("units"), F.min("unit_no").alias("first_no"))
         steps = {
             "units": lambda path: _deal(placed).write.mode("overwrite").partitionBy("membership").parquet(path),
-            "scope_memberships": seen.write.mode("overwrite").parquet,
+            "scope_memberships": seen.join(sizes, "membership").write.mode("overwrite").parquet,
+            "blocks": lambda path: blocks.write(placed.select("unit_no", "membership", "text"), path),
+            "numbers": lambda path: order.sortWithinPartitions("unit_no").select("unit_no", "unit_id", "membership").write.mode("overwrite").parquet(path),
         }
         for step, write in steps.items():
             if cancelled():
@@ -76,9 +84,9 @@ def publish(
 
 
 def _deal(placed: DataFrame) -> DataFrame:
-    """Units dealt out by runs of shards, so that a large membership is written by many tasks, in files sorted by shard."""
+    """Units dealt out by runs of shards, so that a large membership is written by many tasks, in files sorted by number."""
     run = F.floor(F.col("shard") / SHARDS_A_FILE)
-    return placed.repartition(F.col("membership"), run).sortWithinPartitions("membership", "shard", "unit_id")
+    return placed.repartition(F.col("membership"), run).sortWithinPartitions("membership", "unit_no")
 
 
 def open_current(spark: SparkSession, root: str, review_revision: str) -> tuple[str, dict]:
@@ -89,11 +97,34 @@ def open_current(spark: SparkSession, root: str, review_revision: str) -> tuple[
     return f"{root}/generations/{pointer['generation']}", pointer
 
 
-def search(spark: SparkSession, folder: str, scope: str, query: str, limit: int = 100) -> DataFrame:
-    """(unit_id, score, snippet) over the shards of a scope; an unknown scope is an error, never a wider search."""
+def search(spark: SparkSession, folder: str, scope: str, query: str, limit: int = 100, digits: int | None = None) -> DataFrame:
+    """(unit_id, score, snippet) of the best units of a scope that hold all terms of the query, by the published blocks.
+
+    The score is that of ``quire.operators.search.scoped_search``. No text is read
+    but that of the rows shown, from the folders and by the numbers where they
+    are. An unknown scope is an error, never a wider search.
+    """
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit is 1 to 1000")
     if spark.read.parquet(f"{folder}/filter_counts").where(F.col("scope") == scope).isEmpty():
         raise KeyError(f"scope was not published: {scope}")
-    return scoped_search(scope_units(spark, folder, scope), query, limit, "unit_id")
+    nothing = spark.read.parquet(f"{folder}/numbers").select("unit_id", F.lit(0.0).alias("score"), F.lit("").alias("snippet")).limit(0)
+    terms = list(dict.fromkeys(query_terms(query)))
+    seen = spark.read.parquet(f"{folder}/scope_memberships").where(F.col("scope") == scope).select("membership", "units")
+    units = seen.agg(F.sum("units")).first()[0]
+    hits = blocks.best(blocks.open_blocks(spark, f"{folder}/blocks", terms), seen.select("membership"), units, query, limit, digits) if terms and units else None
+    if hits is None:
+        return nothing
+    # ids decide between equal scores
+    named = spark.read.parquet(f"{folder}/numbers").join(small(hits), "unit_no").orderBy(F.desc("score"), "unit_id").limit(limit)
+    shown = named.collect()  # limit rows at most
+    if not shown:
+        return nothing
+    where = F.col("membership").isin({row["membership"] for row in shown}) & F.col("unit_no").isin([row["unit_no"] for row in shown])
+    texts = spark.read.parquet(f"{folder}/units").where(where)
+    scores = spark.createDataFrame([(row["unit_no"], row["score"]) for row in shown], "unit_no long, score double")
+    rows = texts.join(F.broadcast(scores), "unit_no").select("unit_id", "score", T.snippet(F.col("text"), terms).alias("snippet"))
+    return rows.orderBy(F.desc("score"), "unit_id")
 
 
 class Search:

@@ -247,3 +247,68 @@ def test_closures(spark):
             expected |= {(start, node) for node in held}
         got = closure(spark.createDataFrame(edges, "source long, target long"), spark.createDataFrame([(s,) for s in starts], "node long"))
         assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+def _published(spark, tmp_path, monkeypatch, cell=16, first=2):
+    """Documents as units of scopes that overlap, in small cells."""
+    from quire.operators import blocks
+
+    monkeypatch.setattr(blocks, "CELL", cell)
+    monkeypatch.setattr(blocks, "FIRST_CELLS", first)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    units = docs.select(F.col("doc_id").alias("unit_id"), F.lit("t").alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    scopes = docs.select(F.explode(F.array("lang", "source", F.lit("all"))).alias("scope"), F.col("doc_id").alias("unit_id"), F.lit("confirmed").alias("state"), F.lit(True).alias("eligible"))
+    scopes = scopes.where("scope is not null")
+    publish.publish(units, scopes, str(tmp_path), {"review_revision": "r"})
+    return publish.open_current(spark, str(tmp_path), "r")[0], units, scopes
+
+
+def test_published_search_equals_a_scan(spark, tmp_path, monkeypatch):
+    from quire.operators import search
+
+    folder, units, scopes = _published(spark, tmp_path, monkeypatch)
+    told = [r["scope"] for r in scopes.groupBy("scope").count().orderBy(F.desc("count"), "scope").limit(3).collect()]
+    for scope, queries, limits in zip(told, (("the the of", "est que de"), ("the and", "nosuchword the", "!"), ("der die", "the and")), ((1, 1000), (7,), (2,)), strict=True):
+        scanned = units.join(scopes.where(F.col("scope") == scope).select("unit_id"), "unit_id").cache()
+        for query in queries:
+            for limit in limits:
+                plain = [(r["unit_id"], r["score"], r["snippet"]) for r in search.scoped_search(scanned, query, limit, "unit_id", digits=9).collect()]
+                got = [(r["unit_id"], r["score"], r["snippet"]) for r in publish.search(spark, folder, scope, query, limit, digits=9).collect()]
+                assert got == plain, (scope, query, limit)
+    with pytest.raises(ValueError):
+        publish.search(spark, folder, "all", "the", 0)
+
+
+def test_published_search_skips_cells_and_files(spark, tmp_path, monkeypatch):
+    """Cells whose bound is below the worst of the best are not scored, and folders of other terms not opened."""
+    from quire.operators import blocks
+
+    folder, _, _ = _published(spark, tmp_path, monkeypatch, cell=4, first=3)
+    scored, plain = [], blocks._scored
+
+    def counted(some, cells, *rest):
+        scored.append(cells.count())
+        return plain(some, cells, *rest)
+
+    monkeypatch.setattr(blocks, "_scored", counted)
+    found = publish.search(spark, folder, "all", "the and", 2).collect()
+    cells = blocks.open_blocks(spark, f"{folder}/blocks", ["and"]).select("cell").distinct().count()
+    assert len(found) == 2 and scored[0] == 3 and sum(scored) < cells / 2
+    whole = set(spark.read.parquet(f"{folder}/blocks").inputFiles())
+    opened = {row[0] for row in blocks.open_blocks(spark, f"{folder}/blocks", ["the", "and"]).select(F.input_file_name()).distinct().collect()}
+    assert 0 < len(opened) < len(whole) / 4
+
+
+def test_numbers_begin_a_cell_for_each_membership(spark, monkeypatch):
+    from quire.operators import blocks
+
+    monkeypatch.setattr(blocks, "CELL", 16)
+    units = spark.range(500).select(F.col("id").alias("unit_id"), F.when(F.col("id") % 3 == 0, "a").otherwise(F.concat(F.lit("m"), F.col("id") % 7)).alias("membership"), (F.col("id") % 2).alias("shard"))
+    rows = sorted((r["unit_no"], r["membership"], r["shard"], r["unit_id"]) for r in blocks.numbered(units).collect())
+    assert [r[1:] for r in rows] == sorted(r[1:] for r in rows) and len({r[0] for r in rows}) == 500
+    owner = {}
+    for number, membership, _, _ in rows:
+        assert owner.setdefault(number // 16, membership) == membership
+    for name in {r[1] for r in rows}:
+        own = [r[0] for r in rows if r[1] == name]
+        assert own[0] % 16 == 0 and own == list(range(own[0], own[0] + len(own)))
