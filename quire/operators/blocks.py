@@ -16,6 +16,11 @@ same sums of products in the same order, so a bound is never below a score.
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +66,7 @@ def running(rows: DataFrame, by: list[str], order: str, value: str, name: str) -
 
 
 def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
 
 
 def postings(units: DataFrame) -> DataFrame:
@@ -88,7 +93,7 @@ def write(units: DataFrame, folder: str) -> None:
 
 def open_blocks(spark: SparkSession, folder: str, terms: list[str]) -> DataFrame:
     """The blocks of the terms, from their folders alone."""
-    buckets = [row[0] for row in spark.createDataFrame([(t,) for t in terms], "term string").select(bucket(F.col("term"))).collect()]
+    buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
     shape = "term string, cell long, membership string, n int, most int, places array<short>, counts array<int>, bucket int"
     return spark.read.schema(shape).parquet(folder).where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
@@ -98,47 +103,52 @@ def _scores(columns: list[Column], weights: list[float], digits: int | None) ->
     return F.round(score, digits) if digits is not None else score
 
 
-def _scored(blocks: DataFrame, cells: DataFrame, terms: list[str], order: list[int], weights: list[float], digits: int | None) -> DataFrame:
-    """(unit_no, score) of the units in some cells that hold all terms."""
-    pairs = F.explode(F.arrays_zip("places", "counts")).alias("p")
-    rows = blocks.join(cells, "cell", "left_semi").select("term", (F.col("cell") * CELL).alias("begin"), pairs).select("term", (F.col("begin") + F.col("p.places")).alias("unit_no"), "p.counts")
+def _within(number: Column, cells: list[int], span: int) -> Column:
+    """Whether a number lies in one of a few cells, as ranges that a scan's statistics can hold."""
+    return functools.reduce(operator.or_, [(number >= c * span) & (number < (c + 1) * span) for c in cells])
+
+
+def _scored(blocks: DataFrame, terms: list[str], order: list[int], weights: list[float], digits: int | None) -> DataFrame:
+    """(unit_no, score) of the units in the blocks that hold all terms."""
+    rows = blocks.select("term", (F.col("cell") * CELL).alias("begin"), F.explode(F.arrays_zip("places", "counts")).alias("p"))
+    rows = rows.select("term", (F.col("begin") + F.col("p.places")).alias("unit_no"), "p.counts")
     counts = [F.max(F.when(F.col("term") == t, F.col("counts"))).alias(f"tf{k}") for k, t in enumerate(terms)]
     held = rows.groupBy("unit_no").agg(*counts).dropna(subset=[f"tf{k}" for k in range(len(terms))])
     return held.select("unit_no", _scores([F.col(f"tf{k}") for k in order], weights, digits).alias("score"))
 
 
-def best(blocks: DataFrame, seen: DataFrame, units: int, query: str, limit: int, digits: int | None = None) -> DataFrame | None:
-    """(unit_no, score) of the best units of a scope, ties at the end included; None where no unit can hold all terms.
+def best(blocks: DataFrame, numbers: DataFrame, seen: DataFrame, units: int, query: str, limit: int, digits: int | None = None) -> DataFrame | None:
+    """(unit_no, unit_id, membership, score) of the best units of a scope; None where no unit can hold all terms.
 
-    ``seen`` has the memberships of the scope, ``units`` is how many units these
-    have. The score sums count * ln((N + 1) / (df + 1)) over the query's terms,
-    repeats included. What is gathered is one row a term, ``FIRST_CELLS`` cells and
-    the worst of ``limit`` scores.
+    ``numbers`` has unit_no, unit_id and membership, ``seen`` the memberships of the
+    scope, ``units`` is how many units these have. The score sums
+    count * ln((N + 1) / (df + 1)) over the query's terms, repeats included; ids
+    decide between equal ones. What is gathered is one row of frequencies,
+    ``FIRST_CELLS`` cells and ``limit`` scores.
     """
     terms = list(dict.fromkeys(query_terms(query)))
-    order = [terms.index(t) for t in query_terms(query)]
+    order, every = [terms.index(t) for t in query_terms(query)], range(len(terms))
     blocks = blocks.join(small(seen), "membership", "left_semi")
-    heads = reliable(blocks.select("term", "cell", "n", "most"))  # a row for each block of the terms
-    frequency = {row["term"]: row["df"] for row in heads.groupBy("term").agg(F.sum("n").alias("df")).collect()}
-    if not terms or len(frequency) < len(terms):
+    of = lambda column, t: F.max(F.when(F.col("term") == t, F.col(column)))
+    # a row for each cell with a block, from the blocks' heads; postings aren't read
+    cells = reliable(blocks.groupBy("cell").agg(*[of("n", t).alias(f"n{k}") for k, t in enumerate(terms)], *[of("most", t).alias(f"tf{k}") for k, t in enumerate(terms)]))
+    frequency = cells.agg(*[F.sum(f"n{k}") for k in every]).first()
+    if not all(frequency):
         return None
-    inverse = blocks.sparkSession.range(1).select(*[F.log((F.lit(units) + 1) / (F.lit(frequency[t]) + 1)) for t in terms]).first()
-    weights = [inverse[k] for k in order]
-    most = [F.max(F.when(F.col("term") == t, F.col("most"))).alias(f"tf{k}") for k, t in enumerate(terms)]
-    cells = heads.groupBy("cell").agg(*most).dropna(subset=[f"tf{k}" for k in range(len(terms))])
-    cells = cells.select("cell", _scores([F.col(f"tf{k}") for k in order], weights, digits).alias("bound"))
-    first = cells.orderBy(F.desc("bound"), "cell").limit(FIRST_CELLS).collect()
-    if not first:
+    weights = [math.log((units + 1) / (frequency[k] + 1)) for k in order]
+    bound = _scores([F.col(f"tf{k}") for k in order], weights, digits)
+    cells = cells.dropna(subset=[f"tf{k}" for k in every]).select("cell", bound.alias("bound"))
+    chosen = [row["cell"] for row in cells.orderBy(F.desc("bound"), "cell").limit(FIRST_CELLS).collect()]
+    if not chosen:
         return None
-    chosen = [row["cell"] for row in first]
-    # the numbers go into the scan's filter, where statistics of the files hold them
-    hits = reliable(_scored(blocks.where(F.col("cell").isin(chosen)), blocks.sparkSession.createDataFrame([(c,) for c in chosen], "cell long").hint("broadcast"), terms, order, weights, digits))
-    top = hits.orderBy(F.desc("score")).limit(limit).agg(F.count("*").alias("n"), F.min("score").alias("worst")).first()
-    least = top["worst"] if top["n"] == limit else None
+    first = _scored(blocks.where(F.col("cell").isin(chosen)), terms, order, weights, digits)
+    top = [row["score"] for row in first.select("score").orderBy(F.desc("score")).limit(limit).collect()]
     rest = cells.where(~F.col("cell").isin(chosen))
-    rest = rest.where(F.col("bound") >= least) if least is not None else rest
-    rest = reliable(rest.select("cell"))
-    if not rest.isEmpty():
-        hits = reliable(hits.unionByName(_scored(blocks, small(rest), terms, order, weights, digits)))
-        least = hits.orderBy(F.desc("score")).limit(limit).agg(F.min("score")).first()[0]
-    return hits if least is None else hits.where(F.col("score") >= least)
+    if len(top) == limit:
+        rest = rest.where(F.col("bound") >= top[-1])
+        first = first.where(F.col("score") >= top[-1])
+    if rest.isEmpty():
+        hits, numbers = first, numbers.where(_within(F.col("unit_no"), chosen, CELL))
+    else:
+        hits = first.unionByName(_scored(blocks.join(small(rest.select("cell")), "cell", "left_semi"), terms, order, weights, digits))
+    return numbers.join(hits, "unit_no").select("unit_no", "unit_id", "membership", "score").orderBy(F.desc("score"), "unit_id").limit(limit)

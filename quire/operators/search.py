@@ -6,7 +6,7 @@ import functools
 import operator
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -80,18 +80,21 @@ def scoped_search(scope: DataFrame, query: str, limit: int = 100, id_column: str
     low = F.lower(text_column)
     # a term's tokens are counted where they stand, between characters that no token holds
     tf = [F.when(low.contains(t), F.regexp_count(low, F.lit(_alone(t)))).otherwise(0).alias(f"tf{k}") for k, t in enumerate(distinct)]
-    counted = reliable(scope.select(F.col(id_column).alias("id"), *tf))
-    return _top_scored(scope, counted, terms, distinct, limit, id_column, text_column, digits)
+    # texts are read once: what is kept has a term, and the number of all is told by the way
+    met = Observation()
+    counted = scope.select(F.col(id_column).alias("id"), *tf).observe(met, F.count(F.lit(1)).alias("n"))
+    counted = reliable(counted.where(" or ".join(f"tf{k} > 0" for k in range(len(distinct)))))
+    return _top_scored(scope, counted, met.get["n"], terms, distinct, limit, id_column, text_column, digits)
 
 
-def _top_scored(scope, counted, terms, distinct, limit, id_column, text_column, digits) -> DataFrame:
-    """The best rows by the counts (id, tf0, tf1, ...) of all documents of the scope, with their snippets."""
+def _top_scored(scope, counted, n, terms, distinct, limit, id_column, text_column, digits) -> DataFrame:
+    """The best rows by the counts (id, tf0, tf1, ...) of the documents that hold a term, with their snippets."""
     numbers = range(len(distinct))
-    sums = counted.agg(F.count("*").alias("n"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in numbers])
+    sums = counted.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in numbers])
     # one row of counts joins every hit
     hits = counted.where(" and ".join(f"tf{k} > 0" for k in numbers)).crossJoin(F.broadcast(sums))
     score = sum(
-        (F.col(f"tf{distinct.index(t)}") * F.log((F.col("n") + 1) / (F.col(f"df{distinct.index(t)}") + 1)) for t in terms), F.lit(0.0)
+        (F.col(f"tf{distinct.index(t)}") * F.log((F.lit(n) + 1) / (F.col(f"df{distinct.index(t)}") + 1)) for t in terms), F.lit(0.0)
     )
     score = F.round(score, digits) if digits is not None else score
     best = hits.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)

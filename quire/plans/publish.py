@@ -106,18 +106,15 @@ def search(spark: SparkSession, folder: str, scope: str, query: str, limit: int
     """
     if not 1 <= limit <= 1000:
         raise ValueError("limit is 1 to 1000")
-    if spark.read.parquet(f"{folder}/filter_counts").where(F.col("scope") == scope).isEmpty():
-        raise KeyError(f"scope was not published: {scope}")
-    nothing = spark.read.parquet(f"{folder}/numbers").select("unit_id", F.lit(0.0).alias("score"), F.lit("").alias("snippet")).limit(0)
+    numbers = spark.read.parquet(f"{folder}/numbers")
+    nothing = numbers.select("unit_id", F.lit(0.0).alias("score"), F.lit("").alias("snippet")).limit(0)
     terms = list(dict.fromkeys(query_terms(query)))
-    seen = spark.read.parquet(f"{folder}/scope_memberships").where(F.col("scope") == scope).select("membership", "units")
+    seen = spark.read.parquet(f"{folder}/scope_memberships").where(F.col("scope") == scope)
     units = seen.agg(F.sum("units")).first()[0]
-    hits = blocks.best(blocks.open_blocks(spark, f"{folder}/blocks", terms), seen.select("membership"), units, query, limit, digits) if terms and units else None
-    if hits is None:
-        return nothing
-    # ids decide between equal scores
-    named = spark.read.parquet(f"{folder}/numbers").join(small(hits), "unit_no").orderBy(F.desc("score"), "unit_id").limit(limit)
-    shown = named.collect()  # limit rows at most
+    if not units and spark.read.parquet(f"{folder}/filter_counts").where(F.col("scope") == scope).isEmpty():
+        raise KeyError(f"scope was not published: {scope}")
+    found = blocks.best(blocks.open_blocks(spark, f"{folder}/blocks", terms), numbers, seen.select("membership"), units, query, limit, digits) if terms and units else None
+    shown = found.collect() if found is not None else []  # limit rows at most
     if not shown:
         return nothing
     where = F.col("membership").isin({row["membership"] for row in shown}) & F.col("unit_no").isin([row["unit_no"] for row in shown])
