@@ -21,8 +21,16 @@ def read_pages(pages: DataFrame, path: Column | None = None) -> DataFrame:
     """(page_id, path, page): the records of pages (page_id, html), each under a path of its own."""
     path = path if path is not None else F.concat(F.lit("site/"), "page_id", F.lit(".html"))
     pages = pages.select("page_id", path.alias("path"), F.col("html").cast("binary").alias("content"))
-    # pages are few and heavy to parse: a partition for each core, whatever the file's layout
-    return html.parse(pages.repartition(pages.sparkSession.sparkContext.defaultParallelism)).drop("content")
+    return html.parse(spread(pages)).drop("content")
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """The rows over all cores where a few files would leave cores idle; as the files are, without a shuffle, where they fill them.
+
+    The same rows either way: only how many partitions the scan has decides.
+    """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores)
 
 
 def q_page_records(spark, sf_dir):

@@ -9,6 +9,7 @@ from quire.functions import ids
 from quire.functions import text as T
 from quire.operators.pages import read_pages
 from quire.operators.shards import SHARD_CHARS as SHARD_CHARS, shard_pack as shard_pack
+from quire.plans.fixpoint import reliable
 from quire.plans.prefix import running_sum
 
 SHARED_CHARS = 80
@@ -56,21 +57,25 @@ TITLE_CHARS = 8
 def title_mentions(docs: DataFrame, title_column: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(key, id): documents that say 'see' or 'refer to' a title of any document; key is the title, lower-cased.
 
-    What follows the words is cut to each length that titles have and joined by
-    equality, so no text meets a title that isn't there. The lengths are gathered;
-    there are no more of them than the longest title has characters.
+    What follows the words meets the titles that begin with the same ``TITLE_CHARS``
+    characters; of it a digest goes on for each length that these have, and is
+    joined with the digests of titles. So no text meets a title that isn't there,
+    and what is kept of a mention doesn't grow with the lengths of all titles.
     """
     titles = docs.select(F.trim(title_column).alias("title")).where(F.length("title") >= TITLE_CHARS)
-    lengths = sorted(row[0] for row in titles.select(F.length("title")).distinct().collect())
-    if not lengths:
+    titles = titles.select(F.lower("title").alias("key"), F.length("title").alias("chars"), F.lower(F.substring("title", 1, TITLE_CHARS)).alias("start")).distinct()
+    longest = titles.agg(F.max("chars")).first()[0]
+    if not longest:
         return docs.select(F.lit("").alias("key"), id_column).limit(0)
-    ahead = rf"(?isU)\b(?:see|refer to)\s+(?=(\S.{{0,{lengths[-1]}}}))"
+    ahead = rf"(?isU)\b(?:see|refer to)\s+(?=(\S.{{0,{longest}}}))"
     rests = docs.select(id_column, F.explode(F.regexp_extract_all(text_column, F.lit(ahead), F.lit(1))).alias("rest"))
-    cut = rests.select(id_column, "rest", F.explode(F.array(*map(F.lit, lengths))).alias("chars")).where(F.length("rest") >= F.col("chars"))
+    rests = rests.withColumn("start", F.lower(F.substring("rest", 1, TITLE_CHARS)))
+    cut = rests.join(titles.select("start", "chars").distinct(), "start").where(F.length("rest") >= F.col("chars"))
     # as \b after the title: of its last character and the next, one is part of a word
     last, after = F.expr("substring(rest, chars, 1)"), F.expr("substring(rest, chars + 1, 1)")
-    cut = cut.where(last.rlike(r"(?U)\w") != after.rlike(r"(?U)\w")).select(F.lower(F.expr("substring(rest, 1, chars)")).alias("key"), id_column)
-    return cut.join(titles.select(F.lower("title").alias("key")).distinct(), "key", "left_semi").distinct()
+    cut = cut.where(last.rlike(r"(?U)\w") != after.rlike(r"(?U)\w"))
+    said = cut.select(F.md5(F.lower(F.expr("substring(rest, 1, chars)")).cast("binary")).alias("digest"), id_column).distinct()
+    return said.join(titles.select(F.md5(F.col("key").cast("binary")).alias("digest"), "key").distinct(), "digest").select("key", id_column)
 
 
 def lead_members(docs: DataFrame, source: str = "source", id_column: str = "doc_id", text_column: str = "text", title_column: str | None = None) -> DataFrame:
@@ -95,8 +100,11 @@ def lead_members(docs: DataFrame, source: str = "source", id_column: str = "doc_
         rows = rows.unionByName(targets).unionByName(mentions)
     other = F.when(F.col("side") == "mention", "target").when(F.col("side") == "target", "mention").otherwise("member")
     spans = rows.groupBy("relation", "key", other.alias("side")).agg(F.min(F.struct(source)).alias("__low"), F.max(F.struct(source)).alias("__high"))
+    # most keys are one source's own, which no member of theirs can cross
+    several = ~F.col("__low").eqNullSafe(F.col("__high"))
+    spans = spans.where(several | (F.col("side") != "member"))
     own = F.struct(source)
-    met = rows.join(spans, ["relation", "key", "side"]).where(~own.eqNullSafe(F.col("__low")) | ~own.eqNullSafe(F.col("__high")))
+    met = rows.join(spans, ["relation", "key", "side"]).where(several | ~own.eqNullSafe(F.col("__low")))
     return met.select("relation", "key", "side", source, id_column)
 
 
@@ -272,8 +280,8 @@ def q_shared_text(spark, sf_dir):
 
 
 def q_shared_leads(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents")
     """Identifiers that cross sources, and a notice that every thirteenth document holds alone."""
+    docs = load(spark, sf_dir, "documents")
     text = F.when(F.col("doc_id") % 13 == 0, F.lit("Notice: " + "this text is the same in several sources. " * 3)).otherwise(F.concat("text", F.lit("\nPART-"), F.col("doc_id") % 37 + 100))
     return leads(docs.withColumn("text", text))
 
@@ -304,6 +312,7 @@ def _site_paths(spark, sf_dir):
 
 def q_link_status(spark, sf_dir):
     docs, links = _site_paths(spark, sf_dir)
+    links = reliable(links)  # links and members are of one reading of the pages
     members = links.where("length(path) = 3").select("path")
     return link_status(links, docs, members).select("page_id", "ord", "status")
 

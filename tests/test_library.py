@@ -312,3 +312,16 @@ def test_numbers_begin_a_cell_for_each_membership(spark, monkeypatch):
     for name in {r[1] for r in rows}:
         own = [r[0] for r in rows if r[1] == name]
         assert own[0] % 16 == 0 and own == list(range(own[0], own[0] + len(own)))
+
+
+def test_mentions_of_titles_of_very_many_lengths(spark):
+    """A thousand lengths and two thousand mentions: a row a mention and fitting length, not a row for each length."""
+    import time
+
+    titles = spark.range(1000).select((F.col("id") + 10_000).alias("doc_id"), F.concat(F.lit("Chapter "), F.format_string("%05d", "id"), F.lit(" "), F.repeat(F.lit("x"), F.col("id").cast("int")), F.lit(" end")).alias("title"), F.lit("").alias("text"))
+    saying = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("title"), F.concat(F.lit("please see "), F.when(F.col("id") % 2 == 0, F.lit("Something else entirely")).otherwise(F.lit("chapter 00007 xxxxxxx END.")), F.lit(" and "), F.repeat(F.lit("more "), 300)).alias("text"))
+    docs = titles.unionByName(saying)
+    began = time.time()
+    rows = relations.title_mentions(docs, "title").collect()
+    assert {(r["key"], r["doc_id"]) for r in rows} == {("chapter 00007 xxxxxxx end", k) for k in range(1, 2000, 2)} and len(rows) == 1000
+    assert time.time() - began < 30
