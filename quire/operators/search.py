@@ -127,26 +127,26 @@ def document_stats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
 
 
-def rank(index: DataFrame, stats: DataFrame, query: str, id_column: str = "doc_id") -> DataFrame:
+def rank(index: DataFrame, stats: DataFrame, query: str, id_column: str = "doc_id", n: int | None = None, avgdl: float | None = None) -> DataFrame:
     """(id, score, matched) by BM25 with prefix widening, coverage and title boosts; not cut.
 
-    Postings of the terms that begin with a term of the query are read once, and
-    so are the documents' figures; the widened terms are bounded, so they are
-    broadcast to the postings; the index is never shuffled as a whole.
+    Postings of the terms that begin with a term of the query are read once; the
+    widened terms are bounded, so they are broadcast to the postings; the index is
+    never shuffled as a whole. Figures of documents are read for those that hold a
+    term; how many documents there are and their mean length come from the caller,
+    or from ``stats``, which then has all documents.
     """
     terms = site_terms(query)
     if not terms:
         return stats.select(id_column, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched")).limit(0)
     # the few terms that the query can reach are read once
     index = reliable(index.where(functools.reduce(operator.or_, [F.col("term").startswith(t) for t in terms])))
-    stats = reliable(stats)
     reach = F.broadcast(_widened(index, terms))  # WIDENED rows a term at most
     hits = index.join(reach, "term").groupBy("query", id_column).agg(F.sum(F.col("tf") * F.col("weight")).alias("tf"))
     frequency = hits.groupBy("query").agg(F.count("*").alias("df"))
-    sums = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    idf = frequency.crossJoin(F.broadcast(sums)).select(
-        "query", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl"
-    )
+    if n is None:
+        n, avgdl = stats.agg(F.count("*"), F.avg("dl")).first()
+    idf = frequency.select("query", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.lit(avgdl).alias("avgdl"))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     body = (
         hits.join(F.broadcast(idf), "query")
@@ -168,24 +168,34 @@ def rank(index: DataFrame, stats: DataFrame, query: str, id_column: str = "doc_i
 
 
 def bm25(docs: DataFrame, query: str, id_column: str = "doc_id", text_column: str = "text", title: Column | None = None) -> DataFrame:
-    """``rank`` over documents without an index: only those that hold a term are tokenised."""
+    """``rank`` over documents without an index: each text is tokenised once, and what is kept holds a term that the query reaches."""
     terms = site_terms(query)
-    holding = docs.where(functools.reduce(operator.or_, [F.lower(F.col(text_column)).contains(t) for t in terms], F.lit(not terms)))
-    return rank(postings(holding, id_column, text_column), document_stats(docs, id_column, text_column, title), query, id_column)
+    if not terms:
+        return docs.select(id_column, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched")).limit(0)
+    title = title if title is not None else F.split(F.col(text_column), "\n")[0]
+    tokens = docs.select(id_column, title.alias("title"), T.indexed_tokens(F.col(text_column)).alias("tokens"))
+    reached = F.filter("tokens", lambda token: functools.reduce(operator.or_, [token.startswith(t) for t in terms]))
+    figures = tokens.select(id_column, F.greatest(F.lit(1), F.size("tokens")).alias("dl"), F.lower("title").alias("title"), T.site_tokens(F.col("title")).alias("title_tokens"), reached.alias("reached"))
+    met = Observation()
+    held = reliable(figures.observe(met, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).where(F.size("reached") > 0))
+    counts = held.select(id_column, F.explode("reached").alias("term")).groupBy(id_column, "term").agg(F.least(F.lit(TF_CAP), F.count("*")).cast("long").alias("tf"))
+    return rank(counts.select("term", id_column, "tf"), held.drop("reached"), query, id_column, met.get["n"], met.get["avgdl"])
 
 
 def save_index(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", title: Column | None = None) -> None:
-    """Postings in a folder for each first letter, sorted by term, and the documents' figures beside them."""
+    """Postings in a folder for each first letter, sorted by term; beside them the documents' figures, and one row over all of these."""
     index = postings(docs, id_column, text_column).withColumn("initial", F.substring("term", 1, 1))
     index.repartition("initial", F.pmod(F.xxhash64("term"), F.lit(16))).sortWithinPartitions("initial", "term").write.partitionBy("initial").parquet(f"{path}/postings")
     document_stats(docs, id_column, text_column, title).write.parquet(f"{path}/documents")
+    docs.sparkSession.read.parquet(f"{path}/documents").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/totals")
 
 
 def indexed_search(spark, path: str, query: str, id_column: str = "doc_id") -> DataFrame:
     """``rank`` over a saved index: only the folders of the query's first letters are read."""
     initials = sorted({t[0] for t in site_terms(query)})
     index = spark.read.schema(f"term string, {id_column} bigint, tf bigint, initial string").parquet(f"{path}/postings")
-    return rank(index.where(F.col("initial").isin(initials)).drop("initial"), spark.read.parquet(f"{path}/documents"), query, id_column)
+    n, avgdl = spark.read.parquet(f"{path}/totals").first()
+    return rank(index.where(F.col("initial").isin(initials)).drop("initial"), spark.read.parquet(f"{path}/documents"), query, id_column, n, avgdl)
 
 
 def top(ranked: DataFrame, k: int = RESULT_CAP, id_column: str = "doc_id") -> DataFrame:
