@@ -12,16 +12,19 @@ assertions      assertion_id, subject_id, ord, intent, derivation, provenance,
 configurations  configuration_id, make_id, model_id, model_year, engine_id,
                 qualifiers map<string,string>
 scopes          scope_id, make_id, model_id, model_year, engine_id, qualifiers,
-                mode, include_reference
+                mode, include_reference, and browse_all if any scope is one
 events          event_id, subject_id, relation, action, prior_event_id, targets
                 array<string>, bindings array<string>, stale
 
 ``decide`` gives one row for each unit and scope. Subjects of a unit are the
 unit, its parents, its document and its publication, nearest first (depth 0 on).
-Every assertion on them is evaluated against every scope with array functions;
-each depth is summed up on its own; the nearest depth at which a closing rule
-fires decides, else one ordered chain over the sums of all depths does. There is
-no loop over units and no Python.
+Units whose evidence says the same at the same depths are a class
+(``evidence_classes``), and one of a class is decided for all: every assertion on
+its subjects is evaluated against every scope with array functions; each depth is
+summed up on its own; the nearest depth at which a closing rule fires decides,
+else one ordered chain over the sums of all depths does. So what meets every scope
+is classes, not units; units come in where the rows are given out, with their own
+assertions' ids. There is no loop over units and no Python.
 """
 
 from __future__ import annotations
@@ -157,15 +160,98 @@ def _proofs(units, assertions, subjects, events, scopes, review) -> DataFrame:
     return proved.groupBy("unit_id", "scope_id").agg(F.collect_list("proved").alias("proofs"))
 
 
+def evidence_classes(units: DataFrame, assertions: DataFrame, subjects: DataFrame, events: DataFrame) -> DataFrame:
+    """(unit_id, class, evidence): units of one class have the same evidence but for names, and so the same decisions on it.
+
+    A class is a digest of the unit's assertions in order of depth, place and id,
+    each with all that decisions read of it, and of the live reviews on what is
+    above the unit. A unit with a review of its own is a class of its own, since
+    such a review may prove what the unit's citation shows. ``evidence`` has the
+    assertions' ids in the class's order.
+    """
+    told = F.to_json(F.struct("intent", "derivation", "provenance", "support", "alternatives"))
+    lines = subjects.join(assertions, "subject_id").where("depth = 0 or to_descendants").withColumn("says", F.concat_ws("|", "inner", told))
+    listed = lines.groupBy("unit_id").agg(F.sort_array(F.collect_list(F.struct("depth", "ord", "assertion_id", "says"))).alias("all"))  # what one unit inherits
+    # of places only their order is read, and whether two are the same
+    tied = lambda one, k: (k > 0) & F.coalesce(F.get("all", k - 1)["depth"].eqNullSafe(one["depth"]) & F.get("all", k - 1)["ord"].eqNullSafe(one["ord"]), F.lit(False))
+    line = lambda one, k: F.concat_ws("|", one["depth"].cast("string"), tied(one, k).cast("string"), one["says"])
+    listed = listed.select("unit_id", F.transform("all", line).alias("lines"), F.transform("all", lambda one: one["assertion_id"]).alias("evidence"))
+    closed = events.where("prior_event_id is not null").select(F.col("prior_event_id").alias("event_id")).distinct()
+    live = events.where("relation = 'section_applies'").join(closed, "event_id", "left_anti").select("event_id", "subject_id").distinct()
+    named = subjects.join(small(live), "subject_id").groupBy("unit_id").agg(F.array_sort(F.collect_set("event_id")).alias("events"), F.min("depth").alias("nearest"))
+    own = F.when(F.col("nearest") == 0, F.col("unit_id"))
+    nested = subjects.where("depth = 0").select("unit_id", (F.col("length") > 3).alias("nested"))
+    rows = units.select("unit_id").join(nested, "unit_id").join(listed, "unit_id", "left").join(named, "unit_id", "left")
+    digest = F.sha2(F.to_json(F.struct("nested", "lines", "events", own.alias("own"))).cast("binary"), 256)
+    return rows.select("unit_id", digest.alias("class"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
+
+
 def decide(units: DataFrame, publications: DataFrame, assertions: DataFrame, configurations: DataFrame, scopes: DataFrame, events: DataFrame) -> DataFrame:
     """(unit_id, scope_id, state, reason, search_eligible, evidence_ids, review_event_ids) of every unit in every scope."""
-    subjects = ancestry(units)
+    members, decided = decision_classes(units, publications, assertions, configurations, scopes, events)
+    rows = members.join(small(decided), "class")
+    verdict, eligible = _given(rows)
+    named = F.array_sort(F.transform("places", lambda place: F.element_at("evidence", place.cast("int"))))
+    none = F.array().cast("array<string>")
+    browsed = F.col("browse_all")
+    return rows.select(
+        "unit_id",
+        "scope_id",
+        verdict["state"].alias("state"),
+        verdict["reason"].alias("reason"),
+        eligible.alias("search_eligible"),
+        F.when(browsed, none).otherwise(named).alias("evidence_ids"),
+        F.when(browsed, none).otherwise(F.col("accepted")).alias("review_event_ids"),
+    )
+
+
+def _outcome(state, reason) -> Column:
+    state = F.lit(state) if isinstance(state, str) else state
+    reason = F.lit(reason) if isinstance(reason, str) else reason
+    return F.struct(state.alias("state"), reason.alias("reason"))
+
+
+def _given(rows: DataFrame) -> tuple[Column, Column]:
+    """The verdict on a unit, from its class's and what is the unit's own; and whether a search may show it."""
+    verdict = (
+        F.when(F.col("browse_all"), _outcome("possible", "incomplete_selection"))
+        .when(F.col("nothing"), _outcome("excluded", "no_eligible_units"))
+        .when((F.col("publication_kind") == "reference") & F.col("include_reference"), _outcome("reference", "generic_reference"))
+        .when(F.col("publication_kind") == "reference", _outcome("excluded", "generic_reference"))
+        .when((F.col("search_state") == "metadata_only") & F.col("mixed"), _outcome("excluded", "mixed_content"))
+        .otherwise(F.col("verdict"))
+    )
+    may = (verdict["state"] == "possible") & (F.col("mode") == "include_possible")
+    return verdict, (verdict["state"].isin("confirmed", "reference") | may) & (F.col("search_state") != "metadata_only")
+
+
+def decision_classes(units: DataFrame, publications: DataFrame, assertions: DataFrame, configurations: DataFrame, scopes: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Units with their class and what is their own; and a decision for each class and scope.
+
+    (unit_id, class, evidence, publication_kind, search_state, mixed) and (class,
+    scope_id, mode, include_reference, browse_all, nothing, verdict, places,
+    accepted); ``places`` are those of the evidence among a member's.
+    """
+    subjects = reliable(ancestry(units))
+    classes = reliable(evidence_classes(units, assertions, subjects, events))
+    first = reliable(classes.groupBy("class").agg(F.min(F.struct("unit_id", "evidence")).alias("first")).select("class", "first.unit_id", F.col("first.evidence").alias("of_first")))
+    one = first.select("unit_id")
+    decided = _decide(units.join(one, "unit_id", "left_semi"), subjects.join(one, "unit_id", "left_semi"), assertions, configurations, scopes, events).join(first, "unit_id")
+    places = F.transform("evidence_ids", lambda name: F.array_position("of_first", name))
+    kinds = publications.select("publication_id", F.col("kind").alias("publication_kind"))
+    members = units.select("unit_id", "publication_id", "search_state", "mixed").join(small(kinds), "publication_id").drop("publication_id").join(classes, "unit_id")
+    return members, decided.select("class", "scope_id", "mode", "include_reference", "browse_all", "nothing", "verdict", places.alias("places"), "accepted")
+
+
+def _decide(units: DataFrame, subjects: DataFrame, assertions: DataFrame, configurations: DataFrame, scopes: DataFrame, events: DataFrame) -> DataFrame:
+    """What the evidence of each unit says in each scope: (unit_id, scope_id, ..., nothing, verdict, evidence_ids, accepted)."""
+    scopes = scopes if "browse_all" in scopes.columns else scopes.withColumn("browse_all", F.lit(False))
     scopes = small(scopes)
     chosen = small(reliable(scope_configurations(scopes, configurations)))
     review = review_state(events, subjects, chosen)
     scope = {f: F.col(k) for f, k in FIELDS.items()}
 
-    # every assertion of every unit against every scope; scopes are a small table of selections
+    # every assertion of these units, one a class, against every scope; scopes are a small table of selections
     applied = subjects.join(assertions, "subject_id").where("depth = 0 or to_descendants").crossJoin(scopes)
     applied = applied.withColumn("outcome", assertion_outcome(F.col("alternatives"), scope, F.col("qualifiers")))
     holds, include = F.col("outcome").isNotNull(), F.col("intent") == "include"
@@ -209,8 +295,7 @@ def decide(units: DataFrame, publications: DataFrame, assertions: DataFrame, con
         F.max(F.col("depth") == 0).alias("has_own"),
         F.array_sort(F.collect_set("best.id")).alias("basis"),
     )
-    kinds = publications.select("publication_id", F.col("kind").alias("publication_kind"))
-    rows = units.select("unit_id", "publication_id", "search_state", "mixed", "kind").crossJoin(scopes).join(small(kinds), "publication_id")
+    rows = units.select("unit_id").crossJoin(scopes)
     rows = rows.join(chosen, "scope_id", "left").join(sums, ["unit_id", "scope_id"], "left").join(review, ["unit_id", "scope_id"], "left")
     rows = rows.join(_proofs(units, assertions, subjects, events, scopes, review), ["unit_id", "scope_id"], "left")
 
@@ -226,47 +311,47 @@ def decide(units: DataFrame, publications: DataFrame, assertions: DataFrame, con
     full = F.col("make_id").isNotNull() & F.col("model_id").isNotNull() & F.col("model_year").isNotNull() & F.col("engine_id").isNotNull()
     may = F.when(F.col("mode") == "include_possible", "possible").otherwise("excluded")
 
-    def outcome(state, reason):
-        state = F.lit(state) if isinstance(state, str) else state
-        reason = F.lit(reason) if isinstance(reason, str) else reason
-        return F.struct(state.alias("state"), reason.alias("reason"))
-
     reason = F.col("closed.reason")
     verdict = (
-        F.when(empty | (full & ~flag("known")), outcome("excluded", "no_eligible_units"))
-        .when((F.col("publication_kind") == "reference") & F.col("include_reference"), outcome("reference", "generic_reference"))
-        .when(F.col("publication_kind") == "reference", outcome("excluded", "generic_reference"))
-        .when((F.col("search_state") == "metadata_only") & F.col("mixed"), outcome("excluded", "mixed_content"))
-        .when(reason == "missing_qualifier", outcome(may, "missing_qualifier"))
-        .when(reason.isNotNull(), outcome("excluded", reason))
-        .when(~accepted & some("stale"), outcome("excluded", "stale_review"))
-        .when(~accepted & pending & ~positive & ~proposal, outcome("excluded", "pending_cross_make"))
-        .when(~accepted & flag("contradicted"), outcome("excluded", "excluded_by_source"))
-        .when(accepted & flag("contradicted") & flag("has_own") & ~some("own_accepted"), outcome("excluded", "conflicting_child"))
-        .when((flag("unknown_make") & ~positive & ~accepted) | (~positive & ~proposal & ~accepted), outcome("unmapped", "unknown_identity"))
-        .when(accepted & flag("has_own") & (unqualified | (lacks & ~filled)), outcome(may, F.when(unqualified, F.lit("missing_qualifier")).otherwise(first_missing)))
-        .when(accepted, outcome("confirmed", "reviewed"))
-        .when(~positive, outcome(may, first_missing))
-        .when(~full, outcome(may, "incomplete_selection"))
-        .when(unqualified, outcome(may, "missing_qualifier"))
-        .when(lacks, outcome(may, first_missing))
-        .otherwise(outcome("confirmed", "explicit_source"))
+        F.when(reason == "missing_qualifier", _outcome(may, "missing_qualifier"))
+        .when(reason.isNotNull(), _outcome("excluded", reason))
+        .when(~accepted & some("stale"), _outcome("excluded", "stale_review"))
+        .when(~accepted & pending & ~positive & ~proposal, _outcome("excluded", "pending_cross_make"))
+        .when(~accepted & flag("contradicted"), _outcome("excluded", "excluded_by_source"))
+        .when(accepted & flag("contradicted") & flag("has_own") & ~some("own_accepted"), _outcome("excluded", "conflicting_child"))
+        .when((flag("unknown_make") & ~positive & ~accepted) | (~positive & ~proposal & ~accepted), _outcome("unmapped", "unknown_identity"))
+        .when(accepted & flag("has_own") & (unqualified | (lacks & ~filled)), _outcome(may, F.when(unqualified, F.lit("missing_qualifier")).otherwise(first_missing)))
+        .when(accepted, _outcome("confirmed", "reviewed"))
+        .when(~positive, _outcome(may, first_missing))
+        .when(~full, _outcome(may, "incomplete_selection"))
+        .when(unqualified, _outcome(may, "missing_qualifier"))
+        .when(lacks, _outcome(may, first_missing))
+        .otherwise(_outcome("confirmed", "explicit_source"))
     )
-    rows = rows.withColumn("verdict", verdict)
-    state = F.col("verdict.state")
-    eligible = (state.isin("confirmed", "reference") | ((state == "possible") & (F.col("mode") == "include_possible"))) & (F.col("search_state") != "metadata_only")
     none = F.array().cast("array<string>")
     return rows.select(
         "unit_id",
         "scope_id",
-        state.alias("state"),
-        F.col("verdict.reason").alias("reason"),
-        eligible.alias("search_eligible"),
+        "mode",
+        "include_reference",
+        "browse_all",
+        (empty | (full & ~flag("known"))).alias("nothing"),
+        verdict.alias("verdict"),
         F.coalesce(F.when(F.col("closed.id").isNotNull(), F.array("closed.id")), F.col("basis"), none).alias("evidence_ids"),
-        F.coalesce("accepted", none).alias("review_event_ids"),
+        F.coalesce("accepted", none).alias("accepted"),
     )
 
 
+def class_counts(members: DataFrame, decided: DataFrame) -> DataFrame:
+    """``scope_counts`` of the two tables of ``decision_classes``: members are counted by class first, so units don't meet scopes."""
+    own = ["class", "publication_kind", "search_state", "mixed"]
+    rows = members.groupBy(*own).agg(F.count("*").alias("members")).join(decided, "class")
+    verdict, eligible = _given(rows)
+    rows = rows.select("scope_id", verdict["state"].alias("state"), eligible.alias("search_eligible"), "members")
+    content = rows.groupBy("scope_id").agg((~F.max("search_eligible")).alias("no_content"))
+    return rows.groupBy("scope_id", "state").agg(F.sum("members").alias("units")).join(content, "scope_id")
+
+
 def scope_counts(decisions: DataFrame) -> DataFrame:
     """(scope_id, state, units, no_content)."""
     content = decisions.groupBy("scope_id").agg((~F.max("search_eligible")).alias("no_content"))
@@ -318,7 +403,7 @@ def q_unit_decisions(spark, sf_dir):
 
 
 def q_scope_state_counts(spark, sf_dir):
-    return scope_counts(decide(*_tables(spark, sf_dir)))
+    return class_counts(*decision_classes(*_tables(spark, sf_dir)))
 
 
 QUERIES = {"unit_decisions": q_unit_decisions, "scope_state_counts": q_scope_state_counts}
