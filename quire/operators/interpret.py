@@ -9,9 +9,8 @@ configurations  configuration_id, make_id, model_id, model_year, engine_id,
                 qualifiers map<string,string>
 aliases         literal, target_id, year_start, year_end
 
-Names are found by one automaton over all names of the vocabulary, in one pass
-over a statement; SQL has no positions of matches, so this is an Arrow function.
-All that follows is joins: a model brings its make, a displacement becomes an
+Names are found by joins with the vocabulary (``quire.operators.dictionary``), which
+may be of any size. All that follows is joins too: a model brings its make, a displacement becomes an
 engine where model and year leave a single one, a tuple has to be a known
 configuration, a qualifier's value has to be one of its values.
 """
@@ -19,99 +18,19 @@ configuration, a qualifier's value has to be one of its values.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import ahocorasick
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.dictionary import mentions
 from quire.operators.matching import ALTERNATIVES, PREDICATE
 from quire.plans.sizes import small
 
-MOST_NAMES = 100_000
 # Qualifiers that any vocabulary may name, and words that make a qualifier more than a value.
 QUALIFIERS = ("vin", "rpo", "transmission", "drivetrain", "body", "wheelbase")
 COMPLEX = r"(?i)\b(?:except|excluding|not|through|thru|before|after|and|or)\b"
 DISPLACEMENT = r"(?i)\b([0-9]{1,2}(?:\.[0-9])?)\s*(?:l\b|liter\b|litre\b)"
-_YEAR = re.compile(r"\b(?:19|20)\d{2}\b")
-
-
-def _plain(text: str) -> str:
-    return " ".join(text.lower().split())
-
-
-def _automaton(names: list[tuple]) -> ahocorasick.Automaton:
-    """Names (kind, target, literal, first, last), the first ones counting most, by their lower-cased literals."""
-    held: dict[str, list] = {}
-    for order, (kind, target, literal, first, last) in enumerate(names):
-        if key := _plain(literal or ""):
-            held.setdefault(key, []).append((order, kind, target, first, last))
-    made = ahocorasick.Automaton()
-    for key, given in held.items():
-        made.add_word(key, (len(key), given))
-    if held:
-        made.make_automaton()
-    return made
-
-
-def _word(letter: str) -> bool:
-    return letter.isalnum() or letter == "_"
-
-
-def longest(spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
-    """Spans (start, end, kind, target, in order of their names) that no span before them overlaps, longer ones first."""
-    kept: list[tuple[int, int, str, str]] = []
-    for start, end, kind, target in sorted(spans, key=lambda s: s[0] - s[1]):
-        if all(end <= a or b <= start for a, b, k, _ in kept if k == kind):
-            kept.append((start, end, kind, target))
-    return kept
-
-
-def _spans(said: str, year: int | None, automaton: ahocorasick.Automaton) -> list[tuple[int, int, str, str]]:
-    text, found = _plain(said), []
-    for last, (size, given) in automaton.iter(text) if len(automaton) else ():
-        start, end = last - size + 1, last + 1
-        if start and _word(text[start - 1]) or end < len(text) and _word(text[end]):
-            continue
-        for order, kind, target, first, until in given:
-            if first is None or (year is not None and first <= year <= until):
-                found.append((order, start, end, kind, target))
-    return longest([span[1:] for span in sorted(found)])
-
-
-def mentions(statements: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, kind, target_id): the makes, models and engines that a statement names.
-
-    ``names`` has kind, target_id, literal, year_start, year_end and may have ord,
-    which tells which of names alike counts; one with years counts only where the
-    statement's year lies between them. That is column ``year`` where there is
-    one, else the statement's only year. The vocabulary is one of bounded size,
-    which is checked before it is shipped.
-    """
-    order = [F.col("ord")] if "ord" in names.columns else []
-    columns = ["kind", "target_id", "literal", "year_start", "year_end"]
-    rows = [tuple(r)[:5] for r in names.orderBy(*order, *columns).select(columns).limit(MOST_NAMES + 1).collect()]
-    if len(rows) > MOST_NAMES:
-        raise ValueError("vocabulary is too large to be shipped to every task")
-    given = statements.sparkSession.sparkContext.broadcast(rows)
-    dated = "year" in statements.columns
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton(given.value)
-        for frame in frames:
-            found = []
-            for key, said, year in zip(frame["id"], frame["statement"], frame["year"], strict=True):
-                said = said or ""
-                years = {int(year)} if dated and not pd.isna(year) else set() if dated else set(map(int, _YEAR.findall(said)))
-                hits = _spans(said, years.pop() if len(years) == 1 else None, automaton)
-                found += sorted({(key, kind, target) for _, _, kind, target in hits})
-            yield pd.DataFrame(found, columns=["id", "kind", "target_id"])
-
-    kind = statements.schema["id"].dataType.simpleString()
-    year = F.col("year").cast("int") if dated else F.lit(None).cast("int")
-    return statements.select("id", "statement", year.alias("year")).mapInPandas(run, f"id {kind}, kind string, target_id string")
 
 
 def names_of(vocabulary: dict[str, DataFrame]) -> DataFrame:
@@ -195,7 +114,8 @@ def _tuples(said: DataFrame, vocabulary: dict[str, DataFrame]) -> DataFrame:
 def _qualified(each: DataFrame, vocabulary: dict[str, DataFrame]) -> DataFrame:
     """(id, named_model, qualifiers map<string,P>, open): qualifiers that a statement names, for each of its rows."""
     values = vocabulary["configurations"].select("make_id", "model_id", "model_year", "engine_id", F.explode("qualifiers").alias("name", "held")).distinct()
-    keys = sorted({*QUALIFIERS, *[r["name"] for r in values.select("name").distinct().limit(MOST_NAMES).collect()]})
+    # names of qualifiers are the vocabulary's schema: each becomes a pattern
+    keys = sorted({*QUALIFIERS, *[r["name"] for r in values.select("name").distinct().collect()]})
     said = F.col("statement")
 
     def one(key: str) -> Column:

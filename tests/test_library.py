@@ -325,3 +325,44 @@ def test_mentions_of_titles_of_very_many_lengths(spark):
     rows = relations.title_mentions(docs, "title").collect()
     assert {(r["key"], r["doc_id"]) for r in rows} == {("chapter 00007 xxxxxxx end", k) for k in range(1, 2000, 2)} and len(rows) == 1000
     assert time.time() - began < 30
+
+
+def _plain_mentions(text, names):
+    """Names by pattern, longest first, as a plain walk."""
+    import re
+
+    found = []
+    for kind, target, literal in names:
+        pattern = r"(?<!\w)" + r"\s+".join(map(re.escape, literal.split())) + r"(?!\w)"
+        found += [(m.start(), m.end(), kind, target, literal) for m in re.finditer(rf"(?=({pattern}))", text, re.I) for m in [re.compile(pattern, re.I).match(text, m.start())]]
+    kept = []
+    for start, end, kind, target, literal in sorted(found, key=lambda f: (-len(" ".join(text[f[0] : f[1]].split())), f[2], f[3], f[4], f[0])):
+        if not any(start < b and a < end for a, b, k, _ in kept if k == kind):
+            kept.append((start, end, kind, target))
+    return {(kind, target) for _, _, kind, target in kept}
+
+
+def test_mentions_equal_patterns(spark):
+    """Words, marks at either end of a name, blanks of any width, overlapping names, texts of one id."""
+    import random
+
+    from quire.operators import dictionary
+
+    rng = random.Random(4)
+    pieces = ["ab", "AB", "c", "1500", "(hot)", "-", "x_y", "é", "d.", "#7", "ab-c"]
+    names = sorted({(rng.choice(["make", "model"]), f"t{k}", rng.choice([" ", "  "]).join(rng.choices(pieces, k=rng.randint(1, 3)))) for k in range(60)})
+    texts = [(k % 150, "".join(rng.choice(pieces) + rng.choice([" ", "", "\t ", ", "]) for _ in range(rng.randint(0, 14)))) for k in range(200)] + [(999, None), (998, "")]
+    none = F.lit(None).cast("int")
+    frame = spark.createDataFrame(names, "kind string, target_id string, literal string").select("*", none.alias("year_start"), none.alias("year_end"))
+    got = {tuple(r) for r in dictionary.mentions(spark.createDataFrame(texts, "id int, statement string"), frame).collect()}
+    assert got == {(k, *hit) for k, text in texts for hit in _plain_mentions(text or "", names)} and len(got) > 100
+
+
+def test_a_million_names(spark):
+    from quire.operators import dictionary
+
+    none = F.lit(None).cast("int")
+    names = spark.range(1_000_000).select(F.lit("model").alias("kind"), F.concat(F.lit("m"), "id").alias("target_id"), F.concat(F.lit("Name "), "id", F.lit(" of "), F.col("id") % 7).alias("literal"), none.alias("year_start"), none.alias("year_end"))
+    said = spark.range(500).select("id", F.concat(F.lit("see name "), F.col("id") * 1999, F.lit(" of "), F.col("id") * 1999 % 7, F.lit(" and name 5 of 6.")).alias("statement"))
+    rows = dictionary.mentions(said, names).collect()
+    assert sorted((r["id"], r["target_id"]) for r in rows) == [(k, f"m{k * 1999}") for k in range(500)]
