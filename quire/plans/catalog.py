@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quire.operators import cases, decision_cases, dictionary, events, evidence, hierarchy, matching, package_cases, pages, proposals, published, relations, screens, search
+from quire.operators import cases, decision_cases, dictionary, events, evidence, hierarchy, matching, nodes, package_cases, pages, proposals, published, relations, screens, search
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (search, screens, cases, decision_cases, relations, matching, hierarchy, events, evidence, pages, proposals, package_cases, published, dictionary):
+for _module in (search, screens, cases, decision_cases, relations, matching, hierarchy, events, evidence, pages, proposals, package_cases, published, dictionary, nodes):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(getattr(_module, "ORACLE_SQL", {}))
