@@ -12,7 +12,7 @@ from quire.operators.proposals import proposals
 from quire.operators.relations import anchor_candidates, backlinks, lead_members, leads, link_status, membership, navigation_labels, shard_pack, shared_text
 from quire.operators.reviewlog import append, event, rebase
 from quire.operators.search import bm25, collapse, facets, filtered, indexed_search, postings, save_index, scoped_search
-from quire.plans.package import cached, extract, library, normalize, open_source, read_package, write_package
+from quire.plans.package import cached, extract, library, normalize, open_package, open_source, read_package, write_package
 from quire.plans.publish import ScopeCache, Search, open_current, publish, search
 from quire.sources.archives import PodSource, disc_entries, entries, zip_members
 from quire.sources.discover import inspect, listing, probe, routes, unpacked

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import ids
 from quire.functions import text as T
+from quire.plans import hashtree
 from quire.plans.fixpoint import reliable
 from quire.plans.store import files_of, read_text, write_text
 from quire.sources import archives, files, html
@@ -137,11 +138,15 @@ def _finish(spark: SparkSession, out: str, tables: dict[str, DataFrame], record:
     try:
         digests = {}
         for name, table in tables.items():
-            table.write.mode("overwrite").parquet(f"{stage}/{name}")
+            key = _key(table)
+            # files hold ranges of the key, so that a reader opens, and checks, few of them
+            dealt = table.repartitionByRange(key).sortWithinPartitions(key) if key else table
+            dealt.write.mode("overwrite").parquet(f"{stage}/{name}")
             written = spark.read.parquet(f"{stage}/{name}")
             if name in checks:
                 checks[name](written)
             digests[name] = table_digest(written)
+        hashtree.write(spark, stage, {name: _key(table) for name, table in tables.items()})
         whole = {"contract": PACKAGE, "transform_revision": transform_revision(), "tables": digests, **record}
         revision = ids.canonical_digest(whole)
         write_text(spark, f"{stage}/record.json", json.dumps({**whole, "revision": revision}, sort_keys=True))
@@ -163,12 +168,27 @@ def table_digest(table: DataFrame) -> str:
     return ids.canonical_digest([str(x) for x in own.agg(F.count("*"), *parts).first()])
 
 
-def read_package(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
-    """A package's tables and record, only after every table has been digested again."""
+def _key(table: DataFrame) -> str | None:
+    """The column by which a table's files are ranges: the first of paths and documents that it has."""
+    return next((c for c in ("path", "source_path", "document_id") if c in table.columns), None)
+
+
+def _record(spark: SparkSession, path: str) -> dict:
     record = json.loads(read_text(spark, f"{path.rstrip('/')}/record.json"))
     said = {k: v for k, v in record.items() if k != "revision"}
     if record.get("contract") != PACKAGE or record.get("revision") != ids.canonical_digest(said):
         raise Incomplete("package's record changed")
+    return record
+
+
+def open_package(spark: SparkSession, path: str) -> tuple[hashtree.Tree, dict]:
+    """A package whose files are checked when they are opened, at the cost of what is opened, and its record."""
+    return hashtree.Tree(spark, path), _record(spark, path)
+
+
+def read_package(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
+    """A package's tables and record, only after every table has been digested again."""
+    record = _record(spark, path)
     tables = {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in record["tables"]}
     for name, table in tables.items():
         if table_digest(table) != record["tables"][name]:

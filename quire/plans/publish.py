@@ -17,6 +17,7 @@ from quire.functions.ids import canonical_digest
 from quire.operators import blocks
 from quire.operators.relations import SHARD_CHARS, membership, shard_pack
 from quire.operators.search import query_terms
+from quire.plans import hashtree
 from quire.plans.fixpoint import reliable
 from quire.plans.sizes import small
 from quire.plans.store import files_of, read_text, write_text
@@ -76,7 +77,8 @@ def publish(
             write(f"{folder}/{step}")
         counts = scope_units.groupBy("scope", "state").agg(F.count("*").alias("units"), F.count_if("eligible").alias("eligible"))
         counts.write.mode("overwrite").parquet(f"{folder}/filter_counts")
-        write_text(spark, f"{folder}/complete", json.dumps(revisions))
+        top = hashtree.write(spark, folder, {"units": None, "scope_memberships": None, "blocks": "term", "numbers": None, "filter_counts": None})
+        write_text(spark, f"{folder}/complete", json.dumps({**revisions, "tree": top}))
     if cancelled():
         raise Cancelled("activate")
     write_text(spark, f"{root}/current.json", json.dumps({"generation": name, **revisions}))
@@ -124,6 +126,11 @@ def search(spark: SparkSession, folder: str, scope: str, query: str, limit: int
     return rows.orderBy(F.desc("score"), "unit_id")
 
 
+def verified(spark: SparkSession, folder: str) -> hashtree.Tree:
+    """The generation's tables, each file checked when it is first opened, under the root that the generation was completed with."""
+    return hashtree.Tree(spark, folder, json.loads(read_text(spark, f"{folder}/complete"))["tree"])
+
+
 class Search:
     """A search that runs in a thread of its own, with a job tag by which ``cancel`` stops it between or inside its stages."""
 

@@ -33,6 +33,7 @@ def test_publish_and_search(spark, tmp_path):
     with pytest.raises(KeyError):
         publish.search(spark, folder, "unknown", "torque")
     assert publish.publish(units, scopes, root, {"review_revision": "r1"}) == name
+    assert publish.verified(spark, folder).open("units").count() == 8
     with pytest.raises(publish.Cancelled):
         publish.publish(units, scopes, root, {"review_revision": "r3"}, cancelled=lambda: True)
     assert publish.open_current(spark, root, "r1")[1]["generation"] == name

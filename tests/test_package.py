@@ -142,3 +142,60 @@ def test_libraries():
     with pytest.raises(P.Incomplete):
         P.library([("a", {**record("1"), "status": "partial"})], "v", "w")
     assert len(P.transform_revision()) == 64
+
+
+def _flip(path):
+    data = bytearray(path.read_bytes())
+    data[len(data) // 2] ^= 1
+    path.write_bytes(bytes(data))
+    for crc in path.parent.glob(f".{path.name}.crc"):
+        crc.unlink()
+
+
+def test_a_reader_checks_what_it_opens(spark, tmp_path):
+    """A flipped byte is found when its file is read, and only then; the cost is that of the files opened."""
+    from pyspark.sql import functions as F
+
+    from quire.plans import hashtree
+
+    folder = tmp_path / "tree"
+    rows = spark.range(4000).select(F.format_string("k%05d", "id").alias("path"), F.repeat(F.lit("x"), 50).alias("said"))
+    rows.repartitionByRange(8, "path").sortWithinPartitions("path").write.parquet(f"{folder}/rows")
+    spark.range(10).write.parquet(f"{folder}/other")
+    root = hashtree.write(spark, str(folder), {"rows": "path", "other": None})
+    tree = hashtree.Tree(spark, str(folder), root)
+    assert tree.open("rows", "k00100", "k00120").where("path between 'k00100' and 'k00120'").count() == 21
+    assert len(tree.checked) == 1
+    leaves = {r["file"]: r for r in spark.read.parquet(f"{folder}/leaves").where("table = 'rows'").collect()}
+    last = max(leaves.values(), key=lambda r: r["most"])
+    _flip(folder / last["file"])
+    fresh = hashtree.Tree(spark, str(folder))
+    assert fresh.open("rows", "k00100", "k00120").count() > 0 and fresh.open("other").count() == 10
+    for span in (("k03999", None), (None, None)):
+        with pytest.raises(hashtree.Damaged, match=last["file"].rsplit("/", 1)[-1]):
+            hashtree.Tree(spark, str(folder)).open("rows", *span)
+    with pytest.raises(hashtree.Damaged):
+        hashtree.Tree(spark, str(folder), "another root")
+    spark.range(3).select(F.lit("zz").alias("path"), F.lit("s").alias("said")).write.mode("append").parquet(f"{folder}/rows")
+    with pytest.raises(hashtree.Damaged):
+        hashtree.Tree(spark, str(folder)).open("rows")
+
+
+def test_packages_are_opened_by_ranges(spark, folder, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quire.plans import hashtree
+
+    out = tmp_path / "out"
+    P.extract(spark, str(folder), str(out))
+    tree, record = P.open_package(spark, str(out))
+    assert record["status" if "status" in record else "contract"] and tree.open("members", "m/a.html", "m/a.html").where("path = 'm/a.html'").count() == 1
+    assert sorted(r["path"] for r in tree.open("members").select("path").collect()) == sorted(FILES)
+    # a file and its leaf that were both changed don't fit the node above
+    one = tree._leaves("members", "m/a.html", "m/a.html")[0]
+    changed = spark.read.parquet(str(out / "leaves")).withColumn("sha256", F.when(F.col("file") == one["file"], "0").otherwise(F.col("sha256")))
+    changed.write.partitionBy("bucket").parquet(str(tmp_path / "changed"))
+    (out / "leaves").rename(tmp_path / "kept")
+    (tmp_path / "changed").rename(out / "leaves")
+    with pytest.raises(hashtree.Damaged, match="leaves"):
+        hashtree.Tree(spark, str(out)).open("members", "m/a.html", "m/a.html")
