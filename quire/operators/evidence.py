@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import ids
 from quire.functions import text as T
+from quire.operators.summaries import case_insensitive_paths
 
 
 def load(spark, sf_dir: str, name: str) -> DataFrame:
@@ -274,9 +275,8 @@ def q_cache_misses(spark, sf_dir):
 def q_path_join(spark, sf_dir):
     """Links that differ from their file in case only."""
     part = load(spark, sf_dir, "part")
-    files = part.groupBy(F.lower("p_type").alias("folded")).agg(F.min("p_type").alias("path"))
-    links = part.select("p_partkey", F.lower(F.upper("p_type")).alias("folded"))
-    return links.join(files, "folded").select("p_partkey", "path")
+    links = part.select("p_partkey", F.lower("p_type").alias("link"))
+    return case_insensitive_paths(links, part.select(F.col("p_type").alias("path")), "link").select("p_partkey", F.col("member").alias("path"))
 
 
 QUERIES = {

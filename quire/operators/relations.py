@@ -135,8 +135,8 @@ def link_status(links: DataFrame, documents: DataFrame, members: DataFrame) -> D
     return joined.withColumn("status", status).drop("__path", "__available", "__anchors", "__member")
 
 
-#: Sources of a target that are shown; and rows of an index.
-BACKLINK_CAP, INDEX_CAP = 14, 400
+#: Sources of a target that are shown.
+BACKLINK_CAP = 14
 
 
 def backlinks(edges: DataFrame, most: int = BACKLINK_CAP) -> DataFrame:
@@ -414,12 +414,6 @@ def q_contiguity(spark, sf_dir):
     return contiguity_breaks(chunks, "l_orderkey").select("l_orderkey", "offset", "previous_end")
 
 
-def q_extension_counts(spark, sf_dir):
-    name = F.lower(F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1))
-    extension = F.regexp_extract(name, r"(\.[a-z0-9]+)$", 1)
-    return load(spark, sf_dir, "pages").groupBy(extension.alias("extension")).agg(F.count("*").alias("n"))
-
-
 def q_status_counts(spark, sf_dir):
     return zero_filled(load(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")), "status", ["F", "O", "P", "X"])
 
@@ -430,25 +424,6 @@ def q_content_digest(spark, sf_dir):
     return content_digest(docs, "source", row)
 
 
-def q_prefix_vote(spark, sf_dir):
-    votes = load(spark, sf_dir, "part").select("p_brand", F.substring("p_name", 1, 3).alias("prefix")).groupBy("p_brand", "prefix").agg(F.count("*").alias("n"))
-    return votes.groupBy("p_brand").agg(F.max(F.struct("n", "prefix")).alias("best")).select("p_brand", "best.prefix", "best.n")
-
-
-def q_book_summary(spark, sf_dir):
-    rows = load(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("year"), "o_orderpriority", "o_orderkey")
-    return rows.groupBy("o_custkey").agg(
-        F.concat_ws(",", F.sort_array(F.collect_set("year")).cast("array<string>")).alias("years"),
-        F.concat_ws(",", F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda s: s["o_orderpriority"]))).alias("models"),
-    )
-
-
-def q_latency_p95(spark, sf_dir):
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"), F.expr("percentile_disc(0.5) within group (order by value)").alias("median")
-    )
-
-
 def q_snapshot_diff(spark, sf_dir):
     part = load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     after = part.where("p_partkey % 11 <> 0").withColumn("p_size", F.when(F.col("p_partkey") % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
@@ -509,12 +484,8 @@ QUERIES = {
     "nth_of_type": q_nth_of_type,
     "chain_breaks": q_chain_breaks,
     "contiguity_breaks": q_contiguity,
-    "extension_counts": q_extension_counts,
     "status_counts": q_status_counts,
     "content_digest": q_content_digest,
-    "prefix_vote": q_prefix_vote,
-    "book_summary": q_book_summary,
-    "latency_p95": q_latency_p95,
     "snapshot_diff": q_snapshot_diff,
     "set_operations": q_set_operations,
     "caption_as_of": q_captions,
@@ -577,14 +548,8 @@ ORACLE_SQL = {
       p AS (SELECT *, CASE WHEN event_id % 10 = 0 THEN -1 ELSE expected END AS parent_id FROM e) SELECT user_id, event_id, parent_id, expected FROM p WHERE parent_id IS DISTINCT FROM expected""",
     "contiguity_breaks": """WITH c AS (SELECT l_orderkey, l_linenumber * 10 AS "offset", max(CASE WHEN l_quantity > 25 THEN 10 ELSE 9 END) AS size FROM lineitem GROUP BY 1, 2),
       p AS (SELECT l_orderkey, "offset", lag("offset" + size) OVER (PARTITION BY l_orderkey ORDER BY "offset") AS previous_end FROM c) SELECT * FROM p WHERE previous_end <> "offset" """,
-    "extension_counts": rf"SELECT regexp_extract({_NAME}, '(\.[a-z0-9]+)$', 1) AS extension, count(*) AS n FROM pages GROUP BY 1",
     "status_counts": "SELECT s.status, count(o.o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) s(status) LEFT JOIN orders o ON o.o_orderstatus = s.status GROUP BY 1",
     "content_digest": "SELECT source, sha256(string_agg(b || ':' || d, chr(10) ORDER BY b)) AS digest FROM (SELECT source, substr(own, 1, 3) AS b, sha256(string_agg(own, chr(10) ORDER BY own)) AS d FROM (SELECT source, sha256(doc_id || chr(10) || length(text) || chr(10) || sha256(text)) AS own FROM documents) GROUP BY 1, 2) GROUP BY 1",
-    "prefix_vote": "WITH v AS (SELECT p_brand, substr(p_name, 1, 3) AS prefix, count(*) AS n FROM part GROUP BY 1, 2) SELECT p_brand, prefix, n FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, prefix DESC) AS k FROM v) WHERE k = 1",
-    "book_summary": """WITH f AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS k FROM orders GROUP BY 1, 2)
-      SELECT o_custkey, years, models FROM (SELECT o_custkey, string_agg(DISTINCT year(o_orderdate)::VARCHAR, ',' ORDER BY year(o_orderdate)::VARCHAR) AS years FROM orders GROUP BY 1)
-      JOIN (SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY k) AS models FROM f GROUP BY 1) USING (o_custkey)""",
-    "latency_p95": "SELECT event_type, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.5) AS median FROM events GROUP BY 1",
     "snapshot_diff": """WITH b AS (SELECT * FROM part WHERE p_partkey % 13 <> 0), a AS (SELECT * FROM part WHERE p_partkey % 11 <> 0)
       SELECT coalesce(b.p_partkey, a.p_partkey) AS p_partkey, CASE WHEN b.p_partkey IS NULL THEN 'added' WHEN a.p_partkey IS NULL THEN 'removed' ELSE 'changed' END AS change,
       CASE WHEN b.p_partkey IS NOT NULL AND a.p_partkey IS NOT NULL THEN 'p_size' END AS columns

@@ -26,6 +26,9 @@ def test_the_rest_stands_alone(tmp_path):
         shutil.rmtree(tmp_path / folder, ignore_errors=True)
     found = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only", "-p", "no:cacheprovider"], cwd=tmp_path, capture_output=True, text=True)
     assert found.returncode == 0 and "error" not in found.stdout.lower().splitlines()[-1], found.stdout[-500:]
+    some = ["tests/test_shards.py", "tests/test_matching.py::test_every_reason_has_a_case", "tests/test_sources.py::test_drawings"]
+    run = subprocess.run([sys.executable, "-m", "pytest", *some, "-q", "-k", "not many_blocks", "-p", "no:cacheprovider"], cwd=tmp_path, capture_output=True, text=True)
+    assert run.returncode == 0, run.stdout[-500:]
     code = "import bench, quire.api, quire.__main__, quire.plans.catalog as c; assert c.QUERIES.keys() == c.ORACLE_SQL.keys()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
 
