@@ -7,6 +7,9 @@ serves the SQL that checks a query.
 
 from __future__ import annotations
 
+import functools
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,9 +66,35 @@ OIL_RATE = OIL_COMPARISON + LITRE_QUANTITY.replace("(", "(?:", 1) + QUART_EQUIVA
 RESERVED_PATHS = (".quire-manifest.json", ".quire-inventory.json")
 
 
+@functools.cache
+def _folds() -> tuple[str, dict[str, str]]:
+    """Characters whose full case folding isn't their lower case, and what the lower-case ones among them become.
+
+    By the rule of Unicode, for every code point, so there is no table to keep.
+    """
+    every = [chr(k) for k in range(sys.maxunicode + 1) if not 0xD800 <= k < 0xE000]
+    becomes = {c: c.casefold() for c in every if c.casefold() != c and c.lower() == c}
+    # a capital sigma's lower case depends on what follows, and some capitals are several letters
+    odd = [c for c in every if c.casefold() != c.lower() or len(c.lower()) > 1 or c.casefold() == "\u03c3"]
+    return "[" + "".join(rf"\x{{{ord(c):x}}}" for c in odd) + "]", becomes
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding: texts that differ in case only become the same, ``Straße`` and ``STRASSE`` too."""
+    odd, becomes = _folds()
+    low = F.lower(text)
+    single = {c: to for c, to in becomes.items() if len(to) == 1}
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(to).alias("to")) for c, to in becomes.items() if len(to) > 1])
+    one = F.translate(low, "".join(single), "".join(single.values()))
+    return F.when(text.rlike(odd), F.aggregate(pairs, one, lambda done, pair: F.replace(done, pair["c"], pair["to"]))).otherwise(low)
+
+
 def library_tokens(text: Column) -> Column:
-    """Runs of letters, digits and underscores, lower-cased."""
-    return F.regexp_extract_all(F.lower(text), F.lit(LIBRARY_TOKEN), F.lit(0))
+    """Runs of letters, digits and underscores, case-folded."""
+    plain = F.regexp_extract_all(F.lower(text), F.lit(LIBRARY_TOKEN), F.lit(0))
+    # where folding is more than lower case it may add marks, so words are found before
+    words = F.array_join(F.regexp_extract_all(text, F.lit(LIBRARY_TOKEN), F.lit(0)), " ")
+    return F.when(text.rlike(_folds()[0]), F.filter(F.split(casefold(words), " "), lambda word: word != "")).otherwise(plain)
 
 
 def site_tokens(text: Column) -> Column:
@@ -85,7 +114,8 @@ def compact(text: Column) -> Column:
 
 def snippet(text: Column, terms: list[str], before: int = 60, after: int = 160) -> Column:
     """The text around the first place where any of the terms stands, as a substring."""
-    places = [F.nullif(F.locate(t, F.lower(text)), F.lit(0)) for t in terms]
+    folded = casefold(text)
+    places = [F.nullif(F.locate(t, folded), F.lit(0)) for t in terms]
     first = F.coalesce(F.least(*places) if len(places) > 1 else places[0], F.lit(1)) - 1
     start = F.greatest(first - before, F.lit(0))
     return F.substring(text, start + 1, first + after - start)

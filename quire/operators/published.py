@@ -54,5 +54,5 @@ ORACLE_SQL = {
         f"SELECT '{scope}' AS scope, * FROM ({_tfidf_sql(_SCOPE_SQL[scope], query, limit, True)})" for scope, query, limit in _SEARCHES
     ),
     "index_heads": r"""SELECT term, count(*) AS df, max(n) AS most
-      FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1""",
+      FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+')) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1""",
 }

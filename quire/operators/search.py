@@ -24,7 +24,7 @@ def documents(spark, sf_dir: str) -> DataFrame:
 
 def query_terms(query: str) -> list[str]:
     """Terms of a library query, in order, repeats included."""
-    return re.findall(r"\w+", query.lower())
+    return [word.casefold() for word in re.findall(r"\w+", query)]
 
 
 def site_terms(query: str) -> list[str]:
@@ -77,7 +77,7 @@ def scoped_search(scope: DataFrame, query: str, limit: int = 100, id_column: str
     if not terms:
         return scope.select(id_column, F.lit(0.0).alias("score"), F.lit("").alias("snippet")).limit(0)
     distinct = list(dict.fromkeys(terms))
-    low = F.lower(text_column)
+    low = T.casefold(F.col(text_column))
     # a term's tokens are counted where they stand, between characters that no token holds
     tf = [F.when(low.contains(t), F.regexp_count(low, F.lit(_alone(t)))).otherwise(0).alias(f"tf{k}") for k, t in enumerate(distinct)]
     # texts are read once: what is kept has a term, and the number of all is told by the way
@@ -320,7 +320,9 @@ QUERIES = {
     "filtered_search": q_filtered_search,
 }
 
-_LIB = f"regexp_extract_all(lower(text), '{T.LIBRARY_TOKEN}')"
+# of the letters whose folding isn't their lower case, the tables have one
+FOLD_SQL = "replace(lower(text), 'ß', 'ss')"
+_LIB = f"regexp_extract_all({FOLD_SQL}, '{T.LIBRARY_TOKEN}')"
 
 
 def _site(text: str) -> str:
@@ -332,7 +334,7 @@ _INDEXED = f"list_filter({_site('text')}, lambda t: t NOT IN ({_STOPS}))"
 
 
 def _snippet_sql(terms):
-    places = ", ".join(f"nullif(strpos(lower(text), '{t}'), 0)" for t in terms)
+    places = ", ".join(f"nullif(strpos({FOLD_SQL}, '{t}'), 0)" for t in terms)
     return f"substr(text, greatest(coalesce(least({places}), 1) - 1 - 60, 0) + 1, coalesce(least({places}), 1) - 1 + 160 - greatest(coalesce(least({places}), 1) - 1 - 60, 0))"
 
 

@@ -82,13 +82,14 @@ def open_source(spark: SparkSession, path: str, most_files: int = files.MOST_FIL
     rows = _raw(spark, path).where(~F.col("path").rlike(files.IGNORED))
     rows = rows.select("path", "size", F.sha2("content", 256).alias("sha256"), T.media_type(F.col("path")).alias("media_type"), "content", "error")
     # contents are read once for their digests, and again only by who asks for the members; they are never copied here
-    seen = reliable(rows.select("path", "size", "sha256", "error", T.unsafe_path(F.col("path")).alias("unsafe"), files.collision_key("path").alias("folded")))
-    clash = seen.groupBy("folded").agg(F.min("path").alias("kept"), F.count("*").alias("n"), F.countDistinct("path").alias("names")).where("n > 1").withColumnRenamed("folded", "of")
+    seen = reliable(rows.select("path", "size", "sha256", "error", T.unsafe_path(F.col("path")).alias("unsafe")))
+    clash = files.collisions(seen.where("unsafe is null").select("path").distinct()).withColumnRenamed("path", "of")
+    twice = seen.groupBy(F.col("path").alias("again")).agg(F.count("*").alias("n")).where("n > 1")
     limits = files.over_limits(_numbered(seen.select("path", "size")), most_files, most_bytes).select(F.col("path").alias("over"), F.col("code").alias("limit")).dropDuplicates(["over"])
-    joined = seen.join(clash, F.col("folded") == F.col("of"), "left").join(limits, F.col("path") == F.col("over"), "left")
+    joined = seen.join(clash, F.col("path") == F.col("of"), "left").join(twice, F.col("path") == F.col("again"), "left").join(limits, F.col("path") == F.col("over"), "left")
     problem = (
         F.when(F.col("unsafe").isNotNull(), F.struct(F.lit("unsafe_path").alias("code"), F.col("unsafe").alias("message")))
-        .when((F.col("kept") != F.col("path")) | (F.col("names") < F.col("n")), F.struct(F.lit("path_collision").alias("code"), F.concat(F.lit("same as "), "kept").alias("message")))
+        .when(F.col("kept").isNotNull() | F.col("n").isNotNull(), F.struct(F.lit("path_collision").alias("code"), F.concat(F.lit("same as "), F.coalesce("kept", "path")).alias("message")))
         .when(F.col("error").isNotNull(), F.struct(F.lit("unreadable").alias("code"), F.col("error").alias("message")))
         .when(F.col("limit").isNotNull(), F.struct(F.col("limit").alias("code"), F.lit("the source is beyond its limits").alias("message")))
     )

@@ -8,7 +8,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
@@ -37,12 +37,10 @@ def inventory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = files.where(fine).select(tail.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
     rows = rows.unionByName(files.where(~fine).select(tail.alias("path"), F.col("length").alias("size"), F.lit(None).cast("string").alias("sha256")))
     rows = rows.where(~F.col("path").rlike(IGNORED)).withColumn("unsafe", T.unsafe_path(F.col("path")))
-    folded = rows.withColumn("folded", collision_key("path"))
-    clash = folded.groupBy("folded").agg(F.min("path").alias("kept"), F.count("*").alias("n")).where("n > 1")
-    rows = folded.join(clash, "folded", "left")
+    rows = rows.join(collisions(rows.where("unsafe is null")), "path", "left")
     problem = (
         F.when(F.col("unsafe").isNotNull(), F.struct(F.lit("unsafe_path").alias("code"), F.col("unsafe").alias("message")))
-        .when(F.col("kept") != F.col("path"), F.struct(F.lit("path_collision").alias("code"), F.concat(F.lit("same as "), "kept").alias("message")))
+        .when(F.col("kept").isNotNull(), F.struct(F.lit("path_collision").alias("code"), F.concat(F.lit("same as "), "kept").alias("message")))
         .when(F.col("size") > MOST_FILE_BYTES, F.struct(F.lit("size_limit").alias("code"), F.lit("file is too large").alias("message")))
     )
     rows = rows.withColumn("problem", problem)
@@ -51,6 +49,24 @@ def inventory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return members, failures
 
 
+def prefixes(path: Column) -> Column:
+    """A path's folders and itself, the shortest first."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+
+
+def collisions(members: DataFrame) -> DataFrame:
+    """(path, kept): paths of which a folder, or they themselves, differ from an earlier path's in case or form only.
+
+    The path first in order keeps its spelling; a file and a folder of one name collide, too.
+    """
+    every = members.select("path", F.posexplode(prefixes(F.col("path"))).alias("k", "prefix"))
+    keyed = every.withColumn("folded", collision_key("prefix"))
+    first = keyed.groupBy("folded").agg(F.min(F.struct("path", "prefix")).alias("first"), F.countDistinct("prefix").alias("n")).where("n > 1")
+    met = keyed.join(first, "folded").where(F.col("prefix") != F.col("first.prefix"))
+    return met.groupBy("path").agg(F.min_by("first.prefix", "k").alias("kept"))
+
+
 @F.pandas_udf(K.StringType())
 def collision_key(path: pd.Series) -> pd.Series:
     """Names equal under Unicode composition and case folding are one."""

@@ -184,7 +184,7 @@ def test_page_errors(spark, bad):
     ("b.html", ("a/b.html", "", None)), ("#f", ("a/c.html", "f", None)), ("..\\x.html", ("x.html", "", None)), ("../../x", (None, "", "leaves the source")),
     ("/x", (None, "", "absolute URL")), ("x?y=1", (None, "", "query in URL")), ("%2e%2e/z", ("z", "", None)), ("javascript:x", (None, "", "external or active URL")),
     ("./", ("a", "", None)), ("../", (None, "", "is a directory")), ("..", (None, "", "is a directory")), ("a//b/./c/", ("a/a/b/c", "", None)), ("../../a/x#f", (None, "f", "leaves the source")),
-    ("x\ty", (None, "", "control character")), ("x%09#f", (None, "f", "encoded control character")), ("//h/x#f", (None, "", "external or active URL")), ("http://[x", (None, "", "invalid URL")),
+    ("x\ty", (None, "", "control character")), ("x%09#f", (None, "", "encoded control character")), ("//h/x#f", (None, "", "external or active URL")), ("http://[x", (None, "", "invalid URL")),
     ("%43:x", (None, "", "absolute URL")), ("%2Fx", (None, "", "absolute URL")), ("?", ("a/c.html", "", None)),
 ])
 def test_resolve(href, expected):
@@ -336,3 +336,22 @@ def test_zip_bytes_are_read_from_memory():
     with zipfile.ZipFile(held, "w") as out:
         out.writestr("a", "b")
     assert [r[1:] for r in archives.zip_rows("x", held.getvalue())] == [("a", 1, b"b", None)]
+
+
+def test_folding_and_collisions_of_folders(spark):
+    """Full folding for every code point that has one, and names that differ in a folder's case alone."""
+    from pyspark.sql import functions as F
+
+    from quire.functions import text as T
+
+    odd = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000 and chr(k).casefold() != chr(k)]
+    said = [f"a{c}b {c}" for c in odd] + ["Straße STRASSE straẞe", "ΑΣ ας ΑΣ.", "İstanbul", "plain", ""]
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate(said)], "k int, s string").select("k", T.casefold(F.col("s")).alias("f"), T.library_tokens(F.col("s")).alias("t")).collect()
+    import re
+
+    for r in rows:
+        assert r["f"] == said[r["k"]].casefold(), repr(said[r["k"]])
+    words = {r["k"]: r["t"] for r in rows}
+    assert words[len(odd)] == ["strasse"] * 3 and words[len(odd) + 1] == ["ας".casefold()] * 3 and words[len(odd) + 2] == [w.casefold() for w in re.findall(r"\w+", "İstanbul")]
+    members = spark.createDataFrame([(p,) for p in ("A/x.txt", "a/y.txt", "a/z.txt", "b/Straße/1", "b/STRASSE/2", "c", "C/d", "e/f")], "path string")
+    assert {r["path"]: r["kept"] for r in files.collisions(members).collect()} == {"a/y.txt": "A", "a/z.txt": "A", "b/Straße/1": "b/STRASSE", "c": "C"}
