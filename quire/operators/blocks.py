@@ -35,6 +35,8 @@ CELL = 1024
 BUCKETS = 64
 #: Cells that are scored first.
 FIRST_CELLS = 16
+#: Heads of blocks, four numbers each, that a search looks at by itself.
+MOST_HEADS = 20_000
 
 
 def numbered(units: DataFrame) -> DataFrame:
@@ -117,38 +119,68 @@ def _scored(blocks: DataFrame, terms: list[str], order: list[int], weights: list
     return held.select("unit_no", _scores([F.col(f"tf{k}") for k in order], weights, digits).alias("score"))
 
 
-def best(blocks: DataFrame, numbers: DataFrame, seen: DataFrame, units: int, query: str, limit: int, digits: int | None = None) -> DataFrame | None:
-    """(unit_no, unit_id, membership, score) of the best units of a scope; None where no unit can hold all terms.
+def _bounds(blocks: DataFrame, terms: list[str], order: list[int], units: int, digits: int | None) -> tuple[list[float], list[int], object] | None:
+    """(weights, the cells with the greatest bounds, what gives the cells that may reach a score), by the blocks' heads.
 
-    ``numbers`` has unit_no, unit_id and membership, ``seen`` the memberships of the
-    scope, ``units`` is how many units these have. The score sums
-    count * ln((N + 1) / (df + 1)) over the query's terms, repeats included; ids
-    decide between equal ones. What is gathered is one row of frequencies,
-    ``FIRST_CELLS`` cells and ``limit`` scores.
+    Up to ``MOST_HEADS`` heads are looked at here; more are aggregated where they are.
     """
-    terms = list(dict.fromkeys(query_terms(query)))
-    order, every = [terms.index(t) for t in query_terms(query)], range(len(terms))
-    blocks = blocks.join(small(seen), "membership", "left_semi")
+    heads, every = blocks.select("term", "cell", "n", "most"), range(len(terms))
+    few = heads.limit(MOST_HEADS + 1).collect()
+    if len(few) <= MOST_HEADS:
+        frequency = [sum(row["n"] for row in few if row["term"] == t) for t in terms]
+        if not all(frequency):
+            return None
+        weights = [math.log((units + 1) / (frequency[k] + 1)) for k in order]
+        counts: dict[int, dict[str, int]] = {}
+        for row in few:
+            counts.setdefault(row["cell"], {})[row["term"]] = row["most"]
+        bounds = {cell: sum(counts[cell][terms[k]] * w for k, w in zip(order, weights, strict=True)) for cell in counts if len(counts[cell]) == len(terms)}
+        ranked = sorted(bounds, key=lambda cell: (-bounds[cell], cell))
+        spare = 0 if digits is None else 10.0**-digits  # what rounding may add to a score
+        return weights, ranked[:FIRST_CELLS], lambda least: [c for c in ranked[FIRST_CELLS:] if least is None or bounds[c] + spare >= least]
     of = lambda column, t: F.max(F.when(F.col("term") == t, F.col(column)))
-    # a row for each cell with a block, from the blocks' heads; postings aren't read
-    cells = reliable(blocks.groupBy("cell").agg(*[of("n", t).alias(f"n{k}") for k, t in enumerate(terms)], *[of("most", t).alias(f"tf{k}") for k, t in enumerate(terms)]))
+    cells = reliable(heads.groupBy("cell").agg(*[of("n", t).alias(f"n{k}") for k, t in enumerate(terms)], *[of("most", t).alias(f"tf{k}") for k, t in enumerate(terms)]))
     frequency = cells.agg(*[F.sum(f"n{k}") for k in every]).first()
     if not all(frequency):
         return None
     weights = [math.log((units + 1) / (frequency[k] + 1)) for k in order]
-    bound = _scores([F.col(f"tf{k}") for k in order], weights, digits)
-    cells = cells.dropna(subset=[f"tf{k}" for k in every]).select("cell", bound.alias("bound"))
-    chosen = [row["cell"] for row in cells.orderBy(F.desc("bound"), "cell").limit(FIRST_CELLS).collect()]
-    if not chosen:
-        return None
-    first = _scored(blocks.where(F.col("cell").isin(chosen)), terms, order, weights, digits)
-    top = [row["score"] for row in first.select("score").orderBy(F.desc("score")).limit(limit).collect()]
-    rest = cells.where(~F.col("cell").isin(chosen))
-    if len(top) == limit:
-        rest = rest.where(F.col("bound") >= top[-1])
-        first = first.where(F.col("score") >= top[-1])
-    if rest.isEmpty():
-        hits, numbers = first, numbers.where(_within(F.col("unit_no"), chosen, CELL))
-    else:
-        hits = first.unionByName(_scored(blocks.join(small(rest.select("cell")), "cell", "left_semi"), terms, order, weights, digits))
-    return numbers.join(hits, "unit_no").select("unit_no", "unit_id", "membership", "score").orderBy(F.desc("score"), "unit_id").limit(limit)
+    bounded = cells.dropna(subset=[f"tf{k}" for k in every]).select("cell", _scores([F.col(f"tf{k}") for k in order], weights, digits).alias("bound"))
+    chosen = [row["cell"] for row in bounded.orderBy(F.desc("bound"), "cell").limit(FIRST_CELLS).collect()]
+    rest = bounded.where(~F.col("cell").isin(chosen))
+    return weights, chosen, lambda least: (rest.where(F.col("bound") >= least) if least is not None else rest).select("cell")
+
+
+def best(blocks: DataFrame, numbers: DataFrame, seen: list[str] | DataFrame, units: int, query: str, limit: int, digits: int | None = None) -> list:
+    """(unit_no, unit_id, membership, score) of the best units of a scope, as rows; none where no unit can hold all terms.
+
+    ``numbers`` has unit_no, unit_id and membership, ``seen`` is the memberships of the
+    scope, by name if they are few, ``units`` is how many units these have. The score
+    sums count * ln((N + 1) / (df + 1)) over the query's terms, repeats included; ids
+    decide between equal ones.
+    """
+    terms = list(dict.fromkeys(query_terms(query)))
+    order = [terms.index(t) for t in query_terms(query)]
+    blocks = blocks.where(F.col("membership").isin(seen)) if isinstance(seen, list) else blocks.join(small(seen), "membership", "left_semi")
+    found = _bounds(blocks, terms, order, units, digits)
+    if found is None or not found[1]:
+        return []
+    weights, chosen, reaching = found
+
+    def top(some: DataFrame, names: DataFrame) -> list:
+        scored = _scored(some, terms, order, weights, digits)
+        rows = names.join(scored, "unit_no").select("unit_no", "unit_id", "membership", "score")
+        return rows.orderBy(F.desc("score"), "unit_id").limit(limit).collect()  # limit rows at most
+
+    inside = lambda cells: (blocks.where(F.col("cell").isin(cells)), numbers.where(_within(F.col("unit_no"), cells, CELL)))
+    first = top(*inside(chosen))
+    rest = reaching(first[-1]["score"] if len(first) == limit else None)
+    if isinstance(rest, list):
+        if not rest:
+            return first
+        if len(rest) <= FIRST_CELLS:
+            return top(*inside(chosen + rest))
+        rest = blocks.sparkSession.createDataFrame([(c,) for c in rest], "cell long")
+    elif rest.isEmpty():
+        return first
+    both = rest.unionByName(blocks.sparkSession.createDataFrame([(c,) for c in chosen], "cell long"))
+    return top(blocks.join(small(both), "cell", "left_semi"), numbers)

@@ -23,6 +23,8 @@ from quire.plans.sizes import small
 from quire.plans.store import files_of, read_text, write_text
 
 
+#: Memberships of a scope that a search names in its filters; more are joined.
+MOST_MEMBERSHIPS = 1000
 #: Shards that one file of a generation should hold.
 SHARDS_A_FILE = 1024
 
@@ -111,12 +113,15 @@ def search(spark: SparkSession, folder: str, scope: str, query: str, limit: int
     numbers = spark.read.parquet(f"{folder}/numbers")
     nothing = numbers.select("unit_id", F.lit(0.0).alias("score"), F.lit("").alias("snippet")).limit(0)
     terms = list(dict.fromkeys(query_terms(query)))
-    seen = spark.read.parquet(f"{folder}/scope_memberships").where(F.col("scope") == scope)
-    units = seen.agg(F.sum("units")).first()[0]
-    if not units and spark.read.parquet(f"{folder}/filter_counts").where(F.col("scope") == scope).isEmpty():
+    seen = spark.read.parquet(f"{folder}/scope_memberships").where(F.col("scope") == scope).select("membership", "units")
+    few = seen.limit(MOST_MEMBERSHIPS + 1).collect()
+    if not few and spark.read.parquet(f"{folder}/filter_counts").where(F.col("scope") == scope).isEmpty():
         raise KeyError(f"scope was not published: {scope}")
-    found = blocks.best(blocks.open_blocks(spark, f"{folder}/blocks", terms), numbers, seen.select("membership"), units, query, limit, digits) if terms and units else None
-    shown = found.collect() if found is not None else []  # limit rows at most
+    if not few or not terms:
+        return nothing
+    named = [row["membership"] for row in few] if len(few) <= MOST_MEMBERSHIPS else seen.select("membership")
+    units = sum(row["units"] for row in few) if isinstance(named, list) else seen.agg(F.sum("units")).first()[0]
+    shown = blocks.best(blocks.open_blocks(spark, f"{folder}/blocks", terms), numbers, named, units, query, limit, digits)
     if not shown:
         return nothing
     where = F.col("membership").isin({row["membership"] for row in shown}) & F.col("unit_no").isin([row["unit_no"] for row in shown])

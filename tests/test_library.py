@@ -264,8 +264,13 @@ def _published(spark, tmp_path, monkeypatch, cell=16, first=2):
     return publish.open_current(spark, str(tmp_path), "r")[0], units, scopes
 
 
-def test_published_search_equals_a_scan(spark, tmp_path, monkeypatch):
-    from quire.operators import search
+@pytest.mark.parametrize("many", [False, True])
+def test_published_search_equals_a_scan(spark, tmp_path, monkeypatch, many):
+    from quire.operators import blocks, search
+
+    if many:  # heads, memberships and cells that are too many to be named
+        monkeypatch.setattr(blocks, "MOST_HEADS", 1)
+        monkeypatch.setattr(publish, "MOST_MEMBERSHIPS", 0)
 
     folder, units, scopes = _published(spark, tmp_path, monkeypatch)
     told = [r["scope"] for r in scopes.groupBy("scope").count().orderBy(F.desc("count"), "scope").limit(3).collect()]
