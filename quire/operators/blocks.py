@@ -19,20 +19,28 @@ from __future__ import annotations
 import functools
 import math
 import operator
+import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import text as T
 from quire.operators.search import query_terms
 from quire.plans.fixpoint import reliable
 from quire.plans.sizes import small
 
+_WORD = re.compile(r"\w+")
 #: Numbers of a cell, so no block has more postings.
 CELL = 1024
 #: Folders that terms are dealt to by hash; a search opens those of its terms.
 BUCKETS = 64
+#: Cells whose blocks share a file of a bucket.
+CELLS_A_FILE = 1 << 16
+#: Rows of an Arrow batch of blocks.
+ROWS = 10_000
 #: Cells that are scored first.
 FIRST_CELLS = 16
 #: Heads of blocks, four numbers each, that a search looks at by itself.
@@ -71,26 +79,56 @@ def bucket(term: Column) -> Column:
     return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
 
 
+_BLOCK = "term string, cell long, membership string, n int, most int, places array<short>, counts array<int>"
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of units in order of their numbers, one cell at a time; a cell that lies in two partitions has blocks in both."""
+    names = ["term", "cell", "membership", "n", "most", "places", "counts"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int16()), pa.list_(pa.int32())]
+    held: dict[str, tuple[list[int], list[int]]] = {}
+    key = None
+
+    def given() -> Iterator[pa.RecordBatch]:
+        rows = [(term, *key, len(places), max(counts), places, counts) for term, (places, counts) in held.items()]
+        for begin in range(0, len(rows), ROWS):
+            columns = zip(*rows[begin : begin + ROWS], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
+
+    for batch in batches:
+        for number, membership, text in zip(*[batch.column(c).to_pylist() for c in ("unit_no", "membership", "text")], strict=True):
+            cell, place = divmod(number, CELL)
+            if key != (cell, membership):
+                if key is not None:
+                    yield from given()
+                key = cell, membership
+                held.clear()
+            folded: Counter = Counter()
+            for word, count in Counter(_WORD.findall(text or "")).items():
+                folded[word.casefold()] += count
+            for term, count in folded.items():
+                places, counts = held.setdefault(term, ([], []))
+                places.append(place)
+                counts.append(count)
+    if key is not None:
+        yield from given()
+
+
 def postings(units: DataFrame) -> DataFrame:
-    """(bucket, term, cell, membership, n, most, places, counts) of (unit_no, membership, text).
+    """Blocks (term, cell, membership, n, most, places, counts) of (unit_no, membership, text), in order of numbers in each partition.
 
-    ``places`` are numbers inside the cell, ascending, ``counts`` go with them.
+    ``places`` are numbers inside the cell, ascending, ``counts`` go with them. A
+    text's words are counted in an Arrow function, since rows for single words cost
+    several times as much as all the rest; no row is shuffled before it is a block.
     """
-    tokens = F.explode(T.library_tokens(F.col("text")))
-    found = units.select("unit_no", "membership", tokens.alias("term")).groupBy("term", "unit_no", "membership").agg(F.count("*").cast("int").alias("count"))
-    place = (F.col("unit_no") % CELL).cast("short")
-    blocks = found.groupBy("term", F.floor(F.col("unit_no") / CELL).alias("cell"), "membership").agg(
-        F.count("*").cast("int").alias("n"), F.max("count").alias("most"), F.sort_array(F.collect_list(F.struct(place.alias("place"), "count"))).alias("all")  # CELL at most
-    )
-    return blocks.select(bucket(F.col("term")).alias("bucket"), "term", "cell", "membership", "n", "most", F.col("all.place").alias("places"), F.col("all.count").alias("counts"))
+    return units.select("unit_no", "membership", "text").mapInArrow(_blocks_of, _BLOCK)
 
 
 def write(units: DataFrame, folder: str) -> None:
-    """The blocks in a folder for each bucket, in files sorted by term and cell."""
-    blocks = reliable(postings(units))
-    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # what orders files: a term that fills several is cut between cells
-    blocks.repartitionByRange(parts, "bucket", "term", "cell").sortWithinPartitions("bucket", "term", "cell").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    """The blocks in a folder for each bucket, in files sorted by term and cell; a bucket of very many cells is several files."""
+    blocks = postings(units).withColumn("bucket", bucket(F.col("term")))
+    dealt = blocks.repartition(F.col("bucket"), F.floor(F.col("cell") / CELLS_A_FILE)).sortWithinPartitions("bucket", "term", "cell")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
 
 def open_blocks(spark: SparkSession, folder: str, terms: list[str]) -> DataFrame:
@@ -133,13 +171,14 @@ def _bounds(blocks: DataFrame, terms: list[str], order: list[int], units: int, d
         weights = [math.log((units + 1) / (frequency[k] + 1)) for k in order]
         counts: dict[int, dict[str, int]] = {}
         for row in few:
-            counts.setdefault(row["cell"], {})[row["term"]] = row["most"]
+            own = counts.setdefault(row["cell"], {})
+            own[row["term"]] = max(row["most"], own.get(row["term"], 0))
         bounds = {cell: sum(counts[cell][terms[k]] * w for k, w in zip(order, weights, strict=True)) for cell in counts if len(counts[cell]) == len(terms)}
         ranked = sorted(bounds, key=lambda cell: (-bounds[cell], cell))
         spare = 0 if digits is None else 10.0**-digits  # what rounding may add to a score
         return weights, ranked[:FIRST_CELLS], lambda least: [c for c in ranked[FIRST_CELLS:] if least is None or bounds[c] + spare >= least]
     of = lambda column, t: F.max(F.when(F.col("term") == t, F.col(column)))
-    cells = reliable(heads.groupBy("cell").agg(*[of("n", t).alias(f"n{k}") for k, t in enumerate(terms)], *[of("most", t).alias(f"tf{k}") for k, t in enumerate(terms)]))
+    cells = reliable(heads.groupBy("cell").agg(*[F.sum(F.when(F.col("term") == t, F.col("n"))).alias(f"n{k}") for k, t in enumerate(terms)], *[of("most", t).alias(f"tf{k}") for k, t in enumerate(terms)]))
     frequency = cells.agg(*[F.sum(f"n{k}") for k in every]).first()
     if not all(frequency):
         return None

@@ -23,6 +23,8 @@ from quire.plans.sizes import small
 from quire.plans.store import files_of, read_text, write_text
 
 
+#: Rows of four short columns up to which they are broadcast to the units.
+NARROW_ROWS = 1_000_000
 #: Memberships of a scope that a search names in its filters; more are joined.
 MOST_MEMBERSHIPS = 1000
 #: Shards that one file of a generation should hold.
@@ -55,12 +57,14 @@ def publish(
     spark = units.sparkSession
     eligible = scope_units.where("eligible").select("scope", "unit_id").distinct()
     shards = shard_pack(membership(eligible).join(units.select("unit_id", F.length("text").alias("chars")), "unit_id"), limit)
-    membership_id = F.substring(F.sha2("signature", 256), 1, 16)
+    # a name that a folder keeps as a name, whatever its digits
+    membership_id = F.concat(F.lit("m"), F.substring(F.sha2("signature", 256), 1, 16))
     # a narrow table, which numbers, folders and index share
     order = reliable(blocks.numbered(shards.select("unit_id", membership_id.alias("membership"), F.col("bin").alias("shard"))))
-    placed = units.join(order, "unit_id")
-    content = placed.select(F.xxhash64("unit_id", "title", "text", "membership", "shard").cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
-    name = canonical_digest([revisions, limit, content["n"], str(content["s"])])[:32]
+    placed = units.join(small(order, NARROW_ROWS), "unit_id")
+    sums = lambda rows, *columns: rows.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first()
+    said = [*sums(units, "unit_id", "title", "text"), *sums(order, "unit_id", "membership", "shard")]
+    name = canonical_digest([revisions, limit, *map(str, said)])[:32]
     folder = f"{root}/generations/{name}"
     system, place = files_of(spark, f"{folder}/complete")
     if not system.exists(place):
@@ -70,7 +74,7 @@ def publish(
         steps = {
             "units": lambda path: _deal(placed).write.mode("overwrite").partitionBy("membership").parquet(path),
             "scope_memberships": seen.join(sizes, "membership").write.mode("overwrite").parquet,
-            "blocks": lambda path: blocks.write(placed.select("unit_no", "membership", "text"), path),
+            "blocks": lambda path: blocks.write(spark.read.parquet(f"{folder}/units"), path),  # in order of numbers there
             "numbers": lambda path: order.sortWithinPartitions("unit_no").select("unit_no", "unit_id", "membership").write.mode("overwrite").parquet(path),
         }
         for step, write in steps.items():
