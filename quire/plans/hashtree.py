@@ -1,7 +1,7 @@
 """Digests of a folder of tables as a tree, so that a reader checks what it opens and nothing else.
 
-A leaf is a file of a table, with the digest of its bytes, its rows and the range of
-the table's key in it. Leaves are dealt to ``BUCKETS`` inner nodes by their names; a
+A leaf is a file of a table, with the digest of its bytes and, where the table has a
+key, the range of that in it. Leaves are dealt to ``BUCKETS`` inner nodes by their names; a
 node is the digest of its leaves, and the root that of all nodes. The nodes are one
 small record, whatever the number of files. To open a part of a table its leaves are
 chosen by their ranges, their nodes are checked against the record, and the files
@@ -42,7 +42,7 @@ def _digests(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
 
 def _nodes(leaves: DataFrame) -> dict[str, str]:
     """The digest of each node with leaves; ``BUCKETS`` rows at most are gathered."""
-    line = F.concat_ws("\t", "file", "size", "sha256", "rows", F.coalesce("least", F.lit("")), F.coalesce("most", F.lit("")))
+    line = F.concat_ws("\t", "file", "size", "sha256", F.coalesce("least", F.lit("")), F.coalesce("most", F.lit("")))
     # a node's leaves are one list in order; files are few beside rows, and a node has one of BUCKETS shares of them
     rows = leaves.select("bucket", line.alias("line")).groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n").cast("binary"), 256).alias("digest"))
     return {str(row["bucket"]): row["digest"] for row in rows.collect()}
@@ -53,10 +53,16 @@ def write(spark: SparkSession, root: str, keys: dict[str, str | None]) -> str:
     leaves = None
     for table, key in keys.items():
         place = f"{root.rstrip('/')}/{table}"
-        rows = spark.read.parquet(place).withColumn("__file", F.url_decode(F.input_file_name()))
-        span = (F.col(key).cast("string") if key else F.lit(None)).cast("string")
-        own = rows.groupBy(_name(spark, F.col("__file"), root).alias("file")).agg(F.count("*").alias("rows"), F.min(span).alias("least"), F.max(span).alias("most"))
-        found = _digests(spark, root, [place]).join(own, "file", "left").select(F.lit(table).alias("table"), "file", "size", "sha256", F.coalesce("rows", F.lit(0)).alias("rows"), "least", "most")
+        found = _digests(spark, root, [place]).withColumn("table", F.lit(table))
+        if key:
+            # only the key is read
+            span = F.col(key).cast("string")
+            named = _name(spark, F.url_decode(F.input_file_name()), root)
+            found = found.join(spark.read.parquet(place).groupBy(named.alias("file")).agg(F.min(span).alias("least"), F.max(span).alias("most")), "file", "left")
+        else:
+            none = F.lit(None).cast("string")
+            found = found.withColumn("least", none).withColumn("most", none)
+        found = found.select("table", "file", "size", "sha256", "least", "most")
         leaves = found if leaves is None else leaves.unionByName(found)
     leaves = reliable(leaves.withColumn("bucket", (F.crc32(F.col("file").cast("binary")) % BUCKETS).cast("int")))
     leaves.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root.rstrip('/')}/leaves")

@@ -83,7 +83,7 @@ def publish(
             write(f"{folder}/{step}")
         counts = scope_units.groupBy("scope", "state").agg(F.count("*").alias("units"), F.count_if("eligible").alias("eligible"))
         counts.write.mode("overwrite").parquet(f"{folder}/filter_counts")
-        top = hashtree.write(spark, folder, {"units": None, "scope_memberships": None, "blocks": "term", "numbers": None, "filter_counts": None})
+        top = hashtree.write(spark, folder, {"units": None, "scope_memberships": None, "blocks": None, "numbers": None, "filter_counts": None})
         write_text(spark, f"{folder}/complete", json.dumps({**revisions, "tree": top}))
     if cancelled():
         raise Cancelled("activate")
