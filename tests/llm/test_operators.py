@@ -923,7 +923,7 @@ def test_no_language_is_lost(spark):
 
 def test_mixture_keeps_columns_of_any_name(spark):
     names = ["__key", "__block", "__pass", "__full", "__left", "__rest", "__whole", "__run", "__tokens", "__before", "__times", "__alike", "c0", "key", "tokens", "digest"]
-    frame = spark.createDataFrame([(k, f"text {k}", "big" if k % 3 else "small", "en", 1) for k in range(30)], DOCS).select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    frame = spark.createDataFrame([(k, f"text {k}", "en", "big" if k % 3 else "small", 1) for k in range(30)], DOCS).select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
     found = mixing.mixed(frame)
     assert found.columns == frame.columns
     rows = found.collect()
@@ -936,14 +936,14 @@ def test_equal_rows_of_a_cut_block_are_counted(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_PASSES", 64)
     rows = [(None, "one two three", "small")] * 4000 + [(k, "one two", "small") for k in range(1000)] + [(k, "word " * 10, "big") for k in range(4000, 6000)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    made = mixing.realise(frame, max_repeat=None, target_entropy=0.97).collect()
+    made = mixing.realise(frame, max_repeat=None, target_entropy=1.0).collect()
     got = Counter((r["source"], r["pass"]) for r in made)
     copies = Counter((r["doc_id"], r["pass"]) for r in made if r["source"] == "small")
     last = max(p for s, p in got if s == "small")
     assert last >= 1 and copies[None, 0] == 4000 and 0 < got["small", last] < 5000
     sizes = {None: 3}
     tokens = sum(sizes.get(r["doc_id"], 2) for r in made if r["source"] == "small")
-    weights = mixing.weights(spark.createDataFrame([("small", 14_000, 5000), ("big", 20_000, 2000)], "key string, tokens long, docs long"), mixing.exponent(spark.createDataFrame([(14 / 34,), (20 / 34,)], "share double"), 0.97)).collect()
+    weights = mixing.weights(spark.createDataFrame([("small", 14_000, 5000), ("big", 20_000, 2000)], "key string, tokens long, docs long"), mixing.exponent(spark.createDataFrame([(14 / 34,), (20 / 34,)], "share double"), 1.0)).collect()
     budget = {r["key"]: r["budget"] for r in weights}["small"]
     assert budget <= tokens < budget + 3
 
