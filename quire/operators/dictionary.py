@@ -104,7 +104,7 @@ def mentions(statements: DataFrame, names: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- queries
 
 
-def q_opening_mentions(spark, sf_dir) -> DataFrame:
+def q_first_word_mentions(spark, sf_dir) -> DataFrame:
     """How many of the words that documents begin with each document names, and the first of them by name.
 
     The vocabulary grows with the documents: their first words, as they stand there.
@@ -118,10 +118,10 @@ def q_opening_mentions(spark, sf_dir) -> DataFrame:
     return found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("openings"), F.min("target_id").alias("first"))
 
 
-QUERIES = {"opening_mentions": q_opening_mentions}
+QUERIES = {"first_word_mentions": q_first_word_mentions}
 
 ORACLE_SQL = {
-    "opening_mentions": r"""WITH v AS (SELECT DISTINCT lower(regexp_extract(text, '^[\p{L}\p{N}_]+')) AS name FROM documents),
+    "first_word_mentions": r"""WITH v AS (SELECT DISTINCT lower(regexp_extract(text, '^[\p{L}\p{N}_]+')) AS name FROM documents),
       w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents)
       SELECT doc_id, count(*) AS openings, min(word) AS first FROM w JOIN v ON word = name WHERE name <> '' GROUP BY 1""",
 }

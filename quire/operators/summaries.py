@@ -118,7 +118,7 @@ def q_latency_p95(spark, sf_dir):
     return latencies(load(spark, sf_dir, "events"), "event_type", "value")
 
 
-def q_open_references(spark, sf_dir):
+def q_unresolved_references(spark, sf_dir):
     """Documents, their words as links that lead to sources or nowhere, and lines with marks as figures."""
     docs = load(spark, sf_dir, "documents")
     words = docs.select("source", F.explode(F.split("text", " ")).alias("word"))
@@ -158,7 +158,7 @@ QUERIES = {
     "prefix_vote": q_prefix_vote,
     "book_summary": q_book_summary,
     "latency_p95": q_latency_p95,
-    "open_references": q_open_references,
+    "unresolved_references": q_unresolved_references,
     "index_rows": q_index_rows,
     "phrase_hits": q_phrase_hits,
     "subset_breaches": q_subset_breaches,
@@ -175,7 +175,7 @@ ORACLE_SQL = {
       SELECT o_custkey, years, models FROM (SELECT o_custkey, string_agg(DISTINCT year(o_orderdate)::VARCHAR, ',' ORDER BY year(o_orderdate)::VARCHAR) AS years FROM orders GROUP BY 1)
       JOIN (SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY k) AS models FROM f GROUP BY 1) USING (o_custkey)""",
     "latency_p95": "SELECT event_type, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.5) AS median FROM events GROUP BY 1",
-    "open_references": r"""WITH d AS (SELECT source, text, n_chars, string_split(text, ' ') AS w FROM documents)
+    "unresolved_references": r"""WITH d AS (SELECT source, text, n_chars, string_split(text, ' ') AS w FROM documents)
       SELECT source, count(*) AS documents, count(*) FILTER (trim(text) <> '') AS searchable, CAST(sum(len(list_filter(w, lambda x: length(x) <= 3))) AS BIGINT) AS unresolved,
         count(*) FILTER (n_chars % 3 = 2) AS unavailable FROM d GROUP BY 1""",
     "index_rows": f"""WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place, count(*) OVER (PARTITION BY lang) AS n FROM documents)
