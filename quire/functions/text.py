@@ -76,7 +76,14 @@ def _folds() -> tuple[str, dict[str, str]]:
     becomes = {c: c.casefold() for c in every if c.casefold() != c and c.lower() == c}
     # a capital sigma's lower case depends on what follows, and some capitals are several letters
     odd = [c for c in every if c.casefold() != c.lower() or len(c.lower()) > 1 or c.casefold() == "\u03c3"]
-    return "[" + "".join(rf"\x{{{ord(c):x}}}" for c in odd) + "]", becomes
+    runs: list[list[int]] = []
+    for k in map(ord, odd):
+        if runs and k == runs[-1][1] + 1:
+            runs[-1][1] = k
+        else:
+            runs.append([k, k])
+    # ASCII is ruled out first, so most characters meet one test
+    return r"[\x{80}-\x{10ffff}&&[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]]", becomes
 
 
 def casefold(text: Column) -> Column:

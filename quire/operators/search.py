@@ -77,12 +77,13 @@ def scoped_search(scope: DataFrame, query: str, limit: int = 100, id_column: str
     if not terms:
         return scope.select(id_column, F.lit(0.0).alias("score"), F.lit("").alias("snippet")).limit(0)
     distinct = list(dict.fromkeys(terms))
-    low = T.casefold(F.col(text_column))
+    low = F.col("__low")
     # a term's tokens are counted where they stand, between characters that no token holds
     tf = [F.when(low.contains(t), F.regexp_count(low, F.lit(_alone(t)))).otherwise(0).alias(f"tf{k}") for k, t in enumerate(distinct)]
     # texts are read once: what is kept has a term, and the number of all is told by the way
     met = Observation()
-    counted = scope.select(F.col(id_column).alias("id"), *tf).observe(met, F.count(F.lit(1)).alias("n"))
+    folded = scope.select(F.col(id_column).alias("id"), T.casefold(F.col(text_column)).alias("__low"))
+    counted = folded.select("id", *tf).observe(met, F.count(F.lit(1)).alias("n"))
     counted = reliable(counted.where(" or ".join(f"tf{k} > 0" for k in range(len(distinct)))))
     return _top_scored(scope, counted, met.get["n"], terms, distinct, limit, id_column, text_column, digits)
 
