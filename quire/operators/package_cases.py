@@ -1,5 +1,7 @@
 """Queries that normalise made sources: every ten documents are the files of one publication.
 
+A publication is normalised whole, with the files of all ten; the queries give what
+belongs to the files whose documents there are.
 The SQL beside them has, for each file, the documents and links that it must give,
 written down by hand.
 """
@@ -52,30 +54,39 @@ LINKS = [
 ]
 
 
+def _present(spark, sf_dir: str) -> DataFrame:
+    """(publication_id, path): the file of every document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.concat(F.lit("p"), F.floor(F.col("doc_id") / 10).cast("string")).alias("publication_id"), pick([path for path, _ in FILES]).alias("path"))
+
+
 def _tables(spark, sf_dir: str) -> dict[str, DataFrame]:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    publication = F.concat(F.lit("p"), F.floor(F.col("doc_id") / 10).cast("string"))
     content = pick([text for _, text in FILES]).cast("binary")
-    members = docs.select(publication.alias("publication_id"), F.lit("m/index.html").alias("entry_path"), pick([path for path, _ in FILES]).alias("path"), F.sha2(content, 256).alias("sha256"), content.alias("content"))
+    # a number of its own for each file of each publication, which picks the path and the content
+    files = _present(spark, sf_dir).select("publication_id").distinct().select("publication_id", F.explode(F.sequence(F.lit(0), F.lit(len(FILES) - 1))).alias("doc_id"))
+    members = files.select("publication_id", F.lit("m/index.html").alias("entry_path"), pick([path for path, _ in FILES]).alias("path"), F.sha2(content, 256).alias("sha256"), content.alias("content"))
     pages = spark.createDataFrame([("m/d.pdf", 1, "first page", "native"), ("m/d.pdf", 2, None, "ocr")], "path string, page int, text string, provenance string")
     known = spark.createDataFrame([("m/known.html",)], "path string")
     return normalize(members, pages, known)
 
 
 def q_package_documents(spark, sf_dir):
-    rows = _tables(spark, sf_dir)["documents"]
+    rows = _tables(spark, sf_dir)["documents"].join(_present(spark, sf_dir), ["publication_id", "path"])
     return rows.select("publication_id", "path", "page", "role", "search_eligible", "provenance", F.array_join("breadcrumbs", "/").alias("breadcrumbs"))
 
 
 def q_package_links(spark, sf_dir):
     tables = _tables(spark, sf_dir)
     targets = tables["documents"].select(F.col("document_id").alias("target_id"), F.col("path").alias("target"))
-    return tables["links"].join(targets, "target_id", "left").select("publication_id", "source_path", "href", "status", "target")
+    asked = _present(spark, sf_dir).withColumnRenamed("path", "source_path")
+    return tables["links"].join(asked, ["publication_id", "source_path"]).join(targets, "target_id", "left").select("publication_id", "source_path", "href", "status", "target")
 
 
 def q_package_aliases(spark, sf_dir):
     """How many documents of each publication share a text, and how many all around it: their titles are alike, their markup isn't."""
-    rows = _tables(spark, sf_dir)["aliases"]
+    tables = _tables(spark, sf_dir)
+    present = tables["documents"].select("document_id", "publication_id", "path").join(_present(spark, sf_dir), ["publication_id", "path"])
+    rows = tables["aliases"].join(present.select("document_id"), "document_id")
     return rows.groupBy("same_texts", "same_contexts").agg(F.count("*").alias("documents"))
 
 
