@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import procedures
-from quire.operators.pages import _BLOCKS, _line_sql, load, read_pages
+from quire.operators.pages import _BLOCKS, _line_sql, ended, load, read_pages
 
 #: Spellings of an address as the path of a member: what stands for "://", before it, and for "/".
 SPELLINGS = (("url", "://", "", "/"), ("host", "", "", "/"), ("rooted", "", "/", "/"), ("back", "", "./", "\\"), ("up", "/../", "", "/"), ("drive", "", "c:", "/"), ("dots", "/./", "x//", "/"))
@@ -50,7 +50,7 @@ def q_paragraph_steps(spark, sf_dir) -> DataFrame:
     items = F.slice(F.split(F.replace(body, F.lit("</p>"), F.lit("")), "<p>"), 2, 1_000_000)
     markup = F.array_join(F.transform(items, lambda item, k: F.concat(F.when(item.startswith("<b>"), F.concat(F.when(k > 0, F.lit("</ol>")).otherwise(F.lit("")), F.lit('<ol start="'), (k + 1).cast("string"), F.lit('">'))).when(k == 0, F.lit("<ol>")).otherwise(F.lit("")), F.lit("<li>"), item)), "")
     page = F.concat(F.lit("<body><h1>Steps</h1>"), markup, F.lit("</ol></body>"))
-    nodes = read_pages(pages.select("page_id", page.alias("html"))).select(F.col("page_id").alias("doc_id"), "page.nodes")
+    nodes = read_pages(pages.select("page_id", ended(page).alias("html"))).select(F.col("page_id").alias("doc_id"), "page.nodes")
     steps = procedures.extract_steps(nodes)
     following = steps.select(F.col("doc_id").alias("of"), F.col("step_id").alias("id"), F.col("label").alias("next"))
     rows = steps.join(following, (F.col("doc_id") == F.col("of")) & (F.col("next_id") == F.col("id")), "left")
