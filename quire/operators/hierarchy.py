@@ -50,6 +50,17 @@ def range_join(rows: DataFrame, ranges: DataFrame, value: str, start: str, end:
     return met.where(F.col(value).between(F.col(start), F.col(end))).drop("__bucket")
 
 
+def range_summary(rows: DataFrame, ranges: DataFrame, key: str, value: str, start: str, end: str, width: int) -> DataFrame:
+    """(key, n, first, last) of every range that holds a row: how many it holds, the least and the largest value.
+
+    Rows of one value are folded first, so what meets a range are the values in it,
+    however many rows have them.
+    """
+    values = rows.groupBy(value).agg(F.count("*").alias("__n"))
+    met = range_join(values, ranges.select(key, start, end), value, start, end, width)
+    return met.groupBy(key).agg(F.sum("__n").alias("n"), F.min(value).alias("first"), F.max(value).alias("last"))
+
+
 def alias_conflicts(aliases: DataFrame) -> DataFrame:
     """(literal, a, b): aliases with one literal, overlapping years and makes, and different targets."""
     pairs = aliases.alias("a").join(aliases.alias("b"), "literal").where("a.alias_id < b.alias_id and a.target_id <> b.target_id")
@@ -162,8 +173,7 @@ def q_range_join(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").select("o_orderkey", F.datediff("o_orderdate", F.lit("1990-01-01")).cast("long").alias("day"))
     ranges = load(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 37 % 3000).alias("start"))
     ranges = ranges.withColumn("end", F.col("start") + F.col("p_partkey") % 40)
-    met = range_join(orders, ranges, "day", "start", "end", 32)
-    return met.groupBy("p_partkey").agg(F.count("*").alias("orders"), F.min("day").alias("first"), F.max("day").alias("last"))
+    return range_summary(orders, ranges, "p_partkey", "day", "start", "end", 32).withColumnRenamed("n", "orders")
 
 
 def q_alias_conflicts(spark, sf_dir):

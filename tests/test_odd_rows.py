@@ -45,3 +45,34 @@ def test_roles_of_pages_with_many_paragraphs(spark, tmp_path):
 @pytest.mark.parametrize("name", ["package_links", "package_documents", "package_aliases"])
 def test_publications_that_lack_documents(spark, tmp_path, name):
     assert differ(spark, tmp_path, name, documents=([(k,) for k in (0, 1, 2, 5, 6, 11, 15, 26, 31)], "doc_id long")) == []
+
+
+def test_alias_conflicts_meet_by_years(spark):
+    """All pairs of aliases in plain Python, with open, turned and long ranges; ranges apart are never joined."""
+    from itertools import combinations
+    from random import Random
+
+    from quire.operators.hierarchy import alias_conflicts
+
+    some = Random(3)
+    year = lambda: some.choice([None, *range(1990, 2000), 1990, 2200])
+    rows = [(k, some.choice("xy"), some.choice("mn"), some.choice([None, "p", "q"]), year(), year()) for k in range(120)]
+    df = spark.createDataFrame(rows, "alias_id long, literal string, target_id string, make_id string, year_start int, year_end int")
+
+    def clash(a, b):
+        starts, ends = [x for x in (a[4], b[4]) if x is not None], [x for x in (a[5], b[5]) if x is not None]
+        return a[1:2] == b[1:2] and a[2] != b[2] and (None in (a[3], b[3]) or a[3] == b[3]) and starts and ends and max(starts) <= min(ends)
+
+    assert sorted(map(tuple, alias_conflicts(df).collect())) == sorted((a[1], a[0], b[0]) for a, b in combinations(rows, 2) if clash(a, b))
+    apart = spark.range(20_000).selectExpr("id AS alias_id", "'x' AS literal", "string(id) AS target_id", "CAST(NULL AS STRING) AS make_id", "int(id * 2) AS year_start", "int(id * 2) AS year_end")
+    joined = alias_conflicts(apart)
+    assert joined.isEmpty() and "year" in joined._jdf.queryExecution().toString().split("Join Inner")[1][:200]
+
+
+def test_range_summary_folds_values(spark):
+    from quire.operators.hierarchy import range_summary
+
+    rows = spark.range(300_000).selectExpr("id % 3 AS day")
+    ranges = spark.range(2_000).selectExpr("id AS k", "id % 3 AS s", "id % 3 + 1 AS t")
+    found = {(r.k % 3, r.n, r["first"], r["last"]) for r in range_summary(rows, ranges, "k", "day", "s", "t", 1).collect()}
+    assert found == {(0, 200_000, 0, 1), (1, 200_000, 1, 2), (2, 100_000, 2, 2)}
