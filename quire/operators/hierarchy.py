@@ -61,12 +61,35 @@ def range_summary(rows: DataFrame, ranges: DataFrame, key: str, value: str, star
     return met.groupBy(key).agg(F.sum("__n").alias("n"), F.min(value).alias("first"), F.max(value).alias("last"))
 
 
+#: Years of an alias that are listed; one of more, or without a first or last year, meets all of its literal.
+YEARS_LISTED = 64
+
+
 def alias_conflicts(aliases: DataFrame) -> DataFrame:
-    """(literal, a, b): aliases with one literal, overlapping years and makes, and different targets."""
-    pairs = aliases.alias("a").join(aliases.alias("b"), "literal").where("a.alias_id < b.alias_id and a.target_id <> b.target_id")
-    years = F.greatest("a.year_start", "b.year_start") <= F.least("a.year_end", "b.year_end")
+    """(literal, a, b): aliases with one literal, overlapping years and makes, and different targets.
+
+    Of two ranges that overlap one holds the other's first year, so an alias is listed
+    under each of its years and meets those of its literal that begin there: aliases
+    whose years are apart are never compared.
+    """
+    every = aliases.select("literal", "alias_id", "target_id", "make_id", "year_start", "year_end")
+    known = F.coalesce(F.col("year_end") - F.col("year_start") < YEARS_LISTED, F.lit(False))
+    fine = every.where("year_start IS NULL OR year_end IS NULL OR year_start <= year_end")  # others hold no year
+    short, open_ = fine.where(known), fine.where(~known)
     makes = F.col("a.make_id").isNull() | F.col("b.make_id").isNull() | (F.col("a.make_id") == F.col("b.make_id"))
-    return pairs.where(years & makes).select("literal", F.col("a.alias_id").alias("a"), F.col("b.alias_id").alias("b"))
+    differ = (F.col("a.target_id") != F.col("b.target_id")) & makes
+    pair = ["literal", F.least("a.alias_id", "b.alias_id").alias("a"), F.greatest("a.alias_id", "b.alias_id").alias("b")]
+
+    listed = short.withColumn("year", F.explode(F.sequence("year_start", "year_end")))
+    begin = short.withColumn("year", F.col("year_start"))
+    earlier = (F.col("a.year_start") < F.col("b.year_start")) | (F.col("a.alias_id") < F.col("b.alias_id"))
+    near = listed.alias("a").join(begin.alias("b"), ["literal", "year"]).where((F.col("a.alias_id") != F.col("b.alias_id")) & earlier & differ).select(*pair)
+
+    years = F.greatest("a.year_start", "b.year_start") <= F.least("a.year_end", "b.year_end")
+    sided = short.withColumn("open", F.lit(False)).unionByName(open_.withColumn("open", F.lit(True)))
+    once = F.when(F.col("b.open"), F.col("a.alias_id") < F.col("b.alias_id")).otherwise(F.col("a.alias_id") != F.col("b.alias_id"))
+    wide = open_.alias("a").join(sided.alias("b"), "literal").where(once & years & differ).select(*pair)
+    return near.unionByName(wide)
 
 
 def best_configuration(selections: DataFrame, configurations: DataFrame, keys: list[str], qualifiers: list[str]) -> DataFrame:
