@@ -7,11 +7,14 @@ source, and whatever isn't plain is a row with a reason instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quire.functions import text as T
 from quire.operators.steps import CONDITIONAL, extract_steps as extract_steps
@@ -132,6 +135,25 @@ def read_recipe(nodes: list[dict], recipe: Recipe) -> list[dict]:
     return out
 
 
+#: Pages whose rows a task gives away at once.
+PAGES_AT_ONCE = 64
+
+
+def _read(pages: DataFrame, read: Callable[[list[dict]], list[dict]], columns: str) -> DataFrame:
+    """(doc_id, columns): the rows that ``read`` gives for the nodes of each page, read a page at a time; a page without nodes has none."""
+    out = StructType([pages.schema["doc_id"], *StructType.fromDDL(columns)])
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+                some = batch.slice(at, PAGES_AT_ONCE)
+                rows = [{"doc_id": name.as_py(), **row} for name, nodes in zip(some.column(0), some.column(1), strict=True) for row in read(nodes.as_py() or [])]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return pages.select("doc_id", "nodes").mapInArrow(run, out)
+
+
 def specifications(pages: DataFrame, recipe: Recipe) -> DataFrame:
     """(doc_id, label, subject_text, quantity, conditions, values, missing, reason) of a recipe's rows on every page.
 
@@ -139,13 +161,8 @@ def specifications(pages: DataFrame, recipe: Recipe) -> DataFrame:
     ``normalized``, null where number or unit isn't plain; ``missing`` says so then.
     ``subject_text`` is what a scope gate has to read: headers, caption and label.
     """
-    kind = "array<struct<label:string,text:string,header:string,conditions:array<string>,values:array<struct<condition:string,raw:string,unit:string>>,missing:array<string>,reason:string>>"
-
-    @F.pandas_udf(kind)
-    def run(nodes: pd.Series) -> pd.Series:
-        return nodes.map(lambda some: read_recipe(list(some), recipe))
-
-    rows = pages.select("doc_id", F.explode(run("nodes")).alias("r")).select("doc_id", "r.*")
+    kind = "label string, text string, header string, conditions array<string>, values array<struct<condition:string,raw:string,unit:string>>, missing array<string>, reason string"
+    rows = _read(pages, lambda nodes: read_recipe(nodes, recipe), kind)
     values = F.transform("values", lambda v: F.struct(v["condition"].alias("condition"), v["raw"].alias("original_value"), v["unit"].alias("original_unit"), T.numeric_range(v["raw"], v["unit"]).alias("normalized")))
     units = F.create_map(*[F.lit(x) for unit, (quantity, _) in T.UNITS.items() for x in (unit, quantity)])
     quantity = F.coalesce(F.try_element_at(units, F.element_at("values", 1)["original_unit"]), F.lit("unknown original quantity"))
@@ -165,11 +182,8 @@ def specifications(pages: DataFrame, recipe: Recipe) -> DataFrame:
 def extract_tables(pages: DataFrame, headers: list[list[str]], labels: list[str]) -> DataFrame:
     """(doc_id, label, cells, reason) of labelled rows of every page (columns doc_id, nodes), without their values' units."""
 
-    @F.pandas_udf("array<struct<label:string,cells:array<string>,reason:string>>")
-    def run(nodes: pd.Series) -> pd.Series:
-        return nodes.map(lambda some: [{"label": a, "cells": b, "reason": c} for a, b, c in table_rows(list(some), headers, labels)])
-
-    return pages.select("doc_id", F.explode(run("nodes")).alias("r")).select("doc_id", "r.*")
+    names = ("label", "cells", "reason")
+    return _read(pages, lambda nodes: [dict(zip(names, row, strict=True)) for row in table_rows(nodes, headers, labels)], "label string, cells array<string>, reason string")
 
 
 def decision(nodes: list[dict]) -> tuple[str, str, str] | str:
@@ -190,12 +204,12 @@ def decision(nodes: list[dict]) -> tuple[str, str, str] | str:
 def extract_decisions(sections: DataFrame) -> DataFrame:
     """(doc_id, question, if_yes, if_no, reason) of every section (columns doc_id, nodes)."""
 
-    @F.pandas_udf("question string, if_yes string, if_no string, reason string")
-    def run(nodes: pd.Series) -> pd.DataFrame:
-        found = [decision(list(some)) for some in nodes]
-        return pd.DataFrame([(None, None, None, f) if isinstance(f, str) else (*f, None) for f in found], columns=["question", "if_yes", "if_no", "reason"])
 
-    return sections.select("doc_id", run("nodes").alias("d")).select("doc_id", "d.*")
+    def one(nodes: list[dict]) -> list[dict]:
+        found = decision(nodes)
+        return [{"reason": found} if isinstance(found, str) else dict(zip(("question", "if_yes", "if_no"), found, strict=True))]
+
+    return _read(sections, one, "question string, if_yes string, if_no string, reason string")
 
 
 def ordered_steps(nodes: DataFrame) -> DataFrame:

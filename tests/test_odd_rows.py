@@ -76,3 +76,22 @@ def test_range_summary_folds_values(spark):
     ranges = spark.range(2_000).selectExpr("id AS k", "id % 3 AS s", "id % 3 + 1 AS t")
     found = {(r.k % 3, r.n, r["first"], r["last"]) for r in range_summary(rows, ranges, "k", "day", "s", "t", 1).collect()}
     assert found == {(0, 200_000, 0, 1), (1, 200_000, 1, 2), (2, 100_000, 2, 2)}
+
+
+def test_pages_are_read_in_slices(spark, monkeypatch):
+    """No slice holds more than its bytes, but for a larger row alone; nothing is lost, and records don't pile up."""
+    import pyarrow as pa
+
+    from quire.sources import html
+
+    sizes = [10, 5000, 40, 3000, 3000, 0, 20_000, 7]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array([b"x" * n if n else None for n in sizes], pa.binary())], ["k", "content"])
+    cut = list(html.slices(batch, 1, 8192))
+    assert [k for some in cut for k in some.column(0).to_pylist()] == list(range(8))
+    assert all(some.num_rows == 1 or sum(len(v or b"") for v in some.column(1).to_pylist()) <= 8192 for some in cut) and len(cut) == 4
+    rows = spark.range(3000).selectExpr("id AS page_id", "concat('p', id, '.html') AS path", "binary(concat('<body><h1>t</h1><p>', repeat('x ', 500), id)) AS content").coalesce(1)
+    run = html.parse(rows).select("page_id", "page.title", "page.error")
+    assert "ArrowEvalPython" not in run._jdf.queryExecution().toString()
+    assert {(r.title, r.error) for r in run.collect()} == {("t", None)} and run.count() == 3000
+    events = html.events(rows).where("kind = 'open'").groupBy("doc_id").count()
+    assert {r["count"] for r in events.collect()} == {3} and events.count() == 3000
