@@ -1,6 +1,7 @@
 """Connected components of an edge table by alternating star contraction.
 
-Every round is two distributed joins over the edges; nothing is gathered, and a
+Every round is two distributed joins over the edges; nothing is gathered or
+broadcast, since tables of many rounds would add up on the driver, and a
 vertex with very many neighbours is only ever a join key, which adaptive
 execution splits. Rounds are cut with reliable checkpoints; their number grows
 with the logarithm of the longest path.
@@ -15,20 +16,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import reliable
+from quire.plans.sizes import dealt
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each neighbour larger than a vertex is linked to the smallest vertex nearby."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(dealt(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each neighbour smaller than a vertex, and the vertex, is linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(dealt(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 

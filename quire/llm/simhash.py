@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from quire.llm import resemblance
 from quire.llm.common import partitions, reliable, table, unused, word_windows
 from quire.llm.graph import components
+from quire.plans.sizes import dealt
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -149,7 +150,7 @@ def links(distinct: DataFrame) -> DataFrame:
         .where((F.col("n") > 1) & ((bit == 0) | (F.col("a") != F.col("b"))))
         .select("key", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("blocks"))
     )
-    met = keyed.select("key", "fp").join(sizes, "key")
+    met = keyed.select("key", "fp").join(dealt(sizes), "key")
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = met.select("key", "fp", block.alias("block"), other.alias("other")).select(
@@ -180,17 +181,17 @@ def cluster(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     reach = roots.select(F.col("u").alias("fp"), F.col("v").alias("root"))
     reach = reach.unionByName(reach.select(F.col("root").alias("fp"), "root").distinct())
     least = (
-        reach.join(distinct, "fp")
+        reach.join(dealt(distinct), "fp")
         .groupBy("root")
         .agg(F.min("first_id").alias("least_id"))
-        .join(reach, "root")
+        .join(dealt(reach), "root")
         .select("fp", "least_id")
     )
     # computed anew, fp no longer carries the layout of its table: both sides are then
     # dealt out by the join itself, which can split a fingerprint that very many rows share
     anew = F.coalesce("fp", F.lit(0).cast("long")).alias("fp")
-    named = distinct.join(least, "fp", "left").select(anew, F.coalesce("least_id", "first_id").alias("component_id"))
-    return prints.join(named, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
+    named = distinct.join(dealt(least), "fp", "left").select(anew, F.coalesce("least_id", "first_id").alias("component_id"))
+    return prints.join(dealt(named), "fp").select(F.col("id").alias(id_column), "fp", "component_id")
 
 
 def hex_digits(column: str):

@@ -15,3 +15,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     No more than these rows and one are counted.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The table, marked to be joined by shuffle whatever its size: many small broadcasts add up on the driver."""
+    return df.hint("merge")

@@ -95,3 +95,18 @@ def test_pages_are_read_in_slices(spark, monkeypatch):
     assert {(r.title, r.error) for r in run.collect()} == {("t", None)} and run.count() == 3000
     events = html.events(rows).where("kind = 'open'").groupBy("doc_id").count()
     assert {r["count"] for r in events.collect()} == {3} and events.count() == 3000
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    """Small sides of joins over edges and steps are dealt out too: many broadcasts add up on the driver."""
+    from quire.llm import graph
+    from quire.operators import steps
+    from quire.sources import html
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4)], "u long, v long")
+    pages = spark.createDataFrame([(1, "p.html", bytearray(b"<body><h1>t</h1><ol><li>a<li>b<ol type=a><li>c</ol></ol>"))], "doc_id long, path string, content binary")
+    found = steps.extract_steps(html.parse(pages).select("doc_id", "page.nodes"))
+    for df in (graph._large_star(edges), graph._small_star(edges), found):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.label for r in found.collect()) == ["1", "2", "2.a"]
+    assert sorted(map(tuple, graph.components(edges).collect())) == [(2, 1), (3, 1), (5, 4)]
