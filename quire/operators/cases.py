@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import gates, interpret, procedures
+from quire.plans.sizes import dealt
 from quire.sources import html
 
 
@@ -261,7 +262,7 @@ def _rows_sql(cases: list, columns: str) -> str:
 def q_page_steps(spark, sf_dir):
     steps = procedures.extract_steps(_pages(spark, sf_dir, STEP_PAGES))
     following = steps.select(F.col("doc_id").alias("of"), F.col("step_id").alias("id"), F.col("label").alias("next"))
-    rows = steps.join(following, (F.col("doc_id") == F.col("of")) & (F.col("next_id") == F.col("id")), "left")
+    rows = steps.join(dealt(following), (F.col("doc_id") == F.col("of")) & (F.col("next_id") == F.col("id")), "left")
     return rows.select("doc_id", "label", "instruction", "next", F.array_join("missing", "; ").alias("missing"), "reason")
 
 

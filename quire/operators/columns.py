@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import procedures
 from quire.operators.pages import _BLOCKS, _line_sql, ended, load, read_pages
+from quire.plans.sizes import dealt
 
 #: Spellings of an address as the path of a member: what stands for "://", before it, and for "/".
 SPELLINGS = (("url", "://", "", "/"), ("host", "", "", "/"), ("rooted", "", "/", "/"), ("back", "", "./", "\\"), ("up", "/../", "", "/"), ("drive", "", "c:", "/"), ("dots", "/./", "x//", "/"))
@@ -53,7 +54,7 @@ def q_paragraph_steps(spark, sf_dir) -> DataFrame:
     nodes = read_pages(pages.select("page_id", ended(page).alias("html"))).select(F.col("page_id").alias("doc_id"), "page.nodes")
     steps = procedures.extract_steps(nodes)
     following = steps.select(F.col("doc_id").alias("of"), F.col("step_id").alias("id"), F.col("label").alias("next"))
-    rows = steps.join(following, (F.col("doc_id") == F.col("of")) & (F.col("next_id") == F.col("id")), "left")
+    rows = steps.join(dealt(following), (F.col("doc_id") == F.col("of")) & (F.col("next_id") == F.col("id")), "left")
     return rows.select(F.col("doc_id").alias("page_id"), "label", "instruction", "next", F.array_join("missing", "; ").alias("missing"), "reason")
 
 

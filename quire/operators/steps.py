@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.plans.fixpoint import reliable
+from quire.plans.sizes import dealt
 
 # Words that make a step more than the next thing to do, and limits.
 CONDITIONAL = r"(?i)\b(?:if|unless|otherwise|repeat|rerun|refer\s+to|go\s+to|proceed|see\s+|M/T|A/T)\b"
@@ -69,7 +70,7 @@ def _items(nodes: DataFrame, lists: DataFrame) -> DataFrame:
         "marks",
     )
     order = Window.partitionBy("doc_id", "run").orderBy("step_id")
-    rows = own.join(lists.select("doc_id", "list_id", "run", "top", "style"), ["doc_id", "list_id"])
+    rows = own.join(dealt(lists.select("doc_id", "list_id", "run", "top", "style")), ["doc_id", "list_id"])
     rows = rows.withColumn("sequence", F.row_number().over(order)).withColumn("next_id", F.lead("step_id").over(order))
     letter = F.when(F.col("sequence") <= LETTERS, F.char(F.ascii("style") + F.col("sequence") - 1))
     label = F.when(F.col("style") == "1", F.col("sequence").cast("string")).when(F.col("style").isin("a", "A"), letter)
@@ -88,7 +89,7 @@ def labelled(items: DataFrame) -> DataFrame:
     for _ in range(DOUBLINGS):
         upper = ways.select("doc_id", F.col("step_id").alias("up"), F.col("up").alias("up2"), F.col("list_run").alias("run2"), F.col("label").alias("label2"), F.col("depth").alias("depth2"))
         met = F.col("label2").isNotNull()
-        ways = ways.join(upper, ["doc_id", "up"], "left").select(
+        ways = ways.join(dealt(upper), ["doc_id", "up"], "left").select(
             "doc_id",
             "step_id",
             F.when(met, F.col("up2")).otherwise(F.col("up")).alias("up"),
@@ -106,7 +107,7 @@ def _problems(lists: DataFrame, steps: DataFrame) -> DataFrame:
     """
     held = steps.groupBy("doc_id", "list_id").agg(F.min("sequence").alias("first_number"))
     whose = steps.select("doc_id", F.col("step_id").alias("above"), F.col("list_run").alias("of"), (F.col("depth") + 1).alias("deep"))
-    known = lists.join(whose, ["doc_id", "above"], "left").join(held, ["doc_id", "list_id"], "left")
+    known = lists.join(dealt(whose), ["doc_id", "above"], "left").join(dealt(held), ["doc_id", "list_id"], "left")
     known = known.withColumn("list_run", F.when(F.col("top"), F.col("run")).otherwise(F.col("of"))).where("list_run IS NOT NULL")
     among = Window.partitionBy("doc_id", "run")
     known = known.withColumn("styles", F.size(F.collect_set("style").over(among))).withColumn("begins", F.min("list_id").over(among))
@@ -140,13 +141,13 @@ def extract_steps(pages: DataFrame) -> DataFrame:
     nodes = reliable(list_nodes(pages))  # what the page parser gave, read once
     lists = _lists(nodes)
     items = _items(nodes, lists)
-    steps = reliable(items.join(labelled(items), ["doc_id", "step_id"]))
+    steps = reliable(items.join(dealt(labelled(items)), ["doc_id", "step_id"]))
     problems = reliable(_problems(lists, steps))
     marked = lambda name: F.array_contains("marks", name)
     holds = {"drawn": marked("drawn"), "linked": marked("linked") | F.col("said").rlike(CONDITIONAL), "listed": marked("listed")}
     notes = F.array_compact(F.array(*[F.when(F.bool_or(holds[name]), F.lit(note)) for name, note in NOTES.items()]))
     told = steps.groupBy("doc_id", "list_run").agg(F.sort_array(notes).alias("missing"))
-    good = steps.join(told, ["doc_id", "list_run"]).join(problems, ["doc_id", "list_run"], "left_anti")
+    good = steps.join(dealt(told), ["doc_id", "list_run"]).join(dealt(problems), ["doc_id", "list_run"], "left_anti")
     rows = good.select(
         "doc_id",
         F.col("list_run").alias("list_id"),
