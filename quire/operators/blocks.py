@@ -17,10 +17,12 @@ same sums of products in the same order, so a bound is never below a score.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import operator
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -82,32 +84,36 @@ def bucket(term: Column) -> Column:
 _BLOCK = "term string, cell long, membership string, n int, most int, places array<short>, counts array<int>"
 
 
-def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of units in order of their numbers, one cell at a time; a cell that lies in two partitions has blocks in both."""
+def _blocks_of(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of units in order of their numbers, one cell of ``span`` numbers at a time; a cell that lies in two partitions has blocks in both."""
     names = ["term", "cell", "membership", "n", "most", "places", "counts"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int16()), pa.list_(pa.int32())]
-    held: dict[str, tuple[list[int], list[int]]] = {}
+    held: dict[str, tuple[array, array]] = {}
     key = None
 
     def given() -> Iterator[pa.RecordBatch]:
-        rows = [(term, *key, len(places), max(counts), places, counts) for term, (places, counts) in held.items()]
-        for begin in range(0, len(rows), ROWS):
-            columns = zip(*rows[begin : begin + ROWS], strict=True)
+        while held:
+            rows = []
+            for term in list(itertools.islice(held, ROWS)):
+                places, counts = held.pop(term)
+                rows.append((term, *key, len(places), max(counts), places, counts))
+            columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
 
     for batch in batches:
-        for number, membership, text in zip(*[batch.column(c).to_pylist() for c in ("unit_no", "membership", "text")], strict=True):
-            cell, place = divmod(number, CELL)
+        # texts become Python strings one at a time, not a batch of thousands at once
+        for number, membership, text in zip(*[batch.column(c) for c in ("unit_no", "membership", "text")], strict=True):
+            membership = membership.as_py()
+            cell, place = divmod(number.as_py(), span)
             if key != (cell, membership):
                 if key is not None:
                     yield from given()
                 key = cell, membership
-                held.clear()
             folded: Counter = Counter()
-            for word, count in Counter(_WORD.findall(text or "")).items():
+            for word, count in Counter(_WORD.findall(text.as_py() or "")).items():
                 folded[word.casefold()] += count
             for term, count in folded.items():
-                places, counts = held.setdefault(term, ([], []))
+                places, counts = held.get(term) or held.setdefault(term, (array("h"), array("i")))
                 places.append(place)
                 counts.append(count)
     if key is not None:
@@ -121,7 +127,8 @@ def postings(units: DataFrame) -> DataFrame:
     text's words are counted in an Arrow function, since rows for single words cost
     several times as much as all the rest; no row is shuffled before it is a block.
     """
-    return units.select("unit_no", "membership", "text").mapInArrow(_blocks_of, _BLOCK)
+    span = CELL  # as it is here, where units are numbered by it; an executor has a module of its own
+    return units.select("unit_no", "membership", "text").mapInArrow(lambda batches: _blocks_of(batches, span), _BLOCK)
 
 
 def write(units: DataFrame, folder: str) -> None:
