@@ -36,22 +36,26 @@ def violations(events: DataFrame) -> DataFrame:
     Events have event_id, seq, key, action, prior_event_id, ts.
     """
     prior = events.select(F.col("event_id").alias("__id"), F.col("seq").alias("__seq"), F.col("key").alias("__key"), F.col("action").alias("__action"), F.col("ts").alias("__ts"))
-    rows = events.join(prior, F.col("prior_event_id") == F.col("__id"), "left")
+    proposes = F.col("action") == "propose"
+    unknown = ~proposes & ~F.col("action").isin(*TRANSITIONS)
+    # what names no event before has nothing to meet; kept with the others, all of it would be one group
+    alone = events.where("prior_event_id IS NULL").withColumn("reason", F.when(unknown, "unknown action").when(proposes, F.lit(None)).otherwise("no earlier event to follow"))
+    named = events.where("prior_event_id IS NOT NULL")
+    rows = named.join(prior, F.col("prior_event_id") == F.col("__id"), "left")
     allowed = F.create_map(*[F.lit(x) for pair in TRANSITIONS.items() for x in pair])
     follows = F.array_contains(F.split(F.try_element_at(allowed, F.col("action")), ","), F.col("__action"))
-    proposes = F.col("action") == "propose"
     reason = (
-        F.when(~proposes & ~F.col("action").isin(*TRANSITIONS), "unknown action")
-        .when(proposes & F.col("prior_event_id").isNotNull(), "a proposal follows nothing")
-        .when(proposes, F.lit(None))
+        F.when(unknown, "unknown action")
+        .when(proposes, "a proposal follows nothing")
         .when(F.col("__id").isNull() | (F.col("__seq") >= F.col("seq")), "no earlier event to follow")
         .when(F.col("__key") != F.col("key"), "follows an event of another key")
         .when(~F.coalesce(follows, F.lit(False)), "transition is not allowed")
         .when(F.col("ts") < F.col("__ts"), "goes back in time")
     )
     first = F.row_number().over(Window.partitionBy("prior_event_id").orderBy("seq"))
-    again = F.when(F.col("prior_event_id").isNotNull() & (first > 1), "the event before is closed already")
-    return rows.withColumn("reason", F.coalesce(reason, again)).where("reason is not null").select("event_id", "reason")
+    again = F.when(first > 1, "the event before is closed already")
+    rows = rows.withColumn("reason", F.coalesce(reason, again))
+    return rows.select("event_id", "reason").unionByName(alone.select("event_id", "reason")).where("reason IS NOT NULL")
 
 
 # What may follow what in the reviews of quality and of continuations.

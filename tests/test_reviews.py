@@ -79,3 +79,17 @@ CONTINUATION = (
 def test_continuations(spark, rows, expected):
     got = E.continuation_violations(spark.createDataFrame(rows, CONTINUATION)).collect()
     assert {(r["event_id"], r["reason"]) for r in got} == expected
+
+
+def test_events_that_follow_nothing_are_no_group(spark):
+    """Of a log of proposals none is dealt to one task by its missing prior event; reasons are those of the rules."""
+    rows = [(k, k, 1, "propose", None, DAY) for k in range(10)]
+    rows += [(20, 20, 1, "accept", 3, DAY), (21, 21, 1, "reject", 3, DAY), (22, 22, 1, "accept", None, DAY), (23, 23, 1, "odd", None, DAY), (24, 24, 1, "propose", 4, DAY), (25, 25, 2, "accept", 5, DAY), (26, 26, 1, "odd", 99, DAY), (27, 27, 1, None, None, DAY)]
+    log = spark.createDataFrame(rows, "event_id long, seq long, key long, action string, prior_event_id long, ts timestamp")
+    wrong = E.violations(log)
+    assert {tuple(r) for r in wrong.collect()} == {
+        (21, "the event before is closed already"), (22, "no earlier event to follow"), (23, "unknown action"), (24, "a proposal follows nothing"),
+        (25, "follows an event of another key"), (26, "unknown action"), (27, "no earlier event to follow"),
+    }
+    plan = wrong._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(prior_event_id" in plan[plan.index("Window") :]
