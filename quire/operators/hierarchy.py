@@ -142,13 +142,31 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def can_finish(edges: DataFrame, terminals: DataFrame) -> DataFrame:
-    """(node) from which a terminal can be reached; cycles with an exit count."""
-    back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    # one start stands for all terminals, so a node is kept once however many it reaches
-    anchor = terminals.select(F.lit("__end").alias("source"), F.col("node").cast("string").alias("target"))
-    back = back.select(F.col("source").cast("string"), F.col("target").cast("string")).unionByName(anchor)
-    begin = terminals.sparkSession.createDataFrame([("__end",)], "node string")
-    return closure(back, begin).where("node <> '__end'").select("node")
+    """(node) from which a terminal can be reached; cycles with an exit count.
+
+    Edges are followed backwards, ``HOPS`` a round. An edge whose source was reached
+    is done with, so only the open ones go on: nothing new has to be told from all that
+    was reached before, and a round costs what is still open, not the whole graph.
+    """
+    kinds = {edges.schema["source"].dataType, edges.schema["target"].dataType, terminals.schema["node"].dataType}
+    same = lambda column: F.col(column).cast("string") if len(kinds) > 1 else F.col(column)
+    fresh = reliable(terminals.select(same("node").alias("node")).where("node IS NOT NULL").distinct())
+    ways = edges.select(same("source").alias("source"), same("target").alias("target")).where("source IS NOT NULL AND target IS NOT NULL").distinct()
+    reached, number = fresh, 0
+    done = lambda: ways.join(fresh, F.col("source") == F.col("node"), "left_anti")
+    ways = reliable(done())
+    while True:
+        step = hop = fresh
+        for k in range(HOPS):
+            hop = ways.join(hop, F.col("target") == F.col("node")).select(F.col("source").alias("node")).distinct()
+            step = hop if not k else step.unionByName(hop)
+        fresh = reliable(step.distinct())
+        if fresh.isEmpty():
+            return reached.select(F.col("node").cast("string").alias("node"))
+        reached, number = reached.unionByName(fresh), number + 1
+        if number % ROUNDS_APART == 0:
+            reached = reliable(reached)
+        ways = reliable(done())
 
 
 def graph_problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -250,6 +250,50 @@ def test_closures(spark):
         assert sorted(map(tuple, got.collect())) == sorted(expected)
 
 
+def test_can_finish_of_deep_and_open_graphs(spark):
+    """Nodes that reach a terminal, against a plain walk; keys stay what they are while edges are followed."""
+    import random
+
+    from quire.operators.hierarchy import can_finish
+
+    draw = random.Random(5)
+    graphs = [
+        ([(k, k + 1) for k in range(60)], [60, 70]),
+        ([(k, (k + 1) % 40) for k in range(40)] + [(100, 3), (3, 200)], [200]),
+        ([(draw.randrange(80), draw.randrange(80)) for _ in range(90)] + [(None, 3), (4, None), (5, 5)], [3, 7, None]),
+        ([(1, 2)], []),
+    ]
+    for edges, ends in graphs:
+        expected, todo = {e for e in ends if e is not None}, [e for e in ends if e is not None]
+        while todo:
+            at = todo.pop()
+            new = {a for a, b in edges if b == at and a is not None} - expected
+            expected |= new
+            todo += new
+        ways, last = spark.createDataFrame(edges, "source long, target long"), spark.createDataFrame([(e,) for e in ends], "node long")
+        for some in (last, last.select(F.col("node").cast("string").alias("node"))):
+            got = [r["node"] for r in can_finish(ways, some).collect()]
+            assert sorted(got) == sorted(map(str, expected))
+
+
+def test_can_finish_follows_open_edges_alone(spark, monkeypatch):
+    """What a round writes anew is the edges that are still open, fewer each round."""
+    from quire.operators import hierarchy
+
+    sizes, plain = [], hierarchy.reliable
+
+    def counted(df):
+        out = plain(df)
+        if out.columns == ["source", "target"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(hierarchy, "reliable", counted)
+    ways = spark.range(64).select(F.col("id").alias("source"), (F.col("id") - 1).alias("target"))
+    hierarchy.can_finish(ways, spark.createDataFrame([(-1,)], "node long"))
+    assert sizes[0] == 64 and len(sizes) > 3 and all(b < a for a, b in zip(sizes, sizes[1:], strict=False)) and not sizes[-1]
+
+
 def _published(spark, tmp_path, monkeypatch, cell=16, first=2):
     """Documents as units of scopes that overlap, in small cells."""
     from quire.operators import blocks
