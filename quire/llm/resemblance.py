@@ -19,7 +19,7 @@ shingle, a null or blank one none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from quire.llm import sketches
 from quire.llm.common import partitions, reliable
 from quire.llm.graph import components
+from quire.plans.sizes import dealt
 
 LEAST = 0.8
 BANDS, ROWS = 24, 5
@@ -69,24 +70,31 @@ def name(text_column: str) -> Column:
     return F.pandas_udf(run, "bigint")(text_column)
 
 
-def prints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, fp, bands, shingles): fp names the shingle set, 0 the empty one; no shuffle."""
+def prints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", signature: Callable[[str | None], int] | None = None) -> DataFrame:
+    """(id, fp, bands, shingles): fp names the shingle set, 0 the empty one; no shuffle.
+
+    Given ``signature``, an unsigned number of a text, it is column ``sign``.
+    """
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = sketches._WordHashes()
         for batch in batches:
-            fps, bands, sets = [], [], []
+            fps, bands, sets, signs = [], [], [], []
             for text in batch.column(1):
-                found, fp = _shingles(text.as_py(), hashes)
+                value = text.as_py()
+                found, fp = _shingles(value, hashes)
+                signs.append(signature(value) if signature else 0)
                 fps.append(fp)
                 bands.append(_bands(found) if found.size else [])
                 sets.append(np.unique((found >> np.uint64(32)).astype("<u4")).tobytes())
-            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "bands", "shingles"])
+            numbers = [pa.array(np.array(some, np.uint64).view(np.int64)) for some in (fps, signs)]
+            columns = [batch.column(0), numbers[0], pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary()), numbers[1]]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "bands", "shingles", "sign"])
 
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return texts.mapInArrow(run, f"id {kind}, fp bigint, bands array<bigint>, shingles binary")
+    made = texts.mapInArrow(run, f"id {kind}, fp bigint, bands array<bigint>, shingles binary, sign bigint")
+    return made if signature else made.drop("sign")
 
 
 def _forest(fps: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
@@ -137,20 +145,23 @@ def _walk(rows: DataFrame, least: float) -> DataFrame:
         if len(held) > 1:
             yield edges(held)
 
-    dealt = rows.select("key", "i", "j", "fp", "shingles").repartition(partitions(rows), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+    spread = rows.select("key", "i", "j", "fp", "shingles").repartition(partitions(rows), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return spread.mapInArrow(run, "u bigint, v bigint")
 
 
 def _chunks(members, shingles):
     return F.greatest(F.ceil(members / CHUNK_ROWS), F.ceil(shingles / CHUNK_SHINGLES)).cast("int")
 
 
-def links(found: DataFrame, distinct: DataFrame, least: float = LEAST) -> DataFrame:
+def links(found: DataFrame, distinct: DataFrame, least: float = LEAST, groups: DataFrame | None = None) -> DataFrame:
     """(u, v): links between fps that connect all texts that resemble each other.
 
-    ``found`` is what ``prints`` gives, ``distinct`` has fp, first_id, bands and size.
+    ``found`` is what ``prints`` gives, ``distinct`` has fp, bands and size. ``groups``
+    (fp, key) are candidates found in other ways: those of one key are a bucket, too.
     """
     keyed = distinct.select("fp", "size", F.explode("bands").alias("key"))
+    if groups is not None:
+        keyed = keyed.unionByName(groups.join(dealt(distinct.select("fp", "size").where("size > 0")), "fp").select("fp", "size", "key"))
     buckets = (
         keyed.groupBy("key")
         .agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("fp").alias("leader"), F.bit_xor(F.xxhash64("fp")).alias("members"))
@@ -160,16 +171,17 @@ def links(found: DataFrame, distinct: DataFrame, least: float = LEAST) -> DataFr
         .select("key", "leader", _chunks(F.col("n"), F.col("all")).alias("chunks"))
     )
     met = reliable(keyed.join(buckets, "key").select("key", "fp", "size", "leader", "chunks"))
-    wanted = met.select("fp").distinct().join(distinct.select("fp", "first_id"), "fp").select(F.col("fp").alias("__fp"), "first_id")
-    sets = found.join(wanted, (F.col("fp") == F.col("__fp")) & F.col("id").eqNullSafe(F.col("first_id"))).select("fp", "shingles")
-    sets = reliable(sets.dropDuplicates(["fp"]))
+    large = met.where("chunks > 1")
+    several = not large.isEmpty()
+    # rows of one fp have one set, so copies are folded where they are read and sets are dealt out once
+    sets = found.groupBy("fp").agg(F.first("shingles").alias("shingles")).join(dealt(met.select("fp").distinct()), "fp", "left_semi")
+    sets = reliable(sets) if several else sets
 
     own = met.select("key", F.pmod(F.xxhash64("fp"), "chunks").cast("int").alias("i"), "fp")
     first = met.where("fp = leader").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), "fp")
     edges = reliable(_walk(own.unionByName(first).withColumn("j", F.lit(0)).join(sets, "fp"), least))
 
-    large = met.where("chunks > 1")
-    if large.isEmpty():
+    if not several:
         return edges
     label = components(edges).select(F.col("u").alias("__fp"), F.col("v").alias("label"))
     named = large.join(label, F.col("fp") == F.col("__fp"), "left").select("key", "fp", "size", "leader", F.coalesce("label", "fp").alias("label"))

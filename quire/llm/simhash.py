@@ -1,7 +1,9 @@
 """Near-duplicates: SimHash by deletion-variant signatures, or verified resemblance.
 
-``op2_simhash`` is what follows; ``cluster`` and ``keep_one`` as such, and so the
-pipeline's stage, take five-word resemblance from ``quire.llm.resemblance``.
+``op2_simhash`` is what follows. ``cluster`` and ``keep_one`` as such, and so the
+pipeline's stage, hold candidates to five-word resemblance (``quire.llm.resemblance``):
+all fingerprints that the links below connect are candidates, and so are texts that
+share minima, since a resemblance of 0.8 may differ in more bits than three.
 
 A fingerprint of 64 bits is cut into two segments of 32. Two fingerprints that
 differ in three bits or fewer differ in one bit at most in one of the segments,
@@ -160,6 +162,14 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.mapInArrow(_walk, "u bigint, v bigint")
 
 
+def _near_signs(prints: DataFrame) -> DataFrame:
+    """(fp, key): shingle sets by the component of their texts' fingerprints (column sign), as ``op2_simhash`` links these."""
+    signs = reliable(prints.select("fp", "sign").distinct())
+    roots = components(links(reliable(signs.select(F.col("sign").alias("fp")).distinct())))
+    named = signs.join(dealt(roots.select(F.col("u").alias("sign"), F.col("v").alias("root"))), "sign", "left")
+    return reliable(named.select("fp", F.xxhash64(F.coalesce("root", "sign"), F.lit("sign")).alias("key")).distinct())
+
+
 def cluster(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int | None = None) -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id that near links reach.
 
@@ -168,10 +178,10 @@ def cluster(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     fingerprints of three words differ in that many bits, which must be three.
     """
     if bits is None:
-        prints = reliable(resemblance.prints(docs, id_column, text_column))
+        prints = reliable(resemblance.prints(docs, id_column, text_column, fingerprint))
         sized = prints.select("id", "fp", "bands", (F.length("shingles") / 4).cast("long").alias("size"))
         distinct = reliable(sized.groupBy("fp").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"), F.first("size").alias("size")))
-        roots = components(resemblance.links(prints, distinct))
+        roots = components(resemblance.links(prints, distinct, groups=_near_signs(prints)))
     elif bits == MAX_BITS:
         prints = reliable(fingerprints(docs, id_column, text_column))
         distinct = reliable(prints.groupBy("fp").agg(F.min("id").alias("first_id")))

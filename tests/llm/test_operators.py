@@ -364,6 +364,17 @@ def test_keep_one_decides_each_text_of_an_id(spark):
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, same), (7, other), (7, other), (None, same), (3, None)])
 
 
+def test_keep_one_goes_through_signatures(spark, monkeypatch):
+    """Candidates come from deletion-variant signatures: without a shared minimum, texts near in bits still meet and are held to their sets."""
+    body = [f"w{k}" for k in range(400)]
+    rows = [(1, " ".join(body)), (2, " ".join([*body, "more"])), (3, "nothing of the sort is said here at all"), (4, " ".join(f"v{k}" for k in range(400)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bin(simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).count("1") <= simhash.MAX_BITS
+    plain = resemblance.prints
+    monkeypatch.setattr(resemblance, "prints", lambda *given: plain(*given).withColumn("bands", F.array().cast("array<bigint>")))
+    assert {r["doc_id"]: r["component_id"] for r in simhash.cluster(frame).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 # ---------------------------------------------------------------- 4: sketches
 
 
