@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from quire.llm import resemblance
 from quire.llm.common import partitions, reliable, table, unused, word_windows
 from quire.llm.graph import components
-from quire.plans.sizes import dealt
+from quire.plans.sizes import dealt, small
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -152,7 +152,8 @@ def links(distinct: DataFrame) -> DataFrame:
         .where((F.col("n") > 1) & ((bit == 0) | (F.col("a") != F.col("b"))))
         .select("key", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("blocks"))
     )
-    met = keyed.select("key", "fp").join(dealt(sizes), "key")
+    # few buckets are told to all tasks, so variants that meet nothing aren't dealt out again
+    met = keyed.select("key", "fp").join(small(reliable(sizes)), "key")
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = met.select("key", "fp", block.alias("block"), other.alias("other")).select(
