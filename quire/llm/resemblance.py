@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quire.llm import sketches
 from quire.llm.common import partitions, reliable
 from quire.llm.graph import components
-from quire.plans.sizes import dealt
+from quire.plans.sizes import dealt, small
 
 LEAST = 0.8
 BANDS, ROWS = 24, 5
@@ -170,7 +170,8 @@ def links(found: DataFrame, distinct: DataFrame, least: float = LEAST, groups: D
         .agg(F.min("key").alias("key"))
         .select("key", "leader", _chunks(F.col("n"), F.col("all")).alias("chunks"))
     )
-    met = reliable(keyed.join(buckets, "key").select("key", "fp", "size", "leader", "chunks"))
+    # few buckets are told to all tasks, so keys that meet nothing aren't dealt out again
+    met = reliable(keyed.join(small(reliable(buckets)), "key").select("key", "fp", "size", "leader", "chunks"))
     large = met.where("chunks > 1")
     several = not large.isEmpty()
     # rows of one fp have one set, so copies are folded where they are read and sets are dealt out once

@@ -315,6 +315,23 @@ def test_simhash_links_of_made_fingerprints(spark, monkeypatch):
         assert bin((u ^ v) & ((1 << 64) - 1)).count("1") <= 3
 
 
+def test_component_rounds_write_few_files(spark):
+    """With many shuffle partitions and none of them joined up, a round of few edges is still few tasks."""
+    from quire.llm.graph import components
+
+    held = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in held}
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        found = components(spark.range(1, 300).selectExpr("id AS u", "id - if(id % 50 = 0, 0, 1) AS v"))
+        assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert {(r["u"], r["v"]) for r in found.collect()} == {(n, n // 50 * 50) for n in range(300) if n % 50}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_simhash_edges(odd, empty):
     got = simhash.cluster(odd).collect()
     assert len(got) == 8
