@@ -43,8 +43,13 @@ def document_frequency(docs: DataFrame, tokens: Column) -> DataFrame:
 
 
 def postings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(term, id, tf) without stop words, tf capped."""
-    found = term_counts(docs, T.indexed_tokens(F.col(text_column)), id_column)
+    """(term, id, tf) without stop words, tf capped; rows of one id are counted together, in one task.
+
+    Texts are dealt out by id, so their words, which are more, need not be.
+    """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(id_column, text_column).repartition(tasks, id_column)
+    found = term_counts(texts, T.indexed_tokens(F.col(text_column)), id_column)
     return found.select("term", id_column, F.least(F.lit(TF_CAP), "tf").cast("long").alias("tf"))
 
 

@@ -48,3 +48,13 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).columns == ["doc_id", "score", "snippet"]
+
+
+def test_postings_deal_out_texts(spark):
+    from quire.operators.search import postings
+
+    found = postings(spark.createDataFrame([(1, "engine valve"), (1, "engine"), (2, None), (3, "valve")], "doc_id long, text string"))
+    assert {tuple(r) for r in found.collect()} == {("engine", 1, 2), ("valve", 1, 1), ("valve", 3, 1)}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    plan = plan if "Exchange" in plan else found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.index("Generate ") < plan.index("Exchange ")  # a plan's first line is its last step
