@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.plans.fixpoint import reliable as reliable
+from quire.sources.html import slices as slices
 
 #: Code points handled at once inside one text; longer texts go window by window.
 WINDOW_CHARS = 1 << 20

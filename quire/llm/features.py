@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WINDOW_CHARS, reliable
+from quire.llm.common import WINDOW_CHARS, reliable, slices
 
 _SHORT = 4096
 #: Labels up to which their counts are broadcast; more are joined by shuffle.
@@ -130,7 +130,7 @@ def sample_vectors(rows: DataFrame, vector: Callable[[str], tuple[np.ndarray, np
     ``vector`` makes sparse vectors of a bounded size, however long a text is.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some for whole in batches for some in slices(whole, 2)):
             where, values = [], []
             for text in batch.column(2):
                 a, b = vector(text.as_py() or "")

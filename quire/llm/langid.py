@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import held_out, table
+from quire.llm.common import held_out, slices, table
 from quire.llm.features import bounded_sample, document_frequencies, inverse_frequencies, sample_vectors, weighted
 
 ORDERS, BITS = (1, 2, 3), 16
@@ -206,7 +206,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float, t
     predict_all = _predictor(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some for whole in batches for some in slices(whole, at)):
             names, scores = predict_all(batch.column(at))
             keep = pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_())
             yield batch.filter(keep)

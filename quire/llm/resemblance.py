@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import sketches
-from quire.llm.common import partitions, reliable
+from quire.llm.common import partitions, reliable, slices
 from quire.llm.graph import components
 from quire.plans.sizes import dealt, small
 
@@ -74,12 +74,13 @@ def prints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """(id, fp, bands, shingles): fp names the shingle set, 0 the empty one; no shuffle.
 
     Given ``signature``, an unsigned number of a text, it is column ``sign``.
+    Sets are given away a slice of texts at a time.
     """
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = sketches._WordHashes()
-        for batch in batches:
+        for batch in (some for whole in batches for some in slices(whole, 1)):
             fps, bands, sets, signs = [], [], [], []
             for text in batch.column(1):
                 value = text.as_py()

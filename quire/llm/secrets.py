@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import slices, table
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "checked", "jwt")
@@ -151,7 +151,7 @@ def redact(docs: DataFrame, text_column: str = "text", mark: str = "[secret]") -
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
-        for batch in batches:
+        for batch in (some for whole in batches for some in slices(whole, at)):
             texts = batch.column(at)
             out = []
             for value in texts:

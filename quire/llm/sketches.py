@@ -52,7 +52,7 @@ _NULL_ID = -(1 << 63)
 class _WordHashes(dict):
     """Hashes of words, kept until there are too many."""
 
-    limit = 400_000
+    limit = 1 << 16
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:

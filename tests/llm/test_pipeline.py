@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -182,3 +183,32 @@ def test_stages_take_any_table(spark, kind):
     assert len(rows["secrets"]) == len(ODD) and all("hunter22" not in (r["text"] or "") for r in rows["secrets"])
     assert not {1, 2, 3} & {r["doc_id"] for r in rows["language_id"]}
     assert sum(r["doc_id"] == 4 for r in rows["near_dedup"]) <= 2 and {r["doc_id"] for r in rows["near_dedup"]} >= {1, 3, 5}
+
+
+def test_stages_give_texts_away_in_slices():
+    """A batch of many texts leaves a task as several, so that it holds few records at once; all rows come, in order."""
+    from types import SimpleNamespace
+
+    from quire.llm import resemblance, sketches
+
+    class Frame:
+        """As much of a DataFrame as its mapped function needs."""
+
+        columns = ["id", "text"]
+        schema = pa.schema([("id", pa.int64()), ("text", pa.string())])
+
+        def select(self, *_):
+            return SimpleNamespace(mapInArrow=self.mapInArrow)
+
+        def mapInArrow(self, run, _):
+            return run
+
+    texts = [None, "", "password=hunter22 " * 9, *(f"word{k} " * 400 for k in range(2000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+    cleaned = list(secrets.redact(Frame())(iter([batch])))
+    assert max(some.num_rows for some in cleaned) < 500 and max(some.get_total_buffer_size() for some in cleaned) < 3 << 20
+    assert [i for some in cleaned for i in some.column(0).to_pylist()] == list(range(len(texts)))
+    assert [t for some in cleaned for t in some.column(1).to_pylist()] == [*texts[:2], "[secret] " * 9, *texts[3:]]
+    hashes = sketches._WordHashes()
+    sketches.sketch(" ".join(f"w{k}" for k in range(70_000)), hashes)
+    assert len(hashes) <= 1 << 16
