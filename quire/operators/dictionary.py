@@ -8,15 +8,20 @@ first token have, and joined with the names by equality. So the vocabulary is a
 table of any size, and a text is never compared with a name that isn't there.
 
 Spans of one text that overlap are a cluster by a window over their places; in each
-the longest is kept first, then those that no kept one overlaps.
+the longest is kept first, then those that no kept one overlaps. Where all names of
+a kind are single tokens none overlaps another, so ``mentions`` asks each text for
+its distinct tokens instead of their places.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.plans.fixpoint import reliable
 from quire.plans.sizes import small
 
 _WORD = r"[\p{L}\p{N}_]"
@@ -51,6 +56,25 @@ def _keyed(names: DataFrame) -> DataFrame:
     return rows.select("*", _bare(F.get(parts, F.lit(0))).alias("first"), F.size(parts).alias("n"))
 
 
+def _read(statements: DataFrame) -> DataFrame:
+    """(id, said, year, tokens) of statements; ``said`` tells texts of one id apart."""
+    year = F.col("year").cast("int") if "year" in statements.columns else _only_year(F.col("statement"))
+    return statements.select("id", F.xxhash64("statement").alias("said"), year.alias("year"), tokens(folded(F.col("statement"))).alias("tokens"))
+
+
+def _free(token: Column, k: Column) -> Column:
+    """Whether a name can begin at this token: inside a word or behind one none does."""
+    return (k == 0) | token.startswith(" ") | token.rlike(rf"^{_WORD}") | ~F.coalesce(F.get("tokens", k - 1).rlike(rf"{_WORD}$"), F.lit(False))
+
+
+def _ends(after: Column) -> Column:
+    """Whether a name can end before this token."""
+    return after.isNull() | after.startswith(" ") | ~after.rlike(rf"^{_WORD}")
+
+
+_IN_YEARS = "year_start IS NULL OR year BETWEEN year_start AND year_end"
+
+
 def candidates(statements: DataFrame, names: DataFrame) -> DataFrame:
     """(id, said, kind, target_id, rank, start, n, chars): every place where a name stands between word ends, by token numbers.
 
@@ -59,18 +83,13 @@ def candidates(statements: DataFrame, names: DataFrame) -> DataFrame:
     """
     names = _keyed(names)
     longest = names.agg(F.max("n")).first()[0] or 0
-    year = F.col("year").cast("int") if "year" in statements.columns else _only_year(F.col("statement"))
-    rows = statements.select("id", F.xxhash64("statement").alias("said"), year.alias("year"), tokens(folded(F.col("statement"))).alias("tokens"))
-    # inside a word or behind one no name begins
-    free = lambda token, k: (k == 0) | token.startswith(" ") | token.rlike(rf"^{_WORD}") | ~F.coalesce(F.get("tokens", k - 1).rlike(rf"{_WORD}$"), F.lit(False))
-    places = F.transform("tokens", lambda token, k: F.struct(k.alias("start"), _bare(token).alias("first"), F.slice("tokens", k + 1, longest + 1).alias("ahead"), free(token, k).alias("free")))
+    rows = _read(statements)
+    places = F.transform("tokens", lambda token, k: F.struct(k.alias("start"), _bare(token).alias("first"), F.slice("tokens", k + 1, longest + 1).alias("ahead"), _free(token, k).alias("free")))
     begun = rows.select("id", "said", "year", F.explode(F.filter(places, lambda place: place["free"])).alias("p")).select("id", "said", "year", "p.start", "p.first", "p.ahead")
     sizes = names.groupBy("first").agg(F.collect_set("n").alias("sizes"))  # the longest name's tokens at most
     begun = begun.join(small(sizes), "first").select("id", "said", "year", "start", "ahead", F.explode("sizes").alias("n"))
-    after = F.get("ahead", F.col("n"))
-    ends = after.isNull() | after.startswith(" ") | ~after.rlike(rf"^{_WORD}")
-    cut = begun.where((F.size("ahead") >= F.col("n")) & ends).select("id", "said", "year", "start", "n", _bare(F.array_join(F.slice("ahead", 1, F.col("n")), "")).alias("key"))
-    met = cut.join(small(names.drop("first", "n")), "key").where("year_start IS NULL OR year BETWEEN year_start AND year_end")
+    cut = begun.where((F.size("ahead") >= F.col("n")) & _ends(F.get("ahead", F.col("n")))).select("id", "said", "year", "start", "n", _bare(F.array_join(F.slice("ahead", 1, F.col("n")), "")).alias("key"))
+    met = cut.join(small(names.drop("first", "n")), "key").where(_IN_YEARS)
     return met.select("id", "said", "kind", "target_id", "rank", "start", "n", F.length("key").alias("chars"))
 
 
@@ -90,6 +109,16 @@ def spans(statements: DataFrame, names: DataFrame) -> DataFrame:
     return sorted_.select("id", "kind", F.explode(kept).alias("s")).select("id", "kind", "s.target_id", "s.start", "s.n")
 
 
+def _single(statements: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, kind, target_id) of names of one token each, which can't overlap; a token counts once in a text."""
+    # of names alike and of the same years only the first can count
+    names = _keyed(names).groupBy("kind", "key", "year_start", "year_end").agg(F.min("rank").alias("rank"))
+    whole = F.filter("tokens", lambda token, k: _free(token, k) & _ends(F.get("tokens", k + 1)))
+    held = _read(statements).select("id", "said", "year", F.explode(F.array_distinct(F.transform(whole, _bare))).alias("key"))
+    met = held.join(small(names), "key").where(_IN_YEARS)
+    return met.groupBy("id", "said", "kind", "key").agg(F.min("rank").alias("rank")).select("id", "kind", "rank.target_id")
+
+
 def mentions(statements: DataFrame, names: DataFrame) -> DataFrame:
     """(id, kind, target_id): the makes, models and engines that a statement names.
 
@@ -98,7 +127,11 @@ def mentions(statements: DataFrame, names: DataFrame) -> DataFrame:
     statement's year lies between them. That is column ``year`` where there is
     one, else the statement's only year.
     """
-    return spans(statements, names).select("id", "kind", "target_id").distinct()
+    names = reliable(names)
+    kinds = _keyed(names).groupBy("kind").agg(F.max("n").alias("longest")).where("longest = 1").select("kind")
+    single, rest = (names.join(kinds, "kind", how) for how in ("left_semi", "left_anti"))
+    found = [read(statements, some) for read, some in ((_single, single), (spans, rest)) if not some.isEmpty()] or [spans(statements, rest)]
+    return reduce(DataFrame.unionByName, (some.select("id", "kind", "target_id") for some in found)).distinct()
 
 
 # ---------------------------------------------------------------- queries
@@ -114,7 +147,9 @@ def q_first_word_mentions(spark, sf_dir) -> DataFrame:
     first = F.regexp_extract("text", rf"^{_WORD}+", 0)
     names = docs.select(F.lit("opening").alias("kind"), F.lower(first).alias("target_id")).where("target_id <> ''").distinct()
     names = names.select("kind", "target_id", F.col("target_id").alias("literal"), none.alias("year_start"), none.alias("year_end"))
-    found = mentions(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("statement")), names)
+    # texts are dealt out by id, so none of their words are
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("statement")).repartition("id")
+    found = mentions(texts, names)
     return found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("openings"), F.min("target_id").alias("first"))
 
 

@@ -416,3 +416,20 @@ def test_a_million_names(spark):
     said = spark.range(500).select("id", F.concat(F.lit("see name "), F.col("id") * 1999, F.lit(" of "), F.col("id") * 1999 % 7, F.lit(" and name 5 of 6.")).alias("statement"))
     rows = dictionary.mentions(said, names).collect()
     assert sorted((r["id"], r["target_id"]) for r in rows) == [(k, f"m{k * 1999}") for k in range(500)]
+
+
+def test_names_of_one_token_need_no_places(spark):
+    """Words of a text count once where no name of a kind is longer: no window over places, the same mentions."""
+    from quire.operators import dictionary
+
+    names = [("make", "a", "ab", None, None), ("make", "b", "AB", None, None), ("make", "c", "-", None, None), ("make", "d", "é", 1990, 1999), ("make", "e", "é", 1980, 1995), ("make", "f", "x_y", 2000, 2001)]
+    schema = "kind string, target_id string, literal string, year_start int, year_end int"
+    texts = [(1, "ab AB ab-c abc"), (1, "é of 1992"), (2, "É é 1997 x_y"), (3, "x_y 2000, 2001"), (3, "x_y 2001"), (4, "cab -ab a-b"), (5, ""), (6, None), (None, "ab"), (7, "- (ab)")]
+    said = spark.createDataFrame(texts, "id int, statement string")
+    both = spark.createDataFrame([*names, ("model", "g", "ab ab", None, None), ("model", "h", "ab", None, None)], schema)
+    for some in (spark.createDataFrame(names, schema), both):
+        got = dictionary.mentions(said, some)
+        want = dictionary.spans(said, some).select("id", "kind", "target_id").distinct()
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() >= 8
+    alone = dictionary.mentions(said, spark.createDataFrame(names, schema))
+    assert "Window" not in alone._jdf.queryExecution().executedPlan().toString()
