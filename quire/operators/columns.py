@@ -48,7 +48,7 @@ def q_paragraph_steps(spark, sf_dir) -> DataFrame:
     """Paragraphs of pages as printed steps: a list a page, the paragraphs that leave a mark open beginning lists that go on."""
     pages = load(spark, sf_dir, "pages")
     body = F.regexp_extract("html", "(?s)</h1>(.*)</article>", 1)
-    items = F.slice(F.split(F.replace(body, F.lit("</p>"), F.lit("")), "<p>"), 2, 1_000_000)
+    items = F.filter(F.split(F.replace(body, F.lit("</p>"), F.lit("")), "<p>"), lambda _, k: k > 0)
     markup = F.array_join(F.transform(items, lambda item, k: F.concat(F.when(item.startswith("<b>"), F.concat(F.when(k > 0, F.lit("</ol>")).otherwise(F.lit("")), F.lit('<ol start="'), (k + 1).cast("string"), F.lit('">'))).when(k == 0, F.lit("<ol>")).otherwise(F.lit("")), F.lit("<li>"), item)), "")
     page = F.concat(F.lit("<body><h1>Steps</h1>"), markup, F.lit("</ol></body>"))
     nodes = read_pages(pages.select("page_id", ended(page).alias("html"))).select(F.col("page_id").alias("doc_id"), "page.nodes")

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from quire.plans.fixpoint import reliable
 from quire.plans.sizes import dealt
 
-# Words that make a step more than the next thing to do, and limits.
+# Words that make a step more than the next thing to do, and limits of nesting and lettering; a run has as many steps as it has.
 CONDITIONAL = r"(?i)\b(?:if|unless|otherwise|repeat|rerun|refer\s+to|go\s+to|proceed|see\s+|M/T|A/T)\b"
-MOST_STEPS, MOST_NESTED, LETTERS = 1024, 8, 26
+MOST_NESTED, LETTERS = 8, 26
 #: Doublings of jumps to parents: chains of up to 2^4 lists, more than are allowed.
 DOUBLINGS = 4
 
@@ -117,14 +117,13 @@ def _problems(lists: DataFrame, steps: DataFrame) -> DataFrame:
         problem(F.col("bad") | F.col("first_number").isNull(), "list_id", 1, SHAPE),
         problem(F.col("start") != F.col("first_number").cast("string"), "list_id", 2, GAP),
     )
-    place = F.row_number().over(Window.partitionBy("doc_id", "list_run").orderBy("step_id"))
     of_steps = F.array(
-        problem((F.coalesce(F.col("value") != F.col("sequence").cast("string"), F.lit(False))) | (F.col("said") == "") | (F.col("place") > MOST_STEPS), "step_id", 3, STEP_GAP),
+        problem((F.coalesce(F.col("value") != F.col("sequence").cast("string"), F.lit(False))) | (F.col("said") == ""), "step_id", 3, STEP_GAP),
         problem(F.col("instruction") == "", "step_id", 4, EMPTY),
         problem(F.col("printed").isNull(), "step_id", 5, STYLE),
     )
     every = known.select("doc_id", "list_run", F.explode(F.array_compact(of_lists)).alias("p")).unionByName(
-        steps.withColumn("place", place).select("doc_id", "list_run", F.explode(F.array_compact(of_steps)).alias("p"))
+        steps.select("doc_id", "list_run", F.explode(F.array_compact(of_steps)).alias("p"))
     )
     return every.groupBy("doc_id", "list_run").agg(F.min("p")["reason"].alias("reason"))
 

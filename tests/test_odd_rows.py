@@ -38,6 +38,12 @@ def test_references_that_were_cut(spark, tmp_path, name):
     assert differ(spark, tmp_path, name, pages=(CUT, PAGES)) == []
 
 
+def test_steps_of_pages_with_many_paragraphs(spark, tmp_path):
+    """More paragraphs than 1,024, in one list, in lists that go on, with a condition and with an empty one."""
+    bodies = ["<p>Turn it.</p>" * 1025, "<p><b>Turn it.<br>" * 1300, "<p>Turn it.</p>" * 1100 + "<p>Stop if hot.</p>", "<p>Turn it.</p>" * 1100 + "<p></p>"]
+    assert differ(spark, tmp_path, "paragraph_steps", pages=([(k, "", page("t", body)) for k, body in enumerate(bodies)], PAGES)) == []
+
+
 def test_roles_of_pages_with_many_paragraphs(spark, tmp_path):
     assert differ(spark, tmp_path, "page_roles", pages=(LONG, PAGES)) == []
 
