@@ -27,16 +27,18 @@ def _tasks(edges: DataFrame, rows: int) -> int:
     return max(edges.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_EDGES))
 
 
-def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
+def _large_star(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """Each neighbour larger than a vertex is linked to the smallest vertex nearby."""
+    tasks = tasks or _tasks(edges, 0)
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     moved = both.where("v > u").join(dealt(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.coalesce(tasks).distinct().coalesce(tasks)
 
 
-def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """Each neighbour smaller than a vertex, and the vertex, is linked to the smallest of them."""
+    tasks = tasks or _tasks(edges, 0)
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(dealt(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
